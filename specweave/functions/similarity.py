@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORD = 64
 
@@ -32,7 +33,7 @@ def indel_ratio_of(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / total if total else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """2·LCS/(len a + len b) at four decimals; null when a side is null."""
     return pd.Series(

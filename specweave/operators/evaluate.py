@@ -53,22 +53,23 @@ def eval_routes(judged: DataFrame, group: list[str] | None = None) -> DataFrame:
     )
 
 
-def threshold_sweep(judged: DataFrame, thresholds: DataFrame) -> DataFrame:
+def threshold_sweep(judged: DataFrame, thresholds: list[tuple[float, float]]) -> DataFrame:
     """Route counts per (auto_at, retry_from) setting from stored judgments, in one pass.
 
     Judgments are first counted by (confidence, attempt), so the settings multiply the
     distinct confidences and not the rows.
     """
     counted = judged.groupBy("confidence", "attempt").agg(F.count("*").alias("n"))
-    settings = thresholds.select("auto_at", "retry_from").distinct()
-    settings = settings.agg(F.collect_list(F.struct("auto_at", "retry_from"))).scalar()
+    settings = F.array(
+        *[F.struct(F.lit(a).alias("auto_at"), F.lit(r).alias("retry_from")) for a, r in thresholds]
+    )
     step = route(
         F.col("confidence"), F.col("attempt"), auto_at=F.col("t.auto_at"), retry_from=F.col("t.retry_from")
     )
     return (
         counted.withColumn("t", F.explode(settings))
         .withColumn("step", step)
-        .groupBy(F.col("t.auto_at").alias("auto_at"), F.col("t.retry_from").alias("retry_from"))
+        .groupBy("t.auto_at", "t.retry_from")
         .agg(
             F.sum("n").alias("evaluated"),
             *[F.sum(F.when(F.col("step") == r, F.col("n")).otherwise(0)).alias(n) for r, n in ROUTES.items()],

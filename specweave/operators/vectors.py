@@ -22,8 +22,10 @@ from specweave import model as M
 from specweave.functions.similarity import best, matrix_of, rank_of
 from specweave.operators.blocks import apply_pairs, pair_up
 
-_SLACK = 1e-6       # widening of angles against rounding; never loses a neighbour
 _DIGITS = 9         # similarities are compared at nine decimals, equal ones by id
+# Widening of angles against rounding: arccos is steep near 1, where an error of 1e-9 in
+# the cosine moves the angle by up to 4.5e-5.
+_SLACK = 1e-4
 MAX_ANCHORS = 4096  # the only data brought to the driver: MAX_ANCHORS vectors at most
 
 
@@ -55,28 +57,68 @@ def _anchors(entries: DataFrame, count: int, dim: int | None) -> np.ndarray:
     return np.unique(units[good], axis=0)
 
 
-def _angles(df: DataFrame, id_col: str, anchors: np.ndarray) -> DataFrame:
-    """Adds ``angles`` to every anchor; rows that are no usable vector are dropped."""
+def _placed(entries: DataFrame, anchors: np.ndarray) -> DataFrame:
+    """(entry_id, embedding, cell, angle): the nearest anchor; unusable vectors are dropped."""
     dim = anchors.shape[1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, good = matrix_of(batch.column("embedding"), dim)
+            cosines = np.clip(units[good] @ anchors.T, -1.0, 1.0)
+            cells = cosines.argmax(axis=1) if len(cosines) else np.zeros(0, dtype=np.int64)
+            angles = np.arccos(cosines[np.arange(len(cells)), cells])
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(cells.astype(np.int32)), pa.array(angles)],
+                ["entry_id", "embedding", "cell", "angle"],
+            )
+
+    kind = entries.schema["embedding"].dataType.simpleString()
+    return entries.select("entry_id", "embedding").mapInArrow(
+        run, f"entry_id string, embedding {kind}, cell int, angle double"
+    )
+
+
+def _visits(queries: DataFrame, anchors: np.ndarray, rings: np.ndarray) -> DataFrame:
+    """(query_id, embedding, cell) for every cell the query's ``radius`` can reach.
+
+    rings: one row (cell, smallest angle, largest angle) per cell that holds entries.  A
+    null radius means the nearest of these cells only.
+    """
+    dim = anchors.shape[1]
+    cells = rings[:, 0].astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units, good = matrix_of(batch.column("embedding"), dim)
             angles = np.arccos(np.clip(units[good] @ anchors.T, -1.0, 1.0))
-            offsets = np.arange(len(angles) + 1, dtype=np.int32) * anchors.shape[0]
             kept = batch.filter(pa.array(good))
+            radius = kept.column("radius").to_numpy(zero_copy_only=False).astype(np.float64)
+            r = radius[:, None] + _SLACK
+            own = angles[:, cells]
+            with np.errstate(invalid="ignore"):
+                reach = (own - r <= rings[:, 2]) & (own + r >= rings[:, 1])
+                reach &= own <= angles.min(axis=1, initial=np.inf)[:, None] + 2 * r
+            only_home = np.isnan(radius)
+            if only_home.any():
+                home = own[only_home].argmin(axis=1)
+                reach[only_home] = np.arange(len(cells)) == home[:, None]
+            counts = reach.sum(axis=1)
+            offsets = np.concatenate([[0], counts.cumsum()]).astype(np.int32)
+            visited = cells[np.nonzero(reach)[1]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    kept.column(id_col),
-                    kept.column("embedding"),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(angles.ravel())),
+                    kept.column("query_id"), kept.column("embedding"),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(visited)),
                 ],
-                [id_col, "embedding", "angles"],
+                ["query_id", "embedding", "cells"],
             )
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(id_col, "embedding").mapInArrow(
-        run, f"{id_col} {kinds[id_col]}, embedding {kinds['embedding']}, angles array<double>"
+    kind = queries.schema["embedding"].dataType.simpleString()
+    return (
+        queries.select("query_id", "embedding", "radius")
+        .mapInArrow(run, f"query_id string, embedding {kind}, cells array<int>")
+        .select("query_id", "embedding", F.explode("cells").alias("cell"))
     )
 
 
@@ -138,24 +180,14 @@ def vector_topk(
         return empty.withColumn("vector_rank", F.lit(1))
     dim = centers.shape[1]
 
-    home = F.array_position("angles", F.array_min("angles")).cast("int") - 1
-    placed = _angles(entries, "entry_id", centers).select(
-        "entry_id", "embedding", home.alias("cell"), F.array_min("angles").alias("angle")
-    )
-    rings = (
-        placed.groupBy("cell")
-        .agg(F.min("angle").alias("near"), F.max("angle").alias("far"))
-        .agg(F.collect_list(F.struct("cell", "near", "far")))  # one small struct per anchor
-        .scalar()
-    )
-    asked = _angles(queries, "query_id", centers).withColumn("rings", rings)
+    placed = _placed(entries, centers)
+    extent = placed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    # at most one row per anchor
+    rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent.collect()], dtype=np.float64)
 
-    def angle_to(ring: Column) -> Column:
-        return F.get("angles", ring["cell"])
-
-    def search(visiting: DataFrame, low: float) -> DataFrame:
+    def search(asked: DataFrame, low: float) -> DataFrame:
         left, right = pair_up(
-            visiting.select("query_id", "embedding", "cell"), "query_id",
+            _visits(asked, centers, rings), "query_id",
             placed.select("entry_id", "embedding", "cell"), "entry_id", block_rows,
         )
         found = apply_pairs(left, right, _kernel(dim, limit, low), schema)
@@ -164,30 +196,18 @@ def vector_topk(
             F.col("vector_rank") <= limit
         )
 
-    if floor is None:
-        nearest = F.array_min(F.transform("rings", lambda r: F.struct(angle_to(r), r["cell"])))
-        local = search(asked.withColumn("cell", nearest["cell"]), -2.0)
-        reach = local.groupBy("query_id").agg(
-            F.count("*").alias("n"), F.min("similarity").alias("worst")
-        )
-        radius = F.when(
-            F.col("n") >= limit, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "worst")))
-        )
-        asked = asked.join(reach, "query_id", "left").withColumn(
-            "radius", F.coalesce(radius, F.lit(math.pi))
-        )
-    else:
-        asked = asked.withColumn("radius", F.lit(math.acos(max(-1.0, min(1.0, floor)))))
-    # arccos is steep near 0: an error of 1e-12 in the cosine is up to 1.5e-6 in the angle
-    r = F.col("radius") + F.lit(10 * _SLACK)
-    reachable = F.filter(
-        "rings",
-        lambda ring: (angle_to(ring) - r <= ring["far"])
-        & (angle_to(ring) + r >= ring["near"])
-        & (angle_to(ring) <= F.array_min("angles") + 2 * r),
+    if floor is not None:
+        angle = math.acos(max(-1.0, min(1.0, floor)))
+        return search(queries.withColumn("radius", F.lit(angle)), floor)
+
+    local = search(queries.withColumn("radius", F.lit(None).cast("double")), -2.0)
+    # the nearest of its own cell bound how far a query has to look
+    reach = local.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("worst"))
+    bound = F.when(F.col("n") >= limit, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "worst"))))
+    bounded = queries.join(reach, "query_id", "left").withColumn(
+        "radius", F.coalesce(bound, F.lit(math.pi))
     )
-    visiting = asked.withColumn("cell", F.explode(F.transform(reachable, lambda x: x["cell"])))
-    return search(visiting, -2.0 if floor is None else floor)
+    return search(bounded, -2.0)
 
 
 def vector_topk_columns(

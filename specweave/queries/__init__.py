@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its oracle SQL."""
 
-from specweave.queries import specs  # noqa: F401
+from specweave.queries import judging, matching, specs  # noqa: F401
 from specweave.queries.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

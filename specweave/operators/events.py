@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
+from specweave.sources.tables import small_table
 
 
 def event_sequence(
@@ -80,7 +81,7 @@ def audit_dedupe(
 def node_dictionary(spark) -> DataFrame:
     """The default (node, label, tool, model); replace it by your own table."""
     rows = [(node, label, node, None) for node, label in M.NODE_LABELS.items()]
-    return spark.createDataFrame(rows, "node string, label string, tool string, model string")
+    return small_table(spark, rows, "node string, label string, tool string, model string")
 
 
 def node_metadata(events: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specweave import model as M
 from specweave.functions.periods import month_of
-from specweave.sources.tables import Tables, union_all
+from specweave.sources.tables import Tables, small_table, union_all
 
 # table -> (column, month expression); the expression must not decrease with the column
 Months = dict[str, tuple[str, Callable[[Column], Column]]]
@@ -93,7 +93,7 @@ def retention_period(
         )
     if not parts:
         spark = next(iter(tables.values())).sparkSession
-        return spark.createDataFrame([], "table_id string, ret_start int, ret_end int")
+        return small_table(spark, [], "table_id string, ret_start int, ret_end int")
     return union_all(parts)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from specweave import model as M
 from specweave.functions.similarity import best, matrix_of, rank_of
 from specweave.operators.blocks import apply_pairs, pair_up
+from specweave.sources.tables import small_table
 
 _DIGITS = 9         # similarities are compared at nine decimals, equal ones by id
 # Widening of angles against rounding: arccos is steep near 1, where an error of 1e-9 in
@@ -176,7 +177,7 @@ def vector_topk(
     )
     centers = _anchors(entries, anchors, dim)
     if not len(centers):
-        empty = queries.sparkSession.createDataFrame([], schema)
+        empty = small_table(queries.sparkSession, [], schema)
         return empty.withColumn("vector_rank", F.lit(1))
     dim = centers.shape[1]
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from specweave.model import SNAPSHOT, type_name
 
@@ -16,6 +19,15 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-known rows (schemas, dictionaries) as a local relation: no job, known size."""
+    struct = T.StructType.fromDDL(schema)
+    kinds = to_arrow_schema(struct)
+    columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), struct)
+
+
 def load_tables(
     spark: SparkSession, sources: dict[str, str], fmt: str = "parquet", **options
 ) -> Tables:
@@ -46,4 +58,4 @@ def catalog_snapshot(spark: SparkSession, tables: Tables) -> DataFrame:
         for table, df in tables.items()
         for i, field in enumerate(df.schema.fields, start=1)
     ]
-    return spark.createDataFrame(rows, SNAPSHOT)
+    return small_table(spark, rows, SNAPSHOT)

@@ -240,9 +240,12 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._known: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._known:
+            self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._known[name]
 
     def tables(self, names: list[str] | None = None) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in names or TABLES}
@@ -250,8 +253,10 @@ class Inputs:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in DERIVED:
             return self.table(name)
-        self._views(DERIVED[name][1])
-        return self.spark.sql(text_of(name, "spark"))
+        if name not in self._known:
+            self._views(DERIVED[name][1])
+            self._known[name] = self.spark.sql(text_of(name, "spark"))
+        return self._known[name]
 
     def _views(self, names: list[str]) -> None:
         for name in names:

@@ -25,11 +25,12 @@ HEADLINE = [
     "candidate_merge",
     "judge_guard",
     "retention_period",
+    "report_rows",
     "report_union",
     "summary_stats",
     "event_sequence",
     "tag_upsert",
-    "relationship_enrich",
+    "relationship_counts",
 ]
 
 

@@ -6,6 +6,8 @@ al. (2001) and Hyyrö (2004): one addition per query character over bit vectors.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -53,40 +55,54 @@ class NameBlock:
         self.words = max(1, -(-self.length // _WORD))
         raw = "".join(names).encode("utf-32-le", "surrogatepass")
         codes = np.frombuffer(raw, dtype=np.uint32).reshape(len(names), self.length)
-        self.count = len(names)
-        self.masks: dict[int, list[np.ndarray]] = {}
-        for code in np.unique(codes):
-            hit = codes == code
-            self.masks[int(code)] = [self._pack(hit, w) for w in range(self.words)]
-
-    def _pack(self, hit: np.ndarray, word: int) -> np.ndarray:
-        part = hit[:, word * _WORD : (word + 1) * _WORD]
-        out = np.zeros(self.count, dtype=np.uint64)
-        for j in range(part.shape[1]):
-            out |= part[:, j].astype(np.uint64) << np.uint64(j)
-        return out
-
-    def lcs(self, query: str) -> np.ndarray:
-        state = [np.full(self.count, ~np.uint64(0)) for _ in range(self.words)]
-        for ch in query:
-            mask = self.masks.get(ord(ch))
-            if mask is None:
-                continue
+        self.alphabet, place = np.unique(codes, return_inverse=True)
+        place = place.reshape(codes.shape)
+        self.row_of = {int(c): i for i, c in enumerate(self.alphabet)}
+        letters, count = len(self.alphabet), len(names)
+        # per letter: how often each name has it, and where (one bit per position)
+        self.counts = np.zeros((letters, count), dtype=np.int32)
+        self.masks = np.zeros((letters, self.words, count), dtype=np.uint64)
+        column = np.arange(count)
+        for at in range(self.length):
+            self.counts[place[:, at], column] += 1
+            self.masks[place[:, at], at // _WORD, column] |= np.uint64(1) << np.uint64(at % _WORD)
+
+    def reachable(self, query: str, cut: float) -> np.ndarray:
+        """Names that share enough letters to reach ``cut``: the LCS is no longer than the
+        overlap of the two letter multisets."""
+        shared = np.zeros(self.counts.shape[1], dtype=np.int32)
+        for ch, n in Counter(query).items():
+            row = self.row_of.get(ord(ch))
+            if row is not None:
+                shared += np.minimum(self.counts[row], n)
+        return np.flatnonzero(2.0 * shared / (len(query) + self.length) >= cut)
+
+    def lcs(self, query: str, among: np.ndarray) -> np.ndarray:
+        """LCS length of the query with each of the names ``among``."""
+        rows = [self.row_of[ord(ch)] for ch in query if ord(ch) in self.row_of]
+        used = sorted(set(rows))
+        masks = dict(zip(used, self.masks[used][:, :, among])) if used else {}
+        state = [np.full(len(among), ~np.uint64(0)) for _ in range(self.words)]
+        for row in rows:
+            mask = masks[row]
             carry = None
             for w in range(self.words):
                 v = state[w]
                 u = v & mask[w]
                 total = v + u
+                if w + 1 == self.words and carry is None:
+                    state[w] = total | (v ^ u)
+                    break
                 over = total < v
                 if carry is not None:
                     total += carry
                     over |= total < carry
                 state[w] = total | (v ^ u)
                 carry = over.astype(np.uint64)
-        zeros = np.zeros(self.count, dtype=np.int64)
+        zeros = np.zeros(len(among), dtype=np.int64)
         for w in range(self.words):
             width = min(_WORD, self.length - w * _WORD)
-            low = ~np.uint64(0) >> np.uint64(_WORD - width) if width else np.uint64(0)
+            low = ~np.uint64(0) >> np.uint64(_WORD - width)
             zeros += np.bitwise_count(~state[w] & low).astype(np.int64)
         return zeros
 

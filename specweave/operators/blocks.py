@@ -37,5 +37,11 @@ def pair_up(
 
 
 def apply_pairs(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(left block, right block)`` once per block pair (Arrow tables)."""
-    return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInArrow(kernel, schema)
+    """Run ``kernel(key, left block, right block)`` once per block pair (Arrow tables).
+
+    A block pair is little data but much work, so partitions must not be merged by size:
+    the number of shuffle partitions is kept as set.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = [df.repartition(n, *KEYS).groupBy(*KEYS) for df in (left, right)]
+    return pairs[0].cogroup(pairs[1]).applyInArrow(kernel, schema)

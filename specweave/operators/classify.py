@@ -34,11 +34,13 @@ def period_compare(rows: DataFrame) -> DataFrame:
 def classify(rows: DataFrame) -> DataFrame:
     """Adds final_tag, evidence, final_start, final_end and reject_reason.
 
-    A row has no tag while its type question is open, or when its period text is bad and
-    the period would decide (then reject_reason says so).
+    A row has no tag when its column was not checked (``exists`` is null), while its type
+    question is open, or when its period text is bad and the period would decide (then
+    reject_reason says so).
     """
     checked = period_compare(period_parse(rows))
     status = F.col("type_match_status")
+    seen = F.col("exists").isNotNull()
     missing = ~F.col("exists")
     refused = F.coalesce(status == "mismatch_rejected", F.lit(False))
     open_type = F.coalesce(status == "pending", F.lit(False))
@@ -47,7 +49,7 @@ def classify(rows: DataFrame) -> DataFrame:
     def pick(not_found: Column, type_off: Column, period: Column) -> Column:
         nothing = F.lit(None)
         return (
-            F.when(missing, not_found).when(refused, type_off)
+            F.when(~seen, nothing).when(missing, not_found).when(refused, type_off)
             .when(open_type | bad, nothing).otherwise(period)
         )
 
@@ -65,7 +67,7 @@ def classify(rows: DataFrame) -> DataFrame:
         )
         .withColumn("final_start", pick(none, none, F.col("final_start")))
         .withColumn("final_end", pick(none, none, F.col("final_end")))
-        .withColumn("reject_reason", F.when(~missing & ~refused & ~open_type & bad, F.lit(BAD_PERIOD)))
+        .withColumn("reject_reason", F.when(seen & ~missing & ~refused & ~open_type & bad, F.lit(BAD_PERIOD)))
     )
     return out.drop("period_tag", "period_evidence", BAD_PERIOD)
 
@@ -89,7 +91,7 @@ def tag_writes(classified: DataFrame, at: Column, stage: int = 1) -> DataFrame:
 
 def validation_log(classified: DataFrame, at: Column) -> DataFrame:
     """One audit line per validated column."""
-    return classified.where("column_id is not null").select(
+    return classified.where("column_id is not null and exists is not null").select(
         "column_id", "spec_type", "actual_type",
         (F.col("type_match_status") == "matched").alias("is_match"),
         "final_tag", at.alias("created_at"),

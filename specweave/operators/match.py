@@ -105,10 +105,25 @@ def relations_of(table_ids: DataFrame, relationships: DataFrame) -> DataFrame:
     return outgoing.unionByName(incoming).join(wanted, "table_id", "left_semi")
 
 
+def relationship_counts(rows: DataFrame, relationships: DataFrame, key: str = "table_id") -> DataFrame:
+    """Adds ``n_relationships`` of the row's table.
+
+    For wide dimensions keep the relations themselves in a table of their own
+    (``relations_of``) and join it where it is read: a table with very many relations is
+    then neither gathered in one place nor copied into every row.
+    """
+    related = relations_of(rows.select(F.col(key).alias("table_id")), relationships)
+    counts = related.groupBy(F.col("table_id").alias(key)).agg(F.count("*").alias("n_relationships"))
+    return rows.join(counts, key, "left").withColumn(
+        "n_relationships", F.coalesce("n_relationships", F.lit(0))
+    )
+
+
 def relationship_enrich(rows: DataFrame, relationships: DataFrame, key: str = "table_id") -> DataFrame:
     """Adds ``table_relationships``, the list of relations of the row's table (or empty).
 
-    The list is built once per table, not per row.
+    The list is built once per table, but every row carries a copy: meant for catalogs
+    whose tables have a handful of relations each.
     """
     related = relations_of(rows.select(F.col(key).alias("table_id")), relationships)
     relation = F.struct(

@@ -72,17 +72,25 @@ def report_union(classified: DataFrame, unresolved: DataFrame) -> DataFrame:
     return done.unionByName(ended)
 
 
-def null_safe(rows: DataFrame) -> DataFrame:
-    """NaN of floating columns and the blank text of others become null."""
-    floats = {f.name for f in rows.schema if f.dataType.simpleString() in ("double", "float")}
-    texts = {f.name for f in rows.schema if f.dataType.simpleString() == "string"}
-    return rows.select(
-        *[
-            nan_to_null(F.col(c)).alias(c) if c in floats
-            else blank_to_null(F.col(c)).alias(c) if c in texts
-            else F.col(c)
-            for c in rows.columns
-        ]
+def report_rows(classified: DataFrame) -> DataFrame:
+    """The rows of ``report_union`` from one table that holds validated and unresolved rows
+    together, so that nothing is computed twice; rows without a tag yet are left out."""
+    ended = F.col("match_status") == "unresolved"
+    auto = F.coalesce(F.col("resolution_path") == "auto_confirmed", F.lit(False))
+    judged = F.when(auto & (F.col("llm_evidence") != ""), F.concat(F.lit(M.EV_AUTO_PREFIX), "llm_evidence"))
+    done = F.when(~ended, F.lit(True))
+    return classified.where(ended | F.col("final_tag").isNotNull()).select(
+        *KEYS, *SPEC,
+        F.when(ended, F.col("req_type")).otherwise(F.col("spec_type")).alias("req_type"),
+        F.when(done, F.col("actual_type")).alias("avail_type"),
+        F.when(done, periods.render(F.col("final_start"), F.col("final_end"))).alias("avail_period"),
+        F.when(done, F.col("table_id")).alias("source_table"),
+        F.when(ended, "unresolved").otherwise(F.col("final_tag")).alias("final_tag"),
+        F.when(ended, F.col("match_evidence")).otherwise(F.concat_ws(" | ", judged, "evidence")).alias("evidence"),
+        F.when(ended, F.coalesce("unresolved_reason", F.lit("no_match")))
+        .when(auto, "auto_confirmed").otherwise("validated").alias("resolution_path"),
+        F.col("req_type").alias("asked_type"),
+        F.when(done, F.col("column_id")).alias("column_id"),
     )
 
 

@@ -26,16 +26,16 @@ def _kernel(cut: float, top_k: int):
             ranks = rank_of(ids)
             block = NameBlock(names)
             for form in left.column("form").to_pylist():
-                total = len(form) + block.length
-                score = 2.0 * block.lcs(form) / total if total else None
-                if score is None:
+                near = block.reachable(form, cut)
+                if not len(near):
                     continue
-                for i in best(score, ranks, score >= cut, top_k):
+                score = 2.0 * block.lcs(form, near) / (len(form) + block.length)
+                for i in best(score, ranks[near], score >= cut, top_k):
                     out["form"].append(form)
-                    out["hit"].append(names[i])
+                    out["hit"].append(names[near[i]])
                     out["raw"].append(float(score[i]))
                     out["score"].append(round(float(score[i]), 4))
-                    out["first_id"].append(ids[i])
+                    out["first_id"].append(ids[near[i]])
         return pa.table(
             {
                 "form": pa.array(out["form"], pa.string()),

@@ -50,7 +50,7 @@ def type_confirmation(rows: DataFrame, decisions: DataFrame, keys: list[str]) ->
         rows.join(latest, keys, "left")
         .withColumn(
             "type_match_status",
-            F.when(~F.col("exists"), F.lit(None).cast("string"))
+            F.when(~F.coalesce("exists", F.lit(False)), F.lit(None).cast("string"))
             .when(F.col("type_equal"), "matched")
             .when(F.col("type_decision").isNull(), "pending")
             .when(approved, "mismatch_confirmed")

@@ -141,27 +141,33 @@ def resolve(
 
 
 def check_columns(
-    matched: DataFrame, snapshot: DataFrame, type_decisions: DataFrame, retention: DataFrame
+    rows: DataFrame, snapshot: DataFrame, type_decisions: DataFrame, retention: DataFrame
 ) -> DataFrame:
-    """Existence, type and held months of matched(table_id, column_name, spec_type, ...)."""
-    scope = V.column_exists(V.validation_scope(matched), snapshot)
+    """Existence, type and held months of rows(match_status, table_id, column_name,
+    spec_type, ...).  Unresolved and pending rows name no column, so they pass through
+    the joins unmatched, with ``exists`` null."""
+    found = V.column_exists(rows, snapshot)
+    scope = found.withColumn(
+        "exists", F.when(F.col("match_status").isin(M.VALIDATED_STATUSES), F.col("exists"))
+    )
     typed = V.type_confirmation(V.type_compare(scope), type_decisions, ROW)
     return V.add_retention(typed, retention)
 
 
 def exact_rows(found: DataFrame) -> DataFrame:
-    """Rows of ``match.exact_match`` that were found, in the shape of a match result."""
+    """Rows of ``match.exact_match`` in the shape of a match result: matched or no_match."""
+    hit = F.col("n_matches") > 0
     none = F.lit(None).cast("string")
-    return found.where("n_matches > 0").select(
+    return found.select(
         *SPEC,
         F.col("match_column_id").alias("column_id"),
         F.col("match_table_id").alias("table_id"),
         F.col("match_column_name").alias("column_name"),
         F.col("match_data_type").alias("spec_type"),
-        F.lit("matched").alias("match_status"),
-        F.lit(M.EV_EXACT).alias("match_evidence"),
-        F.lit("validated").alias("resolution_path"),
-        none.alias("unresolved_reason"),
+        F.when(hit, "matched").otherwise("unresolved").alias("match_status"),
+        F.when(hit, M.EV_EXACT).otherwise(M.EV_NO_CANDIDATE).alias("match_evidence"),
+        F.when(hit, "validated").otherwise("no_match").alias("resolution_path"),
+        F.when(~hit, "no_match").alias("unresolved_reason"),
         F.lit(None).cast("double").alias("llm_confidence"),
         none.alias("llm_evidence"),
     )
@@ -228,22 +234,20 @@ def reconcile(
         )
     )
     searched = keep(resolve(missed, candidates, responses, decisions))
-    resolved = exact_rows(found).unionByName(searched_rows(searched, catalog))
+    resolved = exact_rows(found.where("n_matches > 0")).unionByName(searched_rows(searched, catalog))
     classified = keep(C.classify(check_columns(resolved, snapshot, type_decisions, retention)))
-    tagged = C.tagged(classified)
-    unresolved = resolved.where("match_status = 'unresolved'")
-    merged = report.label_map(report.report_union(tagged, unresolved))
+    merged = report.label_map(report.report_rows(classified))
     person = searched.where("route = 'human_confirm'").withColumn("column_id", F.col("target_id"))
     asked_types = classified.where("type_decision is not null")
     return Reconciliation(
         candidates=candidates,
-        resolved=resolved,
+        resolved=classified,
         open_judgments=open_judgments(searched, candidates, catalog),
         open_matches=person.where("decision is null").select(
             *SPEC, "attempt", "column_id", "confidence", "evidence", "candidates"
         ),
         open_types=V.type_queue(classified),
-        classified=classified,
+        classified=C.tagged(classified),
         rejects=C.rejects(classified),
         report=merged,
         summary=report.summary_stats(merged),
@@ -251,7 +255,7 @@ def reconcile(
         revisions=report.revision_records(
             merged, catalog if "tag" in catalog.columns else None, run_ts
         ),
-        auto_confirms=report.auto_confirm_records(resolved, run_ts),
+        auto_confirms=report.auto_confirm_records(classified, run_ts),
         confirmations=report.confirmation_records(
             person, J.match_question(person), "decision", run_ts
         ).unionByName(

@@ -55,10 +55,14 @@ def retention(i: Inputs) -> DataFrame:
     return V.retention_period(i.tables(list(MONTH_COLUMNS)), V.months(MONTH_COLUMNS))
 
 
-def matched(i: Inputs) -> DataFrame:
+def found(i: Inputs) -> DataFrame:
     return plan.exact_rows(match.exact_match(i["requests"], column_spec(i)))
 
 
+def matched(i: Inputs) -> DataFrame:
+    return V.validation_scope(found(i))
+
+
 def checked(i: Inputs) -> DataFrame:
     return plan.check_columns(matched(i), real_snapshot(i), i["type_decisions"], retention(i))
 
@@ -68,15 +72,8 @@ def classified(i: Inputs) -> DataFrame:
 
 
 def reported(i: Inputs) -> DataFrame:
-    """One exact-match pass feeds both branches of the report."""
-    found = match.exact_match(i["requests"], column_spec(i))
-    done = C.classify(
-        plan.check_columns(plan.exact_rows(found), real_snapshot(i), i["type_decisions"], retention(i))
-    )
-    missed = found.where("n_matches = 0").select(
-        *plan.SPEC, F.lit(M.EV_NO_CANDIDATE).alias("match_evidence"), F.lit("no_match").alias("unresolved_reason")
-    )
-    return report.report_union(C.tagged(done), missed)
+    rows = plan.check_columns(found(i), real_snapshot(i), i["type_decisions"], retention(i))
+    return report.report_rows(C.classify(rows))
 
 
 _KEY = "spec_id, row_idx"
@@ -87,12 +84,7 @@ _KEY = "spec_id, row_idx"
     f"select {_KEY}, column_id, 'matched' match_status from matched_requests where n_matches > 0",
 )
 def _(i: Inputs) -> DataFrame:
-    found = match.exact_match(i["requests"], column_spec(i))
-    status = F.when(F.col("n_matches") > 0, "matched").otherwise("unresolved")
-    rows = found.withColumn("match_status", status)
-    return V.validation_scope(rows).select(
-        "spec_id", "row_idx", F.col("match_column_id").alias("column_id"), "match_status"
-    )
+    return V.validation_scope(found(i)).select("spec_id", "row_idx", "column_id", "match_status")
 
 
 @query(
@@ -204,11 +196,18 @@ _REPORT = [
 ]
 
 
-@query("report_union", f"select {_KEY}, {', '.join(_REPORT)} from reported")
+@query("report_rows", f"select {_KEY}, {', '.join(_REPORT)} from reported")
 def _(i: Inputs) -> DataFrame:
     return reported(i).select("spec_id", "row_idx", *_REPORT)
 
 
+@query("report_union", f"select {_KEY}, {', '.join(_REPORT)} from reported")
+def _(i: Inputs) -> DataFrame:
+    """The same report from two separate inputs."""
+    ended = found(i).where("match_status = 'unresolved'")
+    return report.report_union(C.tagged(classified(i)), ended).select("spec_id", "row_idx", *_REPORT)
+
+
 @query("label_map", f"select {_KEY}, final_tag, {TAG_LABEL} tag_label, {PATH_LABEL} path_label from reported")
 def _(i: Inputs) -> DataFrame:
     return report.label_map(reported(i)).select("spec_id", "row_idx", "final_tag", "tag_label", "path_label")
@@ -358,8 +357,7 @@ def _(i: Inputs) -> DataFrame:
   cast(round(avg(case when n_matches > 0 then 1e0 else 0 end), 4) as varchar) exact_hit_rate from matched_specs""",
 )
 def _(i: Inputs) -> DataFrame:
-    found = match.exact_match(i["spec_rows"], i["meta_columns"])
-    metrics = found.agg(
+    metrics = match.exact_match(i["spec_rows"], i["meta_columns"]).agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.when(F.col("n_matches") > 0, 1.0).otherwise(0.0)), 4).alias("exact_hit_rate"),
     )

@@ -225,27 +225,51 @@ def _(i: Inputs) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+cte(
+    "sided_relations",
+    """select from_table_id table_id, * from relationships
+union all select to_table_id, * from relationships where from_table_id <> to_table_id""",
+)
+
+
 @query(
-    "relationship_enrich",
-    """select spec_id, row_idx, r.table_id, coalesce(n, 0) n_relationships, first_one, last_one from placed_rows r
-left join (
-  select table_id, count(*) n, min(line) first_one, max(line) last_one from (
-    select from_table_id table_id, concat(from_table_id, '>', to_table_id, ':', join_key) line from relationships
-    union all select to_table_id, concat(from_table_id, '>', to_table_id, ':', join_key) from relationships
-      where from_table_id <> to_table_id) b group by table_id) t on t.table_id = r.table_id""",
+    "relations_of",
+    "select * from sided_relations where table_id in (select table_id from placed_rows)",
+)
+def _(i: Inputs) -> DataFrame:
+    return match.relations_of(i["placed_rows"], i["relationships"])
+
+
+@query(
+    "relationship_counts",
+    """select spec_id, row_idx, r.table_id, coalesce(n, 0) n_relationships from placed_rows r
+left join (select table_id, count(*) n from sided_relations group by table_id) t on t.table_id = r.table_id""",
 )
 def _(i: Inputs) -> DataFrame:
-    rows = match.relationship_enrich(i["placed_rows"], i["relationships"])
+    return match.relationship_counts(i["placed_rows"], i["relationships"])
+
+
+# A star: every brand's tables belong to the brand's dimension, few relations each.
+_STAR = """select distinct p_brand from_table_id, concat(p_brand, '/', p_type) to_table_id, 'p_name' join_key,
+  '1:N' relation_type from part"""
+_STAR_ROWS = """select cast(p_partkey as string) spec_id, p_partkey row_idx,
+  case p_partkey % 3 when 0 then p_brand when 1 then concat(p_brand, '/', p_type) else p_name end table_id from part"""
 
+
+@query(
+    "relationship_enrich",
+    f"""select spec_id, row_idx, r.table_id, coalesce(lines, '') relations from ({_STAR_ROWS}) r left join (
+  select table_id, string_agg(line, ',' order by line) lines from (
+    select from_table_id table_id, concat(from_table_id, '>', to_table_id) line from ({_STAR}) s
+    union all select to_table_id, concat(from_table_id, '>', to_table_id) from ({_STAR}) t) b
+  group by table_id) x on x.table_id = r.table_id""",
+)
+def _(i: Inputs) -> DataFrame:
+    rows = match.relationship_enrich(i.sql(_STAR_ROWS, "part"), i.sql(_STAR, "part"))
     lines = F.transform(
-        "table_relationships",
-        lambda r: F.concat(r["source_table"], F.lit(">"), r["target_table"], F.lit(":"), r["join_key"]),
-    )
-    return rows.select(
-        "spec_id", "row_idx", "table_id",
-        F.size("table_relationships").cast("long").alias("n_relationships"),
-        F.array_min(lines).alias("first_one"), F.array_max(lines).alias("last_one"),
+        "table_relationships", lambda r: F.concat(r["source_table"], F.lit(">"), r["target_table"])
     )
+    return rows.select("spec_id", "row_idx", "table_id", F.array_join(F.array_sort(lines), ",").alias("relations"))
 
 
 _LOOKUPS = """select spec_id, row_idx, concat('Brand#', cast(row_idx % 30 as string), '.', trim(eng_name)) column_id

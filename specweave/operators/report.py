@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specweave import model as M
 from specweave.functions import periods
 from specweave.functions.text import blank_to_null, nan_to_null
+from specweave.sources.tables import small_table
 
 KEYS = ["spec_id", "row_idx"]
 SPEC = ["eng_name", "local_name", "description", "req_period"]
@@ -108,30 +109,31 @@ def run_results(reports: DataFrame, run_id: str | None = None) -> DataFrame:
 
 
 def summary_stats(report: DataFrame) -> DataFrame:
-    """(kind, key, n): total, tag and path counts and the auto-confirm count, one pass."""
-    counts = report.groupingSets(
-        [["final_tag"], ["resolution_path"], []], "final_tag", "resolution_path"
-    ).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("resolution_path") == "auto_confirmed").alias("auto"),
-        F.grouping_id().alias("g"),
-    )
-    # grouping id: bit 1 = final_tag aggregated away, bit 0 = resolution_path
-    line = F.when(
-        F.col("g") == 1, F.array(F.struct(F.lit("tag").alias("kind"), F.col("final_tag").alias("key"), "n"))
-    ).when(
-        F.col("g") == 2,
-        F.array(F.struct(F.lit("path").alias("kind"), F.col("resolution_path").alias("key"), "n")),
-    ).otherwise(
-        F.array(
-            F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("key"), "n"),
-            F.struct(
-                F.lit("auto_confirm").alias("kind"), F.lit(None).cast("string").alias("key"),
-                F.col("auto").alias("n"),
-            ),
+    """(kind, key, n): total, tag and path counts and the auto-confirm count.
+
+    Rows are counted once per (tag, path); the four kinds come from those few counts.
+    """
+    pairs = report.groupBy("final_tag", "resolution_path").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    auto = F.when(F.col("resolution_path") == "auto_confirmed", F.col("n")).otherwise(0)
+
+    def line(kind: str, key: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.alias("n"))
+
+    lines = pairs.select(
+        F.inline(
+            F.array(
+                line("tag", F.col("final_tag"), F.col("n")),
+                line("path", F.col("resolution_path"), F.col("n")),
+                line("total", none, F.col("n")),
+                line("auto_confirm", none, auto),
+            )
         )
     )
-    return counts.select(F.inline(line))
+    # an empty report still has a total
+    zero = [("total", None, 0), ("auto_confirm", None, 0)]
+    start = small_table(report.sparkSession, zero, "kind string, key string, n long")
+    return lines.unionByName(start).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def revision_records(report: DataFrame, previous: DataFrame | None, at: Column) -> DataFrame:

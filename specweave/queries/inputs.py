@@ -55,7 +55,7 @@ select concat(p_brand, '.', p_name) column_id, p_brand table_id, p_name column_n
 from part group by p_brand, p_name""",
         ["part"],
     ),
-    # 50 specs; exact, first letter lost, words swapped, padded, unknown names; periods
+    # 50 specs, one row per order with items, named after a part of the order: exact, first letter lost, words swapped, padded, unknown names; periods
     # absent, blank, contained, partial (with blanks), disjoint, malformed
     "spec_rows": (
         """
@@ -69,9 +69,10 @@ select cast(o_custkey % 50 as string) spec_id, o_orderkey row_idx,
   case o_orderkey % 6 when 0 then null when 1 then '' when 2 then '199601~199612'
     when 3 then concat(cast(year(o_orderdate) * 100 + month(o_orderdate) as string), ' ~ 200512')
     when 4 then '201001~201012' else '199x~2000' end req_period
-from (select *, o_orderkey % (select count(*) from part) pk from orders) o
-join part on p_partkey = o.pk""",
-        ["orders", "part"],
+from orders join (select l_orderkey, min(l_partkey) first_part from lineitem group by l_orderkey) l
+  on l_orderkey = o_orderkey
+join part on p_partkey = first_part""",
+        ["orders", "lineitem", "part"],
     ),
     # requests against the given tables' own columns
     "requests": (
@@ -158,8 +159,9 @@ from nation""",
     "vec_columns": (
         """
 select concat('c', cast(vec_id as string)) column_id, concat('t', cast(label as string)) table_id,
-  p_name column_name, 'VARCHAR' data_type, concat(p_name, ' | ', p_type) description, vec_id, embedding
-from (select *, vec_id % (select count(*) from part) pk from embeddings) e join part on p_partkey = e.pk""",
+  coalesce(p_name, concat('plain ', cast(label as string))) column_name, 'VARCHAR' data_type,
+  concat(coalesce(p_name, 'plain'), ' | ', coalesce(p_type, 'none')) description, vec_id, embedding
+from embeddings left join part on p_partkey = vec_id""",
         ["embeddings", "part"],
     ),
     "vec_terms": (
@@ -176,11 +178,11 @@ select cast(a.vec_id % 5 as string) spec_id, a.vec_id row_idx, cast(a.vec_id as
   case a.vec_id % 4 when 0 then substr(a.column_name, 2) when 1 then concat(a.column_name, 's')
     when 2 then concat(split_part(a.column_name, ' ', 2), ' ', split_part(a.column_name, ' ', 1))
     else concat('zq', cast(a.vec_id as string)) end eng_name,
-  concat('about ', a.column_name) description, a.column_id home_id, a.embedding va, b.embedding vb,
+  concat('about ', a.column_name) description, a.column_id home_id, a.embedding va,
+  coalesce(b.embedding, a.embedding) vb,
   case a.vec_id % 5 when 0 then 0.3e0 when 1 then 0.9e0 when 2 then 1.1e0 when 3 then 1.4e0 else 5e0 end share
-from vec_columns a join vec_columns b
-  on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings)""",
-        ["vec_columns", "embeddings"],
+from vec_columns a left join vec_columns b on b.vec_id = a.vec_id + 1""",
+        ["vec_columns"],
     ),
     "vec_replies": (
         """

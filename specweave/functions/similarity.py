@@ -48,24 +48,28 @@ def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 class NameBlock:
-    """Names of one common length, ready for LCS against one query at a time."""
+    """Names ready for LCS against one query at a time.
+
+    Shorter names are padded: a padded position matches nothing and never counts.
+    """
 
     def __init__(self, names: list[str]):
-        self.length = len(names[0])
-        self.words = max(1, -(-self.length // _WORD))
-        raw = "".join(names).encode("utf-32-le", "surrogatepass")
-        codes = np.frombuffer(raw, dtype=np.uint32).reshape(len(names), self.length)
-        self.alphabet, place = np.unique(codes, return_inverse=True)
-        place = place.reshape(codes.shape)
+        self.lengths = np.array([len(n) for n in names])
+        longest = int(self.lengths.max())
+        self.words = max(1, -(-longest // _WORD))
+        raw = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.alphabet, place = np.unique(raw, return_inverse=True)
         self.row_of = {int(c): i for i, c in enumerate(self.alphabet)}
         letters, count = len(self.alphabet), len(names)
+        starts = self.lengths.cumsum() - self.lengths
         # per letter: how often each name has it, and where (one bit per position)
         self.counts = np.zeros((letters, count), dtype=np.int32)
         self.masks = np.zeros((letters, self.words, count), dtype=np.uint64)
-        column = np.arange(count)
-        for at in range(self.length):
-            self.counts[place[:, at], column] += 1
-            self.masks[place[:, at], at // _WORD, column] |= np.uint64(1) << np.uint64(at % _WORD)
+        for at in range(longest):
+            column = np.flatnonzero(self.lengths > at)
+            letter = place[starts[column] + at]
+            self.counts[letter, column] += 1
+            self.masks[letter, at // _WORD, column] |= np.uint64(1) << np.uint64(at % _WORD)
 
     def reachable(self, query: str, cut: float) -> np.ndarray:
         """Names that share enough letters to reach ``cut``: the LCS is no longer than the
@@ -75,7 +79,7 @@ class NameBlock:
             row = self.row_of.get(ord(ch))
             if row is not None:
                 shared += np.minimum(self.counts[row], n)
-        return np.flatnonzero(2.0 * shared / (len(query) + self.length) >= cut)
+        return np.flatnonzero(2.0 * shared / (len(query) + self.lengths) >= cut)
 
     def lcs(self, query: str, among: np.ndarray) -> np.ndarray:
         """LCS length of the query with each of the names ``among``."""
@@ -99,12 +103,8 @@ class NameBlock:
                     over |= total < carry
                 state[w] = total | (v ^ u)
                 carry = over.astype(np.uint64)
-        zeros = np.zeros(len(among), dtype=np.int64)
-        for w in range(self.words):
-            width = min(_WORD, self.length - w * _WORD)
-            low = ~np.uint64(0) >> np.uint64(_WORD - width)
-            zeros += np.bitwise_count(~state[w] & low).astype(np.int64)
-        return zeros
+        # matched positions are zero bits; unused and padded bits stay one
+        return sum(np.bitwise_count(~v).astype(np.int64) for v in state)
 
 
 def rank_of(values: list) -> np.ndarray:

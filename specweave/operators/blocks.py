@@ -14,16 +14,32 @@ from pyspark.sql import functions as F
 KEYS = ["cell", "lpart", "rpart"]
 
 
+def cell_sizes(df: DataFrame) -> DataFrame:
+    return df.groupBy("cell").agg(F.count("*").alias("n"))
+
+
 def pair_up(
-    left: DataFrame, left_id: str, right: DataFrame, right_id: str, block_rows: int
+    left: DataFrame,
+    left_id: str,
+    right: DataFrame,
+    right_id: str,
+    block_rows: int,
+    right_sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the block keys; cells that occur on one side only are dropped."""
+    """Both sides with the block keys; cells that occur on one side only are dropped.
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    ``right_sizes(cell, n)`` saves a pass over the right side where it is known.
+    """
 
-    # One row per cell: callers keep the number of cells bounded, so this may be broadcast.
-    grid = F.broadcast(parts(left, "lparts").join(parts(right, "rparts"), "cell"))
+    def parts(sizes: DataFrame, name: str) -> DataFrame:
+        return sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias(name))
+
+    # One row per cell.  Callers bound the number of cells (anchors, length bands).
+    grid = F.broadcast(
+        parts(cell_sizes(left), "lparts").join(
+            parts(cell_sizes(right) if right_sizes is None else right_sizes, "rparts"), "cell"
+        )
+    )
 
     def spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         return (

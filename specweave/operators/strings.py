@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def _kernel(cut: float, top_k: int):
                 near = block.reachable(form, cut)
                 if not len(near):
                     continue
-                score = 2.0 * block.lcs(form, near) / (len(form) + block.length)
+                score = 2.0 * block.lcs(form, near) / (len(form) + block.lengths[near])
                 for i in best(score, ranks[near], score >= cut, top_k):
                     out["form"].append(form)
                     out["hit"].append(names[near[i]])
@@ -49,6 +51,11 @@ def _kernel(cut: float, top_k: int):
     return run
 
 
+def _band(length: Column) -> Column:
+    """Length bands a quarter apart: 96 of them cover every possible text."""
+    return F.floor(F.log(length) / math.log(1.25)).cast("int")
+
+
 def fuzzy_topk(
     names: DataFrame,
     catalog: DataFrame,
@@ -60,34 +67,28 @@ def fuzzy_topk(
 
     names(eng_name), catalog(column_id, column_name) ->
     (eng_name, column_id, score, string_rank).  Work runs over distinct token-sorted
-    forms.  Only lengths that can still reach ``cut`` meet: 2·min/(la+lb) >= cut.
-    Ties go to the lower column_id.
+    forms.  Only length bands that can still reach ``cut`` meet (2·min/(la+lb) >= cut),
+    as block pairs; within a pair, names that share too few letters are left out before
+    the LCS.  Both bounds lose nothing.  Ties go to the lower column_id.
     """
+    # Blank names have no length band and drop out there: a filter on the form would be
+    # pushed below distinct() and sort the tokens of every row.
     wanted = names.select("eng_name").where("eng_name is not null").distinct()
-    wanted = wanted.withColumn("form", token_sort(F.col("eng_name"))).where("form <> ''")
+    wanted = wanted.withColumn("form", token_sort(F.col("eng_name")))
     owners = (
         catalog.select("column_id", token_sort(F.col("column_name")).alias("hit"))
-        .where("hit <> ''")
         # more than top_k columns of one form can never all be chosen
         .withColumn("n", F.row_number().over(Window.partitionBy("hit").orderBy("column_id")))
         .where(F.col("n") <= top_k)
     )
     dictionary = owners.where("n = 1").select(
-        "hit", F.col("column_id").alias("first_id"), F.length("hit").alias("cell")
+        "hit", F.col("column_id").alias("first_id"), _band(F.nullif(F.length("hit"), F.lit(0))).alias("cell")
     )
-    size = F.length("form")
+    size = F.nullif(F.length("form"), F.lit(0))
     # la in [lb·cut/(2-cut), lb·(2-cut)/cut]; a hair wider so that rounding loses nothing
     reach = (2 - cut) / cut + 1e-9
-    forms = (
-        wanted.select("form").distinct()
-        .withColumn(
-            "cell",
-            F.explode(
-                F.sequence(F.greatest(F.lit(1), F.ceil(size / reach)).cast("int"),
-                           F.floor(size * reach).cast("int"))
-            ),
-        )
-    )
+    bands = F.sequence(_band(F.greatest(F.lit(1), F.ceil(size / reach))), _band(F.floor(size * reach)))
+    forms = wanted.select("form").distinct().withColumn("cell", F.explode(bands))
     left, right = pair_up(forms, "form", dictionary, "hit", block_rows)
     hits = apply_pairs(
         left.select("cell", "lpart", "rpart", "form"),

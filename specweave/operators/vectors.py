@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ _DIGITS = 9         # similarities are compared at nine decimals, equal ones by
 # Widening of angles against rounding: arccos is steep near 1, where an error of 1e-9 in
 # the cosine moves the angle by up to 4.5e-5.
 _SLACK = 1e-4
-MAX_ANCHORS = 4096  # the only data brought to the driver: MAX_ANCHORS vectors at most
+MAX_ANCHORS = 4096  # at most so many vectors are brought to the driver, and nothing else
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -44,12 +44,16 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def _anchors(entries: DataFrame, count: int, dim: int | None) -> np.ndarray:
+    """One entry from each of ``count`` hash buckets, as unit vectors on the driver."""
+    count = min(count, MAX_ANCHORS)
+    ids = entries.select("entry_id")
+    picked = ids.groupBy(F.pmod(F.xxhash64("entry_id"), F.lit(count))).agg(
+        F.max_by("entry_id", F.xxhash64("entry_id", F.lit(1))).alias("entry_id")
+    )
+    # at most `count` short rows to broadcast, and `count` vectors to collect
     rows = (
-        entries.orderBy(F.xxhash64("entry_id"), "entry_id")
-        .select("embedding")
-        .limit(min(count, MAX_ANCHORS))
-        .toArrow()
-        .column("embedding")
+        entries.join(F.broadcast(picked.select("entry_id")), "entry_id", "left_semi")
+        .select("embedding").toArrow().column("embedding")
     )
     if dim is None:
         sizes = Counter(len(v) for v in rows.to_pylist() if v)
@@ -156,6 +160,7 @@ def vector_topk(
     anchors: int = 16,
     dim: int | None = None,
     block_rows: int = 1024,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """The ``limit`` nearest entries per query, of those with similarity >= ``floor``.
 
@@ -163,7 +168,8 @@ def vector_topk(
     (query_id, entry_id, similarity, vector_rank).  Ids are text; equal similarities go
     to the lower entry_id.  Zero vectors and vectors of another size find nothing.
     Without a floor, a first pass over each query's own cell bounds its radius.
-    ``anchors`` should grow like the square root of the number of entries.
+    ``anchors`` should grow like the square root of the number of entries.  ``keep`` (for
+    instance ``session.cut_lineage``) is applied to the entries once they have their cell.
     """
     schema = "query_id string, entry_id string, similarity double"
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
@@ -181,15 +187,20 @@ def vector_topk(
         return empty.withColumn("vector_rank", F.lit(1))
     dim = centers.shape[1]
 
-    placed = _placed(entries, centers)
-    extent = placed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    # at most one row per anchor
-    rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent.collect()], dtype=np.float64)
+    placed = keep(_placed(entries, centers))
+    # one short row per anchor
+    extent = placed.groupBy("cell").agg(
+        F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")
+    ).collect()
+    rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent], dtype=np.float64)
+    sizes = small_table(
+        queries.sparkSession, [(r["cell"], r["n"]) for r in extent], "cell int, n long"
+    )
 
     def search(asked: DataFrame, low: float) -> DataFrame:
         left, right = pair_up(
             _visits(asked, centers, rings), "query_id",
-            placed.select("entry_id", "embedding", "cell"), "entry_id", block_rows,
+            placed.select("entry_id", "embedding", "cell"), "entry_id", block_rows, sizes,
         )
         found = apply_pairs(left, right, _kernel(dim, limit, low), schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")

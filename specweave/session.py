@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # one partition per core already: merging small ones would only idle cores
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

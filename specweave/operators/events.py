@@ -68,8 +68,13 @@ def events_since(sequenced: DataFrame, since: DataFrame) -> DataFrame:
 def audit_dedupe(
     records: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("column_id", "question", "answer")
 ) -> DataFrame:
-    """The records whose (column, question, answer) is new, once each."""
-    fresh = records.dropDuplicates(list(keys))
+    """The records whose (column, question, answer) is new, once each (the least by their
+    other columns, so that a rerun keeps the same one)."""
+    others = [c for c in records.columns if c not in keys]
+    fresh = records.select(*keys).distinct()
+    if others:
+        kept = records.groupBy(*keys).agg(F.min(F.struct(*others)).alias("kept"))
+        fresh = kept.select(*[F.col(c) if c in keys else F.col(f"kept.{c}") for c in records.columns])
     known = history.select(*[F.col(k).alias(f"known_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]
     condition = same[0]

@@ -14,6 +14,16 @@ from specweave import model as M
 ROW = ["spec_id", "row_idx"]
 
 
+def answers(given: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One answer per key: the latest by ``answered_at`` where there is such a column,
+    equal times (or none) settled by the greater text, so that a rerun gives the same."""
+    if "answered_at" in given.columns:
+        chosen = F.max_by(value, F.struct("answered_at", value))
+    else:
+        chosen = F.max(value)
+    return given.where(F.col(value).isNotNull()).groupBy(*keys).agg(chosen.alias(value))
+
+
 def judge_request(rows: DataFrame, keys: list[str] = ROW) -> DataFrame:
     """(keys, payload): the source column and its candidates as one JSON text.
 
@@ -150,7 +160,7 @@ def retry_widening(
     listed = candidates.groupBy(ask, "attempt").agg(
         F.array_sort(F.collect_list(F.struct("rank", "column_id", "source", "score"))).alias("candidates")
     )
-    replies = responses.select(*ROW, "attempt", "response").dropDuplicates([*ROW, "attempt"])
+    replies = answers(responses, [*ROW, "attempt"], "response")
     attempts = F.explode(F.sequence(F.lit(0), F.lit(M.MAX_RETRIES)))
     tried = (
         rows.select(*ROW, ask)
@@ -196,8 +206,7 @@ def target_of(rows: DataFrame) -> Column:
 
 def confirmation_queue(rows: DataFrame, decisions: DataFrame, keys: list[str] = ROW) -> DataFrame:
     """Rows that wait for a person: no decision stored yet."""
-    decided = decisions.where("decision is not null").select(*keys).distinct()
-    return rows.join(decided, keys, "left_anti")
+    return rows.join(answers(decisions, keys, "decision"), keys, "left_anti")
 
 
 def apply_confirmation(rows: DataFrame, decisions: DataFrame, keys: list[str] = ROW) -> DataFrame:
@@ -205,10 +214,9 @@ def apply_confirmation(rows: DataFrame, decisions: DataFrame, keys: list[str] =
 
     approved -> inferred_confirmed, any other decision -> unresolved, none -> pending.
     """
-    latest = decisions.select(*keys, "decision").dropDuplicates(keys)
     approved = F.col("decision") == "approved"
     return (
-        rows.join(latest, keys, "left")
+        rows.join(answers(decisions, keys, "decision"), keys, "left")
         .withColumn(
             "match_status",
             F.when(F.col("decision").isNull(), "pending")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specweave import model as M
 from specweave.functions.periods import month_of
+from specweave.operators.judge import answers
 from specweave.sources.tables import Tables, small_table, union_all
 
 # table -> (column, month expression); the expression must not decrease with the column
@@ -43,7 +44,7 @@ def type_confirmation(rows: DataFrame, decisions: DataFrame, keys: list[str]) ->
     Equal types are ``matched``; else approved -> actual type, any other decision ->
     declared type; without a decision ``pending``.
     """
-    latest = decisions.select(*keys, F.col("decision").alias("type_decision")).dropDuplicates(keys)
+    latest = answers(decisions, keys, "decision").withColumnRenamed("decision", "type_decision")
     differs = F.col("exists") & ~F.col("type_equal")
     approved = F.col("type_decision") == "approved"
     return (

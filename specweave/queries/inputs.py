@@ -194,7 +194,8 @@ select cast(vec_id % 5 as string) spec_id, vec_id row_idx, cast(attempt as int)
     when 3 then concat('{"selected_column_id":"c', cast(vec_id as string), '","confidence":0.5,"evidence":"weak"}')
     when 4 then concat('{"selected_column_id":"c', cast(vec_id as string), '","confidence":0.91,"evidence":"close"}')
     else 'not json' end response
-from embeddings cross join (select 0 attempt union all select 1 union all select 2) a
+from (select vec_id, 0 attempt from embeddings union all select vec_id, 1 from embeddings
+  union all select vec_id, 2 from embeddings) e
 where (vec_id + attempt * 5) % 23 <> 7""",
         ["embeddings"],
     ),

@@ -206,6 +206,42 @@ select cast(vec_id % 5 as string) spec_id, vec_id row_idx,
 from embeddings where vec_id % 7 <> 3""",
         ["embeddings"],
     ),
+    # a whole run: exact, misspelled and unknown names of the given tables' columns
+    "plan_rows": (
+        """
+select cast(o_custkey % 50 as string) spec_id, o_orderkey row_idx,
+  case o_orderkey % 10 when 0 then 'o_orderdate' when 1 then 'o_orderdat' when 2 then 'l_shipdat'
+    when 3 then ' l_quantity ' when 4 then 'event_typ' when 5 then 'c_acctbal' when 6 then 'legacy_flags'
+    when 7 then concat('zq', cast(o_orderkey % 97 as string)) when 8 then 'value' else 'o_totalpric' end eng_name,
+  o_orderpriority local_name, concat('d', cast(o_custkey % 64 as string)) description, 'VARCHAR' req_type,
+  case o_custkey % 5 when 0 then null when 1 then '199601~199612' when 2 then '202312 ~ 202401'
+    when 3 then '199x~2000' else '201001~201012' end req_period
+from orders""",
+        ["orders"],
+    ),
+    "plan_vectors": (
+        "select concat('d', cast(vec_id as string)) description, vec_id, embedding from embeddings",
+        ["embeddings"],
+    ),
+    "plan_replies": (
+        """
+select cast(o_custkey % 50 as string) spec_id, o_orderkey row_idx, cast(attempt as int) attempt, concat(
+  '{"selected_column_id":', case o_orderkey % 4 when 0 then '"orders.o_orderdate"' when 1 then '"lineitem.l_shipdate"'
+    when 2 then '"orders.legacy_flag"' else 'null' end,
+  ',"confidence":', case (o_orderkey + attempt) % 5 when 0 then '0.95' when 1 then '0.8' when 2 then '0.5'
+    when 3 then '0.93' else '0.75' end, ',"evidence":"seen"}') response
+from (select o_orderkey, o_custkey, 0 attempt from orders union all select o_orderkey, o_custkey, 1 from orders
+  union all select o_orderkey, o_custkey, 2 from orders) o
+where (o_orderkey + attempt * 7) % 31 <> 4""",
+        ["orders"],
+    ),
+    "plan_decisions": (
+        """
+select cast(o_custkey % 50 as string) spec_id, o_orderkey row_idx,
+  case when o_orderkey % 7 < 3 then 'approved' else 'rejected' end decision
+from orders where o_orderkey % 7 <> 6""",
+        ["orders"],
+    ),
     # relations between supplier tables, from which suppliers ship parts together
     "relationships": (
         """

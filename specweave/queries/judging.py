@@ -108,21 +108,25 @@ def _(i: Inputs) -> DataFrame:
     return rows
 
 
-cte(
-    "tried_asks",
-    "select a.spec_id, a.row_idx, a.ask_id, t.attempt, c.ids, r.response from vec_asks a cross join attempts t "
-    "left join (select ask_id, attempt, list(column_id order by rank) ids from ask_candidates group by all) c "
-    "on c.ask_id = a.ask_id and c.attempt = t.attempt "
-    "left join vec_replies r on r.spec_id = a.spec_id and r.row_idx = a.row_idx and r.attempt = t.attempt",
-)
-cte(
-    "left_asks",
-    f"""select * from (select *, row_number() over (partition by spec_id, row_idx order by attempt) first_exit from (
+def tried_sql(asks: str, candidates: str, replies: str) -> str:
+    """Every attempt of every ask with its candidate list and its reply."""
+    return f"""select a.spec_id, a.row_idx, a.ask_id, t.attempt, c.ids, r.response from {asks} a cross join attempts t
+left join (select ask_id, attempt, list(column_id order by rank) ids from {candidates} group by all) c
+  on c.ask_id = a.ask_id and c.attempt = t.attempt
+left join {replies} r on r.spec_id = a.spec_id and r.row_idx = a.row_idx and r.attempt = t.attempt"""
+
+
+def left_sql(tried: str) -> str:
+    """The first attempt that does not ask for a retry."""
+    judged = guarded_sql("(" + parsed_sql(tried) + ") p", "list_contains(ids, selected_column_id)")
+    return f"""select * from (select *, row_number() over (partition by spec_id, row_idx order by attempt) first_exit from (
   select *, case when ids is null then 'no_match' when response is null then 'awaiting_judgment'
     else {route_sql('confidence', 'attempt', 'selected_column_id')} end route
-  from ({guarded_sql('(' + parsed_sql('tried_asks') + ') p', 'list_contains(ids, selected_column_id)')}) g) r
-  where route <> 'retry') e where first_exit = 1""",
-)
+  from ({judged}) g) r where route <> 'retry') e where first_exit = 1"""
+
+
+cte("tried_asks", tried_sql("vec_asks", "ask_candidates", "vec_replies"))
+cte("left_asks", left_sql("tried_asks"))
 
 
 @query(
@@ -255,18 +259,21 @@ def _(i: Inputs) -> DataFrame:
     return evaluate.threshold_sweep(_guarded(i), _SETTINGS)
 
 
-_RESOLVED = f"""select spec_id, row_idx, route, attempt, coalesce(selected_column_id, ids[1]) target_id, match_status,
+def resolved_sql(left: str, decisions: str) -> str:
+    ended = case_of("route", {"auto_confirm": "auto_confirmed", "no_match": "unresolved", "awaiting_judgment": "pending"})
+    return f"""select spec_id, row_idx, route, attempt, coalesce(selected_column_id, ids[1]) target_id, match_status,
   case when route = 'no_match' then {quoted(M.EV_NO_CANDIDATE)}
     when route = 'human_confirm' and match_status = 'unresolved' then {quoted(M.EV_REJECTED)}
     when match_status in ('auto_confirmed', 'inferred_confirmed') then evidence end match_evidence,
   case when route = 'auto_confirm' then 'auto_confirmed' when route = 'no_match' then 'no_match'
     when match_status = 'unresolved' then 'rejected_by_human' when match_status = 'inferred_confirmed' then 'validated'
     end resolution_path
-from (select l.*, {case_of("route", {"auto_confirm": "auto_confirmed", "no_match": "unresolved",
-                                      "awaiting_judgment": "pending"})[:-4]}
-    else case when d.decision is null then 'pending' when d.decision = 'approved' then 'inferred_confirmed'
-      else 'unresolved' end end match_status
-  from left_asks l left join vec_decisions d on d.spec_id = l.spec_id and d.row_idx = l.row_idx) x"""
+from (select l.*, coalesce({ended}, case when d.decision is null then 'pending' when d.decision = 'approved'
+    then 'inferred_confirmed' else 'unresolved' end) match_status
+  from {left} l left join {decisions} d on d.spec_id = l.spec_id and d.row_idx = l.row_idx) x"""
+
+
+_RESOLVED = resolved_sql("left_asks", "vec_decisions")
 
 
 @query("resolve", _RESOLVED)

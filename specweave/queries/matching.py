@@ -173,18 +173,20 @@ cte(
         for p in (M.search_params(a) for a in range(M.MAX_RETRIES + 1))
     ),
 )
-cte(
-    "ask_candidates",
-    """select ask_id, attempt, column_id, source, score, rank from (
+def merged_sql(hits: str) -> str:
+    """hits(ask_id, column_id, source, source_no, score, place) to candidates per attempt."""
+    return f"""select ask_id, attempt, column_id, source, score, rank from (
   select *, row_number() over (partition by ask_id, attempt order by score desc, source_no, column_id) rank from (
     select *, row_number() over (partition by ask_id, attempt, column_id
       order by source = 'fuzzy', score desc, source_no) one from (
       select ask_id, column_id, source, source_no, round(score, 4) score, attempt, top_k
-      from ask_hits, attempts
+      from {hits}, attempts
       where (source = 'fuzzy' and place <= top_k and score >= string_cut)
          or (source <> 'fuzzy' and place <= vector_limit and score >= low)) h) k where one = 1) r
-  where rank <= top_k""",
-)
+  where rank <= top_k"""
+
+
+cte("ask_candidates", merged_sql("ask_hits"))
 
 
 def ask_candidates(i: Inputs) -> DataFrame:

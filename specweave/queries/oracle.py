@@ -95,20 +95,21 @@ def exact_cte(rows: str, catalog: str) -> str:
 
 
 cte("matched_requests", exact_cte("requests", "column_spec"))
-cte(
-    "checked_requests",
-    """select m.*, m.data_type spec_type, s.data_type actual_type, s.data_type is not null col_exists,
+def checked_cte(rows: str, decisions: str) -> str:
+    """Existence, type and months of rows(table_id, column_name, data_type, ...)."""
+    return f"""select m.*, m.data_type spec_type, s.data_type actual_type, s.data_type is not null col_exists,
   case when s.data_type is null then null when upper(s.data_type) = upper(m.data_type) then 'matched'
     when d.decision is null then 'pending' when d.decision = 'approved' then 'mismatch_confirmed'
     else 'mismatch_rejected' end type_match_status,
   case when s.data_type is not null then ret_start end ret_start,
   case when s.data_type is not null then ret_end end ret_end
-from matched_requests m
+from {rows} m
 left join snapshot s on s.table_id = m.table_id and s.column_name = m.column_name
-left join type_decisions d on d.spec_id = m.spec_id and d.row_idx = m.row_idx
-left join retention t on t.table_id = m.table_id
-where m.n_matches > 0""",
-)
+left join {decisions} d on d.spec_id = m.spec_id and d.row_idx = m.row_idx
+left join retention t on t.table_id = m.table_id"""
+
+
+cte("checked_requests", checked_cte("(select * from matched_requests where n_matches > 0)", "type_decisions"))
 
 
 def parsed_cte(rows: str) -> str:
@@ -144,9 +145,10 @@ def compared_cte(rows: str) -> str:
 cte("parsed_requests", parsed_cte("checked_requests"))
 cte("compared_requests", compared_cte("parsed_requests"))
 _OPEN = "type_match_status = 'pending' or coalesce(bad, false)"
-cte(
-    "classified",
-    f"""select *, case when not col_exists then 'not_found' when type_match_status = 'mismatch_rejected' then 'type_mismatch'
+
+
+def classified_cte(rows: str) -> str:
+    return f"""select *, case when not col_exists then 'not_found' when type_match_status = 'mismatch_rejected' then 'type_mismatch'
     when {_OPEN} then null else period_tag end final_tag,
   case when not col_exists then {quoted(M.EV_NOT_FOUND)}
     when type_match_status = 'mismatch_rejected' then {quoted(M.EV_TYPE_MISMATCH)}
@@ -157,8 +159,10 @@ cte(
   case when col_exists and type_match_status <> 'mismatch_rejected' and not ({_OPEN}) then fe end final_end,
   case when col_exists and type_match_status not in ('mismatch_rejected', 'pending') and coalesce(bad, false)
     then 'bad_period' end reject_reason
-from compared_requests""",
-)
+from {rows}"""
+
+
+cte("classified", classified_cte("compared_requests"))
 cte(
     "reported",
     f"""select spec_id, row_idx, eng_name, local_name, description, req_period, spec_type req_type, actual_type avail_type,

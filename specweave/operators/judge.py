@@ -57,37 +57,40 @@ def judge_parse(replies: DataFrame, text: str = "response") -> DataFrame:
     # as the only element of an array the text must be one complete value
     single = F.json_array_length(F.concat(F.lit("["), F.col("_body"), F.lit("]"))) == 1
     options = {"columnNameOfCorruptRecord": "corrupt", "allowSingleQuotes": "false"}
+    reply = F.from_json("_body", M.JUDGMENT_REPLY, options)
     number = F.col("_reply.confidence").try_cast("double")
     ok = F.coalesce(
         F.startswith("_body", F.lit("{"))
-        & single
+        & F.col("_single")
         & F.col("_reply.corrupt").isNull()
         & (F.col("_reply.confidence").isNull() | (number.isNotNull() & ~F.isnan(number))),
         F.lit(False),
     )
-    return (
-        replies.withColumn("_body", body)
-        .withColumn("_reply", F.from_json("_body", M.JUDGMENT_REPLY, options))
-        .withColumn("parsed", ok)
-        .withColumn("selected_column_id", F.when(F.col("parsed"), F.col("_reply.selected_column_id")))
-        .withColumn(
-            "confidence",
-            F.when(
-                F.col("parsed"),
-                F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0)))),
-            ).otherwise(F.lit(0.0)),
-        )
-        .withColumn(
-            "evidence",
-            F.when(F.col("parsed"), F.coalesce("_reply.evidence", F.lit("")))
-            .otherwise(F.lit(M.EV_BAD_RESPONSE)),
-        )
-        .withColumn(
-            "recommend_action",
-            F.coalesce(F.when(F.col("parsed"), F.col("_reply.recommend_action")), F.lit("human_confirm")),
-        )
-        .drop("_body", "_reply")
-    )
+    given = F.when(F.col("_ok"), F.col("_reply"))
+    judged = {
+        "selected_column_id": given["selected_column_id"],
+        "confidence": F.when(
+            F.col("_ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0))))
+        ).otherwise(F.lit(0.0)),
+        "evidence": F.when(F.col("_ok"), F.coalesce(given["evidence"], F.lit("")))
+        .otherwise(F.lit(M.EV_BAD_RESPONSE)),
+        "recommend_action": F.coalesce(given["recommend_action"], F.lit("human_confirm")),
+        "parsed": F.col("_ok"),
+    }
+    kept = [c for c in replies.columns if c not in judged]
+    out = _once(replies.select(*kept), _body=body)
+    out = _once(out, _reply=reply, _single=single)
+    out = _once(out, _ok=ok)
+    return _once(out, **judged).drop("_body", "_reply", "_single", "_ok")
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns so that they are computed once.
+
+    A later filter on a plain column is pushed below it with the whole expression copied
+    in; it cannot be pushed below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def judge_guard(parsed: DataFrame, candidate_ids: str = "candidate_ids") -> DataFrame:
@@ -179,12 +182,9 @@ def retry_widening(
         "attempt", "route", "selected_column_id", "confidence", "evidence",
         "recommend_action", "hallucination_flag", "candidates",
     )
-    last = (
-        judged.withColumn("route", step)
-        .where("route <> 'retry'")
-        .groupBy(*ROW)
-        .agg(F.min_by(outcome, "attempt").alias("o"))
-    )
+    # attempts that ask for a retry have no place in the order, so they are never the least
+    at = F.when(F.col("route") != "retry", F.col("attempt"))
+    last = judged.withColumn("route", step).groupBy(*ROW).agg(F.min_by(outcome, at).alias("o"))
     return rows.join(last.select(*ROW, "o.*"), ROW)
 
 

@@ -224,11 +224,13 @@ def reconcile(
     **vector_options,
 ) -> Reconciliation:
     """Parsed rows to report.  ``keep`` (for instance ``session.cut_lineage``) is applied
-    to the results that several outputs share: placed vectors, candidates, searched rows
-    and classified rows."""
+    to the results that several steps share: distinct questions, placed vectors,
+    candidates, searched rows and classified rows."""
     found = match.exact_match(rows.select(*SPEC), catalog)
     missed = found.where("n_matches = 0").select(*SPEC).withColumn("ask_id", ask_key(rows))
-    asks = missed.select("ask_id", strip(F.col("eng_name")).alias("eng_name"), "description").distinct()
+    asks = keep(
+        missed.select("ask_id", strip(F.col("eng_name")).alias("eng_name"), "description").distinct()
+    )
     candidates = keep(
         find_candidates(
             asks, catalog, description_vectors, column_vectors, terms, term_vectors,

@@ -31,6 +31,7 @@ HEADLINE = [
     "event_sequence",
     "tag_upsert",
     "relationship_counts",
+    "reconcile",
 ]
 
 

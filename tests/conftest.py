@@ -12,10 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from specweave.session import local_session
 
-    session = local_session(8, partitions=4)
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    session = local_session(8, partitions=4, **{"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
 

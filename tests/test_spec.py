@@ -95,6 +95,10 @@ def test_tables_are_saved_under_their_names(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "in"))
     loaded = tables.load_tables(spark, {"raw_three": str(tmp_path / "in")})
     assert tables.row_counts(loaded).collect()[0] == ("raw_three", 3)
+    tables.save_tables(loaded)
+    tables.save_tables(loaded)  # a second load replaces the first
+    assert spark.table("raw_three").count() == 3
+    spark.sql("drop table raw_three")
 
 
 def test_header_keywords_cover_the_five_fields():

@@ -93,7 +93,7 @@ class WordBpe:
         for pair in self.rank:
             self.parts.setdefault(pair[0] + pair[1], pair)
         inner: dict[bytes, int] = {}
-        self.last: dict[bytes, int] = {}
+        last: dict[bytes, int] = {}
         self.symbols: dict[int, list[str]] = {}
         for token, i in self.vocab.items():
             stem = token.removesuffix(end)
@@ -102,12 +102,11 @@ class WordBpe:
                 continue
             into = inner
             if stem != token:
-                into, letters[-1] = self.last, letters[-1] + end
+                into, letters[-1] = last, letters[-1] + end
             if self.merged(letters) == [token]:  # others never come out of merging
                 into[bytes(self.code[c] for c in stem)] = i
                 self.symbols[i] = letters
-        self.suffixes = Suffixes(inner)
-        self.longest_last = max(map(len, self.last), default=0)
+        self.inner, self.last = Suffixes(inner), Suffixes(last)
         made = {p[0] + p[1]: r for p, r in reversed(self.rank.items())}
         self.in_order = all(made.get(x, -1) < r for p, r in self.rank.items() for x in p)
         self.edges = {i: (self._edge(i, 1), self._edge(i, 0)) for i in self.symbols}
@@ -162,47 +161,56 @@ class WordBpe:
         return True
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        """Encodings of distinct words.  Sorted, they build the trie depth first: a node's
-        state is known before its children come."""
-        child: dict[int, int] = {}  # node * 256 + byte -> node
-        token, begin, where = [-1], [0], [0]  # a node's state; node 0 is the root
-        last, fits, ending, after = self.last, self.fits, self.suffixes.ending, self.suffixes.next
-
-        def fit(a: int, b: int) -> bool:
-            key = a << 32 | b
-            found = fits.get(key)
-            if found is None:
-                found = fits[key] = self.side_by_side(a, b)
-            return found
-
-        out = {}
+        """Encodings of distinct words, by a depth-first walk of their trie.
+
+        Sorted, the words are the trie in the order of that walk, and only the path to the
+        current word is held: a word keeps the states of what it shares with the one before.
+        """
+        token = [0] * (1 + max(map(len, words), default=0))
+        begin = token.copy()  # a prefix's last token, and the length of the prefix before it
+        inner, last = token.copy(), token.copy()  # states of the automata
+        step, after, ending = self.inner.step, self.inner.next, self.inner.ending
+        last_step, last_after, last_ending = self.last.step, self.last.next, self.last.ending
+        fits, side_by_side = self.fits, self.side_by_side
+        before, out = b"", {}
         for word in sorted(words):
-            path, node, n = [0], 0, len(word)
-            for k in range(1, n):
-                key = node << 8 | word[k - 1]
-                found = child.get(key)
-                if found is None:
-                    state = after(where[node], word[k - 1])
-                    for size, t in ending[state]:
-                        before = path[k - size]
-                        if not before or fit(token[before], t):
-                            break
-                    found = child[key] = len(token)
-                    token.append(t)
-                    begin.append(before)
-                    where.append(state)
-                node = found
-                path.append(node)
-            # the last byte ends the word: its tokens are of their own kind
-            for size in range(min(n, self.longest_last), 0, -1):
-                t = last.get(word[n - size :])
-                if t is not None and (n == size or fit(token[path[n - size]], t)):
-                    break
-            at, ids = path[n - size], [t]
+            k, end = 0, len(word) - 1
+            shared = min(len(before) - 1, end)
+            while k < shared and before[k] == word[k]:
+                k += 1
+            before = word
+            while k <= end:
+                byte = word[k]
+                state = last_step.get(last[k] << 8 | byte)
+                if state is None:
+                    state = last_after(last[k], byte)
+                last[k + 1] = state
+                if k < end:
+                    state = step.get(inner[k] << 8 | byte)
+                    if state is None:
+                        state = after(inner[k], byte)
+                    inner[k + 1] = state
+                    found = ending[state]
+                else:  # the last byte ends the word: its tokens are of their own kind
+                    found = last_ending[state]
+                k += 1
+                for size, t in found:
+                    at = k - size
+                    if not at:
+                        break
+                    pair = token[at] << 32 | t
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = side_by_side(token[at], t)
+                    if fit:
+                        break
+                token[k], begin[k] = t, at
+            ids, at = [token[k]], begin[k]
             while at:
                 ids.append(token[at])
                 at = begin[at]
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
         return out
 
     def _plain_words(self, text: str) -> list[bytes]:
@@ -240,15 +248,17 @@ class WordBpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cut = [(t or "").split(" ") for t in texts]
-        seen = set().union(*cut) if cut else set()
-        new = seen.difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHED_PIECES:  # keep what is in use
-            self.pieces = {p: self.pieces[p] for p in seen if p in self.pieces}
-            if len(self.fits) > CACHED_PIECES * 4:
-                self.fits.clear()
-        self.learn(new)
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        found = [list(map(self.pieces.get, c)) for c in cut]
+        new = {p for c, f in zip(cut, found) if None in f for p, i in zip(c, f) if i is None}
+        if new:
+            if len(self.pieces) + len(new) > CACHED_PIECES:  # keep what is in use
+                self.pieces = {p: i for c, f in zip(cut, found) for p, i in zip(c, f) if i is not None}
+                if len(self.fits) > 4 * CACHED_PIECES:
+                    self.fits.clear()
+            self.learn(new)
+            get = self.pieces.__getitem__
+            found = [list(map(get, c)) if None in f else f for c, f in zip(cut, found)]
+        return [b"".join(f) for f in found]
 
     def decode(self, ids: bytes) -> str:
         """The token strings; a vocabulary without decoder puts blanks between them."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import bpe
+from specweave.llm import bpe, contamination
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,37 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 @query("op2_bpe_trie")
 def bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    "op5_winnowing",
+    r"""
+with w as (
+  select doc_id, string_split(regexp_replace(trim(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' +', ' ', 'g'), ' ') ws from documents),
+d as (select doc_id, case when ws = [''] then [] else ws end ws from w),
+v as (
+  select cast(item_id as varchar) item, string_split(trim(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ') ws from benchmark),
+b as (select item, ws, least(len(ws), 10) n from v where ws <> ['']),
+win as (
+  select distinct item, n, array_to_string(ws[i : i + n - 1], ' ') g
+  from (select item, ws, n, unnest(range(1, len(ws) - n + 2)) i from b)),
+sizes as (select distinct n from b),
+dg as (
+  select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') g
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i from d, sizes where len(ws) >= n)),
+hit as (select doc_id, dg.n, i, item from dg join win on dg.n = win.n and dg.g = win.g),
+words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hit) group by 1),
+items as (
+  select doc_id, count(*) n_items, sha256(string_agg(item, ',' order by item)) items_sha256
+  from (select distinct doc_id, item from hit) group by 1)
+select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  coalesce(items_sha256, sha256('')) items_sha256, n_hit is not null contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+""",
+)
+def winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

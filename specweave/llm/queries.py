@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import bpe, contamination
+from specweave.llm import bpe, contamination, near
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,29 @@ from d left join words using (doc_id) left join items using (doc_id)
 )
 def winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op10_multi_index",
+    r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ') g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+links as (
+  select a, b from (select x.doc_id a, y.doc_id b, count(*) m from s x join s y using (g) where x.doc_id <> y.doc_id group by all)
+  join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * m >= 75 * (na.n + nb.n - m)),
+reach(doc_id, r) as (
+  select doc_id, doc_id from documents
+  union
+  select doc_id, links.b from reach join links on r = links.a),
+low as (select doc_id, min(r) component_id from reach group by 1)
+select doc_id, coalesce(n.n, 0) n_shingles, component_id, doc_id = component_id kept from low left join n using (doc_id)
+""",
+)
+def multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))

@@ -39,3 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
 def crc_of_id(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def narrowed(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined with distinct ids on the column ``ids`` has.
+
+    Up to BROADCAST_ROWS counted ids of fixed width go to every task, so that the texts stay where they are;
+    more are joined by shuffle.
+    """
+    (column,) = ids.columns
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, column, how)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import bpe, contamination, near
+from specweave.llm import bpe, contamination, lines, near
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ select doc_id, coalesce(n.n, 0) n_shingles, component_id, doc_id = component_id
 )
 def multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op8_patience")
+def patience(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.without_repeats(table(spark, folder, "documents"))

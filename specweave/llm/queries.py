@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import bpe, contamination, lines, near
+from specweave.llm import bpe, contamination, lines, near, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def multi_index(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_patience")
 def patience(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_repeats(table(spark, folder, "documents"))
+
+
+@query("op9_convolution")
+def convolution(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

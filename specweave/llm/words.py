@@ -163,7 +163,10 @@ def words_of(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, lower: bool
     return Words(data, bounds, starts, ends, np.searchsorted(starts, bounds))
 
 
-def sums_by(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Sums of the slices ``of[d]:of[d + 1]`` of ``values``; an empty slice gives zero."""
-    total = np.concatenate((np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, 0, dtype=np.float64)))
-    return total[of[1:]] - total[of[:-1]]
+def reduced(how: np.ufunc, values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``how`` over the slices ``of[d]:of[d + 1]`` of ``values``; zero for an empty slice."""
+    out = np.zeros((len(of) - 1, *values.shape[1:]), values.dtype)
+    some = of[1:] > of[:-1]
+    if some.any():
+        out[some] = how.reduceat(values[: of[-1]], of[:-1][some], axis=0)
+    return out

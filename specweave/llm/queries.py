@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import bpe, contamination, lines, near, toxicity
+from specweave.llm import bpe, contamination, lines, near, quality, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,8 @@ def patience(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_convolution")
 def convolution(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_subword")
+def subword(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import bpe, contamination, lines, near, quality, toxicity
+from specweave.llm import binary, bpe, contamination, lines, near, quality, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def convolution(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_subword")
 def subword(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_control_bytes")
+def control_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return binary.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import binary, bpe, contamination, lines, near, quality, toxicity
+from specweave.llm import binary, bpe, chat, contamination, lines, near, quality, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,26 @@ def subword(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_control_bytes")
 def control_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return binary.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op1_perspectives",
+    r"""
+with c as (
+  select distinct conv_id, turn, coalesce(nullif(regexp_replace(trim(role), '\s+', '_', 'g'), ''), 'unknown') speaker,
+    replace(coalesce(text, ''), '<|', '< |') body from conversations),
+s as (select distinct conv_id, speaker from c where speaker <> 'system'),
+m as (
+  select c.conv_id, s.speaker, turn, c.speaker said_by, body, c.speaker = s.speaker own,
+    concat('<|im_start|>', case when c.speaker = 'system' then 'system' when c.speaker = s.speaker then 'assistant'
+      else concat('user name=', c.speaker) end, chr(10)) head
+  from c join s using (conv_id))
+select conv_id, speaker, turn // 32 part, cast(0 as bigint) slot, count(*) n_messages, count(*) filter (own) n_own,
+  string_agg(concat(head, body, '<|im_end|>', chr(10)), '' order by turn, said_by, body) "text",
+  string_agg(concat(length(head), ':0,', length(body) + 11, case when own then ':1' else ':0' end), ','
+    order by turn, said_by, body) mask
+from m group by conv_id, speaker, turn // 32
+""",
+)
+def perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(table(spark, folder, "conversations"))

@@ -20,19 +20,21 @@ def labelled(
     docs: DataFrame,
     labels: DataFrame,
     label: str,
-    modulus: int,
-    remainder: int,
+    modulus: int | None = None,
+    remainder: int = 0,
     per_class: int = PER_CLASS,
     longest: int = LONGEST,
 ) -> DataFrame:
     """``doc_id, text, lang, label``: at most ``per_class`` documents with label 0 and as many with 1.
 
-    Chosen by a hash of the id among all labelled rows outside the fold ``remainder``.  Ids with
+    Chosen by a hash of the id among all labelled rows outside the fold ``remainder``, if there is one.  Ids with
     contradicting labels, null labels and texts of more than ``longest`` characters are not used; of
     rows that repeat an id the smallest text is.  ``lang`` serves to report results by language.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id"), modulus, remainder))
+    known = known.where("doc_id is not null and label in (0, 1)")
+    if modulus is not None:
+        known = known.where(~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import binary, bpe, chat, contamination, lines, near, quality, toxicity
+from specweave.llm import binary, bpe, chat, contamination, lines, near, quality, rules, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ from m group by conv_id, speaker, turn // 32
 )
 def perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(table(spark, folder, "conversations"))
+
+
+@query("op7_decision_list")
+def decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return rules.judged(docs, rules.learned(docs, table(spark, folder, "labels")))

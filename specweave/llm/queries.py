@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import binary, bpe, chat, contamination, lines, near, quality, rules, toxicity
+from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, quality, rules, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,8 @@ def perspectives(spark: SparkSession, folder: str) -> DataFrame:
 def decision_list(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return rules.judged(docs, rules.learned(docs, table(spark, folder, "labels")))
+
+
+@query("op4_log_bilinear")
+def log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))

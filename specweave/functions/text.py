@@ -57,3 +57,10 @@ def tail_of(description: Column) -> Column:
 def md5_bucket(key: Column, digits: int) -> Column:
     """A bucket name of ``digits`` hex digits: 16**digits buckets."""
     return F.substring(F.md5(key.cast("string")), 1, digits) if digits else F.lit("")
+
+
+def unfenced(text: Column) -> Column:
+    """A reply without code fence: fence marks off, then the line with the language."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, "^`+|`+$", ""), r"^[^\n]*\n", "")
+    return F.when(F.startswith(bare, F.lit("```")), inner).otherwise(bare)

@@ -153,7 +153,7 @@ def quality_checks(
 def sample_rows(catalog: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
     """``n`` seeded random rows, flagged polished when the separator is gone."""
     return (
-        catalog.orderBy(F.xxhash64(F.lit(seed), F.col("column_id")), "column_id")
+        catalog.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "column_id").cast("binary")), "column_id")
         .limit(n)
         .select("column_id", "description", (~F.contains("description", F.lit("|"))).alias("polished"))
     )

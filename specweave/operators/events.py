@@ -69,11 +69,25 @@ def run_status(states: DataFrame) -> DataFrame:
     return states.groupBy("thread_id").agg(last.alias("s")).select("thread_id", "s.*")
 
 
-def events_since(sequenced: DataFrame, since: DataFrame) -> DataFrame:
-    """New events of each polled run: since(thread_id, since) -> seq >= since, with next_since."""
-    total = sequenced.groupBy("thread_id").agg((F.max("seq") + 1).alias("next_since"))
-    polls = since.select("thread_id", "since").join(total, "thread_id")
-    return sequenced.join(polls, "thread_id").where(F.col("seq") >= F.col("since")).drop("since")
+def events_since(
+    sequenced: DataFrame, since: DataFrame, states: DataFrame | None = None, totals: DataFrame | None = None
+) -> DataFrame:
+    """New events of each polled run: since(thread_id, since) -> seq >= since, with next_since and status.
+
+    A poll without new events gives one row without event.  ``states`` are those of
+    ``run_status``; without them, or for a run they do not know, the status is null.
+    ``totals(thread_id, n)``, where they are known, save a pass over the numbered log.
+    """
+    if totals is None:
+        totals = sequenced.groupBy("thread_id").agg((F.max("seq") + 1).alias("n"))
+    polls = since.select("thread_id", "since").join(totals.select("thread_id", "n"), "thread_id", "left")
+    polls = polls.withColumn("next_since", F.coalesce("n", "since")).drop("n")
+    if states is None:
+        polls = polls.withColumn("status", F.lit(None).cast("string"))
+    else:
+        polls = polls.join(run_status(states).select("thread_id", "status"), "thread_id", "left")
+    tail = sequenced.join(since.select("thread_id", "since"), "thread_id").where(F.col("seq") >= F.col("since"))
+    return polls.drop("since").join(tail.drop("since"), "thread_id", "left")
 
 
 def audit_dedupe(

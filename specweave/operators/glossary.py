@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.text import head_of, md5_bucket, strip, tail_of
+from specweave.functions.text import head_of, md5_bucket, strip, tail_of, unfenced
 
 
 def glossary_seed(catalog: DataFrame, terms: DataFrame | None = None, at: Column | None = None) -> DataFrame:
@@ -54,11 +54,12 @@ def batch_pack(
 def synonym_merge(terms: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Review candidates: old and suggested synonyms as one sorted set.
 
-    suggestions(response): JSON arrays of {term_id, additional_synonyms, domain}.  Items
-    with an unknown term are dropped, a reply that is no array gives nothing.
+    suggestions(response): JSON arrays of {term_id, additional_synonyms, domain}, with or
+    without a code fence.  Items with an unknown term are dropped; a reply that is no array
+    gives nothing here and is listed by ``unreadable_replies``.
     """
     item = "array<struct<term_id: string, additional_synonyms: array<string>, domain: string>>"
-    items = suggestions.select(F.inline(F.from_json("response", item)))
+    items = suggestions.select(F.inline(F.from_json(unfenced(F.col("response")), item)))
     none = F.array().cast("array<string>")
     return items.join(
         terms.select("term_id", "canonical_term", "synonyms", "linked_column_id"), "term_id"
@@ -74,6 +75,11 @@ def synonym_merge(terms: DataFrame, suggestions: DataFrame) -> DataFrame:
     )
 
 
+def unreadable_replies(suggestions: DataFrame) -> DataFrame:
+    """The replies that hold no JSON array, nulls included."""
+    return suggestions.where(F.json_array_length(unfenced(F.col("response"))).isNull())
+
+
 def _approved() -> Column:
     return F.coalesce(F.lower(strip(F.col("approve"))) == "y", F.lit(False))
 
@@ -81,13 +87,15 @@ def _approved() -> Column:
 def review_apply(terms: DataFrame, review: DataFrame, at: Column | None = None) -> DataFrame:
     """The glossary after a review(term_id, suggested_synonyms, domain, approve[, line]).
 
-    Of several approved lines of a term the last one (by ``line``) counts.
+    Of several approved lines of a term the last one (by ``line``) counts; without lines, or
+    among equal ones, the one that is greatest by value.
     """
     order = F.col("line") if "line" in review.columns else F.lit(0)
     change = F.struct(
         F.col("suggested_synonyms").alias("synonyms"), F.nullif(F.col("domain"), F.lit("")).alias("domain")
     )
-    last = review.where(_approved()).groupBy("term_id").agg(F.max_by(change, order).alias("c"))
+    chosen = F.max(F.struct(order.alias("line"), change.alias("c")))
+    last = review.where(_approved()).groupBy("term_id").agg(chosen.alias("m")).select("term_id", "m.c")
     hit = F.col("c").isNotNull()
     stamp = F.lit(None).cast("timestamp") if at is None else at
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave import model as M
+from specweave.functions.text import unfenced
 
 ROW = ["spec_id", "row_idx"]
 
@@ -40,20 +41,13 @@ def judge_request(rows: DataFrame, keys: list[str] = ROW) -> DataFrame:
     return rows.select(*keys, payload.alias("payload"))
 
 
-def _unfenced(text: Column) -> Column:
-    """A reply without code fence: fence marks off, then the line with the language."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_replace(bare, "^`+|`+$", ""), r"^[^\n]*\n", "")
-    return F.when(F.startswith(bare, F.lit("```")), inner).otherwise(bare)
-
-
 def judge_parse(replies: DataFrame, text: str = "response") -> DataFrame:
     """Adds selected_column_id, confidence, evidence, recommend_action, parsed.
 
     Anything but one JSON object with a numeric confidence gives confidence 0 and
     human_confirm.  Missing keys get confidence 0, empty evidence, human_confirm.
     """
-    body = F.regexp_replace(_unfenced(F.col(text)), r"^\s+|\s+$", "")
+    body = F.regexp_replace(unfenced(F.col(text)), r"^\s+|\s+$", "")
     # as the only element of an array the text must be one complete value
     single = F.json_array_length(F.concat(F.lit("["), F.col("_body"), F.lit("]"))) == 1
     options = {"columnNameOfCorruptRecord": "corrupt", "allowSingleQuotes": "false"}

@@ -99,15 +99,16 @@ def retention_period(
 
 
 def add_retention(rows: DataFrame, retention: DataFrame) -> DataFrame:
-    """Adds ret_start, ret_end of existing columns.  One row per table: safe to broadcast."""
-    found = rows.join(F.broadcast(retention), "table_id", "left")
+    """Adds ret_start, ret_end of existing columns (retention: one row per table)."""
+    found = rows.join(retention, "table_id", "left")
     return found.withColumn("ret_start", F.when(F.col("exists"), F.col("ret_start"))).withColumn(
         "ret_end", F.when(F.col("exists"), F.col("ret_end"))
     )
 
 
-def row_cap(df: DataFrame, rows: int = M.ROW_CAP) -> DataFrame:
-    return df.limit(rows)
+def row_cap(df: DataFrame, rows: int, order: list[str]) -> DataFrame:
+    """The first ``rows`` rows in ``order``, for a look at a table; no plan cuts rows itself."""
+    return df.orderBy(*order).limit(rows)
 
 
 def type_question(rows: DataFrame) -> Column:

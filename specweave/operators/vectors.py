@@ -27,7 +27,6 @@ _DIGITS = 9         # similarities are compared at nine decimals, equal ones by
 # Widening of angles against rounding: arccos is steep near 1, where an error of 1e-9 in
 # the cosine moves the angle by up to 4.5e-5.
 _SLACK = 1e-4
-MAX_ANCHORS = 4096  # at most so many vectors are brought to the driver, and nothing else
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -44,8 +43,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def _anchors(entries: DataFrame, count: int, dim: int | None) -> np.ndarray:
-    """One entry from each of ``count`` hash buckets, as unit vectors on the driver."""
-    count = min(count, MAX_ANCHORS)
+    """One entry from each of ``count`` hash buckets, as unit vectors on the driver: as many as
+    the caller asks for, and nothing else."""
     ids = entries.select("entry_id")
     picked = ids.groupBy(F.pmod(F.xxhash64("entry_id"), F.lit(count))).agg(
         F.max_by("entry_id", F.xxhash64("entry_id", F.lit(1))).alias("entry_id")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.text import strip
+from specweave.functions.text import is_blank, strip
 from specweave.operators import classify as C
 from specweave.operators import judge as J
 from specweave.operators import match, report, strings, vectors
@@ -29,6 +29,7 @@ class Reconciliation:
 
     candidates: DataFrame       # (ask_id, attempt, column_id, source, score, rank)
     resolved: DataFrame         # every row with its match_status, pending included
+    open_vectors: DataFrame     # descriptions without a vector yet; their rows stay pending
     open_judgments: DataFrame   # (spec_id, row_idx, attempt, payload)
     open_matches: DataFrame     # rows waiting for a person's yes or no
     open_types: DataFrame       # type questions waiting for an answer
@@ -44,8 +45,9 @@ class Reconciliation:
 
 
 def ask_key(rows: DataFrame) -> Column:
-    """Rows with one name and one description ask the same question."""
-    return F.sha2(F.concat_ws("\x1f", strip(F.col("eng_name")), "description"), 256)
+    """Rows with one name and one description ask the same question; a null is not an empty text."""
+    asked = F.struct(strip(F.col("eng_name")).alias("name"), F.col("description").alias("text"))
+    return F.sha2(F.to_json(asked, {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
 def find_candidates(
@@ -144,14 +146,13 @@ def check_columns(
     rows: DataFrame, snapshot: DataFrame, type_decisions: DataFrame, retention: DataFrame
 ) -> DataFrame:
     """Existence, type and held months of rows(match_status, table_id, column_name,
-    spec_type, ...).  Unresolved and pending rows name no column, so they pass through
-    the joins unmatched, with ``exists`` null."""
-    found = V.column_exists(rows, snapshot)
-    scope = found.withColumn(
-        "exists", F.when(F.col("match_status").isin(M.VALIDATED_STATUSES), F.col("exists"))
-    )
-    typed = V.type_confirmation(V.type_compare(scope), type_decisions, ROW)
-    return V.add_retention(typed, retention)
+    spec_type, ...).  Unresolved and pending rows name no column: they skip the joins and
+    come out with ``exists`` null."""
+    found = V.column_exists(V.validation_scope(rows), snapshot)
+    typed = V.type_confirmation(V.type_compare(found), type_decisions, ROW)
+    checked = V.add_retention(typed, retention)
+    rest = rows.where(~F.coalesce(F.col("match_status").isin(M.VALIDATED_STATUSES), F.lit(False)))
+    return checked.unionByName(rest, allowMissingColumns=True)
 
 
 def exact_rows(found: DataFrame) -> DataFrame:
@@ -188,6 +189,20 @@ def searched_rows(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def waiting_rows(rows: DataFrame) -> DataFrame:
+    """Rows whose description has no vector yet, in the shape of a match result: pending."""
+    none = F.lit(None).cast("string")
+    empty = ["column_id", "table_id", "column_name", "spec_type"]
+    return rows.select(
+        *SPEC,
+        *[none.alias(c) for c in empty],
+        F.lit("pending").alias("match_status"),
+        *[none.alias(c) for c in ("match_evidence", "resolution_path", "unresolved_reason")],
+        F.lit(None).cast("double").alias("llm_confidence"),
+        none.alias("llm_evidence"),
+    )
+
+
 def open_judgments(resolved: DataFrame, candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Payloads for the judge; candidate details are looked up once per question."""
     waiting = resolved.where("route = 'awaiting_judgment'").drop("candidates")
@@ -228,17 +243,29 @@ def reconcile(
     candidates, searched rows and classified rows."""
     found = match.exact_match(rows.select(*SPEC), catalog)
     missed = found.where("n_matches = 0").select(*SPEC).withColumn("ask_id", ask_key(rows))
+    # a description without text needs no vector; any other waits until it has one
+    described = description_vectors.where("embedding is not null").select("description").distinct()
     asks = keep(
-        missed.select("ask_id", strip(F.col("eng_name")).alias("eng_name"), "description").distinct()
+        missed.select("ask_id", strip(F.col("eng_name")).alias("eng_name"), "description")
+        .distinct()
+        .join(described.withColumn("known", F.lit(True)), "description", "left")
+        .withColumn("ready", F.coalesce("known", is_blank(F.col("description"))))
+        .drop("known")
     )
+    waits = asks.where("not ready").select("ask_id", "description")
+    ready = missed.join(waits, "ask_id", "left_anti")
     candidates = keep(
         find_candidates(
-            asks, catalog, description_vectors, column_vectors, terms, term_vectors,
+            asks.where("ready").drop("ready"), catalog, description_vectors, column_vectors, terms, term_vectors,
             keep=keep, **vector_options,
         )
     )
-    searched = keep(resolve(missed, candidates, responses, decisions))
-    resolved = exact_rows(found.where("n_matches > 0")).unionByName(searched_rows(searched, catalog))
+    searched = keep(resolve(ready, candidates, responses, decisions))
+    resolved = (
+        exact_rows(found.where("n_matches > 0"))
+        .unionByName(searched_rows(searched, catalog))
+        .unionByName(waiting_rows(missed.join(waits, "ask_id", "left_semi")))
+    )
     classified = keep(C.classify(check_columns(resolved, snapshot, type_decisions, retention)))
     merged = report.label_map(report.report_rows(classified))
     person = searched.where("route = 'human_confirm'").withColumn("column_id", F.col("target_id"))
@@ -246,6 +273,7 @@ def reconcile(
     return Reconciliation(
         candidates=candidates,
         resolved=classified,
+        open_vectors=waits.select("description").distinct(),
         open_judgments=open_judgments(searched, candidates, catalog),
         open_matches=person.where("decision is null").select(
             *SPEC, "attempt", "column_id", "confidence", "evidence", "candidates"

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +24,9 @@ RUN_TS = datetime.datetime(2024, 5, 6, 7, 8)
 
 
 def scratch(i: Inputs, name: str) -> str:
-    """A new folder for written results: shared where the cluster names one."""
-    shared = i.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not i.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if shared is None:
-        return os.path.join(tempfile.mkdtemp(prefix="run-"), name)
-    return f"{shared.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    """A new folder for written results: in the shared folder, or else in the session's warehouse."""
+    folder = i.spark.conf.get("spark.checkpoint.dir", None) or i.spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def real_snapshot(i: Inputs) -> DataFrame:
@@ -131,9 +126,13 @@ def _(i: Inputs) -> DataFrame:
     return V.add_retention(rows, retention(i)).select("spec_id", "row_idx", "table_id", "ret_start", "ret_end")
 
 
-@query("row_cap", f"select least(count(*), {M.ROW_CAP}) n_rows from lineitem")
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_quantity"
+
+
+@query("row_cap", f"select {_LINE} from lineitem order by l_orderkey, l_linenumber, l_partkey, l_quantity limit {M.ROW_CAP}")
 def _(i: Inputs) -> DataFrame:
-    return V.row_cap(i["lineitem"]).agg(F.count("*").alias("n_rows"))
+    columns = _LINE.split(", ")
+    return V.row_cap(i["lineitem"].select(*columns), M.ROW_CAP, columns)
 
 
 cte("parsed_specs", parsed_cte("spec_rows"))
@@ -241,56 +240,52 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "run_results",
-    f"""select {_KEY}, case when row_idx % 7 = 0 then null else row_idx / 2e0 end score, final_tag, evidence,
-  {TAG_LABEL} tag_label from reported""",
+    f"""select {_KEY}, req_period, source_table, final_tag, evidence, {TAG_LABEL} tag_label from reported
+where row_idx % 2 = 0""",
 )
 def _(i: Inputs) -> DataFrame:
-    score = F.when(F.col("row_idx") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("row_idx") / 2)
-    stored = reported(i).withColumn("run_id", F.lit("r1")).withColumn("score", score)
-    return report.run_results(stored, "r1").select(
-        "spec_id", "row_idx", "score", "final_tag", "evidence", "tag_label"
+    """Two stored runs of different rows; the second one is read back."""
+    path = scratch(i, "runs")
+    for run_id, rest in (("r1", 1), ("r2", 0)):
+        rows = reported(i).where(F.col("row_idx") % 2 == rest)
+        sinks.report_sink(report.label_map(rows), path, run_id)
+    return report.run_results(i.spark.read.parquet(path), "r2").select(
+        "spec_id", "row_idx", "req_period", "source_table", "final_tag", "evidence", "tag_label"
     )
 
 
+_SUNK = ["eng_name", "avail_period", "source_table", "final_tag", "tag_label", "evidence"]
+
+
 @query(
     "report_sink",
-    f"""select final_tag, count(*) n, count(distinct source_table) n_tables, count(avail_period) n_periods,
-  sum(length({TAG_LABEL}))::bigint label_chars, sum(length(evidence))::bigint evidence_chars
-from reported group by final_tag""",
+    f"""select run_id, {_KEY}, eng_name, avail_period, source_table, final_tag, {TAG_LABEL} tag_label, evidence
+from reported cross join (select 'r1' run_id union all select 'r2') runs""",
 )
 def _(i: Inputs) -> DataFrame:
-    path = sinks.report_sink(report.label_map(reported(i)), scratch(i, "report"))
-    back = i.spark.read.parquet(path)
-    return back.groupBy("final_tag").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("source_table").alias("n_tables"),
-        F.count("avail_period").alias("n_periods"),
-        F.sum(F.length("tag_label")).alias("label_chars"),
-        F.sum(F.length("evidence")).alias("evidence_chars"),
-    )
+    """Two runs, the first one written twice, read back."""
+    path = scratch(i, "report")
+    for run_id in ("r1", "r2", "r1"):
+        sinks.report_sink(report.label_map(reported(i)), path, run_id)
+    return i.spark.read.parquet(path).select("run_id", "spec_id", "row_idx", *_SUNK)
 
 
 @query(
     "audit_append",
-    f"""select after_tag, reason, count(*) n, count(distinct column_id) n_columns, min(d) first_date, max(d) last_date
-from (select final_tag after_tag, concat('resolution_path=', resolution_path) reason,
-    coalesce(column_id, eng_name) column_id, d from reported cross join (
-      select '2024-05-06' d union all select '2024-05-07') days) x group by all""",
+    f"""select run_id, created_date, coalesce(column_id, eng_name) column_id, final_tag after_tag,
+  concat('resolution_path=', resolution_path) reason, count(*) n
+from reported cross join (select 'r0' run_id, '2024-05-06' created_date union all select 'r1', '2024-05-07') days
+group by all""",
 )
 def _(i: Inputs) -> DataFrame:
-    """Two appends on two days, read back."""
+    """Two runs on two days, the first one repeated, read back."""
     path = scratch(i, "revisions")
     merged = reported(i)
-    for day in (0, 1):
+    for day in (0, 1, 0):
         at = F.lit(RUN_TS + datetime.timedelta(days=day))
-        sinks.audit_append(report.revision_records(merged, None, at), path)
-    back = i.spark.read.parquet(path)
-    return back.groupBy("after_tag", "reason").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("column_id").alias("n_columns"),
-        F.min(F.col("created_date").cast("string")).alias("first_date"),
-        F.max(F.col("created_date").cast("string")).alias("last_date"),
-    )
+        sinks.audit_append(report.revision_records(merged, None, at), path, f"r{day}")
+    back = i.spark.read.parquet(path).withColumn("created_date", F.col("created_date").cast("string"))
+    return back.groupBy("run_id", "created_date", "column_id", "after_tag", "reason").agg(F.count("*").alias("n"))
 
 
 @query(

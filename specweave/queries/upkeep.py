@@ -140,7 +140,11 @@ def _(i: Inputs) -> DataFrame:
     )
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    """select column_id, description, not contains(description, '|') polished from meta_columns
+order by md5(concat('7:', column_id)), column_id limit 3""",
+)
 def _(i: Inputs) -> DataFrame:
     return cat.sample_rows(i["meta_columns"], 3, seed=7)
 
@@ -203,8 +207,10 @@ def _(i: Inputs) -> DataFrame:
 
 
 # Replies: one array of one item per catalog column and brand; some name no known term.
-_SUGGESTED = """select concat('[{"term_id":"', case when length(column_id) % 5 = 0 then 'gone' else concat('term_', column_id) end,
-  '","additional_synonyms":["', data_type, '","', table_id, '"],"domain":"', data_type, '"}]') response from meta_columns"""
+_SUGGESTED = """select concat(case when length(table_id) % 2 = 0 then concat('```json', chr(10)) else '' end,
+  '[{"term_id":"', case when length(column_id) % 5 = 0 then 'gone' else concat('term_', column_id) end,
+  '","additional_synonyms":["', data_type, '","', table_id, '"],"domain":"', data_type, '"}]',
+  case when length(table_id) % 2 = 0 then concat(chr(10), '```') else '' end) response from meta_columns"""
 
 
 def _terms(i: Inputs) -> DataFrame:
@@ -238,6 +244,34 @@ def _(i: Inputs) -> DataFrame:
     return sheets.read_csv_with_header(i.spark, path)
 
 
+@query(
+    "unreadable_replies",
+    """select case when o_orderkey % 3 = 0 then 'no list' else concat('{"term_id":"', o_orderpriority, '"}') end response
+from orders where o_orderkey % 3 <> 1""",
+)
+def _(i: Inputs) -> DataFrame:
+    reply = F.when(F.col("o_orderkey") % 3 == 0, F.lit("no list")).when(F.col("o_orderkey") % 3 == 1, F.lit("```\n[]\n```"))
+    other = F.concat(F.lit('{"term_id":"'), "o_orderpriority", F.lit('"}'))
+    return G.unreadable_replies(i["orders"].select(reply.otherwise(other).alias("response")))
+
+
+@query(
+    "review_file",
+    """select t.term_id, case when ok then suggested_synonyms else concat(syn1, ',', syn2) end synonyms,
+  case when ok then m."domain" end "domain", case when ok then 'llm_generated_reviewed' else t.source end source
+from draft_terms t left join (select *, length(term_id) % 2 = 0 ok from merged_terms) m on m.term_id = t.term_id""",
+)
+def _(i: Inputs) -> DataFrame:
+    """A review file written, approved in part, read back and applied."""
+    drafts = sinks.review_rows(_merged(i))
+    approved = drafts.withColumn("approve", F.when(F.length("term_id") % 2 == 0, F.lit("y")).otherwise(F.lit("n")))
+    path = scratch(i, "approved")
+    approved.write.csv(path, header=True, emptyValue="")
+    terms = _terms(i).withColumn("domain", F.lit(None).cast("string"))
+    done = G.review_apply(terms, sheets.read_review(i.spark, path))
+    return done.select("term_id", F.array_join("synonyms", ",").alias("synonyms"), "domain", "source")
+
+
 _REVIEW = """select concat('term_', column_id) term_id, {array}(table_id, data_type) suggested_synonyms,
   case when length(table_id) % 2 = 0 then '' else data_type end domain,
   case length(column_name) % 4 when 0 then 'y' when 1 then ' Y ' when 2 then 'n' else null end approve, 1 line
@@ -305,12 +339,18 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "rebuild_vectors",
-    "select column_id, len(embedding) dim from vec_columns",
+    "select column_id, len(embedding) dim, md5(array_to_string(list_transform(embedding, lambda x: "
+    "cast(cast(round(x * 1e6) as bigint) as varchar)), ',')) digest from vec_columns",
 )
 def _(i: Inputs) -> DataFrame:
     columns = i["vec_columns"]
     vectors = G.rebuild_vectors(G.column_texts(columns), columns, "column_id")
-    return vectors.select("column_id", F.size("embedding").cast("long").alias("dim"))
+    parts = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string"))
+    return vectors.select(
+        "column_id",
+        F.size("embedding").cast("long").alias("dim"),
+        F.md5(F.array_join(parts, ",").cast("binary")).alias("digest"),
+    )
 
 
 # --- event log ----------------------------------------------------------------------
@@ -338,33 +378,36 @@ def _(i: Inputs) -> DataFrame:
     return _sequenced(i).select("thread_id", "event_id", "node", "seq", "elapsed_sec")
 
 
-_POLLS = "select user_id thread_id, count(*) - 3 since from events group by user_id"
+_STATES = {"view": "running", "click": "running", "signup": "waiting_human", "purchase": "done", "error": "error"}
+_STATUS = f"""select thread_id, status from (select thread_id, {case_of('node', _STATES)} status,
+  row_number() over (partition by thread_id order by ts desc, event_id desc) k from pipeline_events) x where k = 1"""
+_POLLS = "select user_id thread_id, count(*) - user_id % 4 since from events group by user_id"
+
+
+def _states(i: Inputs) -> DataFrame:
+    states = F.create_map(*[F.lit(x) for pair in _STATES.items() for x in pair])
+    return i["pipeline_events"].withColumn("status", F.try_element_at(states, F.col("node")))
 
 
 @query(
     "events_since",
-    f"""select s.thread_id, event_id, seq, n next_since from sequenced s
-join (select thread_id t, count(*) n from pipeline_events group by 1) c on c.t = s.thread_id
-join ({_POLLS}) p on p.thread_id = s.thread_id where seq >= since""",
+    f"""select p.thread_id, event_id, seq, n next_since, status from ({_POLLS}) p
+join (select thread_id t, count(*) n from pipeline_events group by 1) c on c.t = p.thread_id
+join ({_STATUS}) r on r.thread_id = p.thread_id
+left join sequenced s on s.thread_id = p.thread_id and seq >= since""",
 )
 def _(i: Inputs) -> DataFrame:
+    """Every fourth run is polled when it has nothing new."""
     log = i["pipeline_events"]
-    polls = log.groupBy("thread_id").agg((F.count("*") - 3).alias("since"))
-    return ev.events_since(_sequenced(i), polls).select("thread_id", "event_id", "seq", "next_since")
+    totals = log.groupBy("thread_id").agg(F.count("*").alias("n"))
+    polls = totals.select("thread_id", (F.col("n") - F.col("thread_id") % 4).alias("since"))
+    found = ev.events_since(_sequenced(i), polls, _states(i), totals)
+    return found.select("thread_id", "event_id", "seq", "next_since", "status")
 
 
-_STATES = {"view": "running", "click": "running", "signup": "waiting_human", "purchase": "done", "error": "error"}
-
-
-@query(
-    "run_status",
-    f"""select thread_id, status from (select thread_id, {case_of('node', _STATES)} status,
-  row_number() over (partition by thread_id order by ts desc, event_id desc) k from pipeline_events) x where k = 1""",
-)
+@query("run_status", _STATUS)
 def _(i: Inputs) -> DataFrame:
-    states = F.create_map(*[F.lit(x) for pair in _STATES.items() for x in pair])
-    log = i["pipeline_events"].withColumn("status", F.try_element_at(states, F.col("node")))
-    return ev.run_status(log).select("thread_id", "status")
+    return ev.run_status(_states(i)).select("thread_id", "status")
 
 
 _RECORDS = """select concat('c', cast(user_id as string)) column_id, concat(event_type, '?') question,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from specweave.queries.oracle import (
     PATH_LABEL, TAG_LABEL, checked_cte, classified_cte, compared_cte, cte, exact_cte, parsed_cte, quoted,
 )
 from specweave.queries.registry import query
-from specweave.session import cut_lineage
+from specweave.session import shared
 
 _WIDE = widest()
 _LIMIT, _FLOOR = _WIDE["vector_limit"], _WIDE["floor"]
@@ -109,7 +107,6 @@ def run(i: Inputs) -> Reconciliation:
 
     catalog = catalog.withColumn("term_id", F.concat(F.lit("g"), "column_id"))
     terms = catalog.select("term_id", F.col("column_id").alias("linked_column_id"))
-    folder = tempfile.mkdtemp(prefix="run-")  # used on a local master without shared folder only
     return reconcile(
         rows=i["plan_rows"],
         catalog=catalog,
@@ -123,7 +120,7 @@ def run(i: Inputs) -> Reconciliation:
         run_ts=F.lit(RUN_TS),
         terms=terms,
         term_vectors=vectors("term_id", 1),
-        keep=lambda df: cut_lineage(df, folder),
+        keep=shared,
     )
 
 

@@ -33,18 +33,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
-def cut_lineage(df: DataFrame, local_dir: str | None = None) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder named by ``spark.checkpoint.dir``.
+def has_shared_folder(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.checkpoint.dir", None) is not None or spark.sparkContext.getCheckpointDir() is not None
 
-    ``local_dir`` is used only where no folder is set and the master is local.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder named by ``spark.checkpoint.dir``."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if local_dir is None or not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = local_dir
-        context.setCheckpointDir(folder)
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """A result that several steps read: checkpointed where a shared folder is named, else persisted."""
+    return cut_lineage(df) if has_shared_folder(df.sparkSession) else df.persist()

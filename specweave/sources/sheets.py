@@ -34,3 +34,16 @@ def read_csv_with_header(spark: SparkSession, path: str, **options) -> DataFrame
         .csv(path, header=True, inferSchema=False)
     )
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+
+def read_review(spark: SparkSession, path: str) -> DataFrame:
+    """A review file as ``glossary.review_apply`` takes it: lists split at commas, blank ones empty."""
+    rows = read_csv_with_header(spark, path)
+
+    def listed(name: str):
+        parts = F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda x: F.trim(x))
+        return F.filter(parts, lambda x: x != "").alias(name)
+
+    return rows.select(
+        *[listed(c) if c in ("original_synonyms", "suggested_synonyms") else F.col(c) for c in rows.columns]
+    )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from specweave.model import REPORT_HEADINGS
 
+ROW_KEYS = ["spec_id", "row_idx"]
+
 
 def output_name(input_path: str | None, run_ts: datetime) -> str:
     """``dir/name(output)_YYYYMMDD_HHMM`` next to the input."""
@@ -28,13 +30,19 @@ def output_names(specs: DataFrame, path: str, run_ts) -> DataFrame:
     return specs.withColumn("output_path", F.concat(bare, F.lit("(output)_"), stamp))
 
 
-def report_sink(report: DataFrame, path: str, fmt: str = "parquet", local_headings: bool = False) -> str:
-    """The ordered twelve-column report, one folder per final tag."""
-    out = report.select(*REPORT_HEADINGS)
+def report_sink(
+    report: DataFrame, path: str, run_id: str, fmt: str = "parquet", local_headings: bool = False
+) -> str:
+    """The ordered twelve-column report of a run behind the keys of its rows.
+
+    One folder per run and final tag; writing a run again replaces it and leaves other runs.
+    ``run_results`` reads the folder back.
+    """
+    out = report.select(*ROW_KEYS, *REPORT_HEADINGS)
     key = "final_tag"
     if local_headings:
-        out, key = out.toDF(*REPORT_HEADINGS.values()), REPORT_HEADINGS[key]
-    out.write.mode("overwrite").partitionBy(key).format(fmt).save(path)
+        out, key = out.toDF(*ROW_KEYS, *REPORT_HEADINGS.values()), REPORT_HEADINGS[key]
+    out.write.mode("overwrite").partitionBy(key).format(fmt).save(f"{path}/run_id={run_id}")
     return path
 
 
@@ -62,10 +70,10 @@ def review_sink(candidates: DataFrame, path: str) -> str:
     return path
 
 
-def audit_append(records: DataFrame, path: str, at: str = "created_at") -> str:
-    """Append audit records, one folder per day."""
+def audit_append(records: DataFrame, path: str, run_id: str, at: str = "created_at") -> str:
+    """Add a run's audit records, one folder per run and day; a run that is repeated replaces its own."""
     (
         records.withColumn("created_date", F.to_date(at))
-        .write.mode("append").partitionBy("created_date").parquet(path)
+        .write.mode("overwrite").partitionBy("created_date").parquet(f"{path}/run_id={run_id}")
     )
     return path

@@ -135,8 +135,8 @@ def test_revision_and_sinks(spark, tmp_path, rows):
         ("y", None, "unresolved", "resolution_path=no_match"),
     ]
     path = str(tmp_path / "audit")
-    sinks.audit_append(lines, path)
-    sinks.audit_append(lines, path)
-    assert spark.read.parquet(path).count() == 4
+    for run_id in ("r1", "r2", "r1"):  # a run that is repeated leaves its records once
+        sinks.audit_append(lines, path, run_id)
+    assert spark.read.parquet(path).groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 2), ("r2", 2)]
     assert sinks.output_name("a/b.c.xlsx", datetime.datetime(2024, 5, 6, 7, 8)) == "a/b.c(output)_20240506_0708"
     assert sinks.output_name(None, datetime.datetime(2024, 5, 6, 7, 8)) == "./output(output)_20240506_0708"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from specweave.operators import judge, validate
 from specweave.operators.events import audit_dedupe
-from specweave.plans.reconcile import reconcile
-from specweave.session import cut_lineage
+from specweave.plans.reconcile import ask_key, reconcile
+from specweave.session import shared
 from specweave.sources.tables import catalog_snapshot
 
 AT = datetime.datetime(2024, 6, 1)
@@ -17,20 +17,20 @@ ROW = "spec_id string, row_idx long"
 
 @pytest.fixture(scope="module")
 def world(spark):
-    customer = spark.createDataFrame(
-        [(f"u{i}", "1", i, "R1", 202401 + i % 5) for i in range(50)],
-        "customer_id string, SUBS_LINE_CNT string, ARPU int, REGION_CD string, month int",
+    vehicles = spark.createDataFrame(
+        [(f"u{i}", "1", i, "R1", 202203 + i % 5) for i in range(50)],
+        "vehicle_id string, SEAT_ROWS_NUM string, WATT int, DEPOT_KEY string, month int",
     )
-    call = spark.createDataFrame([("u1", 3, 202402), ("u2", 4, 202404)], "customer_id string, CALL_CNT int, month int")
-    plain = spark.createDataFrame([(1,)], "CODE int")
-    tables = {"customer": customer, "call": call, "codes": plain}
+    journeys = spark.createDataFrame([("u1", 3, 202204), ("u2", 4, 202206)], "vehicle_id string, TRIP_CNT int, month int")
+    fuels = spark.createDataFrame([(1,)], "FUEL int")
+    tables = {"vehicles": vehicles, "journeys": journeys, "fuels": fuels}
     columns = [
-        ("c1", "customer", "SUBS_LINE_CNT", "VARCHAR", "lines held"),
-        ("c2", "customer", "ARPU", "INTEGER", "mean revenue"),
-        ("c3", "call", "CALL_CNT", "INTEGER", "calls per month"),
-        ("c4", "customer", "LEGACY_FLAG", "VARCHAR", "legacy flag"),
-        ("c5", "customer", "REGION_CD", "INTEGER", "region"),
-        ("c6", "codes", "CODE", "INTEGER", "a code"),
+        ("c1", "vehicles", "SEAT_ROWS_NUM", "VARCHAR", "rows of seats fitted"),
+        ("c2", "vehicles", "WATT", "INTEGER", "power of the motor"),
+        ("c3", "journeys", "TRIP_CNT", "INTEGER", "journeys of a month"),
+        ("c4", "vehicles", "RETIRED_BIT", "VARCHAR", "taken out of use"),
+        ("c5", "vehicles", "DEPOT_KEY", "INTEGER", "home depot"),
+        ("c6", "fuels", "FUEL", "INTEGER", "kind of fuel"),
     ]
     catalog = spark.createDataFrame(
         [(*c, None, None, None) for c in columns],
@@ -38,20 +38,20 @@ def world(spark):
         "tag string, confidence double, updated_at timestamp",
     )
     specs = [
-        ("s", 1, "ARPU", "a", "mean revenue", "INTEGER", None),                 # full_period, nothing asked
-        ("s", 2, " CALL_CNT ", "b", "calls", "INTEGER", "202401~202403"),       # confirm_period
-        ("s", 3, "SUBS_LINE_CNT", "c", "lines", "VARCHAR", "202301~202302"),    # period_mismatch
-        ("s", 4, "LEGACY_FLAG", "d", "flag", "VARCHAR", None),                  # not_found
-        ("s", 5, "REGION_CD", "e", "region", "INTEGER", None),                  # type_mismatch (rejected)
-        ("s", 6, "REGION_CD", "f", "region", "INTEGER", "202401~202402"),       # full_period after approval
-        ("s", 7, "REGION_CD", "g", "region", "INTEGER", None),                  # type question open
-        ("s", 8, "CODE", "h", "a code", "INTEGER", None),                       # no month: period_mismatch
-        ("s", 9, "ARPU", "i", "mean revenue", "INTEGER", "2024x~202402"),       # bad period
-        ("s", 10, "SUB_LINE_CNT", "j", "lines", "VARCHAR", "202402~202403"),    # auto-confirmed
-        ("s", 11, "CALLS", "k", "calls per month", "INTEGER", None),            # approved by a person
-        ("s", 12, "CALLX", "l", "calls per month", "INTEGER", None),            # rejected by a person
-        ("s", 13, "CALLY", "m", "calls per month", "INTEGER", None),            # waits for a person
-        ("s", 14, "ARPUS", "n", "mean revenue", "INTEGER", None),               # waits for the judge
+        ("s", 1, "WATT", "a", "power of the motor", "INTEGER", None),                 # full_period, nothing asked
+        ("s", 2, " TRIP_CNT ", "b", "journeys", "INTEGER", "202203~202205"),       # confirm_period
+        ("s", 3, "SEAT_ROWS_NUM", "c", "rows of seats", "VARCHAR", "202101~202102"),    # period_mismatch
+        ("s", 4, "RETIRED_BIT", "d", "retired", "VARCHAR", None),                  # not_found
+        ("s", 5, "DEPOT_KEY", "e", "home depot", "INTEGER", None),                  # type_mismatch (rejected)
+        ("s", 6, "DEPOT_KEY", "f", "home depot", "INTEGER", "202203~202204"),       # full_period after approval
+        ("s", 7, "DEPOT_KEY", "g", "home depot", "INTEGER", None),                  # type question open
+        ("s", 8, "FUEL", "h", "kind of fuel", "INTEGER", None),                       # no month: period_mismatch
+        ("s", 9, "WATT", "i", "power of the motor", "INTEGER", "2022x~202204"),       # bad period
+        ("s", 10, "SET_ROWS_NUM", "j", "rows of seats", "VARCHAR", "202204~202205"),    # auto-confirmed
+        ("s", 11, "TRIPS", "k", "journeys of a month", "INTEGER", None),            # approved by a person
+        ("s", 12, "TRIPX", "l", "journeys of a month", "INTEGER", None),            # rejected by a person
+        ("s", 13, "TRIPY", "m", "journeys of a month", "INTEGER", None),            # waits for a person
+        ("s", 14, "WATTS", "n", "power of the motor", "INTEGER", None),               # waits for the judge
         ("s", 15, "ZZZ", "o", "nothing like it", "INTEGER", None),              # no candidate
     ]
     rows = spark.createDataFrame(
@@ -64,7 +64,7 @@ def world(spark):
     stored = {"c1": vector(1, 0, 0, 0), "c2": vector(0, 1, 0, 0), "c3": vector(0, 0, 1, 0), "c4": vector(0, 1, 1, 0)}
     column_vectors = spark.createDataFrame(list(stored.items()), "column_id string, embedding array<double>")
     described = spark.createDataFrame(
-        [("lines", vector(1, 0.1, 0, 0)), ("calls per month", vector(0, 0.2, 1, 0)), ("mean revenue", vector(0, 1, 0, 0)),
+        [("rows of seats", vector(1, 0.1, 0, 0)), ("journeys of a month", vector(0, 0.2, 1, 0)), ("power of the motor", vector(0, 1, 0, 0)),
          ("nothing like it", vector(0, 0, 0, 1))],
         "description string, embedding array<double>",
     )
@@ -85,7 +85,7 @@ def world(spark):
     return dict(
         rows=rows, catalog=catalog, snapshot=catalog_snapshot(spark, tables),
         retention=validate.retention_period(
-            tables, validate.months({"customer": "month", "call": "month"}, lambda c: c)
+            tables, validate.months({"vehicles": "month", "journeys": "month"}, lambda c: c)
         ),
         description_vectors=described, column_vectors=column_vectors, responses=responses, decisions=decisions,
         type_decisions=type_decisions, run_ts=F.lit(AT), terms=terms, term_vectors=term_vectors, dim=4, anchors=3,
@@ -93,23 +93,22 @@ def world(spark):
 
 
 @pytest.fixture(scope="module")
-def run(world, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("checkpoints"))
-    return reconcile(**world, keep=lambda df: cut_lineage(df, folder))
+def run(world):
+    return reconcile(**world, keep=shared)
 
 
 def test_all_tags(run):
     got = {r.row_idx: (r.final_tag, r.resolution_path, r.avail_period) for r in run.report.collect()}
     assert got == {
-        1: ("full_period", "validated", "202401~202405"),
-        2: ("confirm_period", "validated", "202402~202403"),
+        1: ("full_period", "validated", "202203~202207"),
+        2: ("confirm_period", "validated", "202204~202205"),
         3: ("period_mismatch", "validated", None),
         4: ("not_found", "validated", None),
         5: ("type_mismatch", "validated", None),
-        6: ("full_period", "validated", "202401~202402"),
+        6: ("full_period", "validated", "202203~202204"),
         8: ("period_mismatch", "validated", None),
-        10: ("full_period", "auto_confirmed", "202402~202403"),
-        11: ("full_period", "validated", "202402~202404"),
+        10: ("full_period", "auto_confirmed", "202204~202205"),
+        11: ("full_period", "validated", "202204~202206"),
         12: ("unresolved", "rejected_by_human", None),
         15: ("unresolved", "no_match", None),
     }
@@ -146,3 +145,19 @@ def test_writes_and_audit(run, world, spark):
     assert run.revisions.count() == 11 and run.validations.count() == 11
     stats = {(r.kind, r.key): r.n for r in run.summary.collect()}
     assert stats[("total", None)] == 11 and stats[("auto_confirm", None)] == 1
+
+
+def test_rows_without_vector_wait(world, spark):
+    """A description that has no vector yet is no reason to give a row up."""
+    described = world["description_vectors"].where("description not in ('journeys of a month', 'nothing like it')")
+    done = reconcile(**{**world, "description_vectors": described}, keep=shared)
+    assert {r.description for r in done.open_vectors.collect()} == {"journeys of a month", "nothing like it"}
+    status = {r.row_idx: r.match_status for r in done.resolved.where("row_idx > 9").collect()}
+    assert status == {10: "auto_confirmed", 11: "pending", 12: "pending", 13: "pending", 14: "pending", 15: "pending"}
+    assert not {11, 12, 13, 15} & {r.row_idx for r in done.report.collect()}
+
+
+def test_questions_keep_nulls_apart(spark):
+    rows = spark.createDataFrame([("x", None), (None, "x"), ("x", ""), (" x ", None)], "eng_name string, description string")
+    keys = [r[0] for r in rows.select(ask_key(rows)).collect()]
+    assert keys[0] == keys[3] and len(set(keys)) == 3

@@ -103,11 +103,11 @@ def test_fuzzy_topk_equals_brute_force(spark, rows, block_rows):
 
 def test_fuzzy_topk_cases(spark, rows):
     pool = spark.createDataFrame(
-        [("col_001", "SUBS_LINE_CNT"), ("col_999", "COMPLETELY_UNRELATED_FIELD")],
+        [("k7", "harbour_fee"), ("k8", "zinc ore, refined")],
         "column_id string, column_name string",
     )
-    one = spark.createDataFrame([("SUB_LINE_CNT",), ("XYZ",)], "eng_name string")
-    assert rows(strings.fuzzy_topk(one, pool)) == [("SUB_LINE_CNT", "col_001", 0.96, 1)]
+    one = spark.createDataFrame([("harbor_fee",), ("qq",)], "eng_name string")
+    assert rows(strings.fuzzy_topk(one, pool)) == [("harbor_fee", "k7", 0.9524, 1)]
     assert rows(strings.fuzzy_topk(one, pool.limit(0))) == []
 
 

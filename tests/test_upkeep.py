@@ -85,6 +85,30 @@ def test_glossary_round(spark, rows):
     ]
 
 
+def test_replies_in_fences_and_unreadable_ones(spark, rows):
+    terms = spark.createDataFrame([("t", "term", ["a"], "c")], "term_id string, canonical_term string, synonyms array<string>, linked_column_id string")
+    item = '[{"term_id":"t","additional_synonyms":["b"],"domain":"d"}]'
+    replies = spark.createDataFrame([(f"```json\n{item}\n```",), ("no list",), ('{"term_id":"t"}',), (None,), ("[]",)], "response string")
+    assert rows(G.synonym_merge(terms, replies.limit(1)).select("term_id", "suggested_synonyms")) == [("t", ["a", "b"])]
+    assert {r[0] for r in G.unreadable_replies(replies).collect()} == {"no list", '{"term_id":"t"}', None}
+
+
+def test_review_without_lines_is_settled_by_value(spark, rows):
+    terms = spark.createDataFrame([("t", ["a"], "x", "draft")], "term_id string, synonyms array<string>, domain string, source string")
+    review = [("t", ["b"], "d1", "y"), ("t", ["c"], "d2", "y"), ("t", ["z"], "d3", "n")]
+    for order in (review, review[::-1]):
+        df = spark.createDataFrame(order, "term_id string, suggested_synonyms array<string>, domain string, approve string")
+        assert rows(G.review_apply(terms, df).select("synonyms", "domain")) == [(["c"], "d2")]
+
+
+def test_poll_without_news(spark):
+    log_rows = spark.createDataFrame([("r1", i, datetime.datetime(2024, 1, 1, 0, 0, i)) for i in range(3)], LOG)
+    polls = spark.createDataFrame([("r1", 3), ("r2", 0)], "thread_id string, since long")
+    states = spark.createDataFrame([("r1", 1, datetime.datetime(2024, 1, 1), "done")], "thread_id string, event_id long, ts timestamp, status string")
+    got = {r.thread_id: (r.next_since, r.status, r.event_id) for r in ev.events_since(ev.event_sequence(log_rows), polls, states).collect()}
+    assert got == {"r1": (3, "done", None), "r2": (0, None, None)}
+
+
 def test_batches_hold_every_row_once(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("v"))
     for digits in (0, 1, 2):

@@ -7,9 +7,9 @@ meets under at least one key.  At a similarity of 0.75, 40 or more of 80 positio
 probability below 1e-6; no pair of documents that meets is dropped but by the full sets.
 
 Texts with equal sets are one class from the start.  Within a key no pairs are enumerated at
-first: every class is held against the key's first and last class, and components are formed.
-Only keys that still hold several components go on, in blocks of bounded size, and only with
-pairs between components.
+first: every class is held against the class of the key that meets most others, and components
+are formed.  Only keys that still hold several components go on, in blocks of bounded size, with
+pairs between components whose sets share enough with any class at all.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ BITS = 16
 POSITIONS = CHUNKS * CHUNK
 MOST_APART = CHUNKS * (ERRORS + 1) - 1
 PERCENT = 75
-BLOCK = 128
+BLOCK = 1024
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,10 +139,8 @@ def _near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough."""
-    pairs = stored(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, shingles``: the full sets of the classes ``node``."""
     named = stored(nodes.join(classes, "node").select("node", "set_key", F.col("low").alias("doc_id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +151,20 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["set_key", "shingles"])
 
     wanted = narrowed(_texts(docs), named.select("doc_id").where("doc_id is not null").distinct(), "left_semi")
-    unnamed = docs.sparkSession.createDataFrame([], _texts(docs).schema)
     if not named.where("doc_id is null").isEmpty():  # classes that no id names
-        unnamed = _texts(docs).where("doc_id is null")
-    full = wanted.union(unnamed).mapInArrow(sets, "set_key binary, shingles binary")
+        wanted = wanted.union(_texts(docs).where("doc_id is null"))
+    full = wanted.mapInArrow(sets, "set_key binary, shingles binary")
     # rows of one id can have several sets, and a class several rows
-    full = stored(full.join(named.select("set_key", "node"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    full = full.join(named.select("set_key", "node"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return stored(full)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of classes whose full sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +172,26 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = [_similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return stored(both.mapInArrow(check, "a long, b long"))
 
 
+def _common(sets: DataFrame) -> DataFrame:
+    """``node, size, common``: how many shingles a class has, and how many of them another one has too."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+                found = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node))], names=["shingle", "node"])
+
+    own = sets.mapInArrow(spread, "shingle long, node long").groupBy("shingle")
+    own = own.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    size = F.expr("octet_length(shingles) div 8")
+    rows = sets.select("node", size.alias("size")).join(own, "node", "left")
+    return rows.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     small, large = sorted((x, y), key=len)
     if 100 * len(small) < PERCENT * len(large):
@@ -185,43 +206,31 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of near signatures in one key but in different components.
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of one key but of different components that can be similar enough.
 
-    A key's classes are dealt into blocks by node; two blocks meet in one group of at most about
-    2 * BLOCK rows, whatever the size of the key.
+    ``rows``: ``key, node, component, size, common``.  What two sets share is at most what either shares
+    with any class at all, which leaves few pairs.  A key's classes are dealt into blocks by node, and
+    two blocks meet under a join key of their own, whatever the size of the key.
     """
-    rows = stored(_labelled(members, found))
-    open_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("p"), F.max("component").alias("q"))
-    open_keys = open_keys.where("p <> q").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.join(classes.select("node", "signature"), "node")
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "own",
-        "node",
-        "component",
-        "signature",
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("p"), F.max("component").alias("q"))
+    keys = keys.where("p <> q").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    x = rows.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumnRenamed("own", "i").alias("x")
+    y = rows.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "j").alias("y")
+    both = F.least("x.common", "y.common")
+    can = 100 * both >= PERCENT * (F.col("x.size") + F.col("y.size") - both)
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))
+    met = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.i") == F.col("y.i"))
+        & (F.col("x.j") == F.col("y.j"))
+        & (F.col("x.component") != F.col("y.component"))
+        & once
+        & can,
     )
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        nodes, comps, own = (block[c].to_numpy() for c in ("node", "component", "own"))
-        values = np.frombuffer(b"".join(block["signature"]), "<u2").reshape(-1, POSITIONS)
-        same_block = block["i"].iloc[0] == block["j"].iloc[0]
-        a, b = [], []
-        for r in range(len(nodes)):
-            other = comps != comps[r]
-            other &= (nodes > nodes[r]) if same_block else ((own != own[r]) & (own[r] == block["i"].iloc[0]))
-            at = np.flatnonzero(other)
-            at = at[(values[at] != values[r]).sum(1) <= MOST_APART]
-            a.append(np.full(len(at), nodes[r]))
-            b.append(nodes[at])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    met = met.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,13 +250,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
     members = _members(classes)
-    ends = members.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q")
-    shared = stored(members.join(ends, "key"))
-    stars = shared.select("node", F.explode(F.array("p", "q")).alias("b")).toDF("a", "b").where("a <> b")
-    links = _linked(_near_signatures(stars, classes), docs, classes)
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(members.join(keys, "key"))
+    # the class that meets most others is the likeliest to be near all of its group
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best"))
+    centres = centres.select("key", F.col("best.node").alias("b"))
+    stars = shared.join(centres, "key").select(F.col("node").alias("a"), "b").where("a <> b")
+    stars = stored(_near_signatures(stars, classes))
+    links = _linked(stars, _sets(_ends(stars), docs, classes))
     found = stored(components(links))
-    more = _linked(_across(shared.select("key", "node"), found, classes), docs, classes)
-    found = stored(components(links.union(more)))
+
+    rows = stored(_labelled(shared.select("key", "node"), found))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+    rows = stored(rows.join(mixed, "key"))
+    sets = _sets(rows.select("node").distinct(), docs, classes)
+    common = _common(sets).where(100 * F.col("common") >= PERCENT * F.col("size"))
+    more = stored(_near_signatures(_across(rows.join(common, "node")), classes))
+    found = stored(components(links.union(_linked(more, sets))))
 
     named = _labelled(classes, found)
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -30,22 +30,28 @@ def glossary_seed(catalog: DataFrame, terms: DataFrame | None = None, at: Column
 def batch_pack(
     rows: DataFrame, key: str, fields: list[str], size: int, bucket_digits: int = 1
 ) -> DataFrame:
-    """(bucket, batch_no, n, payload): JSON arrays of at most ``size`` rows in key order.
+    """(batch_no, n, payload): JSON arrays of ``size`` rows; only the last one may be short.
 
-    Rows are numbered within buckets of an md5 prefix, so no window spans the table; take
-    bucket_digits so that rows / 16**bucket_digits fits one task.  The last batch of each
-    bucket may be short.
+    Rows come in the order of an md5 prefix of the key and then of the key.  They are numbered
+    within the buckets of that prefix, and the rows of the buckets before are added, so no
+    window spans the table; take bucket_digits so that rows / 16**bucket_digits fits one task.
     """
-    order = Window.partitionBy("bucket").orderBy(key)
+    order = Window.partitionBy("bucket").orderBy(key, *[f for f in fields if f != key])
     record = F.struct(F.col("no"), F.struct(*fields).alias("record"))
+    bucketed = rows.select(md5_bucket(F.col(key), bucket_digits).alias("bucket"), *dict.fromkeys([key, *fields]))
+    # one row per bucket
+    before = F.sum("in_bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = bucketed.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
+    starts = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("start"))
     return (
-        rows.select(md5_bucket(F.col(key), bucket_digits).alias("bucket"), *dict.fromkeys([key, *fields]))
-        .withColumn("no", F.row_number().over(order))
+        bucketed.withColumn("own_no", F.row_number().over(order))
+        .join(starts, "bucket")
+        .withColumn("no", F.col("own_no") + F.col("start"))
         .withColumn("batch_no", F.floor((F.col("no") - 1) / size))
-        .groupBy("bucket", "batch_no")
+        .groupBy("batch_no")
         .agg(F.count("*").alias("n"), F.array_sort(F.collect_list(record)).alias("r"))
         .select(
-            "bucket", "batch_no", "n",
+            "batch_no", "n",
             F.to_json(F.transform("r", lambda x: x["record"]), {"ignoreNullFields": "false"}).alias("payload"),
         )
     )

@@ -87,11 +87,16 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def judge_guard(parsed: DataFrame, candidate_ids: str = "candidate_ids") -> DataFrame:
-    """A selection outside the candidate list is dropped and flagged."""
+def judge_guard(parsed: DataFrame, candidate_ids: str = "candidate_ids", listed: Column | None = None) -> DataFrame:
+    """A selection outside the candidate list is dropped and flagged.
+
+    ``listed``, where it is given, says whether the selection is a candidate; else the array
+    ``candidate_ids`` does.
+    """
     selected = F.col("selected_column_id")
-    listed = F.coalesce(F.array_contains(candidate_ids, selected), F.lit(False))
-    outside = selected.isNotNull() & ~listed
+    if listed is None:
+        listed = F.array_contains(candidate_ids, selected)
+    outside = selected.isNotNull() & ~F.coalesce(listed, F.lit(False))
     return (
         parsed.withColumn("hallucination_flag", outside)
         .withColumn("confidence", F.when(F.col("hallucination_flag"), 0.0).otherwise(F.col("confidence")))
@@ -152,34 +157,38 @@ def retry_widening(
     score, rank), responses(spec_id, row_idx, attempt, response).  All attempts come from
     one retrieval, so instead of looping every attempt is judged and the first one that
     does not ask for a retry is kept.  ``route`` may also be no_match (no candidate) or
-    awaiting_judgment (no reply stored yet).
+    awaiting_judgment (no reply stored yet).  Attempts are compared by ids alone; candidate
+    lists are fetched for the attempt that was chosen.
     """
-    listed = candidates.groupBy(ask, "attempt").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "column_id", "source", "score"))).alias("candidates")
-    )
+    ids = candidates.select(ask, "attempt", F.col("column_id").alias("selected_column_id")).distinct()
+    some = ids.select(ask, "attempt").distinct().withColumn("has_candidate", F.lit(True))
     replies = answers(responses, [*ROW, "attempt"], "response")
     attempts = F.explode(F.sequence(F.lit(0), F.lit(M.MAX_RETRIES)))
     tried = (
         rows.select(*ROW, ask)
         .withColumn("attempt", attempts)
-        .join(listed, [ask, "attempt"], "left")
+        .join(some, [ask, "attempt"], "left")
         .join(replies, [*ROW, "attempt"], "left")
     )
-    ids = F.transform("candidates", lambda c: c["column_id"])
-    judged = judge_guard(judge_parse(tried.withColumn("candidate_ids", ids)))
+    known = ids.withColumn("listed", F.lit(True))
+    parsed = judge_parse(tried).join(known, [ask, "attempt", "selected_column_id"], "left")
+    judged = judge_guard(parsed, listed=F.col("listed"))
     step = (
-        F.when(F.col("candidates").isNull(), "no_match")
+        F.when(F.col("has_candidate").isNull(), "no_match")
         .when(F.col("response").isNull(), "awaiting_judgment")
         .otherwise(route(F.col("confidence"), F.col("attempt"), F.col("selected_column_id")))
     )
     outcome = F.struct(
         "attempt", "route", "selected_column_id", "confidence", "evidence",
-        "recommend_action", "hallucination_flag", "candidates",
+        "recommend_action", "hallucination_flag",
     )
     # attempts that ask for a retry have no place in the order, so they are never the least
     at = F.when(F.col("route") != "retry", F.col("attempt"))
     last = judged.withColumn("route", step).groupBy(*ROW).agg(F.min_by(outcome, at).alias("o"))
-    return rows.join(last.select(*ROW, "o.*"), ROW)
+    listed = candidates.groupBy(ask, "attempt").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "column_id", "source", "score"))).alias("candidates")
+    )
+    return rows.join(last.select(*ROW, "o.*"), ROW).join(listed, [ask, "attempt"], "left")
 
 
 def no_candidate(rows: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,6 +27,7 @@ _DIGITS = 9         # similarities are compared at nine decimals, equal ones by
 # Widening of angles against rounding: arccos is steep near 1, where an error of 1e-9 in
 # the cosine moves the angle by up to 4.5e-5.
 _SLACK = 1e-4
+_MOST_VISITS = 0.5  # share of all (query, cell) pairs beyond which cells are not used
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -197,10 +198,12 @@ def vector_topk(
     )
 
     def search(asked: DataFrame, low: float) -> DataFrame:
-        left, right = pair_up(
-            _visits(asked, centers, rings), "query_id",
-            placed.select("entry_id", "embedding", "cell"), "entry_id", block_rows, sizes,
-        )
+        left, right, filled = _visits(asked, centers, rings), placed.select("entry_id", "embedding", "cell"), sizes
+        home = _visits(asked.withColumn("radius", F.lit(None).cast("double")), centers, rings)
+        if left.count() > _MOST_VISITS * home.count() * len(rings):
+            # the bound excludes too little: plain blocks copy each query less often
+            left, right, filled = home.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0)), None
+        left, right = pair_up(left, "query_id", right, "entry_id", block_rows, filled)
         found = apply_pairs(left, right, _kernel(dim, limit, low), schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
         return found.withColumn("vector_rank", F.row_number().over(order)).where(

@@ -73,14 +73,33 @@ def _routed(i: Inputs) -> DataFrame:
     return _guarded(i).withColumn("route", step)
 
 
-@query("judge_request")
+@query(
+    "judge_request",
+    """select a.spec_id, a.row_idx, attempt, eng_name, home_id local_name, a.description, listed from vec_asks a join (
+  select ask_id, attempt, string_agg(concat_ws('/', rank, c.column_id, column_name, table_id, v.description, source,
+    cast(round(score * 10000) as bigint)), ';' order by rank) listed
+  from ask_candidates c join vec_columns v on v.column_id = c.column_id group by ask_id, attempt) l on l.ask_id = a.ask_id""",
+)
 def _(i: Inputs) -> DataFrame:
+    """The payloads, read back field by field."""
+    waiting = i["vec_asks"].withColumn("local_name", F.col("home_id")).withColumn("route", F.lit("awaiting_judgment"))
     candidates = ask_candidates(i)
-    listed = candidates.groupBy("ask_id", "attempt").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "column_id", "source", "score"))).alias("candidates")
+    waiting = waiting.join(candidates.select("ask_id", "attempt").distinct(), "ask_id")
+    waiting = waiting.withColumn("candidates", F.lit(None).cast("string"))
+    sent = plan.open_judgments(waiting, candidates, i["vec_columns"])
+    item = "rank: int, column_id: string, column_name: string, table_id: string, description: string, source: string, score: double"
+    source = "eng_name: string, local_name: string, description: string"
+    read = F.from_json("payload", f"struct<source_column: struct<{source}>, candidates: array<struct<{item}>>>")
+
+    def line(c):
+        score = F.round(c["score"] * 10000).cast("long")
+        parts = [c[f] for f in ("rank", "column_id", "column_name", "table_id", "description", "source")]
+        return F.concat_ws("/", *parts, score)
+
+    return sent.withColumn("read", read).select(
+        "spec_id", "row_idx", "attempt", "read.source_column.*",
+        F.array_join(F.transform("read.candidates", line), ";").alias("listed"),
     )
-    asks = i["vec_asks"].withColumnRenamed("eng_name", "eng_name").withColumn("local_name", F.col("home_id"))
-    return judge.judge_request(asks.join(listed, "ask_id"), ["spec_id", "row_idx", "attempt"])
 
 
 @query("judge_parse", f"select req_id, {', '.join(_JUDGED)} from parsed_replies")

@@ -175,18 +175,15 @@ def _(i: Inputs) -> DataFrame:
 
 
 def _batches_sql(rows: str, key: str, size: int, digits: int) -> str:
-    return f"""select bucket, batch_no, count(*) n, min({key}) first_key, max({key}) last_key from (
-  select *, (row_number() over (partition by bucket order by {key}) - 1) // {size} batch_no
-  from (select *, substr(md5({key}), 1, {digits}) bucket from {rows}) b) x group by bucket, batch_no"""
+    return f"""select batch_no, count(*) n, string_agg({key}, ',' order by no) keys from (
+  select *, (no - 1) // {size} batch_no from (
+    select *, row_number() over (order by substr(md5({key}), 1, {digits}), {key}) no from {rows}) b) x group by batch_no"""
 
 
 def _unpacked(batches: DataFrame, key: str) -> DataFrame:
     """Reads the payloads back, so that the check covers their content."""
     records = F.from_json("payload", f"array<struct<{key}: string>>")
-    keys = F.transform(records, lambda r: r[key])
-    return batches.select(
-        "bucket", "batch_no", "n", F.array_min(keys).alias("first_key"), F.array_max(keys).alias("last_key")
-    )
+    return batches.select("batch_no", "n", F.array_join(F.transform(records, lambda r: r[key]), ",").alias("keys"))
 
 
 @query("batch_pack", _batches_sql("draft_terms", "term_id", M.BATCH_SYNONYMS, 1))

@@ -114,7 +114,9 @@ def test_batches_hold_every_row_once(spark):
     for digits in (0, 1, 2):
         packed = G.batch_pack(df, "k", ["k", "v"], 15, digits).collect()
         keys = [r["k"] for b in packed for r in json.loads(b.payload)]
-        assert sorted(keys) == sorted(str(i) for i in range(1000)) and max(b.n for b in packed) <= 15
+        assert sorted(keys) == sorted(str(i) for i in range(1000))
+        sizes = [b.n for b in sorted(packed, key=lambda b: b.batch_no)]
+        assert sizes == [15] * 66 + [10]
 
 
 def test_relations(spark, rows):

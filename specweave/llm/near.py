@@ -8,8 +8,8 @@ probability below 1e-6; no pair of documents that meets is dropped but by the fu
 
 Texts with equal sets are one class from the start.  Within a key no pairs are enumerated at
 first: every class is held against the class of the key that meets most others, and components
-are formed.  Only keys that still hold several components go on, in blocks of bounded size, with
-pairs between components whose sets share enough with any class at all.
+are formed.  Only keys that still hold several components go on; of their classes those pairs are
+checked that lie in different components and can be near by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.llm.graph import components
@@ -176,20 +176,26 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(check, "a long, b long"))
 
 
-def _common(sets: DataFrame) -> DataFrame:
-    """``node, size, common``: how many shingles a class has, and how many of them another one has too."""
+def _rarest(sets: DataFrame) -> DataFrame:
+    """``key, node, size, place``: the shingles of which two near sets must share one.
+
+    A set's shingles are put in order, those that fewest sets have first.  Near sets share PERCENT of the
+    larger one, so they share one of the first ``size - needed + 1``.  Shingles of one set are left out.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
                 found = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node))], names=["shingle", "node"])
+                columns = [pa.array(found), *(pa.array(np.full(len(found), x)) for x in (node, len(found)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size"])
 
-    own = sets.mapInArrow(spread, "shingle long, node long").groupBy("shingle")
-    own = own.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    size = F.expr("octet_length(shingles) div 8")
-    rows = sets.select("node", size.alias("size")).join(own, "node", "left")
-    return rows.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+    rows = sets.mapInArrow(spread, "key long, node long, size long")
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "key")
+    first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1
+    rows = rows.join(held, "key").withColumn("place", F.row_number().over(order))
+    return rows.where((F.col("place") <= first) & (F.col("n") > 1)).select("key", "node", "size", "place")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -206,29 +212,50 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of one key but of different components that can be similar enough.
+def _needed(x: Column, y: Column) -> Column:
+    """Whether sets can be near that share no shingle before the places given and ``x`` or fewer after."""
+    return (100 + PERCENT) * x >= PERCENT * y
+
 
-    ``rows``: ``key, node, component, size, common``.  What two sets share is at most what either shares
-    with any class at all, which leaves few pairs.  A key's classes are dealt into blocks by node, and
-    two blocks meet under a join key of their own, whatever the size of the key.
+def _across(rarest: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of different components that can be near.
+
+    Sets that first meet at a place share at most what stands from there on; that leaves few pairs
+    even among many half-alike sets.  Within a key, classes outside its largest component are held
+    against all; both sides are dealt into blocks that meet under a join key of their own, whatever the
+    size of the key.
     """
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("p"), F.max("component").alias("q"))
-    keys = keys.where("p <> q").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    x = rows.withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumnRenamed("own", "i").alias("x")
-    y = rows.withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "j").alias("y")
-    both = F.least("x.common", "y.common")
-    can = 100 * both >= PERCENT * (F.col("x.size") + F.col("y.size") - both)
-    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows that can still meet a set of another component under their key."""
+        keys = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min("size").alias("least"))
+        keys = keys.where("p <> q").select("key", "least")
+        left = 1 + F.col("size") - F.col("place")
+        return rows.join(keys, "key").where(_needed(left, F.col("size") + F.col("least"))).drop("least")
+
+    rows = stored(mixed(mixed(_labelled(rarest, found))))
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    sizes = sizes.agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("most")).where("n > most.c")
+    blocks = sizes.select(
+        "key",
+        F.col("most.component").alias("largest"),
+        F.ceil((F.col("n") - F.col("most.c")) / BLOCK).cast("int").alias("few"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("many"),
+    )
+    rows = rows.join(blocks, "key").withColumn("outside", F.col("component") != F.col("largest"))
+    hashed = F.xxhash64("node")
+    x = rows.where("outside").withColumn("i", F.pmod(hashed, "few")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    y = rows.withColumn("j", F.pmod(hashed, "many").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    x, y = x.withColumn("i", F.col("i").cast("int")).alias("x"), y.alias("y")
+    after = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     met = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.i") == F.col("y.i"))
         & (F.col("x.j") == F.col("y.j"))
         & (F.col("x.component") != F.col("y.component"))
-        & once
-        & can,
+        & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
+        & _needed(after, F.col("x.size") + F.col("y.size")),
     )
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -250,7 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
     members = _members(classes)
-    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # as a table of its own, so that adaptive execution can split a key that very many classes have
+    keys = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = stored(members.join(keys, "key"))
     # the class that meets most others is the likeliest to be near all of its group
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -265,8 +293,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     rows = stored(rows.join(mixed, "key"))
     sets = _sets(rows.select("node").distinct(), docs, classes)
-    common = _common(sets).where(100 * F.col("common") >= PERCENT * F.col("size"))
-    more = stored(_near_signatures(_across(rows.join(common, "node")), classes))
+    more = stored(_near_signatures(_across(_rarest(sets), found), classes))
     found = stored(components(links.union(_linked(more, sets))))
 
     named = _labelled(classes, found)

@@ -161,7 +161,9 @@ def _cuts(lined: DataFrame, min_words: int) -> DataFrame:
 
     seeds = stored(lined.select("doc", "lines").mapInArrow(exploded, "line binary, doc binary"))
     firsts = seeds.groupBy("line").agg(F.min("doc").alias("before"), F.max("doc").alias("last")).where("before <> last")
-    pairs = seeds.join(firsts.select("line", "before"), "line").where("doc <> before").select("doc", "before").distinct()
+    # as a table of its own, so that adaptive execution can split a line that very many documents hold
+    firsts = stored(firsts.select("line", "before"))
+    pairs = seeds.join(firsts, "line").where("doc <> before").select("doc", "before").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

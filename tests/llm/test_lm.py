@@ -21,13 +21,13 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def made(n=300):
+def made(n=300, longest=60):
     rng = random.Random(1)
     pools = [[f"{a}{k}" for k in range(60)] for a in ("de", "Fra", "éng")]
     rows = []
     for i in range(n):
         pool = pools[i % 3]
-        rows.append((i, " ".join(pool[min(int(rng.expovariate(0.1)), 59)] for _ in range(rng.randint(1, 60))) + f" rare{i}"))
+        rows.append((i, " ".join(pool[min(int(rng.expovariate(0.1)), 59)] for _ in range(rng.randint(1, longest))) + f" rare{i}"))
     return rows
 
 
@@ -51,7 +51,7 @@ def test_counts_and_base_as_by_loops(docs_of, odd, monkeypatch, vocabulary):
 
 def test_model_beats_the_base_on_held_out_texts(docs_of, monkeypatch):
     monkeypatch.setattr(lm, "DRAWN", 1.0)
-    got = lm.scores(docs_of(made()).repartition(2)).collect()
+    got = lm.scores(docs_of(made(400, 500)).repartition(2)).collect()
     fresh = [r for r in got if r.held_out]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 

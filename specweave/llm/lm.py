@@ -91,14 +91,32 @@ class Vocabulary:
     noise: np.ndarray  # how often each symbol occurs
 
 
+def _most_frequent(counts: DataFrame) -> pa.Table:
+    """``token, c`` of VOCABULARY words at most, the most frequent first.
+
+    Frequencies are binned, a sixteenth of a doubling each, and as many bins taken as fit: nothing longer is
+    sorted or sent to the driver.
+    """
+    words = counts.where("token <> ''").withColumn("bin", F.floor(16 * F.log2("c")))
+    sizes = {r.bin: r.n for r in words.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, lowest = 0, max(sizes, default=0) + 1
+    for b in sorted(sizes, reverse=True):
+        taken += sizes[b]
+        if taken > VOCABULARY:
+            break
+        lowest = b
+    top = words.where(F.col("bin") >= lowest).select("token", "c").toArrow()
+    return top.sort_by([("c", "descending"), ("token", "ascending")])
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = counts.where("token <> ''").orderBy(F.desc("c"), "token").limit(VOCABULARY).collect()
-    column = pa.array([r.token for r in top], pa.string())
+    top = _most_frequent(counts)
+    column = top.column("token").combine_chunks().cast(pa.string())
     hashes = np.concatenate(
         [words_of(d, b, NOT_SPACE, False).hashes() for _, _, d, b in texts_of(column)] or [np.empty(0, np.uint64)]
     )
-    c = np.array([r.c for r in top], np.int64)
-    symbols = np.where(np.arange(len(top)) < TOP_WORDS, 1 + np.arange(len(top)), -1)
+    c = top.column("c").to_numpy()
+    symbols = np.where(np.arange(len(c)) < TOP_WORDS, 1 + np.arange(len(c)), -1)
     order = np.argsort(hashes)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

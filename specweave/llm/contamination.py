@@ -13,12 +13,13 @@ need no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.llm.tables import stored
@@ -142,16 +143,21 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tu
         yield block
 
 
-_MADE: dict[tuple[int, int, int], Benchmark] = {}
+_MADE: dict[str, Benchmark] = {}
 
 
-def _benchmark(sent: Broadcast, window: int, k: int) -> Benchmark:
-    """The block's hashes, made once a worker."""
-    key = (sent._jbroadcast.id() if sent._jbroadcast else id(sent), window, k)
-    if key not in _MADE:
+def _made(name: str, sent: Broadcast, window: int, k: int) -> Benchmark:
+    """A block's hashes, made once a worker."""
+    if name not in _MADE:
         _MADE.clear()
-        _MADE[key] = Benchmark(sent.value, window, k)
-    return _MADE[key]
+        _MADE[name] = Benchmark(sent.value, window, k)
+    return _MADE[name]
+
+
+def _sent(spark: SparkSession, block: list[tuple[str, str]], window: int, k: int) -> Callable[[], Benchmark]:
+    """A block for the tasks."""
+    sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    return lambda: _made(name, sent, window, k)
 
 
 def contamination(
@@ -191,10 +197,10 @@ def contamination(
 
 def _marked(rows: DataFrame, block: list, window: int, k: int, carry: bool) -> DataFrame:
     """One block's hits added; ``carry``: another block follows and needs the text."""
-    sent = rows.sparkSession.sparkContext.broadcast(block)
+    sent = _sent(rows.sparkSession, block, window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _benchmark(sent, window, k)
+        made = sent()
         for batch in batches:
             for first, texts, found in _hits(made, batch.column("text")):
                 part = batch.slice(first, texts.n)
@@ -239,10 +245,10 @@ def clean(
     Edge cases as in :func:`contamination`: rows without text or words stay.
     """
     for block in benchmark_blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent = _sent(docs.sparkSession, block, window, k)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            made = _benchmark(sent, window, k)
+            made = sent()
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for first, _, found in _hits(made, batch.column("text")):

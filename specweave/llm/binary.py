@@ -15,7 +15,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -30,34 +31,66 @@ from specweave.llm.tables import shared_folder, stored
 
 END = 2
 BLOCK_IDS = 1 << 18
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000  # in each of two generations
 BLOCKS = "shard int, block int, doc_ids array<long>, counts array<long>, control binary, data binary"
 
-_LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1  # control byte -> four lengths
+_LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1).astype(np.uint8)  # control byte -> four lengths
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[: len(values)] = size - 1
-    control = (padded.reshape(-1, 4) << (2 * np.arange(4, dtype=np.uint8))).sum(1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    values = values.astype(np.uint32, copy=False)
+    size = np.ones(-(-len(values) // 4) * 4, np.uint8)
+    longer = [np.flatnonzero(values >> np.uint32(8 * j)) for j in (1, 2, 3)]
+    for at in longer:
+        size[at] += 1
+    control = ((size.reshape(-1, 4) - 1) << (2 * np.arange(4, dtype=np.uint8))).sum(1, dtype=np.uint8)
+    size = size[: len(values)]
+    ends = np.cumsum(size, dtype=np.int64)
+    data = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    data[ends - size] = values.astype(np.uint8)
+    for j, at in enumerate(longer, 1):
+        data[ends[at] - size[at] + j] = (values[at] >> np.uint32(8 * j)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values that :func:`pack` wrote."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)))
-    at = np.cumsum(lengths) - lengths
-    out = np.zeros(n, np.uint32)
-    for j in range(4):
-        out |= np.where(lengths > j, raw[at + j], 0).astype(np.uint32) << np.uint32(8 * j)
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.cumsum(size, dtype=np.int64) - size
+    out = raw[starts].astype(np.uint32)
+    for j in (1, 2, 3):
+        at = np.flatnonzero(size > j)
+        out[at] |= raw[starts[at] + j].astype(np.uint32) << np.uint32(8 * j)
     return out
 
 
+class _Open(Exception):
+    """A piece begins or ends with white space."""
+
+
+class _Pieces(dict):
+    """Ids of pieces by their text, encoded when first asked for.  Two generations: a full young one becomes
+    the old one, and what is asked for there comes back, so frequent pieces stay."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if _open_left(piece) or _open_right(piece):
+                raise _Open
+            ids = self.encode(" " + piece)
+        if len(self) >= CACHED_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class ByteBpe:
     """The library's encoder behind a store of pieces.
 
@@ -71,29 +104,34 @@ class ByteBpe:
         self.library = Tokenizer.from_str(text)
         self.special = [t["content"] for t in json.loads(text)["added_tokens"]]
         self.letters = {b: c for c, b in byte_names().items()}
-        self.split = regex.compile(public_tokenizers.PATTERN)
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each after a blank; their words go straight to the library's model."""
-        odd = [p for p in pieces if not p.isascii() and max(p) > "ɏ"]
-        odd += [p for t in self.special for p in pieces if t in p]
-        self.pieces.update(zip(odd, self._library([" " + p for p in odd])))
-        words: dict[str, bytes] = {}
-        for p in set(pieces).difference(odd):
-            ids = []
-            for w in self.split.findall(" " + p):
-                found = words.get(w)
-                if found is None:
-                    named = w.encode().decode("latin-1").translate(self.letters)
-                    ids_of = [t.id for t in self.library.model.tokenize(named)]
-                    found = words[w] = struct.pack(f"<{len(ids_of)}I", *ids_of)
-                ids.append(found)
-            self.pieces[p] = b"".join(ids)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.words: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._encoded)
+
+    def _encoded(self, text: str) -> bytes:
+        """Ids of a text; its words go straight to the library's model."""
+        odd = not text.isascii() and max(text) > "ɏ"
+        if odd or "<|" in text and any(t in text for t in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        stem = text[1:]
+        if text[:1] == " " and stem.isalpha():  # the usual cases of the split
+            return self._word(text)
+        if text[:1] == " " and text[-1] in ".,;:!?" and stem[:-1].isalpha():
+            return self._word(text[:-1]) + self._word(text[-1])
+        return b"".join(map(self._word, self.split(text)))
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if word.isascii() and word.isprintable():
+                named = word.replace(" ", self.letters[32])
+            else:
+                named = word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.library.model.tokenize(named)]
+            if len(self.words) >= CACHED_PIECES:
+                self.words.clear()
+            ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def _cut(self, pieces: list[str]) -> list[str]:
         """Pieces joined again wherever white space stands at both sides of a border or at a text's end."""
@@ -105,32 +143,18 @@ class ByteBpe:
                 out.append(p)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.pieces.get
-        cut, found, tails, new = [], [], {}, set()
-        for d, text in enumerate(texts):
-            pieces = text.split(" ")
-            ids = list(map(get, pieces[1:]))
-            missing = [p for p, i in zip(pieces[1:], ids) if i is None] if None in ids else []
-            # what is in the store has closed ends
-            if _open_right(pieces[0]) or any(_open_left(p) or _open_right(p) for p in missing):
-                pieces = self._cut(pieces)
-                if len(pieces) > 1 and _open_right(pieces[-1]):
-                    tails[d] = pieces.pop()
-                ids = list(map(get, pieces[1:]))
-                missing = [p for p, i in zip(pieces[1:], ids) if i is None]
-            new.update(missing)
-            cut.append(pieces)
-            found.append(ids)
-        if new:
-            if len(self.pieces) + len(new) > CACHED_PIECES:  # keep what is in use
-                self.pieces = {p: i for c, f in zip(cut, found) for p, i in zip(c[1:], f) if i is not None}
-            self._learn(list(new))
-            have = self.pieces.__getitem__
-            found = [list(map(have, c[1:])) if None in f else f for c, f in zip(cut, found)]
-        heads = self._library([c[0] for c in cut])
-        ends = dict(zip(tails, self._library([" " + t for t in tails.values()])))
-        return [h + b"".join(f) + ends.get(d, b"") for d, (h, f) in enumerate(zip(heads, found))]
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        pieces = text.split(" ")
+        head, known = pieces[0], self.pieces.__getitem__
+        if not _open_right(head):
+            try:
+                return self._encoded(head) + b"".join(map(known, islice(pieces, 1, None)))
+            except _Open:
+                pass
+        head, *rest = self._cut(pieces)
+        tail = self._encoded(" " + rest.pop()) if rest and _open_right(rest[-1]) else b""
+        return self._encoded(head) + b"".join(map(known, rest)) + tail
 
 
 def _open_left(piece: str) -> bool:
@@ -154,7 +178,7 @@ def _kind(path: str, end: int) -> str:
 
 def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """``shard, block, doc_ids, counts, ids``: the ids of every whole text and an end id, in blocks of
-    documents in ascending order of id (null first; rows of one id by their texts).
+    documents in ascending order of id (null first; rows of one id by a hash of their texts).
 
     A null or empty text has the end id alone; repeated rows stay rows of their own; other columns are
     not read.  A block holds whole documents, BLOCK_IDS ids or one longer document.
@@ -186,21 +210,20 @@ def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
         for batch in batches:
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for name, found in zip(names[at : at + 256], _ENCODERS[key].encode([t or "" for t in texts[at : at + 256]])):
-                    doc_ids.append(name)
-                    ids.append(found + tail)
-                    size += len(found) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield made()
-                        doc_ids, ids, size, block = [], [], 0, block + 1
+            for name, text in zip(names, texts):
+                doc_ids.append(name)
+                ids.append(_ENCODERS[key].encode(text or "") + tail)
+                size += len(ids[-1]) // 4
+                if size >= BLOCK_IDS:
+                    yield made()
+                    doc_ids, ids, size, block = [], [], 0, block + 1
         if doc_ids:
             yield made()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the text's digest, so that many rows of one id do not meet in one shard
-    rows = rows.withColumn("tie", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    # a hash of the text, so that many rows of one id do not meet in one shard
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return rows.mapInArrow(run, "shard int, block int, doc_ids array<long>, counts array<long>, ids binary")
 

@@ -23,7 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHED_PIECES = 500_000
+from specweave.llm.recent import Recent
+
+CACHED_PIECES = 300_000  # in each of two generations
+MOST_PAIRS = 2_000_000
 TRIE_WORDS = 50_000
 SLICE_CHARS = 1 << 20
 ENCODED = "doc_id long, ids binary"
@@ -111,7 +114,7 @@ class WordBpe:
         self.in_order = all(made.get(x, -1) < r for p, r in self.rank.items() for x in p)
         self.edges = {i: (self._edge(i, 1), self._edge(i, 0)) for i in self.symbols}
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent(CACHED_PIECES)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(split)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -235,29 +238,28 @@ class WordBpe:
             out += [self.special[part]] if part in self.special else self._plain_words(part)
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces of text not seen so far."""
-        todo = list(pieces)
+    def learned(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encodings of pieces of text not seen lately."""
+        todo, out = list(pieces), {}
         for at in range(0, len(todo), TRIE_WORDS):
             words = {p: self._words(p) for p in todo[at : at + TRIE_WORDS]}
             known = self.encode_words({w for ws in words.values() for w in ws if isinstance(w, bytes)})
             for p, ws in words.items():
                 ids = [i for w in ws for i in (known[w] if isinstance(w, bytes) else [w])]
-                self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+                out[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cut = [(t or "").split(" ") for t in texts]
-        found = [list(map(self.pieces.get, c)) for c in cut]
+        found = [self.pieces.found(c) for c in cut]
         new = {p for c, f in zip(cut, found) if None in f for p, i in zip(c, f) if i is None}
         if new:
-            if len(self.pieces) + len(new) > CACHED_PIECES:  # keep what is in use
-                self.pieces = {p: i for c, f in zip(cut, found) for p, i in zip(c, f) if i is not None}
-                if len(self.fits) > 4 * CACHED_PIECES:
-                    self.fits.clear()
-            self.learn(new)
-            get = self.pieces.__getitem__
-            found = [list(map(get, c)) if None in f else f for c, f in zip(cut, found)]
+            if len(self.fits) > MOST_PAIRS:
+                self.fits.clear()
+            known = self.learned(new)
+            self.pieces.add(known)
+            found = [[known[p] if i is None else i for p, i in zip(c, f)] if None in f else f for c, f in zip(cut, found)]
         return [b"".join(f) for f in found]
 
     def decode(self, ids: bytes) -> str:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from specweave.llm.recent import Recent
 
-CACHED_PIECES = 300_000  # in each of two generations
-MOST_PAIRS = 2_000_000
+CACHED_PIECES = 200_000  # in each of two generations
+MOST_PAIRS = 600_000
 TRIE_WORDS = 50_000
 SLICE_CHARS = 1 << 20
 ENCODED = "doc_id long, ids binary"

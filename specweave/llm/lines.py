@@ -1,17 +1,19 @@
 """Line deduplication: pairwise alignment of documents that share lines.
 
-Every line leads a later document to the first document that holds it, so a line held by very many
-documents makes one link for each of them and not one for every pair.  Linked documents are aligned
-as wholes by patience diff; common blocks are cut from the later one.  The first holder of a line
-never loses it, as no earlier document holds it.
+Every shortest run of lines with enough words leads a later document to the first document that holds
+the run, so a run held by very many documents makes one link for each of them and not one for every
+pair.  Linked documents are aligned as wholes by patience diff; common blocks are cut from the later one.
+Each line of a common block is in a shortest run inside the block, so it has a partner that holds the run.
+The first holder of a run never loses it, as no earlier document holds it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,28 @@ def _blocks(partner: dict[int, int], sizes: list[int], min_words: int) -> list[i
     return out
 
 
+def _runs(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Bounds of the runs with ``min_words`` words or more that lose them without their last line, or without
+    their first one.  Every line of a block with ``min_words`` words is in such a run inside the block."""
+    out = set()
+    ends = [0, *accumulate(sizes)]
+    for i, n in enumerate(ends[:-1]):
+        j = bisect_left(ends, n + min_words, i + 1)
+        if j < len(ends):
+            out.add((i, j))
+    for j, n in enumerate(ends[1:], 1):
+        i = bisect_right(ends, n - min_words, 0, j) - 1
+        if i >= 0:
+            out.add((i, j))
+    return sorted(out)
+
+
+def _seeds(lines: list[bytes], sizes: list[int], min_words: int) -> list[bytes]:
+    """Digests of the distinct runs of a document: a line's own, or that of its lines' digests."""
+    runs = {b"".join(lines[i:j]) for i, j in _runs(sizes, min_words)}
+    return sorted(x if len(x) == _SIZE else hashlib.blake2b(x, digest_size=_SIZE).digest() for x in runs)
+
+
 def _free(name: str, taken: list[str]) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
@@ -144,26 +168,26 @@ def _cuts(lined: DataFrame, min_words: int) -> DataFrame:
     """``doc, cut``: the positions, among its lines with words, that a document loses."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(lines: list[bytes], docs: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(docs, pa.binary())], names=["line", "doc"])
+        def made(runs: list[bytes], docs: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), pa.array(docs, pa.binary())], names=["run", "doc"])
 
-        lines: list[bytes] = []
+        runs: list[bytes] = []
         docs: list[bytes] = []
         for batch in batches:
-            for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("lines").to_pylist()):
-                own = sorted(set(_split(raw)))
-                lines += own
+            for doc, raw, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc", "lines", "sizes"))):
+                own = _seeds(_split(raw), np.frombuffer(sizes, "<u4").tolist(), min_words)
+                runs += own
                 docs += [doc] * len(own)
-                if len(lines) >= _FLUSH:
-                    yield made(lines, docs)
-                    lines, docs = [], []
-        yield made(lines, docs)
+                if len(runs) >= _FLUSH:
+                    yield made(runs, docs)
+                    runs, docs = [], []
+        yield made(runs, docs)
 
-    seeds = stored(lined.select("doc", "lines").mapInArrow(exploded, "line binary, doc binary"))
-    firsts = seeds.groupBy("line").agg(F.min("doc").alias("before"), F.max("doc").alias("last")).where("before <> last")
-    # as a table of its own, so that adaptive execution can split a line that very many documents hold
-    firsts = stored(firsts.select("line", "before"))
-    pairs = seeds.join(firsts, "line").where("doc <> before").select("doc", "before").distinct()
+    seeds = stored(lined.mapInArrow(exploded, "run binary, doc binary"))
+    firsts = seeds.groupBy("run").agg(F.min("doc").alias("before"), F.max("doc").alias("last")).where("before <> last")
+    # as a table of its own, so that adaptive execution can split a run that very many documents hold
+    firsts = stored(firsts.select("run", "before"))
+    pairs = seeds.join(firsts, "run").where("doc <> before").select("doc", "before").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +206,7 @@ def _cuts(lined: DataFrame, min_words: int) -> DataFrame:
     before = lined.select(F.col("doc").alias("before"), F.col("lines").alias("before_lines"))
     both = pairs.join(before, "before").join(lined, "doc").select("doc", "lines", "sizes", "before_lines")
     found = both.mapInArrow(align, "doc binary, cut array<int>")
-    # one list for each partner, and a document has no more partners than lines
+    # one list for each partner, and a document has at most two partners for each of its lines
     return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 

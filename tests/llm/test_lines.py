@@ -92,3 +92,44 @@ def test_every_shared_block_goes_once(docs_of):
         assert set(gone) <= seen
         assert not [x for x in after if len(x.split()) >= lines.MIN_WORDS and x in seen and before.count(x) == 1]
         seen |= set(before)
+
+
+def gone_by_all(rows, min_words=lines.MIN_WORDS):
+    """Brute force: the lines each document loses when it is held against all earlier ones."""
+    out, texts = {}, [(k, text.split("\n")) for k, text in rows]
+    for n, (k, own) in enumerate(texts):
+        cut = set()
+        for _, other in texts[:n]:
+            for i in range(len(other)):
+                for j in range(len(own)):
+                    size = 0
+                    while i + size < len(other) and j + size < len(own) and other[i + size] == own[j + size]:
+                        size += 1
+                    if sum(len(x.split()) for x in own[j : j + size]) >= min_words:
+                        cut.update(range(j, j + size))
+        out[k] = [x for j, x in enumerate(own) if j not in cut]
+    return out
+
+
+def test_blocks_of_short_lines_with_other_first_holders(docs_of):
+    rng = random.Random(4)
+    short = [passage(rng, 4) for _ in range(15)]
+    rows = [(k, f"{x}\n{passage(rng, 12)}") for k, x in enumerate(short)]
+    rows += [(20, "\n".join(short)), (21, f"{passage(rng, 12)}\n" + "\n".join(short))]
+    # a long line whose first holder lacks the short one after it
+    a, b = passage(rng, 10), passage(rng, 3)
+    rows += [(22, a), (23, f"{passage(rng, 11)}\n{a}\n{b}"), (24, f"{a}\n{b}")]
+    got = {r.doc_id: r for r in lines.without_repeats(docs_of(rows).repartition(3)).collect()}
+    assert (got[20].n_cut, got[21].n_cut, got[23].n_cut, got[24].n_cut) == (0, 15, 1, 2)
+    assert {k: r.text for k, r in got.items()} == {k: "\n".join(x) for k, x in gone_by_all(rows).items()}
+
+
+def test_short_lines_as_against_all_earlier_documents(docs_of):
+    rng = random.Random(5)
+    pool = [passage(rng, rng.choice([1, 2, 3, 4, 5, 9, 10])) for _ in range(30)]
+    rows = []
+    for k in range(200):
+        rng.shuffle(pool)
+        rows.append((k, "\n".join(x for _, x in sorted(enumerate(pool[: rng.randint(1, 14)]), key=lambda x: x[1] if k % 2 else x[0]))))
+    got = {r.doc_id: r.text for r in lines.without_repeats(docs_of(rows).repartition(3)).collect()}
+    assert got == {k: "\n".join(x) for k, x in gone_by_all(rows).items()}

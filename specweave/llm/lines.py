@@ -13,7 +13,7 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +81,23 @@ def patience(first: list, second: list) -> list[tuple[int, int]]:
 
 def common_lines(earlier: list, later: list, sizes: list[int], min_words: int) -> list[int]:
     """Positions in ``later`` of the blocks of at least ``min_words`` words that both sequences hold:
-    those that patience diff aligns, and then those that stand in another order."""
+    those that patience diff aligns, and then those that stand in another order, by their shortest runs
+    at all places of the earlier one."""
     partner = {j: i for i, j in patience(earlier, later)}
-    cut = _blocks(partner, sizes, min_words)
-    at: dict = {}
-    for i, x in enumerate(earlier):
-        at.setdefault(x, i)
-    done = set(cut)
-    moved: dict[int, int] = {}
-    for j, x in enumerate(later):
-        if j not in done and x in at:
-            i = moved.get(j - 1, -2) + 1
-            moved[j] = i if 0 < i < len(earlier) and earlier[i] == x else at[x]
-    return sorted(done.union(_blocks(moved, sizes, min_words)))
+    cut = set(_blocks(partner, sizes, min_words))
+    known = set(earlier)
+    if all(j in cut or x not in known for j, x in enumerate(later)):
+        return sorted(cut)
+    size_of = dict(zip(later, sizes))
+    held = set()
+    for shared, piece in groupby(earlier, size_of.__contains__):
+        if shared:
+            own = list(piece)
+            held.update(tuple(own[i:j]) for i, j in _runs([size_of[x] for x in own], min_words))
+    for i, j in _runs(sizes, min_words):
+        if tuple(later[i:j]) in held:
+            cut.update(range(i, j))
+    return sorted(cut)
 
 
 def _blocks(partner: dict[int, int], sizes: list[int], min_words: int) -> list[int]:

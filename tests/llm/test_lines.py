@@ -133,3 +133,17 @@ def test_short_lines_as_against_all_earlier_documents(docs_of):
         rows.append((k, "\n".join(x for _, x in sorted(enumerate(pool[: rng.randint(1, 14)]), key=lambda x: x[1] if k % 2 else x[0]))))
     got = {r.doc_id: r.text for r in lines.without_repeats(docs_of(rows).repartition(3)).collect()}
     assert got == {k: "\n".join(x) for k, x in gone_by_all(rows).items()}
+
+
+def test_a_moved_block_may_begin_with_a_line_that_stands_earlier_too():
+    assert lines.common_lines(list("xaxbcd"), list("cdxb"), [12, 12, 5, 5], 10) == [0, 1, 2, 3]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=20), st.lists(st.sampled_from("abcdef"), max_size=20))
+def test_common_lines_are_all_common_blocks(a, b):
+    words = dict(zip("abcdef", (1, 2, 4, 5, 9, 10)))
+    rows = [(k, "\n".join(" ".join(x * words[x]) for x in own)) for k, own in enumerate((a, b))]
+    left = gone_by_all(rows)[1]
+    cut = set(lines.common_lines(a, b, [words[x] for x in b], 10))
+    assert [" ".join(x * words[x]) for j, x in enumerate(b) if j not in cut] == (left if b else [])

@@ -2,11 +2,13 @@
 
 The model predicts one of OUTPUTS symbols from the CONTEXT symbols before it: the end of a text, the
 most frequent words, or one of BUCKETS groups of all other words by their last two bytes.  Within a group
-words have add-one probabilities from the counts, so that every text has a probability.
+it predicts one of its members, the GROUP_WORDS most frequent words that occur twice at least, or the rest
+of the group; members are symbols of their own in contexts too.  Words of the rest have add-one
+probabilities from the counts, so that every text has a probability.
 
-Fitted by noise-contrastive estimation on positions drawn at a fixed rate from every training text: each
-partition trains from the same start, and the results are averaged, weighted by positions, in ROUNDS
-rounds.  Scoring multiplies batches of contexts with all outputs and normalises.
+Fitted by noise-contrastive estimation on every position of every training text: each partition trains from
+the same start, and the results are averaged, weighted by positions, in ROUNDS rounds.  Scoring multiplies
+batches of contexts with all outputs, and with those of the group, and normalises both.
 
 Counts of all words stay a table; its most frequent VOCABULARY words (a fixed number) go to the tasks, so
 only rare words of a text are joined, and no join key is frequent.
@@ -36,8 +38,10 @@ OUTPUTS = 1 + TOP_WORDS + BUCKETS
 CONTEXT = 5
 SIZE = 16
 ROUNDS = 2
-DRAWN = 1 / 16  # share of positions in each round
+DRAWN = 1.0  # share of positions in each round
+GROUP_WORDS = 255
 NOISE = 64
+GROUP_NOISE = 4
 BATCH = 1024
 RATE = 0.1
 
@@ -83,12 +87,14 @@ class Vocabulary:
 
     hashes: np.ndarray  # ascending
     counts: np.ndarray
-    symbols: np.ndarray  # of TOP_WORDS; -1 for others
+    symbols: np.ndarray  # of TOP_WORDS, and OUTPUTS + row of members; -1 for others
     ends: int  # training texts
     total: int  # N
     kinds: int  # V
-    group_logs: np.ndarray  # log10 of the denominator of every group
+    group_logs: np.ndarray  # log10 of the denominator of the rest of every group
     noise: np.ndarray  # how often each symbol occurs
+    rows: np.ndarray  # the first row of every group, that of its rest, and the number of rows
+    row_noise: np.ndarray  # how often each row occurs
 
 
 def _most_frequent(counts: DataFrame) -> pa.Table:
@@ -138,14 +144,35 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     ends = counts.where("token = ''").agg(F.sum("c")).first()[0] or 0
     total, kinds = int(n.sum()) + ends, int(v.sum()) + (ends > 0)
     # the top words are symbols of their own and leave their groups
-    at_top = [words_of(d, b, NOT_SPACE, False) for _, _, d, b in texts_of(column.slice(0, TOP_WORDS))]
-    group = np.concatenate([buckets_of(w, np.arange(len(w.starts))) for w in at_top] or [np.empty(0, np.int64)]).astype(np.int64)
-    n -= np.bincount(group, c[: len(group)], OUTPUTS).astype(np.int64)
-    v -= np.bincount(group, minlength=OUTPUTS)
+    every = [words_of(d, b, NOT_SPACE, False) for _, _, d, b in texts_of(column)]
+    group = np.concatenate([buckets_of(w, np.arange(len(w.starts))) for w in every] or [np.empty(0, np.int64)]).astype(np.int64)
+    own = group[:TOP_WORDS]
+    n -= np.bincount(own, c[: len(own)], OUTPUTS).astype(np.int64)
+    v -= np.bincount(own, minlength=OUTPUTS)
     noise = n.astype(np.float64)
     noise[0] = ends
-    noise[1 : 1 + len(group)] = c[: len(group)]
-    return Vocabulary(hashes[order], c[order], symbols[order], ends, total, kinds, np.log10(n + v + 1), noise + 1)
+    noise[1 : 1 + len(own)] = c[: len(own)]
+    # members leave the rest of their groups
+    at, rank = _ranked(group, TOP_WORDS + np.flatnonzero(c[TOP_WORDS:] > 1))
+    at, rank = at[rank < GROUP_WORDS], rank[rank < GROUP_WORDS]
+    sizes = np.bincount(group[at], minlength=OUTPUTS)
+    n -= np.bincount(group[at], c[at], OUTPUTS).astype(np.int64)
+    v -= sizes
+    last = 1 + TOP_WORDS + BUCKETS
+    rows = np.concatenate(([0], np.cumsum(1 + sizes[1 + TOP_WORDS : last])))
+    row = rows[group[at] - 1 - TOP_WORDS] + 1 + rank
+    row_noise = np.empty(rows[-1])
+    row_noise[rows[:-1]] = (n + v + 1)[1 + TOP_WORDS : last]
+    row_noise[row] = c[at] + 1
+    symbols[at] = OUTPUTS + row
+    return Vocabulary(hashes[order], c[order], symbols[order], ends, total, kinds, np.log10(n + v + 1), noise + 1, rows, row_noise)
+
+
+def _ranked(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``at`` ordered by group, and the place of each in its group."""
+    at = at[np.argsort(group[at], kind="stable")]
+    first = np.searchsorted(group[at], group[at])
+    return at, np.arange(len(at)) - first
 
 
 @dataclass
@@ -158,7 +185,7 @@ class Coded:
     at: np.ndarray  # the first place of every distinct word
     which: np.ndarray  # the distinct word of every word
     counts: np.ndarray  # of the distinct words; -1 outside the vocabulary
-    is_top: np.ndarray
+    named: np.ndarray  # whether a symbol stands for this word alone
 
 
 def coded(column: pa.Array, known: Vocabulary) -> Iterator[tuple[int, Coded]]:
@@ -170,12 +197,12 @@ def coded(column: pa.Array, known: Vocabulary) -> Iterator[tuple[int, Coded]]:
             place = np.minimum(np.searchsorted(known.hashes, own), len(known.hashes) - 1)
             hit = known.hashes[place] == own
             counts[hit], symbols[hit] = known.counts[place[hit]], known.symbols[place[hit]]
-        is_top = symbols >= 0
-        symbols[~is_top] = buckets_of(words, at[~is_top])
+        named = symbols >= 0
+        symbols[~named] = buckets_of(words, at[~named])
         of = words.of + np.arange(len(words.of))
         out = np.zeros(of[-1], np.int64)
         out[np.arange(len(which)) + words.text_of()] = symbols[which]
-        yield first, Coded(words, out, of, at, which, counts, is_top)
+        yield first, Coded(words, out, of, at, which, counts, named)
 
 
 def contexts(symbols: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -191,90 +218,158 @@ class Model:
     places: np.ndarray  # a diagonal for each place before the target
     targets: np.ndarray
     bias: np.ndarray
+    inner: np.ndarray  # the rows of all groups
+    inner_bias: np.ndarray
+    rows: np.ndarray  # of the vocabulary
 
     @staticmethod
-    def start(noise: np.ndarray, seed: int = 4) -> Model:
+    def start(noise: np.ndarray, rows: np.ndarray | None = None, row_noise: np.ndarray | None = None, seed: int = 4) -> Model:
+        """Without ``rows``, of groups without members."""
+        rows = np.arange(BUCKETS + 1) if rows is None else rows
+        row_noise = np.ones(rows[-1]) if row_noise is None else row_noise
         rng = np.random.default_rng(seed)
         vectors = rng.normal(0, 0.1, (2, OUTPUTS, SIZE)).astype(np.float32)
+        more = rng.normal(0, 0.1, (2, rows[-1], SIZE)).astype(np.float32)
         places = np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32)
-        return Model(vectors[0], places, vectors[1], np.log(noise / noise.sum()).astype(np.float32))
+        bias = np.log(noise / noise.sum()).astype(np.float32)
+        return Model(np.concatenate((vectors[0], more[0])), places, vectors[1], bias, more[1], _row_logs(rows, row_noise), rows)
+
+    def trainable(self) -> tuple[np.ndarray, ...]:
+        return self.words, self.places, self.targets, self.bias, self.inner, self.inner_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.words, self.places, self.targets, self.bias)])
+        return np.concatenate([x.ravel() for x in self.trainable()])
 
     @staticmethod
-    def of(flat: np.ndarray) -> Model:
-        shapes = [(OUTPUTS, SIZE), (CONTEXT, SIZE), (OUTPUTS, SIZE), (OUTPUTS,)]
+    def of(flat: np.ndarray, rows: np.ndarray) -> Model:
+        n = rows[-1]
+        shapes = [(OUTPUTS + n, SIZE), (CONTEXT, SIZE), (OUTPUTS, SIZE), (OUTPUTS,), (n, SIZE), (n,)]
         parts = np.split(flat.astype(np.float32), np.cumsum([math.prod(s) for s in shapes])[:-1])
-        return Model(*(p.reshape(s).copy() for p, s in zip(parts, shapes)))
+        return Model(*(p.reshape(s).copy() for p, s in zip(parts, shapes)), rows)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         return np.einsum("bcs,cs->bs", self.words[context], self.places)
 
+    def located(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The output of each symbol, its group and its row there; group and row are -1 for end and top words
+        and where a group has a rest only."""
+        member = symbols >= OUTPUTS
+        group = np.where(member, np.searchsorted(self.rows, symbols - OUTPUTS, "right") - 1, symbols - 1 - TOP_WORDS)
+        output = np.where(member, 1 + TOP_WORDS + group, symbols)
+        group = np.where(group < 0, -1, group)
+        group[self.rows[group + 1] - self.rows[group] <= 1] = -1
+        return output, group, np.where(group < 0, -1, np.where(member, symbols - OUTPUTS, self.rows[group]))
+
     def log10(self, symbols: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of all symbols."""
         out = np.empty(len(symbols))
-        for first in range(0, len(symbols), 2048):
-            at = np.arange(first, min(first + 2048, len(symbols)))
-            logits = self.hidden(contexts(symbols, of, at)) @ self.targets.T
-            logits += self.bias
-            own = logits[np.arange(len(at)), symbols[at]].astype(np.float64)
-            top = logits.max(1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            out[at] = own - top[:, 0] - np.log(logits.sum(1, dtype=np.float64))
+        for start in range(0, len(symbols), 8 * 2048):
+            to = min(start + 8 * 2048, len(symbols))
+            output, group, row = self.located(symbols[start:to])
+            hidden = self.hidden(contexts(symbols, of, np.arange(start, to)))
+            for first in range(0, to - start, 2048):
+                at = slice(first, min(first + 2048, to - start))
+                out[start + first : start + at.stop] = _log_share(hidden[at], self.targets, self.bias, output[at])
+            tail = np.flatnonzero(group >= 0)
+            tail = tail[np.argsort(group[tail], kind="stable")]
+            for at in np.split(tail, np.flatnonzero(np.diff(group[tail])) + 1) if len(tail) else ():
+                first, end = self.rows[group[at[0]] : group[at[0]] + 2]
+                for k in range(0, len(at), 2048):
+                    some = at[k : k + 2048]
+                    out[start + some] += _log_share(hidden[some], self.inner[first:end], self.inner_bias[first:end], row[some] - first)
         return out / math.log(10)
 
 
+def _row_logs(rows: np.ndarray, row_noise: np.ndarray) -> np.ndarray:
+    """Logs of the share of each row in its group."""
+    return np.log(row_noise / np.repeat(np.add.reduceat(row_noise, rows[:-1]), np.diff(rows))).astype(np.float32)
+
+
+def _log_share(hidden: np.ndarray, targets: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    logits = hidden @ targets.T
+    logits += bias
+    own = logits[np.arange(len(at)), at].astype(np.float64)
+    top = logits.max(1, keepdims=True)
+    logits -= top
+    np.exp(logits, out=logits)
+    return own - top[:, 0] - np.log(logits.sum(1, dtype=np.float64))
+
+
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``at`` and the sums of their rows of ``values``; symbols and rows fit 16 bits."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[first], np.add.reduceat(values[order], first)
+
+
 class Trainer:
-    """Noise-contrastive estimation with steps scaled as in Adagrad."""
+    """Noise-contrastive estimation with steps scaled as in Adagrad; only rows of the batch are touched."""
 
-    def __init__(self, model: Model, noise: np.ndarray, seed: int) -> None:
+    def __init__(self, model: Model, known: Vocabulary, seed: int) -> None:
         self.model, self.rng = model, np.random.default_rng(seed)
-        self.seen = [np.full(x.shape, 1e-3, np.float32) for x in (model.words, model.places, model.targets, model.bias)]
-        self.share = noise / noise.sum()
-        self.log_noise = np.log(NOISE * self.share).astype(np.float32)
+        self.seen = [np.full(x.shape, 1e-3, np.float32) for x in model.trainable()]
+        self.below = np.cumsum(known.noise / known.noise.sum())
+        self.log_noise = np.log(NOISE * known.noise / known.noise.sum()).astype(np.float32)
+        self.row_below = np.concatenate(([0], np.cumsum(known.row_noise)))
+        self.row_log_noise = _row_logs(known.rows, known.row_noise) + np.float32(math.log(GROUP_NOISE))
         self.n = 0
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        """One batch; all its positions are held against the same NOISE symbols."""
-        m = self.model
-        noise = self.rng.choice(OUTPUTS, NOISE, p=self.share)
+        """One batch; all its positions are held against the same NOISE symbols, and those of groups against
+        GROUP_NOISE rows of their group each."""
+        m, n = self.model, len(target)
+        output, group, row = m.located(target)
+        noise = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE), "right"), OUTPUTS - 1)
         rows = m.words[context]
         h = np.einsum("bcs,cs->bs", rows, m.places)
-        own = (h * m.targets[target]).sum(1) + m.bias[target] - self.log_noise[target]
+        own = (h * m.targets[output]).sum(1) + m.bias[output] - self.log_noise[output]
         other = h @ m.targets[noise].T + m.bias[noise] - self.log_noise[noise]
         g_own = 1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1
         g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        d_h = g_own[:, None] * m.targets[target] + g_other @ m.targets[noise]
-        d_targets, d_bias = np.zeros_like(m.targets), np.zeros_like(m.bias)
-        np.add.at(d_targets, target, g_own[:, None] * h)
-        np.add.at(d_targets, noise, g_other.T @ h)
-        np.add.at(d_bias, target, g_own)
-        np.add.at(d_bias, noise, g_other.sum(0))
+        d_h = g_own[:, None] * m.targets[output] + g_other @ m.targets[noise]
+        both = np.concatenate((output, noise))
+        moves = [(2, 3, both, np.concatenate((g_own[:, None] * h, g_other.T @ h)), np.concatenate((g_own, g_other.sum(0))))]
+        tail = np.flatnonzero(group >= 0)
+        if len(tail):
+            first, end = m.rows[group[tail]], m.rows[group[tail] + 1]
+            low, high = self.row_below[first][:, None], self.row_below[end][:, None]
+            drawn = np.searchsorted(self.row_below, low + (high - low) * self.rng.random((len(tail), GROUP_NOISE)), "right") - 1
+            at = np.concatenate((row[tail][:, None], np.clip(drawn, first[:, None], end[:, None] - 1)), 1)
+            vectors = m.inner[at]
+            g = np.einsum("ts,tks->tk", h[tail], vectors) + m.inner_bias[at] - self.row_log_noise[at]
+            g = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+            g[:, 0] -= 1
+            d_h[tail] += np.einsum("tk,tks->ts", g, vectors)
+            moves.append((4, 5, at.ravel(), (g[:, :, None] * h[tail][:, None]).reshape(-1, SIZE), g.ravel()))
         d_places = np.einsum("bcs,bs->cs", rows, d_h)
-        d_words = np.zeros_like(m.words)
-        for place in range(CONTEXT):
-            np.add.at(d_words, context[:, place], d_h * m.places[place])
-        n = len(target)
-        for x, d, s in zip((m.words, m.places, m.targets, m.bias), (d_words, d_places, d_targets, d_bias), self.seen):
-            d /= n
-            s += d * d
-            x -= RATE * d / np.sqrt(s)
+        d_rows = (d_h[:, None] * m.places).reshape(-1, SIZE)
+        for vectors, bias, at, d, d_bias in moves:
+            places, sums = _summed(at, np.concatenate((d, d_bias[:, None]), 1))
+            self._move(vectors, places, sums[:, :SIZE] / n)
+            self._move(bias, places, sums[:, SIZE] / n)
+        places, sums = _summed(context.ravel(), d_rows)
+        self._move(0, places, sums / n)
+        self._move(1, slice(None), d_places / n)
         self.n += n
 
+    def _move(self, k: int, at: np.ndarray | slice, d: np.ndarray) -> None:
+        s = self.seen[k][at] + d * d
+        self.seen[k][at] = s
+        self.model.trainable()[k][at] -= RATE * d / np.sqrt(s)
+
 
 def trained(docs: DataFrame, known: Vocabulary) -> Model:
     """The model after ROUNDS rounds over all texts; without texts, the start."""
     context = docs.sparkSession.sparkContext
-    model = Model.start(known.noise)
+    model = Model.start(known.noise, known.rows, known.row_noise)
     for turn in range(ROUNDS):
         sent = context.broadcast((model, known))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             start, known = sent.value
             part = TaskContext.get().partitionId()
-            trainer = Trainer(Model.of(start.flat()), known.noise, seed=part * ROUNDS + turn)
+            trainer = Trainer(Model.of(start.flat(), known.rows), known, seed=part * ROUNDS + turn)
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
                 for _, texts in coded(batch.column("text"), known):
@@ -290,29 +385,32 @@ def trained(docs: DataFrame, known: Vocabulary) -> Model:
             if waiting and sum(len(t) for _, t in waiting):
                 c, t = (np.concatenate(x) for x in zip(*waiting))
                 trainer.step(c, t)
-            yield _row(trainer.model.flat() * trainer.n, trainer.n)
+            yield _row(trainer.model.flat(), trainer.n)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(0), 0
             for batch in batches:
                 for r in batch.to_pylist():
-                    part = np.frombuffer(r["sums"])
+                    part = np.frombuffer(r["mean"], np.float32).astype(np.float64) * r["n"]
                     total, n = (total + part if len(total) else part), n + r["n"]
-            yield _row(total, n)
+            yield _row(total / max(n, 1), n)
 
-        parts = _texts(docs).select("text").mapInArrow(run, "sums binary, n long")
-        # partial sums first: the driver gets about the square root of the number of partitions
+        parts = _texts(docs).select("text").mapInArrow(run, "mean binary, n long")
+        # partial sums first: the driver gets about the square root of the number of partitions, one after the other
         few = max(1, math.isqrt(parts.rdd.getNumPartitions()))
-        sums = [r for r in parts.repartition(few).mapInArrow(added, "sums binary, n long").collect() if r.n]
-        if sums:
-            model = Model.of(sum(np.frombuffer(bytes(r.sums)) for r in sums) / sum(r.n for r in sums))
+        total, n = 0.0, 0
+        for r in parts.repartition(few).mapInArrow(added, "mean binary, n long").toLocalIterator():
+            if r.n:
+                total, n = total + np.frombuffer(bytes(r.mean), np.float32).astype(np.float64) * r.n, n + r.n
+        if n:
+            model = Model.of(total / n, known.rows)
         sent.unpersist()
     return model
 
 
-def _row(sums: np.ndarray, n: int) -> pa.RecordBatch:
+def _row(mean: np.ndarray, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([sums.astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["sums", "n"]
+        [pa.array([mean.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["mean", "n"]
     )
 
 
@@ -340,9 +438,10 @@ def scores(docs: DataFrame) -> DataFrame:
                 names = number + np.arange(n)
                 number += n
                 log_c = np.where(texts.counts >= 0, np.log10(np.maximum(texts.counts, 0) + 1), 0.0)
-                other = ~texts.is_top[texts.which]
+                other = ~texts.named[texts.which]
                 own_log = log_c[texts.which]
-                group = known.group_logs[texts.symbols[np.arange(len(texts.which)) + words.text_of()]]
+                symbols = texts.symbols[np.arange(len(texts.which)) + words.text_of()]
+                group = known.group_logs[np.where(other, symbols, 0)]
                 neural = reduced(np.add, model.log10(texts.symbols, texts.of), texts.of)
                 neural += reduced(np.add, np.where(other, own_log - group, 0.0), words.of)
                 seen = reduced(np.add, (texts.counts >= 0).astype(np.int64)[texts.which], words.of) + (known.ends > 0)

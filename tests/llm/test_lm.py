@@ -89,3 +89,51 @@ def test_no_training_rows_and_no_documents(docs_of):
     (r,) = lm.scores(docs_of([(only, "a b a")])).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (4, 0, 0, 0.0)
     assert lm.scores(docs_of([])).count() == 0
+
+
+def many(n=400):
+    """Texts of more words than TOP_WORDS, each word followed by one that the word before it tells."""
+    rng = random.Random(2)
+    heads, tails = [f"h{k}{'aeiou'[k % 5]}" for k in range(300)], [f"t{k}{'aeiou'[k % 5]}" for k in range(300)]
+    rows = []
+    for i in range(n):
+        at = [min(int(rng.expovariate(0.01)), 299) for _ in range(200)]
+        rows.append((i, " ".join(f"{heads[k]} {tails[k]}" for k in at) + f" rare{i}"))
+    return rows
+
+
+def test_training_moves_every_word_that_occurs(docs_of):
+    """All positions are targets: whatever symbol occurs has another bias after training, and noise alone is no reason."""
+    rows = [(i, t) for i, t in many(40) if not held(i)]
+    known = lm.vocabulary(lm.word_counts(docs_of(rows)).cache())
+    before = lm.Model.start(known.noise, known.rows, known.row_noise)
+    after = lm.trained(docs_of(rows).repartition(2), known)
+    inner = known.symbols[known.symbols >= lm.OUTPUTS] - lm.OUTPUTS
+    assert len(inner) and (before.inner_bias[inner] != after.inner_bias[inner]).all()
+    assert (before.words[lm.OUTPUTS + inner] != after.words[lm.OUTPUTS + inner]).any(1).all()
+
+
+def test_frequent_words_of_groups_are_symbols_and_all_probabilities_sum_to_one(docs_of):
+    rows = many(60)
+    known = lm.vocabulary(lm.word_counts(docs_of(rows)).cache())
+    c = Counter(w for _, t in rows for w in words(t))
+    inner = known.symbols[known.symbols >= lm.OUTPUTS]
+    assert len(inner) == len(set(inner)) > 0
+    assert (known.counts[known.symbols >= 0] > 0).all() and known.row_noise.min() > 0
+    model = lm.Model.start(known.noise, known.rows, known.row_noise)
+    ids = [*range(lm.OUTPUTS), *inner.tolist()]
+    # the same context before each symbol
+    symbols = np.array([s for k in ids for s in (7, k)])
+    of = np.arange(0, len(symbols) + 1, 2)
+    share = 10 ** model.log10(symbols, of)[1::2]
+    assert math.isclose(share.sum(), 1, rel_tol=1e-4)
+    # the rest of a group holds what is no member
+    assert math.isclose(known.row_noise.sum(), sum(n + 1 for w, n in c.items() if w) - sum(
+        n + 1 for n in sorted((n for w, n in c.items() if w), reverse=True)[: lm.TOP_WORDS]
+    ) + lm.BUCKETS)
+
+
+def test_production_model_beats_the_base_by_words_outside_the_top(docs_of):
+    got = [r for r in lm.scores(docs_of(many()).repartition(2)).collect() if r.held_out]
+    assert len({w for _, t in many() for w in words(t)}) > 2 * lm.TOP_WORDS
+    assert sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)

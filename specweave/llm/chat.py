@@ -2,14 +2,16 @@
 
 For every participant the dialogue is rendered once with that speaker as the assistant and the others as
 named users.  Dialogues are cut into parts of PART_TURNS turns, so that no row and no group grows with the
-length of a dialogue; the parts of one perspective, in order, are its text.
+length of a dialogue; the parts of one perspective, by part and slot, are its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.llm.tables import stored
+
 PART_TURNS = 32
 CROWD = 32
 
@@ -31,15 +33,37 @@ def _messages(conversations: DataFrame) -> DataFrame:
 def _dealt(messages: DataFrame) -> DataFrame:
     """``part`` and ``slot`` of every message.
 
-    More than CROWD messages of one turn are dealt into slots by a hash, in whose order they come.
+    A turn with more than CROWD distinct messages is cut off: it has slots of its own, of CROWD messages by
+    speaker and body, after the slot of the turns before it and before that of the turns after it.
     Messages without a turn have no place in the order: each is a part of its own.
     """
-    crowds = messages.where("turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
-    crowds = crowds.where(F.col("n") > CROWD).select("conv_id", "turn", F.ceil(F.col("n") / CROWD).alias("slots"))
+    messages = messages.withColumn("part", F.floor(F.col("turn") / F.lit(PART_TURNS)).cast("long"))
     hashed = F.xxhash64("speaker", "body")
-    slot = F.when(F.col("turn").isNull(), hashed).otherwise(F.coalesce(F.pmod(hashed, F.col("slots")), F.lit(0)))
-    part = F.floor(F.col("turn") / F.lit(PART_TURNS))
-    return messages.join(crowds, ["conv_id", "turn"], "left").withColumns({"part": part.cast("long"), "slot": slot})
+    kinds = messages.where("turn is not null").select("conv_id", "part", "turn", hashed.alias("message")).distinct()
+    crowds = kinds.groupBy("conv_id", "part", "turn").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    crowds = crowds.select("conv_id", "part", F.struct("turn", F.ceil(F.col("n") / CROWD).alias("slots")).alias("crowd"))
+    # a list holds PART_TURNS turns at most
+    crowds = stored(crowds.groupBy("conv_id", "part").agg(F.collect_list("crowd").alias("crowds")))
+    placed = messages.join(crowds, ["conv_id", "part"], "left")
+    crowded = F.expr("coalesce(exists(crowds, x -> x.turn = turn), false)")
+    before = F.expr("coalesce(aggregate(filter(crowds, x -> x.turn < turn), 0L, (n, x) -> n + x.slots + 1), 0L)")
+    plain = placed.where(~crowded).withColumn("slot", F.when(F.col("turn").isNull(), hashed).otherwise(before))
+    ranked = _ranked(placed.where(crowded).withColumn("slot", before).drop("crowds").distinct())
+    slot = F.col("slot") + 1 + F.floor(F.col("place") / F.lit(CROWD))
+    return plain.drop("crowds").unionByName(ranked.withColumn("slot", slot.cast("long")).drop("place"))
+
+
+def _ranked(messages: DataFrame) -> DataFrame:
+    """``place`` of distinct messages in their turn, from 0: counted in ranges, so that no task holds a whole turn."""
+    # stored, as another evaluation may draw other ranges
+    ranged = messages.repartitionByRange("conv_id", "turn", "speaker", "body")
+    ranged = stored(ranged.withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("conv_id", "turn", "range").agg(F.count(F.lit(1)).alias("n"))
+    turn = Window.partitionBy("conv_id", "turn").orderBy("range")
+    below = counts.select("conv_id", "turn", "range", (F.sum("n").over(turn) - F.col("n")).alias("below"))
+    own = Window.partitionBy("conv_id", "turn", "range").orderBy("speaker", "body")
+    placed = ranged.withColumn("place", F.row_number().over(own) - 1).join(below, ["conv_id", "turn", "range"])
+    return placed.withColumn("place", F.col("place") + F.col("below")).drop("range", "below")
 
 
 def _rendered(rows: DataFrame) -> DataFrame:

@@ -99,3 +99,20 @@ def test_plan_is_native(talk):
     plan = chat.perspectives(talk([(1, 0, "a", "x")]))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
     assert chat.perspectives(talk([])).count() == 0
+
+
+def test_repeated_rows_make_no_crowd(talk):
+    rows = [(1, t, f"s{t % 2}", f"line {t}") for t in range(6)]
+    got = chat.perspectives(talk(rows * 33).repartition(3)).collect()
+    assert {(r.speaker, r.part, r.slot, r.n_messages) for r in got} == {("s0", 0, 0, 6), ("s1", 0, 0, 6)}
+    assert len(got) == 2 and joined(chat.perspectives(talk(rows * 33))) == brute(rows)
+
+
+def test_crowded_turns_stand_between_the_turns_around_them(talk):
+    rows = [(1, t, f"s{t % 2}", f"line {t}") for t in range(80)]
+    rows += [(1, t, f"s{k % 2}", f"message {k}") for t, n in ((0, 40), (7, 100), (8, 32), (9, 33), (31, 33), (64, 70)) for k in range(n)]
+    rows += [(2, 3, f"s{k % 3}", f"only {k}") for k in range(65)]
+    got = chat.perspectives(talk(rows + rows[:200]).repartition(4))
+    assert joined(got) == brute(rows)
+    # a part of 32 turns, of which those up to CROWD messages stay together
+    assert max(r.n_messages for r in got.collect()) <= 2 * chat.CROWD + chat.PART_TURNS

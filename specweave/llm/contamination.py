@@ -49,7 +49,7 @@ def winnow(at: np.ndarray, hashes: np.ndarray, texts: np.ndarray, run: int) -> n
 class Benchmark:
     """Items of one block with their kept hashes, by k."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, k: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int, k: int) -> None:
         column = pa.array([t for _, t in items], pa.large_string())
         parts = [words_of(data, bounds, LETTERS, True) for _, _, data, bounds in texts_of(column)]
         self.ids = [i for i, _ in items]
@@ -128,12 +128,12 @@ class Benchmark:
         return (low, high) if high - low >= gram else (at, at)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in blocks of bounded size, one at a time on the driver."""
     # equal rows once; a lone item above the bound is a block of its own
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     block, size = [], 0
-    for r in rows.where("i is not null and t is not null").distinct().toLocalIterator():
+    for r in rows.where("t is not null").distinct().toLocalIterator():
         block.append((r.i, r.t))
         size += len(r.t)
         if size >= block_bytes:
@@ -154,7 +154,7 @@ def _made(name: str, sent: Broadcast, window: int, k: int) -> Benchmark:
     return _MADE[name]
 
 
-def _sent(spark: SparkSession, block: list[tuple[str, str]], window: int, k: int) -> Callable[[], Benchmark]:
+def _sent(spark: SparkSession, block: list[tuple[str | None, str]], window: int, k: int) -> Callable[[], Benchmark]:
     """A block for the tasks."""
     sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
     return lambda: _made(name, sent, window, k)
@@ -167,10 +167,11 @@ def contamination(
 
     One row per input row: ``n_words``, ``n_hit`` (words inside any occurrence of a window of
     ``window`` consecutive words of an item; a shorter item is one window), ``n_items``,
-    ``items_sha256`` (of the sorted ids, joined by commas) and ``contaminated``.
+    ``items_sha256`` (of the sorted ids, joined by commas) and ``contaminated``.  Items without id count as
+    one item, which has no place among the ids.
 
     Null and empty texts have no words; null ids and repeated rows stay rows of their own.  Items
-    without id or words match nothing; repeated items count once.  An empty benchmark marks
+    without words match nothing; repeated items count once.  An empty benchmark marks
     nothing.  Other columns are not read.
     """
     rows = docs.select(

@@ -68,3 +68,20 @@ def test_long_text_and_empty_tables(spark, docs_of):
     assert c.contamination(docs_of([]), benchmark).count() == 0
     nothing = c.contamination(docs_of([(1, passage)]), benchmark.limit(0))
     assert [tuple(r)[1:4] for r in nothing.collect()] == [(30, 0, 0)]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 10])
+def test_items_without_id_mark_words_too(spark, docs_of, block_bytes):
+    rng = random.Random(6)
+    a, b, e = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(3))
+    benchmark = spark.createDataFrame([(None, a), (None, b), (7, e), (7, a)], "item_id long, text string")
+    rows = [(1, f"x {b} y"), (2, f"{a} {e}"), (3, "x y z"), (4, f"{a} {b}")]
+    got = {r.doc_id: r for r in c.contamination(docs_of(rows), benchmark, block_bytes=block_bytes).collect()}
+    sha = {k: hashlib.sha256(k.encode()).hexdigest() for k in ("", "7")}
+    assert {k: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items()} == {
+        1: (12, 1, sha[""], True),
+        2: (24, 2, sha["7"], True),
+        3: (0, 0, sha[""], False),
+        4: (24, 2, sha["7"], True),
+    }
+    assert [r.doc_id for r in c.clean(docs_of(rows), benchmark, block_bytes=block_bytes).collect()] == [3]

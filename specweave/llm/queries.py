@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, quality, rules, toxicity
+from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, quality, repair, rules, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,80 @@ def decision_list(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_log_bilinear")
 def log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1]))"
+    last = "xor(c >> 1, 3988292384 * (c & 1))"
+    step = f"case when e < 0 then {last} else xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1)) end"
+    return f"xor(list_reduce(list_prepend(4294967295, cast({bits} as bigint[])), lambda c, e: {step}), 4294967295)"
+
+
+def _way(state: str, letter: str, cost: str, line: str = "''", when: str = "true") -> str:
+    """A state's cost, audit and text after one more edit."""
+    cost = f"{state}.c + case when {when} then {cost} else 1000000000 end"
+    return f"{{'c': {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+def _rows_after(states: str) -> str:
+    """One row's edits on four states, between which up to two roles are inserted before it."""
+    user, helper = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    kept, alive = "chr(10) || role || ':' || \"text\"", "fault not in ('blank', 'duplicate')"
+    cut = "case when fault = 'truncated' then 1 else 0 end"
+    to_user = [_way(f"j{q}", "R", f"2 + {cut}", f"{user} || \"text\"", alive) for q in (0, 1, 3)]
+    to_user += [_way(f"j{q}", "K", cut, kept, f"{alive} and ini = 'u'") for q in (0, 1, 3)]
+    to_helper = [_way("j2", "R", f"2 + {cut}", f"{helper} || \"text\"", alive), _way("j2", "K", cut, kept, f"{alive} and ini = 'a'")]
+    after = [
+        [_way("j0", "D", "3")],
+        [_way("j1", "D", "3"), _way("j0", "K", cut, kept, f"{alive} and ini = 's'")],
+        [_way("j2", "D", "3"), *to_user],
+        [_way("j3", "D", "3"), *to_helper],
+    ]
+    inserted = ", ".join(_way(f"s{q}", "I", "2", user) for q in (0, 1, 3))
+    return f"""
+  select conv_id, k, {", ".join(f"list_min([{', '.join(ways)}]) s{q}" for q, ways in enumerate(after))}
+  from (select conv_id, k, role, "text", ini, fault, j0, j1, j2, list_min([s3, {_way("j2", "I", "2", helper)}]) j3
+    from (select {states}.conv_id, f.k, role, "text", ini, fault, s0 j0, s1 j1, list_min([s2, {inserted}]) j2, s3
+      from {states} join f on {states}.conv_id is not distinct from f.conv_id and f.k = {states}.k + 1))"""
+
+
+_REPAIRED = f"""
+with recursive c as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce("text", ' ') "text",
+    {_crc32("concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' '))")} % 20 roll
+  from conversations),
+d as (
+  select conv_id, turn, case when roll = 4 then 'user' else role end role,
+    case roll when 1 then '' when 2 then translate("text", '.!?', '') else "text" end "text",
+    unnest(case when roll = 3 then [1, 2] else [1] end) from c where roll <> 0),
+o as (
+  select *, left(role, 1) ini, row_number() over (partition by conv_id order by turn nulls first, role, sha256("text")) k,
+    rtrim("text", concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) bare from d),
+f as (
+  select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, "text" order by k) > 1 then 'duplicate'
+    when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end fault,
+    k > 1 and lag(ini) over (partition by conv_id order by k) || ini not in ('su', 'ua', 'au') illegal from o),
+ways(conv_id, k, s0, s1, s2, s3) as (
+  select distinct conv_id, cast(0 as bigint), {{'c': 0, 'a': '', 't': ''}},
+    {", ".join("{'c': 1000000000, 'a': '', 't': ''}" for _ in range(3))} from f
+  union all {_rows_after("ways")}),
+best as (
+  select conv_id, k, list_min([s0, s3, {_way("s2", "I", "2", "chr(10) || 'assistant:'")},
+    {_way("s1", "II", "4", "chr(10) || 'user:' || chr(10) || 'assistant:'")}]) w from ways),
+n as (
+  select conv_id, max(k) k, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'blank') blank,
+    count(*) filter (fault = 'duplicate') "duplicate", count(*) filter (fault = 'truncated') truncated,
+    count(*) filter (illegal) illegal from f group by conv_id)
+select i.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce("duplicate", 0) "duplicate",
+  coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, cast(coalesce(w.c, 0) as bigint) "cost", coalesce(w.a, '') "audit",
+  sha256(coalesce(w.t[2:], '')) repaired_sha256
+from (select distinct conv_id from conversations) i
+left join n on n.conv_id is not distinct from i.conv_id
+left join best on best.conv_id is not distinct from n.conv_id and best.k = n.k
+"""
+
+
+@query("op12_hirschberg", _REPAIRED)
+def hirschberg(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repaired_after_damage(table(spark, folder, "conversations"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, quality, repair, rules, toxicity
+from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, prefixes, quality, repair, rules, toxicity
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +219,32 @@ left join best on best.conv_id is not distinct from n.conv_id and best.k = n.k
 @query("op12_hirschberg", _REPAIRED)
 def hirschberg(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repaired_after_damage(table(spark, folder, "conversations"))
+
+
+@query(
+    "op13_count_min",
+    f"""
+with c as (
+  select conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce("text", ''))
+    order by turn nulls first, coalesce(role, ''), sha256(coalesce("text", ''))) own,
+    {_crc32("cast(conv_id as varchar)")} % 6 h from conversations where conv_id is not null group by conv_id),
+b as (
+  select c.conv_id, list_concat(coalesce(base.own[1 : c.h], []), c.own[c.h + 1 :]) t
+  from c left join c base on base.conv_id = c.conv_id - c.conv_id % 100),
+p as (select conv_id, len(t) n, cast(d as bigint) d, t[1:d] k from (select conv_id, t, unnest(range(len(t) + 1)) d from b)),
+v as (
+  select k, d, min(conv_id) conv_id, count(*) n_convs,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = d), '')) ends_sha256
+  from p group by k, d),
+w as (select v.*, up.conv_id parent_conv_id from v left join v up on v.d > 0 and up.d = v.d - 1 and up.k = v.k[1 : v.d - 1]),
+kids as (select k[1 : d - 1] k, count(*) n_children from v where d > 0 group by 1),
+below as (
+  select k[1:a] k, count(*) filter (n_children is null) n_leaves, sum(case when d > 0 then (n_convs - 1) * length(k[d].x) else 0 end) saved
+  from (select v.*, n_children, unnest(range(d + 1)) a from v left join kids using (k)) group by 1)
+select w.conv_id, d "depth", parent_conv_id, n_convs, coalesce(n_children, 0) n_children, n_leaves,
+  cast(saved as bigint) saved_tokens, ends_sha256
+from w left join kids using (k) join below using (k)
+""",
+)
+def count_min(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(table(spark, folder, "conversations"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, prefixes, quality, repair, rules, toxicity
+from specweave.llm import binary, bpe, chat, contamination, lines, lm, near, prefixes, quality, repair, rules, toxicity, wrapper
 from specweave.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,3 +248,8 @@ from w left join kids using (k) join below using (k)
 )
 def count_min(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.trie(table(spark, folder, "conversations"))
+
+
+@query("op11_wrapper")
+def wrapped(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.main_text(table(spark, folder, "pages"))

@@ -8,6 +8,9 @@ apart: their tables meet in the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from typing import Any
+
 STATES = range(4)
 FAR = 1 << 40
 
@@ -40,18 +43,53 @@ def backward(costs: list[int], step: Step) -> list[int]:
     return [min(FAR, min(step[0][p][q] + costs[q] for q in STATES)) for p in STATES]
 
 
-def spanned(steps: list[Step]) -> Step:
+Ahead = Callable[[Vector, Any], Vector]
+Behind = Callable[[list[int], Any], list[int]]
+
+
+def remembered(table: Sequence[Step]) -> tuple[Ahead, Behind]:
+    """:func:`forward` and :func:`backward` for steps given as places of ``table``.
+
+    Vectors that differ by a constant are alike, and few different ones occur, so nearly all are looked up.
+    """
+    ahead: dict[tuple, Vector] = {}
+    behind: dict[tuple, list[int]] = {}
+
+    def level(costs: list[int]) -> tuple[int, tuple[int, ...]]:
+        least = min(costs)
+        return least, tuple([c - least if c < FAR else FAR for c in costs])
+
+    def raised(costs: list[int], by: int) -> list[int]:
+        return [c + by if c < FAR else FAR for c in costs]
+
+    def forwards(vector: Vector, k: int) -> Vector:
+        least, costs = level(vector[0])
+        key = (k, costs, *vector[1])
+        if key not in ahead:
+            ahead[key] = forward((list(costs), vector[1]), table[k])
+        return raised(ahead[key][0], least), ahead[key][1]
+
+    def backwards(vector: list[int], k: int) -> list[int]:
+        least, costs = level(vector)
+        if (k, costs) not in behind:
+            behind[k, costs] = backward(list(costs), table[k])
+        return raised(behind[k, costs], least)
+
+    return forwards, backwards
+
+
+def spanned(steps: Sequence, ahead: Ahead = forward) -> Step:
     """A run of steps as one step."""
     vectors = []
     for p in STATES:
         vector = unit(p)
         for step in steps:
-            vector = forward(vector, step)
+            vector = ahead(vector, step)
         vectors.append(vector)
     return [v[0] for v in vectors], [v[1] for v in vectors]
 
 
-def crossings(steps: list[Step], entry: int, leave: int) -> list[int]:
+def crossings(steps: Sequence, entry: int, leave: int, ahead: Ahead = forward, behind: Behind = backward) -> list[int]:
     """The states before, between and after ``steps`` on the cheapest way, of those the one with the least letters.
 
     Forward and backward vectors meet in the middle; the cheapest crossing with the least letters before it
@@ -65,12 +103,12 @@ def crossings(steps: list[Step], entry: int, leave: int) -> list[int]:
         if high - low < 2:
             continue
         middle = (low + high) // 2
-        ahead = unit(states[low])
+        left = unit(states[low])
         for k in range(low, middle):
-            ahead = forward(ahead, steps[k])
-        behind = unit(states[high])[0]
+            left = ahead(left, steps[k])
+        right = unit(states[high])[0]
         for k in range(high - 1, middle - 1, -1):
-            behind = backward(behind, steps[k])
-        states[middle] = min(STATES, key=lambda q: (ahead[0][q] + behind[q], ahead[1][q]))
+            right = behind(right, steps[k])
+        states[middle] = min(STATES, key=lambda q: (left[0][q] + right[q], left[1][q]))
         open_parts += [(low, middle), (middle, high)]
     return states

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.llm.crossing import FAR, STATES, Step, crossings, spanned
+from specweave.llm.crossing import FAR, STATES, Step, crossings, remembered, spanned
 from specweave.llm.tables import stored
 
 SPAN = 4096  # rows of a segment, a power of two
 FAN = 1024  # segments joined at a time
+TASK_ROWS = 1 << 18  # rows that a task solves, at about 20 microseconds each
 
 SPACE = " \t\n\x0b\x0c\r"
 START, SYSTEM, USER, ASSISTANT = STATES
@@ -81,12 +82,12 @@ def _of_rows() -> Callable[[Rows], Rows]:
     """Segments of rows as steps."""
 
     def run(batches: Rows) -> Rows:
-        moves = [_moves(code)[0] for code in range(16)]
+        ahead, _ = remembered([_moves(code)[0] for code in range(16)])
         for batch in batches:
             spans, illegal = [], []
             codes = batch.column("codes").to_pylist()
             for row in codes:
-                spans.append(_flat(spanned([moves[c] for c in row])))
+                spans.append(_flat(spanned(row, ahead)))
                 illegal.append(sum((a % 4, b % 4) not in LEGAL for a, b in itertools.pairwise(row)))
             firsts, lasts = [r[0] % 4 for r in codes], [r[-1] % 4 for r in codes]
             columns = (
@@ -141,11 +142,12 @@ def _edits() -> Callable[[Rows], Rows]:
 
     def run(batches: Rows) -> Rows:
         moves = [_moves(code) for code in range(16)]
+        ahead, behind = remembered([m[0] for m in moves])
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "codes", "entry", "leave")))
             out: list[tuple] = []
             for conv, place, codes, entry, leave in rows:
-                states = crossings([moves[c][0] for c in codes], entry, leave)
+                states = crossings(codes, entry, leave, ahead, behind)
                 pairs = zip(codes, itertools.pairwise(states))
                 out += [(conv, place + k, moves[c][1][a][b]) for k, (c, (a, b)) in enumerate(pairs)]
             types = (batch.schema.field("conv_id").type, pa.int64(), pa.string())
@@ -286,11 +288,18 @@ def _lists(spans: DataFrame, fan: int) -> DataFrame:
     return spans.groupBy("conv_id", above.alias("part")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def _solved(segments: DataFrame, fan: int) -> tuple[DataFrame, DataFrame]:
+def _spread(segments: DataFrame, rows: int) -> DataFrame:
+    """Segments dealt by the work in them: their bytes are too few to tell."""
+    session = segments.sparkSession
+    least = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return segments.repartition(max(least, rows // TASK_ROWS), "conv_id", "part")
+
+
+def _solved(segments: DataFrame, rows: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """Entry and exit of every segment, and ``conv_id, illegal, cost, tail`` of every conversation."""
     key = segments.schema["conv_id"].dataType.simpleString()
     spanned_schema, ends_schema = _SPANNED.format(key=key), _ENDS.format(key=key)
-    spans = stored(segments.select("conv_id", "part", "codes").mapInArrow(_of_rows(), spanned_schema))
+    spans = stored(_spread(segments.select("conv_id", "part", "codes"), rows).mapInArrow(_of_rows(), spanned_schema))
     levels = []
     while spans.agg(F.max("part")).first()[0]:
         lists = stored(_lists(spans, fan))
@@ -335,10 +344,11 @@ def repaired(rows: DataFrame, span: int = SPAN, fan: int = FAN) -> DataFrame:
     )
     placed = _placed(rows)
     segments = _segments(placed, span)
-    ends, whole = _solved(segments, fan)
+    n = placed.count()
+    ends, whole = _solved(segments, n, fan)
     key = segments.schema["conv_id"].dataType.simpleString()
-    edits = _matched(segments, ends, ["conv_id", "part"]).select("conv_id", "place", "codes", "entry", "leave")
-    edits = edits.mapInArrow(_edits(), f"conv_id {key}, place long, letters string")
+    edits = _matched(segments, ends, ["conv_id", "part"]).select("conv_id", "part", "place", "codes", "entry", "leave")
+    edits = _spread(edits, n).drop("part").mapInArrow(_edits(), f"conv_id {key}, place long, letters string")
     nothing = F.lit(None).cast("string")
     tails = whole.where("tail <> ''").select("conv_id", F.lit(None).cast("long").alias("place"), F.col("tail").alias("letters"))
     lines = edits.unionByName(tails).withColumns({"role": nothing, "text": nothing})

@@ -100,6 +100,7 @@ def some(rng, convs, longest):
 def test_crossing_against_search():
     rng = random.Random(4)
     faults = [None, "blank", "duplicate", "truncated"]
+    looked_up = crossing.remembered([repair._moves(c)[0] for c in range(16)])
     for _ in range(3000):
         codes = [rng.randrange(16) for _ in range(rng.randint(1, 9))]
         moves = [repair._moves(c) for c in codes]
@@ -107,6 +108,7 @@ def test_crossing_against_search():
         cost, rank = crossing.spanned(steps)
         _, leave = min(((cost[0][q] + 2 * len(t), rank[0][q]), q) for q, t in repair.LAST.items())
         states = crossing.crossings(steps, 0, leave)
+        assert crossing.crossings(codes, 0, leave, *looked_up) == states and crossing.spanned(codes, looked_up[0]) == (cost, rank)
         audit = "".join(m[1][a][b] for m, (a, b) in zip(moves, pairwise(states))) + repair.LAST[leave]
         want = best_edits([("suax"[c % 4] + "x", "t", faults[c // 4]) for c in codes])
         assert (cost[0][leave] + 2 * len(repair.LAST[leave]), audit) == want[:2]

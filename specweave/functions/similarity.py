@@ -71,15 +71,17 @@ class NameBlock:
             self.counts[letter, column] += 1
             self.masks[letter, at // _WORD, column] |= np.uint64(1) << np.uint64(at % _WORD)
 
-    def reachable(self, query: str, cut: float) -> np.ndarray:
-        """Names that share enough letters to reach ``cut``: the LCS is no longer than the
-        overlap of the two letter multisets."""
-        shared = np.zeros(self.counts.shape[1], dtype=np.int32)
+    def reachable(self, query: str, cut: float, among: np.ndarray | None = None) -> np.ndarray:
+        """Names (of ``among``) that share enough letters to reach ``cut``: the LCS is no
+        longer than the overlap of the two letter multisets."""
+        if among is None:
+            among = np.arange(len(self.lengths))
+        shared = np.zeros(len(among), dtype=np.int32)
         for ch, n in Counter(query).items():
             row = self.row_of.get(ord(ch))
             if row is not None:
-                shared += np.minimum(self.counts[row], n)
-        return np.flatnonzero(2.0 * shared / (len(query) + self.lengths) >= cut)
+                shared += np.minimum(self.counts[row][among], n)
+        return among[2.0 * shared / (len(query) + self.lengths[among]) >= cut]
 
     def lcs(self, query: str, among: np.ndarray) -> np.ndarray:
         """LCS length of the query with each of the names ``among``."""

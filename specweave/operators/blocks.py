@@ -8,10 +8,11 @@ every (cell, lpart, rpart) group is small however hot the cell is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["cell", "lpart", "rpart"]
+PACK = 16  # blocks of rows that small cells fill together
 
 
 def cell_sizes(df: DataFrame) -> DataFrame:
@@ -25,21 +26,28 @@ def pair_up(
     right_id: str,
     block_rows: int,
     right_sizes: DataFrame | None = None,
+    packed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides with the block keys; cells that occur on one side only are dropped.
 
-    ``right_sizes(cell, n)`` saves a pass over the right side where it is known.
+    ``right_sizes(cell, n)`` saves a pass over the right side where it is known.  ``packed`` puts small
+    cells together under one ``pack``, which takes the place of the cell as a key.
     """
 
     def parts(sizes: DataFrame, name: str) -> DataFrame:
-        return sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias(name))
+        size = F.ceil(F.col("n") / block_rows).cast("int")
+        return sizes.select("cell", F.col("n").alias(f"n_{name}"), size.alias(name))
 
-    # One row per cell.  Callers bound the number of cells (anchors, length bands).
-    grid = F.broadcast(
-        parts(cell_sizes(left), "lparts").join(
-            parts(cell_sizes(right) if right_sizes is None else right_sizes, "rparts"), "cell"
-        )
+    # One row per cell.  Callers bound the number of cells (anchors, length bands, ranked letters).
+    sizes = parts(cell_sizes(left), "lparts").join(
+        parts(cell_sizes(right) if right_sizes is None else right_sizes, "rparts"), "cell"
     )
+    if packed:
+        small = (F.col("lparts") == 1) & (F.col("rparts") == 1)
+        filled = F.sum(F.when(small, F.col("n_lparts") + F.col("n_rparts")).otherwise(0)).over(Window.orderBy("cell"))
+        pack = F.when(small, F.floor(filled / F.lit(PACK * block_rows))).otherwise(-1 - F.col("cell"))
+        sizes = sizes.withColumn("pack", pack.cast("long"))
+    grid = F.broadcast(sizes.drop("n_lparts", "n_rparts"))
 
     def spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         return (
@@ -47,6 +55,8 @@ def pair_up(
             .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(own + "s")).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
             .drop("lparts", "rparts")
+            # a column of its own on either side of the cogroup
+            .withColumns({"pack": F.col("pack") + F.lit(0)} if packed else {})
         )
 
     return spread(left, left_id, "lpart", "rpart"), spread(right, right_id, "rpart", "lpart")
@@ -59,5 +69,6 @@ def apply_pairs(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataF
     the number of shuffle partitions is kept as set.
     """
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = [df.repartition(n, *KEYS).groupBy(*KEYS) for df in (left, right)]
+    keys = ["pack", *KEYS[1:]] if "pack" in left.columns else KEYS
+    pairs = [df.repartition(n, *keys).groupBy(*keys) for df in (left, right)]
     return pairs[0].cogroup(pairs[1]).applyInArrow(kernel, schema)

@@ -2,58 +2,198 @@
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.similarity import NameBlock, best, indel_ratio, rank_of
+from specweave.functions.letters import HAIR, KNOWN, RARE, band, by_rarity, first_of, letters, needed, ranked, reach
+from specweave.functions.similarity import NameBlock, best, indel_ratio, indel_ratio_of, rank_of
 from specweave.functions.text import token_sort
 from specweave.operators.blocks import apply_pairs, pair_up
 
+Rows = Iterator[pa.RecordBatch]
+Keep = Callable[[DataFrame], DataFrame]
+
 
 def token_sort_similarity(left: Column, right: Column) -> Column:
     """0–1 at four decimals; blanks separate tokens, case and ``_`` count."""
     return indel_ratio(token_sort(left), token_sort(right))
 
 
-def _kernel(cut: float, top_k: int):
+def _letters(batches: Rows) -> Rows:
+    """How many names of a task have each letter."""
+    counts: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        for name in batch.column("hit").to_pylist():
+            for x in letters(name):
+                counts[x] = counts.get(x, 0) + 1
+    columns = [pa.array([x[0] for x in counts], pa.string()), pa.array([x[1] for x in counts], pa.int32())]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["letter", "k", "n"])
+
+
+def _rarity(dictionary: DataFrame) -> dict[tuple[str, int], int]:
+    """Ids of the most frequent letters of the dictionary, KNOWN at most."""
+    counted = dictionary.select("hit").mapInArrow(_letters, "letter string, k int, n long")
+    counted = counted.groupBy("letter", "k").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "letter", "k").limit(KNOWN)
+    return ranked([tuple(r) for r in top.collect()])
+
+
+_LEFT = "cell long, form string, cut double, place int"
+_RIGHT = "cell long, hit string, first_id string, place int"
+
+
+def _cell(band_: int, letter: int) -> int:
+    return band_ * 2 * KNOWN + letter + RARE
+
+
+def _indexed(rank: dict, cut: float) -> Callable[[Rows], Rows]:
+    """Each name under the letters of the longest prefix it needs for any partner."""
+
+    def run(batches: Rows) -> Rows:
+        for batch in batches:
+            out: list[tuple] = []
+            for hit, first_id in zip(batch.column("hit").to_pylist(), batch.column("first_id").to_pylist()):
+                order, size = by_rarity(hit, rank), len(hit)
+                prefix = size - needed(size, reach(size, cut)[0], cut) + 1
+                out += [(_cell(band(size), order[i]), hit, first_id, i) for i in range(prefix)]
+            yield _batch(out, _RIGHT)
+
+    return run
+
+
+def _asked(rank: dict, cut: float, top_k: int) -> Callable[[Rows], Rows]:
+    """Each asked name under the letters of its prefix, for each band of partners.
+
+    Names arrive sorted, together with those of the dictionary.  The ``top_k``-th best of the neighbours in
+    that order is a score the answer cannot stay below, so it is the name's own cut.
+    """
+
+    def run(batches: Rows) -> Rows:
+        for batch in batches:
+            names, owned = batch.column("name").to_pylist(), batch.column("owned").to_pylist()
+            held = [i for i, own in enumerate(owned) if own]
+            out: list[tuple] = []
+            for i, name in enumerate(names):
+                if owned[i]:
+                    continue
+                at = bisect_left(held, i)
+                near = [indel_ratio_of(name, names[j]) for j in held[max(0, at - top_k) : at + top_k]]
+                own = max(cut, sorted(near)[-top_k]) if len(near) >= top_k else cut
+                order, size = by_rarity(name, rank), len(name)
+                low, high = reach(size, own)
+                for b in range(band(low), band(high) + 1):
+                    prefix = size - needed(size, max(low, first_of(b)), own) + 1
+                    out += [(_cell(b, order[k]), name, own, k) for k in range(max(0, prefix))]
+            yield _batch(out, _LEFT)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+
+class _Held:
+    """The names of a block, and where they stand under each letter."""
+
+    def __init__(self, right: pa.Table):
+        names = right.column("hit").combine_chunks().dictionary_encode()
+        place_of = names.indices.to_numpy()
+        self.names = names.dictionary.to_pylist()
+        _, first = np.unique(place_of, return_index=True)
+        self.ids = right.column("first_id").take(pa.array(first)).to_pylist()
+        self.ranks = rank_of(self.ids)
+        self.block = NameBlock(self.names)
+        cells = right.column("cell").to_numpy()
+        order = np.argsort(cells, kind="stable")
+        keys, starts = np.unique(cells[order], return_index=True)
+        places = right.column("place").to_numpy()
+        parts = [np.split(x[order], starts[1:]) for x in (place_of, places)]
+        self.cells = {int(k): (n, p) for k, n, p in zip(keys, *parts)}
+
+    def near(self, form: str, cut: float, met: list[tuple[int, int]]) -> np.ndarray:
+        """Names that may reach the cut among those met under a letter that may be the rarest one shared."""
+        size, lengths = len(form), self.block.lengths
+        marked = np.zeros(len(self.names), bool)
+        for cell, place in met:
+            if cell in self.cells:
+                names, places = self.cells[cell]
+                left = np.minimum(size - place, lengths[names] - places)  # letters that can still be shared
+                marked[names[2.0 * left >= cut * (size + lengths[names]) - HAIR]] = True
+        among = np.flatnonzero(marked)
+        return self.block.reachable(form, cut - HAIR, among) if len(among) else among
+
+
+def _asks(left: pa.Table) -> Iterator[tuple[str, float, list[tuple[int, int]]]]:
+    """Each form of a block with its cut and the cells it stands in."""
+    asks: dict[str, tuple[float, list]] = {}
+    for form, cut, cell, place in zip(*(left.column(c).to_pylist() for c in ("form", "cut", "cell", "place"))):
+        asks.setdefault(form, (cut, []))[1].append((cell, place))
+    return ((form, cut, met) for form, (cut, met) in asks.items())
+
+
+def _kernel(top_k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"form": [], "hit": [], "raw": [], "score": [], "first_id": []}
+        out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            names = right.column("hit").to_pylist()
-            ids = right.column("first_id").to_pylist()
-            ranks = rank_of(ids)
-            block = NameBlock(names)
-            for form in left.column("form").to_pylist():
-                near = block.reachable(form, cut)
+            held = _Held(right)
+            for form, cut, met in _asks(left):
+                near = held.near(form, cut, met)
                 if not len(near):
                     continue
-                score = 2.0 * block.lcs(form, near) / (len(form) + block.lengths[near])
-                for i in best(score, ranks[near], score >= cut, top_k):
-                    out["form"].append(form)
-                    out["hit"].append(names[near[i]])
-                    out["raw"].append(float(score[i]))
-                    out["score"].append(round(float(score[i]), 4))
-                    out["first_id"].append(ids[near[i]])
-        return pa.table(
-            {
-                "form": pa.array(out["form"], pa.string()),
-                "hit": pa.array(out["hit"], pa.string()),
-                "raw": pa.array(out["raw"], pa.float64()),
-                "score": pa.array(out["score"], pa.float64()),
-                "first_id": pa.array(out["first_id"], pa.string()),
-            }
-        )
+                score = 2.0 * held.block.lcs(form, near) / (len(form) + held.block.lengths[near])
+                for i in best(score, held.ranks[near], score >= cut, top_k):
+                    out.append((form, held.names[near[i]], float(score[i]), round(float(score[i]), 4), held.ids[near[i]]))
+        kinds = {"form": pa.string(), "hit": pa.string(), "raw": pa.float64(), "score": pa.float64(), "first_id": pa.string()}
+        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(kinds.items())})
 
     return run
 
 
-def _band(length: Column) -> Column:
-    """Length bands a quarter apart: 96 of them cover every possible text."""
-    return F.floor(F.log(length) / math.log(1.25)).cast("int")
+def _counter(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """How many names each form is compared with letter by letter."""
+    out: list[tuple] = []
+    if left.num_rows and right.num_rows:
+        held = _Held(right)
+        out = [(form, len(held.near(form, cut, met))) for form, cut, met in _asks(left)]
+    return pa.table({"form": pa.array([o[0] for o in out], pa.string()), "n": pa.array([o[1] for o in out], pa.int64())})
+
+
+def _wanted(names: DataFrame) -> DataFrame:
+    # Blank names drop out after distinct(): a filter on the form would be pushed below
+    # and sort the tokens of every row.
+    wanted = names.select("eng_name").where("eng_name is not null").distinct()
+    return wanted.withColumn("form", token_sort(F.col("eng_name")))
+
+
+def _owners(catalog: DataFrame, top_k: int) -> DataFrame:
+    """Columns by form; more than ``top_k`` of one form can never all be chosen."""
+    forms = catalog.select("column_id", token_sort(F.col("column_name")).alias("hit"))
+    n = F.row_number().over(Window.partitionBy("hit").orderBy("column_id"))
+    return forms.withColumn("n", n).where(F.col("n") <= top_k)
+
+
+def _pairs(
+    wanted: DataFrame, owners: DataFrame, top_k: int, cut: float, block_rows: int, keep: Keep
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides under the letters they may meet at, cut into blocks."""
+    dictionary = owners.where("n = 1 and length(hit) > 0").select("hit", F.col("column_id").alias("first_id"))
+    rank = _rarity(dictionary)
+    right = keep(dictionary.mapInArrow(_indexed(rank, cut), _RIGHT))
+    asked = wanted.where("length(form) > 0").select(F.col("form").alias("name"), F.lit(False).alias("owned")).distinct()
+    both = asked.unionByName(dictionary.select(F.col("hit").alias("name"), F.lit(True).alias("owned")))
+    ordered = both.repartitionByRange("name").sortWithinPartitions("name", "owned")
+    left = keep(ordered.mapInArrow(_asked(rank, cut, top_k), _LEFT))
+    left, right = pair_up(left, "form", right, "hit", block_rows, packed=True)
+    return left.select("pack", "lpart", "rpart", "cell", "form", "cut", "place"), right
 
 
 def fuzzy_topk(
@@ -62,47 +202,49 @@ def fuzzy_topk(
     top_k: int = M.BASE_TOP_K,
     cut: float = M.STRING_CUT,
     block_rows: int = 2048,
+    keep: Keep = lambda df: df,
 ) -> DataFrame:
     """Best ``top_k`` catalog columns per distinct name with similarity >= ``cut``.
 
     names(eng_name), catalog(column_id, column_name) ->
-    (eng_name, column_id, score, string_rank).  Work runs over distinct token-sorted
-    forms.  Only length bands that can still reach ``cut`` meet (2·min/(la+lb) >= cut),
-    as block pairs; within a pair, names that share too few letters are left out before
-    the LCS.  Both bounds lose nothing.  Ties go to the lower column_id.
+    (eng_name, column_id, score, string_rank).  Work runs over distinct token-sorted forms.
+
+    A name's neighbours in sorted order give it a cut of its own, at least ``cut``.  Names meet under a letter
+    that both hold among their rarest ones, as many as the cut leaves open, and under a length band.  What a pair
+    can still share from that letter on, then its letter counts, leave it out before the LCS.  All bounds lose
+    nothing.  Ties go to the lower column_id.
+    One small action runs here: the letters of the dictionary are counted.  ``keep`` (``session.shared``) is
+    applied to what is read more than once: the dictionary and both sides before they are cut into blocks.
     """
-    # Blank names have no length band and drop out there: a filter on the form would be
-    # pushed below distinct() and sort the tokens of every row.
-    wanted = names.select("eng_name").where("eng_name is not null").distinct()
-    wanted = wanted.withColumn("form", token_sort(F.col("eng_name")))
-    owners = (
-        catalog.select("column_id", token_sort(F.col("column_name")).alias("hit"))
-        # more than top_k columns of one form can never all be chosen
-        .withColumn("n", F.row_number().over(Window.partitionBy("hit").orderBy("column_id")))
-        .where(F.col("n") <= top_k)
-    )
-    dictionary = owners.where("n = 1").select(
-        "hit", F.col("column_id").alias("first_id"), _band(F.nullif(F.length("hit"), F.lit(0))).alias("cell")
-    )
-    size = F.nullif(F.length("form"), F.lit(0))
-    # la in [lb·cut/(2-cut), lb·(2-cut)/cut]; a hair wider so that rounding loses nothing
-    reach = (2 - cut) / cut + 1e-9
-    bands = F.sequence(_band(F.greatest(F.lit(1), F.ceil(size / reach))), _band(F.floor(size * reach)))
-    forms = wanted.select("form").distinct().withColumn("cell", F.explode(bands))
-    left, right = pair_up(forms, "form", dictionary, "hit", block_rows)
-    hits = apply_pairs(
-        left.select("cell", "lpart", "rpart", "form"),
-        right.select("cell", "lpart", "rpart", "hit", "first_id"),
-        _kernel(cut, top_k),
-        "form string, hit string, raw double, score double, first_id string",
-    )
+    wanted, owners = _wanted(names), keep(_owners(catalog, top_k))
+    left, right = _pairs(wanted, owners, top_k, cut, block_rows, keep)
+    hits = apply_pairs(left, right, _kernel(top_k), "form string, hit string, raw double, score double, first_id string")
+    # a pair that meets in several blocks is one hit
     by_form = Window.partitionBy("form").orderBy(F.desc("raw"), "first_id")
-    chosen = hits.withColumn("r", F.row_number().over(by_form)).where(F.col("r") <= top_k)
+    chosen = hits.withColumn("r", F.dense_rank().over(by_form)).where(F.col("r") <= top_k).distinct()
     by_column = Window.partitionBy("form").orderBy(F.desc("raw"), "column_id")
-    ranked = (
+    ranked_ = (
         chosen.join(owners, "hit")
         .withColumn("string_rank", F.row_number().over(by_column))
         .where(F.col("string_rank") <= top_k)
         .select("form", "column_id", "score", "string_rank")
     )
-    return wanted.join(ranked, "form").select("eng_name", "column_id", "score", "string_rank")
+    return wanted.join(ranked_, "form").select("eng_name", "column_id", "score", "string_rank")
+
+
+def fuzzy_effort(
+    names: DataFrame,
+    catalog: DataFrame,
+    top_k: int = M.BASE_TOP_K,
+    cut: float = M.STRING_CUT,
+    block_rows: int = 2048,
+    keep: Keep = lambda df: df,
+) -> DataFrame:
+    """(n_forms, n_hits, n_compared): distinct forms of both sides, and the pairs :func:`fuzzy_topk` compares."""
+    wanted, owners = _wanted(names), keep(_owners(catalog, top_k))
+    compared = apply_pairs(*_pairs(wanted, owners, top_k, cut, block_rows, keep), _counter, "form string, n long")
+    forms = wanted.select("form").distinct().agg(F.count("*").alias("n_forms"))
+    hits = owners.where("n = 1").agg(F.count("*").alias("n_hits"))
+    total = compared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_compared"))
+    one = F.lit(1).alias("one")
+    return forms.withColumn("one", one).join(hits.withColumn("one", one), "one").join(total.withColumn("one", one), "one").drop("one")

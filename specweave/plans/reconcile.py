@@ -57,6 +57,7 @@ def find_candidates(
     column_vectors: DataFrame,
     terms: DataFrame | None = None,
     term_vectors: DataFrame | None = None,
+    string_keep: Callable[[DataFrame], DataFrame] = lambda df: df,
     **vector_options,
 ) -> DataFrame:
     """Candidates of all attempts from one retrieval at the widest limits.
@@ -92,7 +93,7 @@ def find_candidates(
                 "vss_glossary",
             )
         )
-    named = strings.fuzzy_topk(asks.select("eng_name"), catalog, wide["top_k"], wide["string_cut"])
+    named = strings.fuzzy_topk(asks.select("eng_name"), catalog, wide["top_k"], wide["string_cut"], keep=string_keep)
     spelled = named.join(asks.select("ask_id", "eng_name"), "eng_name").select(
         "ask_id", "column_id", F.lit("fuzzy").alias("source"), "score", F.col("string_rank").alias("place")
     )
@@ -257,7 +258,7 @@ def reconcile(
     candidates = keep(
         find_candidates(
             asks.where("ready").drop("ready"), catalog, description_vectors, column_vectors, terms, term_vectors,
-            keep=keep, **vector_options,
+            string_keep=keep, keep=keep, **vector_options,
         )
     )
     searched = keep(resolve(ready, candidates, responses, decisions))

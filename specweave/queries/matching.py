@@ -11,6 +11,7 @@ from specweave.operators.match import widest
 from specweave.queries.inputs import Inputs
 from specweave.queries.oracle import cosine, cte, exact_cte, ratio, token_sorted
 from specweave.queries.registry import query
+from specweave.session import shared
 
 cte("matched_specs", exact_cte("spec_rows", "meta_columns"))
 
@@ -57,19 +58,19 @@ def fuzzy_sql(names: str, catalog: str, k: int, cut: float) -> str:
 @query("fuzzy_topk", fuzzy_sql("spec_rows", "meta_columns", M.BASE_TOP_K, M.STRING_CUT))
 def _(i: Inputs) -> DataFrame:
     names = i["spec_rows"].select(F.trim("eng_name").alias("eng_name"))
-    found = strings.fuzzy_topk(names, i["meta_columns"])
+    found = strings.fuzzy_topk(names, i["meta_columns"], keep=shared)
     return found.withColumn("string_rank", F.col("string_rank").cast("long"))
 
 
 @query("fuzzy_topk_urls")
 def _(i: Inputs) -> DataFrame:
-    """Every url against every supplier and customer name: long, many and whole texts."""
+    """Every url against every customer name and longer url: long, many and whole texts."""
     urls = i["pages"].select(F.col("url").alias("eng_name"))
     names = i["customer"].select(F.col("c_name").alias("column_name")).unionByName(
         i["pages"].select(F.concat(F.col("url"), F.lit("/x")).alias("column_name"))
     )
     catalog = names.distinct().withColumn("column_id", F.md5("column_name"))
-    return strings.fuzzy_topk(urls, catalog)
+    return strings.fuzzy_topk(urls, catalog, keep=shared)
 
 
 _FLOOR, _LIMIT = 0.25, 10

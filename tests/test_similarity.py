@@ -101,6 +101,33 @@ def test_fuzzy_topk_equals_brute_force(spark, rows, block_rows):
     assert rows(got) == sorted(brute_names(names, catalog, 5, 0.7))
 
 
+@pytest.mark.parametrize("cut", [0.55, 0.7, 0.95])
+def test_fuzzy_topk_on_long_and_alike_names(spark, rows, cut):
+    rng = random.Random(11)
+    catalog = [(f"n{i:03d}", f"Number#{i * 7919 % 100000:09d}") for i in range(150)]
+    catalog += [(f"w{i}", "".join(rng.choice("abcdefgé가 ") for _ in range(rng.choice([1, 2, 9, 40, 300])))) for i in range(120)]
+    catalog += [("e", ""), ("b", "  "), ("z", None)]
+    names = [c[1:] + rng.choice(["", "q", "0"]) for _, c in rng.sample(catalog[:270], 60)] + ["Number#000000000", "", None]
+    cat = spark.createDataFrame(catalog, "column_id string, column_name string")
+    ask = spark.createDataFrame([(n,) for n in names], "eng_name string").repartition(3)
+    want = brute_names([n for n in names if n and n.strip()], [c for c in catalog if c[1] and c[1].strip()], 4, cut)
+    assert rows(strings.fuzzy_topk(ask, cat, 4, cut, 50)) == sorted(want)
+
+
+def test_share_of_pairs_compared(spark):
+    """Names meet only where they may be among the best: a share that falls as the names grow in number."""
+
+    def share(sf, table, name, more):
+        texts = spark.read.parquet(f"/root/testdata/{sf}/{table}.parquet").select(F.col(name).alias("t")).distinct()
+        catalog = texts.select(F.concat("t", F.lit(more)).alias("column_name"), F.col("t").alias("column_id"))
+        row = strings.fuzzy_effort(texts.select(F.col("t").alias("eng_name")), catalog).first()
+        return row.n_compared / (row.n_forms * row.n_hits)
+
+    # all pairs of customers' names reach the cut of 0.7
+    assert share("sf0.1", "customer", "c_name", "x") < share("sf0.01", "customer", "c_name", "x") < 0.15
+    assert share("sf0.1", "pages", "url", "/x") < share("sf0.01", "pages", "url", "/x") < 0.35
+
+
 def test_fuzzy_topk_cases(spark, rows):
     pool = spark.createDataFrame(
         [("k7", "harbour_fee"), ("k8", "zinc ore, refined")],

@@ -5,6 +5,10 @@ vectors (cells) and a query visits only the cells that the triangle inequality
 cannot rule out for its search radius.  Cells are compared as block pairs
 (``blocks.pair_up``), so no cell, however full, becomes one task.  The idea is
 the metric-space similarity join of Das Sarma, He and Chaudhuri (VLDB 2014).
+
+A query's own cell is searched first: its ``limit``-th best there bounds how far the
+query looks.  Before the full product of a pair, the leading coordinates in a basis
+that the anchors span, and the lengths of what is left, bound it from above.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ _DIGITS = 9         # similarities are compared at nine decimals, equal ones by
 # Widening of angles against rounding: arccos is steep near 1, where an error of 1e-9 in
 # the cosine moves the angle by up to 4.5e-5.
 _SLACK = 1e-4
-_MOST_VISITS = 0.5  # share of all (query, cell) pairs beyond which cells are not used
+_LEAD = 16          # leading coordinates of the bound
+_HAIR = 1e-8        # widening of that bound
+_FEW = 0.25         # share of a block's pairs up to which they are multiplied one by one
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -62,9 +68,22 @@ def _anchors(entries: DataFrame, count: int, dim: int | None) -> np.ndarray:
     return np.unique(units[good], axis=0)
 
 
+def _basis(anchors: np.ndarray) -> np.ndarray:
+    """Orthonormal directions in which the anchors are long, as columns."""
+    return np.linalg.svd(anchors, full_matrices=False)[2][:_LEAD].T
+
+
+def _led(units: np.ndarray, basis: np.ndarray) -> pa.Array:
+    """Leading coordinates of unit vectors, then the length of the rest."""
+    lead = units @ basis
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (lead**2).sum(axis=1)))
+    flat = np.hstack([lead, rest[:, None]])
+    return pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def _placed(entries: DataFrame, anchors: np.ndarray) -> DataFrame:
-    """(entry_id, embedding, cell, angle): the nearest anchor; unusable vectors are dropped."""
-    dim = anchors.shape[1]
+    """(entry_id, embedding, lead, cell, angle): the nearest anchor; unusable vectors are dropped."""
+    dim, basis = anchors.shape[1], _basis(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,23 +93,23 @@ def _placed(entries: DataFrame, anchors: np.ndarray) -> DataFrame:
             angles = np.arccos(cosines[np.arange(len(cells)), cells])
             kept = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(cells.astype(np.int32)), pa.array(angles)],
-                ["entry_id", "embedding", "cell", "angle"],
+                [*kept.columns, _led(units[good], basis), pa.array(cells.astype(np.int32)), pa.array(angles)],
+                ["entry_id", "embedding", "lead", "cell", "angle"],
             )
 
     kind = entries.schema["embedding"].dataType.simpleString()
     return entries.select("entry_id", "embedding").mapInArrow(
-        run, f"entry_id string, embedding {kind}, cell int, angle double"
+        run, f"entry_id string, embedding {kind}, lead array<double>, cell int, angle double"
     )
 
 
 def _visits(queries: DataFrame, anchors: np.ndarray, rings: np.ndarray) -> DataFrame:
-    """(query_id, embedding, cell) for every cell the query's ``radius`` can reach.
+    """(query_id, embedding, lead, low, cell) for every cell that may hold an entry at ``low`` or above.
 
     rings: one row (cell, smallest angle, largest angle) per cell that holds entries.  A
-    null radius means the nearest of these cells only.
+    null ``low`` means the nearest of these cells only.
     """
-    dim = anchors.shape[1]
+    dim, basis = anchors.shape[1], _basis(anchors)
     cells = rings[:, 0].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +117,13 @@ def _visits(queries: DataFrame, anchors: np.ndarray, rings: np.ndarray) -> DataF
             units, good = matrix_of(batch.column("embedding"), dim)
             angles = np.arccos(np.clip(units[good] @ anchors.T, -1.0, 1.0))
             kept = batch.filter(pa.array(good))
-            radius = kept.column("radius").to_numpy(zero_copy_only=False).astype(np.float64)
-            r = radius[:, None] + _SLACK
+            low = kept.column("low").to_numpy(zero_copy_only=False).astype(np.float64)
+            r = np.arccos(np.clip(low, -1.0, 1.0))[:, None] + _SLACK
             own = angles[:, cells]
             with np.errstate(invalid="ignore"):
                 reach = (own - r <= rings[:, 2]) & (own + r >= rings[:, 1])
                 reach &= own <= angles.min(axis=1, initial=np.inf)[:, None] + 2 * r
-            only_home = np.isnan(radius)
+            only_home = np.isnan(low)
             if only_home.any():
                 home = own[only_home].argmin(axis=1)
                 reach[only_home] = np.arange(len(cells)) == home[:, None]
@@ -113,31 +132,55 @@ def _visits(queries: DataFrame, anchors: np.ndarray, rings: np.ndarray) -> DataF
             visited = cells[np.nonzero(reach)[1]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    kept.column("query_id"), kept.column("embedding"),
+                    kept.column("query_id"), kept.column("embedding"), _led(units[good], basis), kept.column("low"),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(visited)),
                 ],
-                ["query_id", "embedding", "cells"],
+                ["query_id", "embedding", "lead", "low", "cells"],
             )
 
     kind = queries.schema["embedding"].dataType.simpleString()
     return (
-        queries.select("query_id", "embedding", "radius")
-        .mapInArrow(run, f"query_id string, embedding {kind}, cells array<int>")
-        .select("query_id", "embedding", F.explode("cells").alias("cell"))
+        queries.select("query_id", "embedding", "low")
+        .mapInArrow(run, f"query_id string, embedding {kind}, lead array<double>, low double, cells array<int>")
+        .select("query_id", "embedding", "lead", "low", F.explode("cells").alias("cell"))
     )
 
 
+def _lead(table: pa.Table) -> np.ndarray:
+    return table.column("lead").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+
+def _open_pairs(left: pa.Table, right: pa.Table, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least similarity of each query, and the pairs whose bound reaches it."""
+    low = left.column("low").to_numpy(zero_copy_only=False).astype(np.float64)
+    low = np.where(np.isnan(low), floor, low)
+    # q.e <= leading parts' product + product of the lengths of the rests
+    return low, _lead(left) @ _lead(right).T >= low[:, None] - _HAIR
+
+
+def _similarities(q: np.ndarray, e: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    if pairs.mean() > _FEW:
+        return np.where(pairs, np.round(q @ e.T, _DIGITS), -np.inf)
+    out = np.full(pairs.shape, -np.inf)
+    rows, columns = np.nonzero(pairs)
+    for at in range(0, len(rows), 1 << 16):
+        i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
+        out[i, j] = np.round(np.einsum("ij,ij->i", q[i], e[j]), _DIGITS)
+    return out
+
+
 def _kernel(dim: int, limit: int, floor: float):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         queries, entries, scores = [], [], []
         if left.num_rows and right.num_rows:
+            low, pairs = _open_pairs(left, right, floor)
             q, _ = matrix_of(left.column("embedding"), dim)
             e, _ = matrix_of(right.column("embedding"), dim)
             ids = right.column("entry_id").to_pylist()
             ranks = rank_of(ids)
-            sims = np.round(q @ e.T, _DIGITS)
+            sims = _similarities(q, e, pairs)
             for i, name in enumerate(left.column("query_id").to_pylist()):
-                for j in best(sims[i], ranks, sims[i] >= floor, limit):
+                for j in best(sims[i], ranks, sims[i] >= low[i], limit):
                     queries.append(name)
                     entries.append(ids[j])
                     scores.append(float(sims[i, j]))
@@ -152,6 +195,64 @@ def _kernel(dim: int, limit: int, floor: float):
     return run
 
 
+def _counter(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of a block, and those that need the full product."""
+    met, n = left.num_rows * right.num_rows, 0
+    if met:
+        n = int(_open_pairs(left, right, -2.0)[1].sum())
+    return pa.table({"n_met": pa.array([met], pa.int64()), "n_compared": pa.array([n], pa.int64())})
+
+
+class _Search:
+    """Entries in their cells, and the queries that visit them."""
+
+    def __init__(self, queries, entries, limit, floor, anchors, dim, block_rows, keep):
+        self.limit, self.floor, self.block_rows = limit, -2.0 if floor is None else floor, block_rows
+        self.queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+        copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("entry_id")
+        entries = (
+            # of many copies of one vector only the first `limit` ids can be chosen
+            entries.select(F.col("entry_id").cast("string").alias("entry_id"), "embedding")
+            .withColumn("copy", F.row_number().over(copies))
+            .where(F.col("copy") <= limit)
+            .drop("copy")
+        )
+        self.centers = _anchors(entries, anchors, dim)
+        if len(self.centers):
+            self.placed = keep(_placed(entries, self.centers))
+            # one short row per anchor
+            extent = self.placed.groupBy("cell").agg(
+                F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")
+            ).collect()
+            self.rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent], dtype=np.float64)
+            sizes = [(r["cell"], r["n"]) for r in extent]
+            self.sizes = small_table(queries.sparkSession, sizes, "cell int, n long")
+
+    def pairs(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = _visits(asked, self.centers, self.rings)
+        right = self.placed.select("entry_id", "embedding", "lead", "cell")
+        return pair_up(left, "query_id", right, "entry_id", self.block_rows, self.sizes)
+
+    def found(self, asked: DataFrame) -> DataFrame:
+        kernel = _kernel(self.centers.shape[1], self.limit, self.floor)
+        hits = apply_pairs(*self.pairs(asked), kernel, _FOUND)
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
+        return hits.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= self.limit)
+
+    def bounded(self) -> DataFrame:
+        """Queries with the least similarity that can still count: the floor, or the ``limit``-th best of
+        their own cell."""
+        local = self.found(self.queries.withColumn("low", F.lit(None).cast("double")))
+        reach = local.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("worst"))
+        low = F.when(F.col("n") >= self.limit, F.col("worst")).otherwise(self.floor)
+        return self.queries.join(reach, "query_id", "left").select(
+            "query_id", "embedding", F.coalesce(low, F.lit(self.floor)).alias("low")
+        )
+
+
+_FOUND = "query_id string, entry_id string, similarity double"
+
+
 def vector_topk(
     queries: DataFrame,
     entries: DataFrame,
@@ -167,61 +268,34 @@ def vector_topk(
     queries(query_id, embedding), entries(entry_id, embedding) ->
     (query_id, entry_id, similarity, vector_rank).  Ids are text; equal similarities go
     to the lower entry_id.  Zero vectors and vectors of another size find nothing.
-    Without a floor, a first pass over each query's own cell bounds its radius.
-    ``anchors`` should grow like the square root of the number of entries.  ``keep`` (for
-    instance ``session.cut_lineage``) is applied to the entries once they have their cell.
+    A first pass over each query's own cell bounds its radius.  ``anchors`` should grow like
+    the square root of the number of entries.  ``keep`` (for instance ``session.cut_lineage``)
+    is applied to the entries once they have their cell.
     """
-    schema = "query_id string, entry_id string, similarity double"
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("entry_id")
-    entries = (
-        # of many copies of one vector only the first `limit` ids can be chosen
-        entries.select(F.col("entry_id").cast("string").alias("entry_id"), "embedding")
-        .withColumn("copy", F.row_number().over(copies))
-        .where(F.col("copy") <= limit)
-        .drop("copy")
-    )
-    centers = _anchors(entries, anchors, dim)
-    if not len(centers):
-        empty = small_table(queries.sparkSession, [], schema)
-        return empty.withColumn("vector_rank", F.lit(1))
-    dim = centers.shape[1]
-
-    placed = keep(_placed(entries, centers))
-    # one short row per anchor
-    extent = placed.groupBy("cell").agg(
-        F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")
-    ).collect()
-    rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent], dtype=np.float64)
-    sizes = small_table(
-        queries.sparkSession, [(r["cell"], r["n"]) for r in extent], "cell int, n long"
-    )
+    search = _Search(queries, entries, limit, floor, anchors, dim, block_rows, keep)
+    if not len(search.centers):
+        return small_table(queries.sparkSession, [], _FOUND).withColumn("vector_rank", F.lit(1))
+    return search.found(search.bounded())
 
-    def search(asked: DataFrame, low: float) -> DataFrame:
-        left, right, filled = _visits(asked, centers, rings), placed.select("entry_id", "embedding", "cell"), sizes
-        home = _visits(asked.withColumn("radius", F.lit(None).cast("double")), centers, rings)
-        if left.count() > _MOST_VISITS * home.count() * len(rings):
-            # the bound excludes too little: plain blocks copy each query less often
-            left, right, filled = home.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0)), None
-        left, right = pair_up(left, "query_id", right, "entry_id", block_rows, filled)
-        found = apply_pairs(left, right, _kernel(dim, limit, low), schema)
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
-        return found.withColumn("vector_rank", F.row_number().over(order)).where(
-            F.col("vector_rank") <= limit
-        )
 
-    if floor is not None:
-        angle = math.acos(max(-1.0, min(1.0, floor)))
-        return search(queries.withColumn("radius", F.lit(angle)), floor)
-
-    local = search(queries.withColumn("radius", F.lit(None).cast("double")), -2.0)
-    # the nearest of its own cell bound how far a query has to look
-    reach = local.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("worst"))
-    bound = F.when(F.col("n") >= limit, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "worst"))))
-    bounded = queries.join(reach, "query_id", "left").withColumn(
-        "radius", F.coalesce(bound, F.lit(math.pi))
-    )
-    return search(bounded, -2.0)
+def vector_effort(
+    queries: DataFrame,
+    entries: DataFrame,
+    limit: int,
+    floor: float | None = None,
+    anchors: int = 16,
+    dim: int | None = None,
+    block_rows: int = 1024,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """(n_met, n_compared): pairs whose cells meet in :func:`vector_topk` after the first pass, and
+    those of them that need the full product."""
+    search = _Search(queries, entries, limit, floor, anchors, dim, block_rows, keep)
+    schema = "n_met long, n_compared long"
+    if not len(search.centers):
+        return small_table(queries.sparkSession, [(0, 0)], schema)
+    counted = apply_pairs(*search.pairs(search.bounded()), _counter, schema)
+    return counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_met", "n_compared")))
 
 
 def vector_topk_columns(

@@ -7,7 +7,7 @@ from specweave.operators import evaluate, judge, match
 REPLY = "req_id long, response string"
 
 
-def judged(spark, *responses, ids=("col_001",)):
+def judged(spark, *responses, ids=("t7.price",)):
     df = spark.createDataFrame(list(enumerate(responses)), REPLY)
     ids_col = F.array(*[F.lit(x) for x in ids])
     out = judge.judge_guard(judge.judge_parse(df).withColumn("candidate_ids", ids_col))
@@ -18,15 +18,15 @@ def judged(spark, *responses, ids=("col_001",)):
 
 
 def test_valid_reply(spark):
-    text = '{"selected_column_id":"col_001","confidence":0.95,"evidence":"e","recommend_action":"auto_confirm"}'
+    text = '{"selected_column_id":"t7.price","confidence":0.96,"evidence":"e","recommend_action":"auto_confirm"}'
     fenced = f"```json\n{text}\n```"
-    want = ("col_001", 0.95, "e", "auto_confirm", False)
+    want = ("t7.price", 0.96, "e", "auto_confirm", False)
     assert judged(spark, text, fenced, f"  {text}\n") == [want] * 3
 
 
 def test_defaults_clamping_and_text_numbers(spark):
     got = judged(
-        spark, "{}", '{"confidence":1.4,"selected_column_id":"col_001"}', '{"confidence":-2}', '{"confidence":"0.5"}'
+        spark, "{}", '{"confidence":2.5,"selected_column_id":"t7.price"}', '{"confidence":-2}', '{"confidence":"0.5"}'
     )
     assert [g[1] for g in got] == [0.0, 1.0, 0.0, 0.5]
     assert got[0] == (None, 0.0, "", "human_confirm", False)
@@ -42,7 +42,7 @@ def test_bad_replies_go_to_a_person(spark, bad):
 
 
 def test_selection_outside_the_list(spark):
-    got = judged(spark, '{"selected_column_id":"col_999","confidence":0.99,"evidence":"e","recommend_action":"auto_confirm"}')
+    got = judged(spark, '{"selected_column_id":"t9.gone","confidence":0.98,"evidence":"e","recommend_action":"auto_confirm"}')
     assert got == [(None, 0.0, "e" + M.EV_OUTSIDE_SUFFIX, "human_confirm", True)]
 
 
@@ -58,7 +58,7 @@ def test_route(spark, confidence, attempt, want):
 
 def test_sure_without_selection_goes_to_a_person(spark):
     none = F.lit(None).cast("string")
-    assert spark.range(1).select(judge.route(F.lit(0.95), F.lit(0), none).alias("r")).first().r == "human_confirm"
+    assert spark.range(1).select(judge.route(F.lit(0.96), F.lit(0), none).alias("r")).first().r == "human_confirm"
 
 
 def test_retry_params(spark, rows):
@@ -107,7 +107,7 @@ def test_widening_stops_at_the_first_answer(spark, rows):
 
     responses = spark.createDataFrame(
         [
-            ("s", 0, 0, reply(0.95)), ("s", 0, 1, reply(0.1)),
+            ("s", 0, 0, reply(0.96)), ("s", 0, 1, reply(0.1)),
             ("s", 1, 0, reply(0.8)), ("s", 1, 1, reply(0.93)),
             ("s", 2, 0, reply(0.8)), ("s", 2, 1, reply(0.8)), ("s", 2, 2, reply(0.8)),
             ("s", 3, 0, reply(0.2)),

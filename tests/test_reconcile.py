@@ -1,6 +1,7 @@
-"""One whole run over a small world: all six tags, open questions and their answers."""
+"""One whole run over the given tables: every tag and every way to it, open questions and their answers."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,84 +12,92 @@ from specweave.plans.reconcile import ask_key, reconcile
 from specweave.session import shared
 from specweave.sources.tables import catalog_snapshot
 
-AT = datetime.datetime(2024, 6, 1)
+SF = "/root/testdata/sf0.001"
+AT = datetime.datetime(2025, 2, 3, 4, 5)
 ROW = "spec_id string, row_idx long"
+TABLES = ["part", "events", "lineitem", "orders"]
+# catalog types that differ from the real ones, and a column that the table has lost
+DECLARED = {"lineitem.l_linenumber": "VARCHAR", "orders.o_custkey": "DOUBLE"}
+LOST = ("events.session", "events", "session", "VARCHAR", "visit the event belongs to")
+MEANT = {
+    "price of the whole order": "orders.o_totalprice",
+    "tax of the line": "lineitem.l_tax",
+    "brand of the part": "part.p_brand",
+}
+# (spec, row): name, description, period, expected tag, path and period held
+ASKED = {
+    # names that the catalog has
+    ("lines", 3): ("l_shipmode", "how it ships", None, None),  # no column of that name: see below
+    ("lines", 4): ("l_discount", "rebate", " 200109~200202", ("confirm_period", "validated", "200109~200111")),
+    ("lines", 5): ("  l_returnflag", "sent back", "199502~199502", ("full_period", "validated", "199502~199502")),
+    ("lines", 6): ("l_linenumber", "line of the order", None, ("full_period", "validated", "199501~200111")),
+    ("lines", 8): ("l_linenumber", "line of the order", None, ("type_mismatch", "validated", None)),
+    ("lines", 9): ("l_linenumber", "line of the order", None, None),
+    ("web", 11): ("session", "visit", "202401~202401", ("not_found", "validated", None)),
+    ("web", 12): ("event_type", "what was done", "", ("full_period", "validated", "202401~202401")),
+    ("web", 13): ("value", "worth", "202312~202401", ("confirm_period", "validated", "202401~202401")),
+    ("web", 14): ("value", "worth", "202402~202405", ("period_mismatch", "validated", None)),
+    ("web", 15): ("props", "details", "January~202401", None),
+    ("web", 16): ("p_type", "kind of part", None, ("period_mismatch", "validated", None)),
+    # names that it has not
+    ("money", 21): ("o_totalprise", "price of the whole order", "200001~200012", ("full_period", "auto_confirmed", "200001~200012")),
+    ("money", 22): ("tax_rate", "tax of the line", None, ("full_period", "validated", "199501~200111")),
+    ("money", 23): ("duty", "tax of the line", None, ("unresolved", "rejected_by_human", None)),
+    ("money", 24): ("levy", "tax of the line", None, None),
+    ("money", 25): ("marque", "brand of the part", None, None),
+    ("money", 26): ("??", "weather at sea", None, ("unresolved", "no_match", None)),
+    ("money", 27): ("o_totalprice_eur", "price of the whole order", None, ("full_period", "auto_confirmed", "199501~200108")),
+}
+WITHOUT_VECTOR = ["how it ships"]
+
+
+def said(column, confidence):
+    return json.dumps({"selected_column_id": column, "confidence": confidence, "evidence": f"reads like {column}"})
+
+
+REPLIES = [
+    ("money", 21, 0, said("orders.o_totalprice", 0.72)),  # unsure, so it is asked again with a wider search
+    ("money", 21, 1, said("orders.o_totalprice", 0.94)),
+    ("money", 22, 0, said("lineitem.l_tax", 0.41)),
+    ("money", 23, 0, said("lineitem.l_tax", 0.41)),
+    ("money", 24, 0, said("orders.o_comment", 0.97)),  # no candidate of that id
+    ("money", 27, 0, said("orders.o_totalprice", 0.93)),
+]
+ANSWERS = [("money", 23, "rejected"), ("money", 22, "approved")]
+TYPE_ANSWERS = [("lines", 8, "rejected"), ("lines", 6, "approved")]
+
+
+def one_hot(k, more=0.0):
+    return [1.0 if i == k else more for i in range(6)]
 
 
 @pytest.fixture(scope="module")
 def world(spark):
-    vehicles = spark.createDataFrame(
-        [(f"u{i}", "1", i, "R1", 202203 + i % 5) for i in range(50)],
-        "vehicle_id string, SEAT_ROWS_NUM string, WATT int, DEPOT_KEY string, month int",
-    )
-    journeys = spark.createDataFrame([("u1", 3, 202204), ("u2", 4, 202206)], "vehicle_id string, TRIP_CNT int, month int")
-    fuels = spark.createDataFrame([(1,)], "FUEL int")
-    tables = {"vehicles": vehicles, "journeys": journeys, "fuels": fuels}
-    columns = [
-        ("c1", "vehicles", "SEAT_ROWS_NUM", "VARCHAR", "rows of seats fitted"),
-        ("c2", "vehicles", "WATT", "INTEGER", "power of the motor"),
-        ("c3", "journeys", "TRIP_CNT", "INTEGER", "journeys of a month"),
-        ("c4", "vehicles", "RETIRED_BIT", "VARCHAR", "taken out of use"),
-        ("c5", "vehicles", "DEPOT_KEY", "INTEGER", "home depot"),
-        ("c6", "fuels", "FUEL", "INTEGER", "kind of fuel"),
-    ]
+    tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in TABLES}
+    snapshot = catalog_snapshot(spark, tables)
+    known = [(f"{r.table_id}.{r.column_name}", r.table_id, r.column_name, r.data_type) for r in snapshot.collect()]
+    columns = [(c, t, n, DECLARED.get(c, kind), f"{n} in {t}", None, None, None) for c, t, n, kind in known]
     catalog = spark.createDataFrame(
-        [(*c, None, None, None) for c in columns],
+        [*columns, (*LOST, None, None, None)],
         "column_id string, table_id string, column_name string, data_type string, description string, "
         "tag string, confidence double, updated_at timestamp",
     )
-    specs = [
-        ("s", 1, "WATT", "a", "power of the motor", "INTEGER", None),                 # full_period, nothing asked
-        ("s", 2, " TRIP_CNT ", "b", "journeys", "INTEGER", "202203~202205"),       # confirm_period
-        ("s", 3, "SEAT_ROWS_NUM", "c", "rows of seats", "VARCHAR", "202101~202102"),    # period_mismatch
-        ("s", 4, "RETIRED_BIT", "d", "retired", "VARCHAR", None),                  # not_found
-        ("s", 5, "DEPOT_KEY", "e", "home depot", "INTEGER", None),                  # type_mismatch (rejected)
-        ("s", 6, "DEPOT_KEY", "f", "home depot", "INTEGER", "202203~202204"),       # full_period after approval
-        ("s", 7, "DEPOT_KEY", "g", "home depot", "INTEGER", None),                  # type question open
-        ("s", 8, "FUEL", "h", "kind of fuel", "INTEGER", None),                       # no month: period_mismatch
-        ("s", 9, "WATT", "i", "power of the motor", "INTEGER", "2022x~202204"),       # bad period
-        ("s", 10, "SET_ROWS_NUM", "j", "rows of seats", "VARCHAR", "202204~202205"),    # auto-confirmed
-        ("s", 11, "TRIPS", "k", "journeys of a month", "INTEGER", None),            # approved by a person
-        ("s", 12, "TRIPX", "l", "journeys of a month", "INTEGER", None),            # rejected by a person
-        ("s", 13, "TRIPY", "m", "journeys of a month", "INTEGER", None),            # waits for a person
-        ("s", 14, "WATTS", "n", "power of the motor", "INTEGER", None),               # waits for the judge
-        ("s", 15, "ZZZ", "o", "nothing like it", "INTEGER", None),              # no candidate
-    ]
-    rows = spark.createDataFrame(
-        specs, f"{ROW}, eng_name string, local_name string, description string, req_type string, req_period string"
-    )
-
-    def vector(*xs):
-        return [float(x) for x in xs]
-
-    stored = {"c1": vector(1, 0, 0, 0), "c2": vector(0, 1, 0, 0), "c3": vector(0, 0, 1, 0), "c4": vector(0, 1, 1, 0)}
-    column_vectors = spark.createDataFrame(list(stored.items()), "column_id string, embedding array<double>")
-    described = spark.createDataFrame(
-        [("rows of seats", vector(1, 0.1, 0, 0)), ("journeys of a month", vector(0, 0.2, 1, 0)), ("power of the motor", vector(0, 1, 0, 0)),
-         ("nothing like it", vector(0, 0, 0, 1))],
-        "description string, embedding array<double>",
-    )
-    terms = spark.createDataFrame([("t1", "c1"), ("t2", None)], "term_id string, linked_column_id string")
-    term_vectors = spark.createDataFrame([("t1", vector(1, 0.2, 0, 0)), ("t2", vector(1, 0, 0, 0))],
-                                         "term_id string, embedding array<double>")
-
-    def reply(column, confidence):
-        return f'{{"selected_column_id":"{column}","confidence":{confidence},"evidence":"because"}}'
-
-    responses = spark.createDataFrame(
-        [("s", 10, 0, reply("c1", 0.8)), ("s", 10, 1, reply("c1", 0.97)), ("s", 11, 0, reply("c3", 0.6)),
-         ("s", 12, 0, reply("c3", 0.6)), ("s", 13, 0, reply("c99", 0.99))],
-        f"{ROW}, attempt int, response string",
-    )
-    decisions = spark.createDataFrame([("s", 11, "approved"), ("s", 12, "rejected")], f"{ROW}, decision string")
-    type_decisions = spark.createDataFrame([("s", 5, "rejected"), ("s", 6, "approved")], f"{ROW}, decision string")
+    fields = "eng_name string, local_name string, description string, req_type string, req_period string"
+    rows = spark.createDataFrame([(*k, name, None, text, "DOUBLE", period) for k, (name, text, period, _) in ASKED.items()], f"{ROW}, {fields}")
+    held = {c: one_hot(i) for i, c in enumerate(MEANT.values())}
+    texts = {d: one_hot(i, 0.02) for i, d in enumerate(MEANT)} | {"weather at sea": one_hot(5)}
+    vector = "embedding array<double>"
+    months = validate.months({"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"})
     return dict(
-        rows=rows, catalog=catalog, snapshot=catalog_snapshot(spark, tables),
-        retention=validate.retention_period(
-            tables, validate.months({"vehicles": "month", "journeys": "month"}, lambda c: c)
-        ),
-        description_vectors=described, column_vectors=column_vectors, responses=responses, decisions=decisions,
-        type_decisions=type_decisions, run_ts=F.lit(AT), terms=terms, term_vectors=term_vectors, dim=4, anchors=3,
+        rows=rows, catalog=catalog, snapshot=snapshot, retention=validate.retention_period(tables, months),
+        description_vectors=spark.createDataFrame(list(texts.items()), f"description string, {vector}"),
+        column_vectors=spark.createDataFrame(list(held.items()), f"column_id string, {vector}"),
+        terms=spark.createDataFrame([("levy", "lineitem.l_tax"), ("sea", None)], "term_id string, linked_column_id string"),
+        term_vectors=spark.createDataFrame([("levy", one_hot(1, 0.02)), ("sea", one_hot(5))], f"term_id string, {vector}"),
+        responses=spark.createDataFrame(REPLIES, f"{ROW}, attempt int, response string"),
+        decisions=spark.createDataFrame(ANSWERS, f"{ROW}, decision string"),
+        type_decisions=spark.createDataFrame(TYPE_ANSWERS, f"{ROW}, decision string"),
+        run_ts=F.lit(AT), dim=6, anchors=2,
     )
 
 
@@ -97,64 +106,70 @@ def run(world):
     return reconcile(**world, keep=shared)
 
 
-def test_all_tags(run):
-    got = {r.row_idx: (r.final_tag, r.resolution_path, r.avail_period) for r in run.report.collect()}
-    assert got == {
-        1: ("full_period", "validated", "202203~202207"),
-        2: ("confirm_period", "validated", "202204~202205"),
-        3: ("period_mismatch", "validated", None),
-        4: ("not_found", "validated", None),
-        5: ("type_mismatch", "validated", None),
-        6: ("full_period", "validated", "202203~202204"),
-        8: ("period_mismatch", "validated", None),
-        10: ("full_period", "auto_confirmed", "202204~202205"),
-        11: ("full_period", "validated", "202204~202206"),
-        12: ("unresolved", "rejected_by_human", None),
-        15: ("unresolved", "no_match", None),
+def keyed(df, *columns):
+    return {(r.spec_id, r.row_idx): tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_every_way_to_a_tag(run):
+    want = {k: expected for k, (*_, expected) in ASKED.items() if expected}
+    assert keyed(run.report, "final_tag", "resolution_path", "avail_period") == want
+    assert {tag for tag, _, _ in want.values()} == {
+        "unresolved", "not_found", "type_mismatch", "period_mismatch", "full_period", "confirm_period"
     }
 
 
-def test_open_questions(run):
-    assert [r.row_idx for r in run.open_types.collect()] == [7]
-    assert [r.row_idx for r in run.rejects.collect()] == [9]
-    assert [(r.row_idx, r.column_id, r.confidence) for r in run.open_matches.collect()] == [(13, "c3", 0.0)]
-    asked = run.open_judgments.collect()
-    assert [(r.row_idx, r.attempt) for r in asked] == [(14, 0)] and '"column_id":"c2"' in asked[0].payload
-    assert {r.row_idx: r.match_status for r in run.resolved.where("row_idx > 9").collect()} == {
-        10: "auto_confirmed", 11: "inferred_confirmed", 12: "unresolved", 13: "pending", 14: "pending", 15: "unresolved",
+def test_what_stays_open(run):
+    assert keyed(run.open_types, "column_id") == {("lines", 9): ("lineitem.l_linenumber",)}
+    assert set(keyed(run.rejects)) == {("web", 15)}
+    assert keyed(run.open_matches, "column_id", "confidence") == {("money", 24): ("lineitem.l_tax", 0.0)}
+    asked = {(r.spec_id, r.row_idx, r.attempt): r.payload for r in run.open_judgments.collect()}
+    assert set(asked) == {("money", 25, 0)} and '"column_id":"part.p_brand"' in asked["money", 25, 0]
+    assert [r.description for r in run.open_vectors.collect()] == WITHOUT_VECTOR
+    status = keyed(run.resolved.where("spec_id = 'money' or row_idx = 3"), "match_status")
+    assert {k[1]: v[0] for k, v in status.items()} == {
+        3: "pending", 21: "auto_confirmed", 22: "inferred_confirmed", 23: "unresolved", 24: "pending", 25: "pending",
+        26: "unresolved", 27: "auto_confirmed",
     }
 
 
-def test_candidates_hold_the_best_source(run, world):
-    first = run.candidates.where("attempt = 0 and column_id = 'c1'").collect()
-    assert {(c.source, c.score) for c in first} == {("vss_glossary", 0.9952)}
+def test_the_best_source_of_a_candidate_counts(run):
+    """The term stands as near as the description itself, nearer than the column."""
+    found = run.candidates.where("attempt = 0 and column_id = 'lineitem.l_tax'").select("source", "score").distinct().collect()
+    assert [tuple(r) for r in found] == [("vss_glossary", 1.0)]
 
 
-def test_writes_and_audit(run, world, spark):
+def test_writes_and_audit(run, world):
     tagged = judge.tag_upsert(world["catalog"], run.tag_writes, ["stage", "spec_id", "row_idx"])
-    tags = {r.column_id: (r.tag, r.confidence) for r in tagged.collect()}
+    tags = {r.column_id: r.tag for r in tagged.collect() if r.tag}
     assert tags == {
-        "c1": ("full_period", 1.0), "c2": ("full_period", 1.0), "c3": ("full_period", 1.0),
-        "c4": ("not_found", 1.0), "c5": ("full_period", 1.0), "c6": ("period_mismatch", 1.0),
+        "lineitem.l_discount": "confirm_period", "lineitem.l_returnflag": "full_period", "lineitem.l_linenumber": "type_mismatch",
+        "lineitem.l_tax": "full_period", "events.session": "not_found", "events.event_type": "full_period",
+        "events.value": "period_mismatch", "part.p_type": "period_mismatch", "orders.o_totalprice": "full_period",
     }
-    assert [(r.column_id, r.confidence) for r in run.auto_confirms.collect()] == [("c1", 0.97)]
-    asked = run.confirmations.collect()
-    assert len(asked) == 4
-    stored = run.confirmations.where("column_id = 'c5'")
-    assert audit_dedupe(run.confirmations, stored).count() == 2
-    assert run.revisions.count() == 11 and run.validations.count() == 11
+    confirmed = sorted((r.column_id, r.confidence) for r in run.auto_confirms.collect())
+    assert confirmed == [("orders.o_totalprice", 0.93), ("orders.o_totalprice", 0.94)]
+    answered = run.confirmations.where("column_id = 'lineitem.l_tax'")
+    assert run.confirmations.count() == len(ANSWERS) + len(TYPE_ANSWERS)
+    assert audit_dedupe(run.confirmations, answered).count() == len(TYPE_ANSWERS)
+    reported = sum(1 for *_, expected in ASKED.values() if expected)
     stats = {(r.kind, r.key): r.n for r in run.summary.collect()}
-    assert stats[("total", None)] == 11 and stats[("auto_confirm", None)] == 1
-
-
-def test_rows_without_vector_wait(world, spark):
-    """A description that has no vector yet is no reason to give a row up."""
-    described = world["description_vectors"].where("description not in ('journeys of a month', 'nothing like it')")
-    done = reconcile(**{**world, "description_vectors": described}, keep=shared)
-    assert {r.description for r in done.open_vectors.collect()} == {"journeys of a month", "nothing like it"}
-    status = {r.row_idx: r.match_status for r in done.resolved.where("row_idx > 9").collect()}
-    assert status == {10: "auto_confirmed", 11: "pending", 12: "pending", 13: "pending", 14: "pending", 15: "pending"}
-    assert not {11, 12, 13, 15} & {r.row_idx for r in done.report.collect()}
+    assert run.revisions.count() == stats["total", None] == reported
+    assert stats["auto_confirm", None] == 2
+
+
+def test_a_vector_that_arrives_later_opens_the_search(world, spark):
+    """A description without vector is no reason to give a row up, and the next run goes on from it."""
+    vectors = world["description_vectors"]
+    done = reconcile(**{**world, "description_vectors": vectors.where("description <> 'tax of the line'")}, keep=shared)
+    assert {r.description for r in done.open_vectors.collect()} == {*WITHOUT_VECTOR, "tax of the line"}
+    waiting = {("money", 22), ("money", 23), ("money", 24), ("lines", 3)}
+    assert set(keyed(done.resolved.where("match_status = 'pending'"))) == waiting | {("money", 25)}
+    assert not waiting & set(keyed(done.report))
+    told = spark.createDataFrame([("how it ships", one_hot(4))], "description string, embedding array<double>")
+    later = reconcile(**{**world, "description_vectors": vectors.unionByName(told)}, keep=shared)
+    assert later.open_vectors.count() == 0
+    # its name is like that of the ship date, which the judge is now asked about
+    assert {(r.spec_id, r.row_idx) for r in later.open_judgments.collect()} == {("money", 25), ("lines", 3)}
 
 
 def test_questions_keep_nulls_apart(spark):

@@ -176,6 +176,22 @@ def test_vector_topk_equals_brute_force(spark, floor, block_rows, anchors):
     assert sorted(got, key=str) == brute_vectors(queries, entries, 5, floor)
 
 
+@pytest.mark.parametrize("floor", [None, 0.6])
+def test_share_of_vector_pairs_multiplied(spark, floor):
+    """In clusters most pairs do not meet, or are left out by the leading coordinates."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 48))
+    rows = [(f"v{i:04d}", [float(x) for x in centers[i % 12] + 0.25 * rng.normal(size=48)]) for i in range(1200)]
+    e = spark.createDataFrame(rows, "entry_id string, embedding array<double>")
+    q = e.where("substr(entry_id, 5, 1) = '7'").withColumnRenamed("entry_id", "query_id")
+    effort = vectors.vector_effort(q, e, 5, floor, anchors=30).first()
+    pairs = q.count() * len(rows)
+    assert effort.n_met < 0.6 * pairs and effort.n_compared < 0.15 * pairs
+    found = vectors.vector_topk(q, e, 5, floor, anchors=30).toPandas()
+    got = sorted((r.query_id, r.entry_id, round(r.similarity, 6), r.vector_rank) for r in found.itertuples())
+    assert sorted(got, key=str) == brute_vectors([r for r in rows if r[0][4] == "7"], rows, 5, floor)
+
+
 def test_vector_topk_without_entries(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     e = spark.createDataFrame([("e", [0.0, 0.0])], "entry_id string, embedding array<double>")

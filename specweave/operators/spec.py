@@ -132,6 +132,23 @@ def candidate_tables(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
 
 
+def holders_of(names: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(wanted, table_id): the real tables that hold a column of each trimmed name asked for.
+
+    A list by reference: it is kept once, however many rows ask for the name, and joined where it is read.
+    """
+    asked = names.select(strip(F.col("eng_name")).alias("wanted")).where("wanted is not null").distinct()
+    held = snapshot.select(F.col("column_name").alias("wanted"), "table_id").distinct()
+    return held.join(asked, "wanted", "left_semi")
+
+
+def holder_counts(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Adds ``n_candidate_tables``, how many real tables hold a column of the row's name."""
+    counts = holders_of(rows, snapshot).groupBy("wanted").agg(F.count("*").alias("n_candidate_tables"))
+    joined = rows.withColumn("wanted", strip(F.col("eng_name"))).join(counts, "wanted", "left").drop("wanted")
+    return joined.withColumn("n_candidate_tables", F.coalesce("n_candidate_tables", F.lit(0)))
+
+
 def spec_preview(checked: DataFrame, failed: int = 20, parsed: int = 10) -> DataFrame:
     """The first ``failed`` invalid and the first ``parsed`` valid rows of each spec."""
     order = Window.partitionBy("spec_id", "valid").orderBy("row_idx")

@@ -240,15 +240,14 @@ def _(i: Inputs) -> DataFrame:
 
 @query(
     "run_results",
-    f"""select {_KEY}, req_period, source_table, final_tag, evidence, {TAG_LABEL} tag_label from reported
-where row_idx % 2 = 0""",
+    f"""select {_KEY}, req_period, source_table, final_tag, evidence, {TAG_LABEL} tag_label from reported""",
 )
 def _(i: Inputs) -> DataFrame:
-    """Two stored runs of different rows; the second one is read back."""
+    """Two stored runs over all rows that differ in the evidence; one is read back whole."""
     path = scratch(i, "runs")
-    for run_id, rest in (("r1", 1), ("r2", 0)):
-        rows = reported(i).where(F.col("row_idx") % 2 == rest)
-        sinks.report_sink(report.label_map(rows), path, run_id)
+    merged = report.label_map(reported(i))
+    sinks.report_sink(merged.withColumn("evidence", F.concat(F.lit("earlier: "), "evidence")), path, "r1")
+    sinks.report_sink(merged, path, "r2")
     return report.run_results(i.spark.read.parquet(path), "r2").select(
         "spec_id", "row_idx", "req_period", "source_table", "final_tag", "evidence", "tag_label"
     )

@@ -219,6 +219,31 @@ select cast(o_custkey % 50 as string) spec_id, o_orderkey row_idx,
 from orders""",
         ["orders"],
     ),
+    # the rows of a whole run as sheets of three runs, in five layouts: headers in row 0, 1 or 2 in several orders,
+    # without a type, and nowhere; some rows without description, some empty
+    "sheet_cells": (
+        """
+select concat('r', cast(cast(spec_id as int) % 3 as string)) run_id, spec_id, row_idx + 3 row_idx,
+  case cast(spec_id as int) % 5
+    when 1 then {array}(req_period, said, req_type, local_name, eng_name)
+    when 2 then {array}(cast(row_idx as string), eng_name, local_name, said, req_type, req_period)
+    else {array}(eng_name, local_name, said, req_type, req_period) end cells
+from (select *, case when row_idx % 29 = 0 then ' ' else description end said from plan_rows) p
+union all
+select concat('r', cast(cast(spec_id as int) % 3 as string)), spec_id, row_idx + 1000000000,
+  {array}(cast(null as string), null, null)
+from plan_rows where row_idx % 40 = 0
+union all
+select concat('r', cast(n % 3 as string)), cast(n as string), at,
+  case when at <> case n % 5 when 1 then 1 when 2 then 2 else 0 end or n % 5 = 4 then {array}('title', cast(null as string), 'notes')
+    else case n % 5 when 0 then {array}('English Name', 'Korean Name', 'Description', 'Type', 'Period')
+      when 1 then {array}('Period', 'desc', 'TYPE', 'kor_name', 'Column_Name')
+      when 2 then {array}('no', '영문명', '한글명', '항목설명', '타입', '시점')
+      else {array}('English Name', 'Korean Name', 'Description', 'x', 'y') end end
+from (select distinct cast(spec_id as int) n from plan_rows) s
+cross join (select cast(0 as bigint) at union all select 1 union all select 2) rows""",
+        ["plan_rows"],
+    ),
     "plan_vectors": (
         "select concat('d', cast(vec_id as string)) description, vec_id, embedding from embeddings",
         ["embeddings"],

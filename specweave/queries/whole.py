@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave import model as M
+from specweave.functions.text import strip
+from specweave.operators import catalog as cat
 from specweave.operators.match import widest
 from specweave.plans.reconcile import Reconciliation, reconcile
-from specweave.queries.checking import RUN_TS, column_spec, real_snapshot, retention
+from specweave.plans.sheets import SheetsRun, read_sheets, sheets_to_report, store_run, unkeyed
+from specweave.queries.checking import RUN_TS, column_spec, real_snapshot, retention, scratch
 from specweave.queries.inputs import Inputs
 from specweave.queries.judging import left_sql, resolved_sql, tried_sql
 from specweave.queries.matching import fuzzy_sql, merged_sql, nearest_sql
@@ -16,7 +19,7 @@ from specweave.queries.oracle import (
     PATH_LABEL, TAG_LABEL, checked_cte, classified_cte, compared_cte, cte, exact_cte, parsed_cte, quoted,
 )
 from specweave.queries.registry import query
-from specweave.session import shared
+from specweave.session import Kept, shared
 
 _WIDE = widest()
 _LIMIT, _FLOOR = _WIDE["vector_limit"], _WIDE["floor"]
@@ -96,7 +99,8 @@ _COLUMNS = [
 ]
 
 
-def run(i: Inputs) -> Reconciliation:
+def _world(i: Inputs) -> dict:
+    """What a run needs beside its rows, replies and decisions."""
     catalog = column_spec(i)
     stored = i["embeddings"].select("vec_id", "embedding")
 
@@ -107,20 +111,26 @@ def run(i: Inputs) -> Reconciliation:
 
     catalog = catalog.withColumn("term_id", F.concat(F.lit("g"), "column_id"))
     terms = catalog.select("term_id", F.col("column_id").alias("linked_column_id"))
-    return reconcile(
-        rows=i["plan_rows"],
+    return dict(
         catalog=catalog,
         snapshot=real_snapshot(i),
         retention=retention(i),
         description_vectors=i["plan_vectors"],
         column_vectors=vectors("column_id", 0),
-        responses=i["plan_replies"],
-        decisions=i["plan_decisions"],
-        type_decisions=i["type_decisions"],
         run_ts=F.lit(RUN_TS),
         terms=terms,
         term_vectors=vectors("term_id", 1),
+    )
+
+
+def run(i: Inputs) -> Reconciliation:
+    return reconcile(
+        rows=i["plan_rows"],
+        responses=i["plan_replies"],
+        decisions=i["plan_decisions"],
+        type_decisions=i["type_decisions"],
         keep=shared,
+        **_world(i),
     )
 
 
@@ -152,3 +162,74 @@ def _(i: Inputs) -> DataFrame:
         .unionByName(lines("type", done.open_types))
         .unionByName(lines("reject", done.rejects))
     )
+
+
+_RUN_ID = "concat('r', cast(cast(spec_id as int) % 3 as varchar))"
+_STAR = "orders"
+
+
+def runs_over_sheets(i: Inputs, keep: Kept) -> SheetsRun:
+    def by_run(name: str) -> DataFrame:
+        run_id = F.concat(F.lit("r"), (F.col("spec_id").cast("int") % 3).cast("string"))
+        return i[name].withColumns({"run_id": run_id, "row_idx": F.col("row_idx") + 3})
+
+    tables = real_snapshot(i).select("table_id").distinct()
+    return sheets_to_report(
+        i["sheet_cells"],
+        relationships=cat.relationship_build(tables, _STAR, "key"),
+        responses=by_run("plan_replies"),
+        decisions=by_run("plan_decisions"),
+        type_decisions=by_run("type_decisions"),
+        keep=keep,
+        **_world(i),
+    )
+
+
+def _stored_sheets(i: Inputs) -> str:
+    """Runs over sheets, stored; shared results are freed before it returns."""
+    with Kept(i.spark) as keep:
+        return store_run(runs_over_sheets(i, keep), scratch(i, "sheets"))
+
+
+@query(
+    "sheets_to_report",
+    f"""select {_RUN_ID.replace('spec_id', 'p.spec_id')} run_id, p.spec_id, p.row_idx + 3 row_idx, trim(p.eng_name) eng_name, r.req_period, r.avail_type, r.avail_period,
+  r.source_table, r.final_tag, r.evidence, r.resolution_path, coalesce(n, 0) n_candidate_tables,
+  case when r.source_table is null then 0 when r.source_table = '{_STAR}' then (select count(distinct table_id) - 1 from snapshot)
+    else 1 end n_relationships
+from plan_reported r join plan_rows p on p.spec_id = r.spec_id and p.row_idx = r.row_idx
+left join (select column_name, count(*) n from snapshot group by 1) s on s.column_name = trim(p.eng_name)
+where cast(p.spec_id as int) % 5 < 3 and p.row_idx % 29 <> 0""",
+)
+def _(i: Inputs) -> DataFrame:
+    """From cells to the stored report of three runs, read back."""
+    back = i.spark.read.parquet(f"{_stored_sheets(i)}/report")
+    return back.select(
+        "run_id", "spec_id", "row_idx", strip(F.col("eng_name")).alias("eng_name"), "req_period", "avail_type", "avail_period",
+        "source_table", "final_tag", "evidence", "resolution_path", "n_candidate_tables", "n_relationships",
+    )
+
+
+@query(
+    "sheets_relations",
+    f"""select r.table_id, '{_STAR}' from_table_id, t.table_id to_table_id, 'key' join_key, '1:N' relation_type
+from (select distinct r.source_table table_id from plan_reported r where cast(r.spec_id as int) % 5 < 3 and r.row_idx % 29 <> 0) r
+join (select distinct table_id from snapshot where table_id <> '{_STAR}') t on r.table_id in ('{_STAR}', t.table_id)""",
+)
+def _(i: Inputs) -> DataFrame:
+    """Relations of the tables that the stored reports name."""
+    back = i.spark.read.parquet(f"{_stored_sheets(i)}/relations")
+    return back.select("table_id", "from_table_id", "to_table_id", "join_key", "relation_type")
+
+
+@query(
+    "sheets_read",
+    f"""select {_RUN_ID} run_id, spec_id, case cast(spec_id as int) % 5 when 3 then 'missing_field' when 4 then 'no_header' else 'ok' end status,
+  case when cast(spec_id as int) % 5 < 3 then count(*) + 2 - cast(spec_id as int) % 5 else 0 end total,
+  case when cast(spec_id as int) % 5 < 3 then count(*) filter (row_idx % 29 <> 0) else 0 end parsed
+from plan_rows group by spec_id""",
+)
+def _(i: Inputs) -> DataFrame:
+    """Status and row counts of every sheet; notes below a header count as rows."""
+    found = unkeyed(read_sheets(i["sheet_cells"]).sheets)
+    return found.select("run_id", "spec_id", "status", "total", "parsed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks broadcast or shuffle from measured sizes and splits hot join keys.
@@ -51,3 +53,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """A result that several steps read: checkpointed where a shared folder is named, else persisted."""
     return cut_lineage(df) if has_shared_folder(df.sparkSession) else df.persist()
+
+
+class Kept:
+    """The shared results of one run, freed at its end.
+
+    A call writes a result to a folder of its own below ``folder`` (else the shared folder) and reads it back, so
+    that a lost executor costs nothing; where there is none, it is persisted.  ``free`` removes the files::
+
+        with Kept(spark) as keep:
+            store(reconcile(..., keep=keep))
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.persisted: list[DataFrame] = []
+        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        self.folder = folder and f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        if self.folder is None:
+            self.persisted.append(df.persist())
+            return self.persisted[-1]
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted.clear()
+        if self.folder is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.free()

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from specweave import model as M
 from specweave.operators import evaluate, judge
 from specweave.plans import reconcile as plan
+from specweave.queries.checking import scratch
 from specweave.queries.inputs import Inputs
 from specweave.queries.matching import ask_candidates
 from specweave.queries.oracle import case_of, cte, quoted
 from specweave.queries.registry import query
+from specweave.sources import buckets, catalogs
 
 
 def parsed_sql(replies: str) -> str:
@@ -223,6 +225,25 @@ def _(i: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "tag_upsert_stored",
+    f"""select c.column_id, coalesce(w.tag, c.tag) tag, coalesce(w.confidence, c.confidence) confidence
+from ({_TAGGED}) c left join (select * from (select *,
+  row_number() over (partition by column_id order by stage desc, spec_id desc, row_idx desc) k
+  from ({_WRITES}) x) y where k = 1) w on w.column_id = c.column_id""",
+)
+def _(i: Inputs) -> DataFrame:
+    """A stored catalog changed in place, stage by stage; the last stage is repeated."""
+    path, order = scratch(i, "tags"), ["stage", "spec_id", "row_idx"]
+    catalog = i.sql(_TAGGED, "meta_columns")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in catalog.schema)
+    buckets.write_buckets(catalog, path, catalogs.COLUMN)
+    writes = i.sql(_WRITES, "spec_rows", "meta_columns")
+    for stage in (0, 1, 1):
+        catalogs.store_tags(writes.where(F.col("stage") == stage), path, schema, order)
+    return buckets.read_buckets(i.spark, path, schema).select("column_id", "tag", "confidence")
+
+
 @query(
     "matching_summary",
     "select case when n_matches > 0 then 'matched' else 'unresolved' end match_status, count(*) n "

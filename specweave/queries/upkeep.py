@@ -13,7 +13,8 @@ from specweave.queries.checking import column_spec, scratch
 from specweave.queries.inputs import TABLES, Inputs
 from specweave.queries.oracle import case_of, cte, printf, quoted, values
 from specweave.queries.registry import query
-from specweave.sources import sheets, sinks, tables
+from specweave.sources import buckets, catalogs, sheets, sinks, tables
+from specweave.streaming import log as streams
 
 # Column names like parts of the given data: two words, a number, a customer segment.
 _NAMES = """select distinct concat(replace(p_name, ' ', '_'), '_', cast(p_size as string), '_', lower(p_type)) column_name
@@ -437,3 +438,83 @@ from ({_NODES}) n""",
 def _(i: Inputs) -> DataFrame:
     log = ev.node_metadata(i.sql(_NODES, "events"), ev.node_dictionary(i.spark))
     return ev.node_summary(log).select("event_id", "node", "label", "tool", "summary")
+
+
+_PARTS = 3  # arrivals of a followed log
+
+
+def _arrivals(rows: DataFrame, order: str) -> list[DataFrame]:
+    """A table in parts of later and later rows."""
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    step = (last - first) / _PARTS
+    bounds = [first + step * k for k in range(1, _PARTS)]
+    part = F.lit(0)
+    for bound in bounds:
+        part = part + (F.col(order) > F.lit(bound)).cast("int")
+    return [rows.where(part == k) for k in range(_PARTS)]
+
+
+@query(
+    "follow_events",
+    "select thread_id, event_id, seq, case when seq > 0 then elapsed_sec end elapsed_sec from sequenced",
+)
+def _(i: Inputs) -> DataFrame:
+    """The event log followed as it arrives in three parts; the last batch is run twice."""
+    folder = scratch(i, "followed")
+    log = i["pipeline_events"].select("thread_id", "event_id", "ts", "node")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
+    parts = _arrivals(log, "ts")
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        new = streams.read_log(i.spark, f"{folder}/in", schema)
+        streams.follow_events(new, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    streams.event_step(log, f"{folder}/out")(parts[-1], _PARTS - 1)
+    return i.spark.read.parquet(f"{folder}/out/events").select("thread_id", "event_id", "seq", "elapsed_sec")
+
+
+@query("follow_audit", f"select distinct * from ({_RECORDS}) r")
+def _(i: Inputs) -> DataFrame:
+    """Audit records followed as they arrive in three parts; the first one arrives again."""
+    folder = scratch(i, "audit")
+    records = i.sql(f"select r.*, cast(substr(column_id, 2) as bigint) n from ({_RECORDS}) r", "events")
+    parts = [p.drop("n") for p in _arrivals(records, "n")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts[0].schema)
+    for part in (*parts, parts[0]):
+        part.write.mode("append").parquet(f"{folder}/in")
+        new = streams.read_log(i.spark, f"{folder}/in", schema)
+        streams.follow_audit(new, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return streams.audit_history(i.spark, f"{folder}/out", parts[0])
+
+
+@query(
+    "review_apply_stored",
+    f"""select t.term_id, case when ok then array_to_string(s, ',') else concat(syn1, ',', syn2) end synonyms,
+  case when ok then nullif(d, '') end "domain", case when ok then 'llm_generated_reviewed' else t.source end source
+from draft_terms t left join (select term_id id, suggested_synonyms s, domain d,
+  coalesce(lower(trim(approve)) = 'y', false) ok from ({_REVIEW.replace('{array}', 'list_value')}) r) r on r.id = t.term_id""",
+)
+def _(i: Inputs) -> DataFrame:
+    """A stored glossary changed in place, by a review that is applied twice."""
+    path = scratch(i, "glossary")
+    terms = _terms(i).withColumn("domain", F.lit(None).cast("string"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in terms.schema)
+    buckets.write_buckets(terms, path, catalogs.TERM)
+    review = i.sql(_REVIEW.replace("{array}", "array"), "meta_columns")
+    for _ in range(2):
+        catalogs.store_reviews(review, path, schema)
+    done = buckets.read_buckets(i.spark, path, schema)
+    return done.select("term_id", F.array_join("synonyms", ",").alias("synonyms"), "domain", "source")
+
+
+@query(
+    "description_upsert_stored",
+    f"""select m.column_id, coalesce(p.description, m.description) description
+from meta_columns m left join ({_POLISHED}) p on p.column_id = m.column_id""",
+)
+def _(i: Inputs) -> DataFrame:
+    """A stored catalog whose descriptions are changed in place."""
+    path = scratch(i, "catalog")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in i["meta_columns"].schema)
+    buckets.write_buckets(i["meta_columns"], path, catalogs.COLUMN)
+    catalogs.store_descriptions(i.sql(_POLISHED, "meta_columns"), path, schema)
+    return buckets.read_buckets(i.spark, path, schema).select("column_id", "description")

@@ -2,7 +2,8 @@
 
 Every shortest run of lines with enough words leads a later document to the first document that holds
 the run, so a run held by very many documents makes one link for each of them and not one for every
-pair.  Linked documents are aligned as wholes by patience diff; common blocks are cut from the later one.
+pair.  Linked documents are aligned as wholes by patience diff over their runs, in rounds; aligned blocks are
+cut from the later one.
 Each line of a common block is in a shortest run inside the block, so it has a partner that holds the run.
 The first holder of a run never loses it, as no earlier document holds it.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from specweave.llm.tables import stored
 
 MIN_WORDS = 10
+ROUNDS = 32  # of alignment of one pair
 _SIZE = 16  # bytes of a line's digest
 _FLUSH = 20_000
 
@@ -49,8 +51,8 @@ def _longest_rising(values: list[int]) -> list[int]:
 
 
 def patience(first: list, second: list) -> list[tuple[int, int]]:
-    """Aligned positions of two sequences: common ends, then the lines that are unique in both
-    in their longest common order, then the same between them."""
+    """Aligned positions of two sequences: common ends, then what is unique in both in its longest
+    common order, then the same between them; without anything unique, repeats count by their rank."""
     out = []
     todo = [(0, len(first), 0, len(second))]
     while todo:
@@ -65,13 +67,15 @@ def patience(first: list, second: list) -> list[tuple[int, int]]:
             continue
         ones = {x for x, n in Counter(first[a:a_end]).items() if n == 1}
         ones &= {x for x, n in Counter(second[b:b_end]).items() if n == 1}
-        if not ones:
+        if ones:
+            at = {first[i]: i for i in range(a, a_end) if first[i] in ones}
+            places = [(at[second[j]], j) for j in range(b, b_end) if second[j] in ones]
+        else:  # the k-th of one is held against the k-th of the other
+            named = {x: i for i, x in zip(range(a, a_end), _numbered(first[a:a_end]))}
+            places = [(named[x], j) for j, x in zip(range(b, b_end), _numbered(second[b:b_end])) if x in named]
+        if not places:
             continue
-        at = {first[i]: i for i in range(a, a_end) if first[i] in ones}
-        places = [j for j in range(b, b_end) if second[j] in ones]
-        fixed = [places[k] for k in _longest_rising([at[second[j]] for j in places])]
-        for j in fixed:
-            i = at[second[j]]
+        for i, j in (places[k] for k in _longest_rising([i for i, _ in places])):
             out.append((i, j))
             todo.append((a, i, b, j))
             a, b = i + 1, j + 1
@@ -79,39 +83,46 @@ def patience(first: list, second: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _numbered(values: list) -> list[tuple]:
+    """Each value with how often it stood before."""
+    seen: Counter = Counter()
+    out = []
+    for x in values:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def common_lines(earlier: list, later: list, sizes: list[int], min_words: int) -> list[int]:
-    """Positions in ``later`` of the blocks of at least ``min_words`` words that both sequences hold:
-    those that patience diff aligns, and then those that stand in another order, by their shortest runs
-    at all places of the earlier one."""
-    partner = {j: i for i, j in patience(earlier, later)}
-    cut = set(_blocks(partner, sizes, min_words))
-    known = set(earlier)
-    if all(j in cut or x not in known for j, x in enumerate(later)):
-        return sorted(cut)
+    """Positions in ``later`` of the blocks of at least ``min_words`` words that both sequences hold.
+
+    The shortest runs with enough words that both hold are the units of the alignment.  What patience diff aligns
+    is cut; the rest is aligned again, so that blocks in another order come out in a later round.  After ROUNDS
+    rounds every run that is left is aligned alone, which finds the same.
+    """
     size_of = dict(zip(later, sizes))
-    held = set()
+    first: list[tuple] = []
     for shared, piece in groupby(earlier, size_of.__contains__):
         if shared:
             own = list(piece)
-            held.update(tuple(own[i:j]) for i, j in _runs([size_of[x] for x in own], min_words))
-    for i, j in _runs(sizes, min_words):
-        if tuple(later[i:j]) in held:
-            cut.update(range(i, j))
+            first += [tuple(own[i:j]) for i, j in _runs([size_of[x] for x in own], min_words)]
+    held = set(first)
+    left = [(run, i, j) for i, j in _runs(sizes, min_words) if (run := tuple(later[i:j])) in held]
+    cut: set[int] = set()
+    for turn in range(ROUNDS + 1):
+        runs = [run for run, _, _ in left]
+        if turn < ROUNDS:
+            aligned = {k for _, k in patience(first, runs)}
+        else:
+            aligned = {k for k, run in enumerate(runs) if patience([run], [run])}
+        for k in aligned:
+            cut.update(range(*left[k][1:]))
+        left = [x for k, x in enumerate(left) if k not in aligned and not cut.issuperset(range(*x[1:]))]
+        if not left or not aligned:
+            break
     return sorted(cut)
 
 
-def _blocks(partner: dict[int, int], sizes: list[int], min_words: int) -> list[int]:
-    out: list[int] = []
-    run: list[int] = []
-    for j in [*sorted(partner), -1]:
-        if run and (j != run[-1] + 1 or partner[j] != partner[run[-1]] + 1):
-            if sum(sizes[k] for k in run) >= min_words:
-                out += run
-            run = []
-        run.append(j)
-    return out
-
-
 def _runs(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
     """Bounds of the runs with ``min_words`` words or more that lose them without their last line, or without
     their first one.  Every line of a block with ``min_words`` words is in such a run inside the block."""

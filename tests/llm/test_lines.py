@@ -135,6 +135,27 @@ def test_short_lines_as_against_all_earlier_documents(docs_of):
     assert got == {k: "\n".join(x) for k, x in gone_by_all(rows).items()}
 
 
+def test_only_what_is_aligned_is_cut(monkeypatch):
+    pool = [f"line {k}" for k in range(80)]
+    later = pool[40:] + ["own"] + pool[:40][::-1]
+    sizes = [12] * len(later)
+    assert lines.common_lines(pool, later, sizes, 10) == [j for j, x in enumerate(later) if x != "own"]
+    plain = lines.patience
+    monkeypatch.setattr(lines, "patience", lambda a, b: [p for p in plain(a, b) if b[p[1]] != ("line 50",)])
+    assert lines.common_lines(pool, later, sizes, 10) == [j for j, x in enumerate(later) if x not in ("own", "line 50")]
+    monkeypatch.setattr(lines, "patience", lambda a, b: [])
+    assert lines.common_lines(pool, later, sizes, 10) == []
+
+
+def test_a_very_long_text(docs_of):
+    rng = random.Random(6)
+    block = [passage(rng, 11) for _ in range(3000)]
+    rows = [(1, "\n".join(block)), (2, "\n".join([*block[1500:], passage(rng, 12), *block[:1500]]))]
+    rows += [(k, "\n".join(block[:40])) for k in range(3, 40)]
+    got = {r.doc_id: r.n_cut for r in lines.without_repeats(docs_of(rows)).collect()}
+    assert got == {1: 0, 2: 3000} | {k: 40 for k in range(3, 40)}
+
+
 def test_a_moved_block_may_begin_with_a_line_that_stands_earlier_too():
     assert lines.common_lines(list("xaxbcd"), list("cdxb"), [12, 12, 5, 5], 10) == [0, 1, 2, 3]
 

@@ -308,8 +308,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of one document for each group of near duplicates.
 
-    An id goes when none of its rows is kept; rows without id stay, as no id names them.
+    An id goes when none of its rows is kept.  Rows without id come after all ids, by a digest of all their
+    columns: they go where their group has an id, else the one with the least digest stays, once.  Rows without
+    words stand alone and stay.
     """
-    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any_kept"))
-    gone = stored(found.where("not any_kept").select("doc_id"))
-    return narrowed(docs, gone, "left_anti")
+    names = docs.columns
+    own = _free("near_key", names)
+    known = F.col("doc_id").cast("long")
+    top = docs.agg(F.max(known)).first()[0]
+    after = max(top + 1 if top is not None else 0, 0)
+    digest = F.xxhash64(F.to_json(F.struct(*names))).bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn(own, F.coalesce(known, F.lit(after) + digest))
+    found = near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text")).groupBy("doc_id").agg(F.max("kept").alias("any_kept"))
+    gone = stored(found.where("not any_kept").select(F.col("doc_id").alias(own)))
+    left = narrowed(keyed, gone, "left_anti").select(*names, own)
+    nameless = known.isNull() & F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return left.where(~nameless).unionByName(left.where(nameless).dropDuplicates([own])).drop(own)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

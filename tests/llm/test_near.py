@@ -67,6 +67,19 @@ def test_as_brute_force(docs_of, odd, block, monkeypatch):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == ids
 
 
+def test_rows_without_id_go_or_stay_once(docs_of):
+    words = [f"w{k}" for k in range(60)]
+    text, near_one = " ".join(words), " ".join([*words[:59], "other"])
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(7, text), (None, text), (None, near_one), (None, other), (None, other), (None, f"{other} more"), (9, text)]
+    rows += [(None, None), (None, None), (None, " "), (8, None)]
+    kept = [(r.doc_id, r.text) for r in near.representatives(docs_of(rows).repartition(3)).collect()]
+    alike = [k for k in kept if k[1] and k[1].startswith("v0")]
+    assert len(alike) == 1 and alike[0][0] is None
+    rest = [(7, text), (None, None), (None, None), (None, " "), (8, None)]
+    assert sorted((k for k in kept if k not in alike), key=str) == sorted(rest, key=str)
+
+
 def test_pairs_that_only_blocks_find(spark, docs_of, monkeypatch):
     """A chain in which neither the first nor the last class of a key is near all others."""
     monkeypatch.setattr(near, "BLOCK", 4)

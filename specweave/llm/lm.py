@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm.labels import held_out
-from specweave.llm.tables import stored
+from specweave.llm.tables import opened, shipped, stored
 from specweave.llm.words import NOT_SPACE, Words, reduced, texts_of, words_of
 
 MODULUS, REMAINDER = 7, 2
@@ -38,7 +38,6 @@ OUTPUTS = 1 + TOP_WORDS + BUCKETS
 CONTEXT = 5
 SIZE = 16
 ROUNDS = 2
-DRAWN = 1.0  # share of positions in each round
 GROUP_WORDS = 255
 NOISE = 64
 GROUP_NOISE = 4
@@ -361,20 +360,18 @@ class Trainer:
 
 def trained(docs: DataFrame, known: Vocabulary) -> Model:
     """The model after ROUNDS rounds over all texts; without texts, the start."""
-    context = docs.sparkSession.sparkContext
     model = Model.start(known.noise, known.rows, known.row_noise)
     for turn in range(ROUNDS):
-        sent = context.broadcast((model, known))
+        sent = shipped(docs.sparkSession, (model, known))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, known = sent.value
+            start, known = opened(sent)
             part = TaskContext.get().partitionId()
             trainer = Trainer(Model.of(start.flat(), known.rows), known, seed=part * ROUNDS + turn)
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
                 for _, texts in coded(batch.column("text"), known):
-                    at = np.flatnonzero(trainer.rng.random(len(texts.symbols)) < DRAWN)
-                    trainer.rng.shuffle(at)
+                    at = trainer.rng.permutation(len(texts.symbols))
                     waiting.append((contexts(texts.symbols, texts.of, at), texts.symbols[at]))
                     if sum(len(t) for _, t in waiting) >= BATCH:
                         c, t = (np.concatenate(x) for x in zip(*waiting))
@@ -425,10 +422,10 @@ def scores(docs: DataFrame) -> DataFrame:
     train = rows.where(~held_out(F.col("doc_id"), MODULUS, REMAINDER))
     counts = stored(word_counts(train))
     known = vocabulary(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((trained(train, known), known))
+    sent = shipped(docs.sparkSession, (trained(train, known), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value
+        model, known = opened(sent)
         # the same on a second try: a partition reads the same rows in the same order
         number = TaskContext.get().partitionId() << 40
         log_end = math.log10(known.ends + 1)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,15 @@ def crc_of_id(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def shipped(spark: SparkSession, value: Any) -> Broadcast[bytes]:
+    """A value for all tasks as bytes that need no module there, as functions do; :func:`opened` in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(sent: Broadcast[bytes]) -> Any:
+    return pickle.loads(sent.value)
+
+
 BROADCAST_ROWS = 1_000_000
 
 

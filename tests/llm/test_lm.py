@@ -49,8 +49,7 @@ def test_counts_and_base_as_by_loops(docs_of, odd, monkeypatch, vocabulary):
     assert all(r.score < 0 for r in got)
 
 
-def test_model_beats_the_base_on_held_out_texts(docs_of, monkeypatch):
-    monkeypatch.setattr(lm, "DRAWN", 1.0)
+def test_model_beats_the_base_on_held_out_texts(docs_of):
     got = lm.scores(docs_of(made(400, 500)).repartition(2)).collect()
     fresh = [r for r in got if r.held_out]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)

@@ -6,9 +6,10 @@ it predicts one of its members, the GROUP_WORDS most frequent words that occur t
 of the group; members are symbols of their own in contexts too.  Words of the rest have add-one
 probabilities from the counts, so that every text has a probability.
 
-Fitted by noise-contrastive estimation on every position of every training text: each partition trains from
-the same start, and the results are averaged, weighted by positions, in ROUNDS rounds.  Scoring multiplies
-batches of contexts with all outputs, and with those of the group, and normalises both.
+Texts are written as symbols once.  The model is fitted on them by noise-contrastive estimation on every
+position of every training text: each partition trains from the same start, and the results are averaged,
+weighted by positions, in ROUNDS rounds.  Scoring multiplies batches of contexts with all outputs, and with
+those of the group, and normalises both.
 
 Counts of all words stay a table; its most frequent VOCABULARY words (a fixed number) go to the tasks, so
 only rare words of a text are joined, and no join key is frequent.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,20 @@ from specweave.llm.words import NOT_SPACE, Words, reduced, texts_of, words_of
 
 MODULUS, REMAINDER = 7, 2
 VOCABULARY = 1 << 18
-TOP_WORDS = 383
-BUCKETS = 128
+TOP_WORDS = 63
+BUCKETS = 192
 OUTPUTS = 1 + TOP_WORDS + BUCKETS
 CONTEXT = 5
 SIZE = 16
 ROUNDS = 2
-GROUP_WORDS = 255
+GROUP_WORDS = 172
 NOISE = 64
 GROUP_NOISE = 4
-BATCH = 1024
-RATE = 0.1
+BATCH = 1536
+SCORED = 256
+RUN = 64
+CHUNK_SYMBOLS = 1 << 18
+RATE = 0.2
 
 
 def buckets_of(words: Words, at: np.ndarray) -> np.ndarray:
@@ -204,21 +209,20 @@ def coded(column: pa.Array, known: Vocabulary) -> Iterator[tuple[int, Coded]]:
         yield first, Coded(words, out, of, at, which, counts, named)
 
 
-def contexts(symbols: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The CONTEXT symbols before each position; before a text's start stands the end symbol."""
-    start = of[np.searchsorted(of, at, "right") - 1]
-    place = at[:, None] - 1 - np.arange(CONTEXT)
-    return np.where(place >= start[:, None], symbols[np.maximum(place, 0)], 0)
+def padded(symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols with CONTEXT end symbols before every text, and the new places of the old ones."""
+    at = np.arange(len(symbols)) + CONTEXT * (1 + np.repeat(np.arange(len(of) - 1), np.diff(of)))
+    out = np.zeros(len(symbols) + CONTEXT * (len(of) - 1), np.int64)
+    out[at] = symbols
+    return out, at
 
 
 @dataclass
 class Model:
     words: np.ndarray  # vectors of context symbols
     places: np.ndarray  # a diagonal for each place before the target
-    targets: np.ndarray
-    bias: np.ndarray
-    inner: np.ndarray  # the rows of all groups
-    inner_bias: np.ndarray
+    targets: np.ndarray  # vectors of outputs, the bias last
+    inner: np.ndarray  # the rows of all groups, the bias last
     rows: np.ndarray  # of the vocabulary
 
     @staticmethod
@@ -230,11 +234,12 @@ class Model:
         vectors = rng.normal(0, 0.1, (2, OUTPUTS, SIZE)).astype(np.float32)
         more = rng.normal(0, 0.1, (2, rows[-1], SIZE)).astype(np.float32)
         places = np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32)
-        bias = np.log(noise / noise.sum()).astype(np.float32)
-        return Model(np.concatenate((vectors[0], more[0])), places, vectors[1], bias, more[1], _row_logs(rows, row_noise), rows)
+        targets = np.column_stack((vectors[1], np.log(noise / noise.sum()).astype(np.float32)))
+        inner = np.column_stack((more[1], _row_logs(rows, row_noise)))
+        return Model(np.concatenate((vectors[0], more[0])), places, targets, inner, rows)
 
     def trainable(self) -> tuple[np.ndarray, ...]:
-        return self.words, self.places, self.targets, self.bias, self.inner, self.inner_bias
+        return self.words, self.places, self.targets, self.inner
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.trainable()])
@@ -242,40 +247,50 @@ class Model:
     @staticmethod
     def of(flat: np.ndarray, rows: np.ndarray) -> Model:
         n = rows[-1]
-        shapes = [(OUTPUTS + n, SIZE), (CONTEXT, SIZE), (OUTPUTS, SIZE), (OUTPUTS,), (n, SIZE), (n,)]
+        shapes = [(OUTPUTS + n, SIZE), (CONTEXT, SIZE), (OUTPUTS, SIZE + 1), (n, SIZE + 1)]
         parts = np.split(flat.astype(np.float32), np.cumsum([math.prod(s) for s in shapes])[:-1])
         return Model(*(p.reshape(s).copy() for p, s in zip(parts, shapes)), rows)
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.einsum("bcs,cs->bs", self.words[context], self.places)
-
-    def located(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The output of each symbol, its group and its row there; group and row are -1 for end and top words
-        and where a group has a rest only."""
+    def hidden(self, vectors: np.ndarray) -> np.ndarray:
+        """What predicts each position after the first CONTEXT ones of every run, from the vectors of whole
+        runs; the last column is one, for the bias."""
+        runs, n = len(vectors), vectors.shape[1] - CONTEXT
+        out = np.ones((runs, n, SIZE + 1), np.float32)
+        out[:, :, :SIZE] = vectors[:, CONTEXT - 1 : CONTEXT - 1 + n] * self.places[0]
+        for k in range(1, CONTEXT):
+            out[:, :, :SIZE] += vectors[:, CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.places[k]
+        return out.reshape(-1, SIZE + 1)
+
+    @cached_property
+    def _located(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        symbols = np.arange(OUTPUTS + self.rows[-1])
         member = symbols >= OUTPUTS
         group = np.where(member, np.searchsorted(self.rows, symbols - OUTPUTS, "right") - 1, symbols - 1 - TOP_WORDS)
         output = np.where(member, 1 + TOP_WORDS + group, symbols)
-        group = np.where(group < 0, -1, group)
+        group = np.where((group < 0) | (group >= BUCKETS), -1, group)
         group[self.rows[group + 1] - self.rows[group] <= 1] = -1
         return output, group, np.where(group < 0, -1, np.where(member, symbols - OUTPUTS, self.rows[group]))
 
+    def located(self, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The output of each symbol, its group and its row there; group and row are -1 for end and top words
+        and where a group has a rest only."""
+        return tuple(x[symbols] for x in self._located)
+
     def log10(self, symbols: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of all symbols."""
         out = np.empty(len(symbols))
-        for start in range(0, len(symbols), 8 * 2048):
-            to = min(start + 8 * 2048, len(symbols))
-            output, group, row = self.located(symbols[start:to])
-            hidden = self.hidden(contexts(symbols, of, np.arange(start, to)))
-            for first in range(0, to - start, 2048):
-                at = slice(first, min(first + 2048, to - start))
-                out[start + first : start + at.stop] = _log_share(hidden[at], self.targets, self.bias, output[at])
+        run, places = padded(symbols, of)
+        for start in range(0, len(symbols), 1 << 15):
+            at = places[start : start + (1 << 15)]
+            output, group, row = self.located(run[at])
+            hidden = self.hidden(self.words[run[None, at[0] - CONTEXT : at[-1] + 1]])[at - at[0]]
+            logs = _log_share(hidden, self.targets, output)
             tail = np.flatnonzero(group >= 0)
-            tail = tail[np.argsort(group[tail], kind="stable")]
-            for at in np.split(tail, np.flatnonzero(np.diff(group[tail])) + 1) if len(tail) else ():
-                first, end = self.rows[group[at[0]] : group[at[0]] + 2]
-                for k in range(0, len(at), 2048):
-                    some = at[k : k + 2048]
-                    out[start + some] += _log_share(hidden[some], self.inner[first:end], self.inner_bias[first:end], row[some] - first)
+            tail = tail[np.argsort(group[tail].astype(np.uint16), kind="stable")]
+            for some in np.split(tail, np.flatnonzero(np.diff(group[tail])) + 1) if len(tail) else ():
+                first, end = self.rows[group[some[0]] : group[some[0]] + 2]
+                logs[some] += _log_share(hidden[some], self.inner[first:end], row[some] - first)
+            out[start : start + len(at)] = logs
         return out / math.log(10)
 
 
@@ -284,14 +299,20 @@ def _row_logs(rows: np.ndarray, row_noise: np.ndarray) -> np.ndarray:
     return np.log(row_noise / np.repeat(np.add.reduceat(row_noise, rows[:-1]), np.diff(rows))).astype(np.float32)
 
 
-def _log_share(hidden: np.ndarray, targets: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits = hidden @ targets.T
-    logits += bias
-    own = logits[np.arange(len(at)), at].astype(np.float64)
-    top = logits.max(1, keepdims=True)
-    logits -= top
-    np.exp(logits, out=logits)
-    return own - top[:, 0] - np.log(logits.sum(1, dtype=np.float64))
+def _log_share(hidden: np.ndarray, targets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the share of target ``at`` among all targets, in blocks that stay in a core's cache."""
+    out = np.einsum("bs,bs->b", hidden, targets[at], dtype=np.float64)
+    ones = np.ones(len(targets), np.float32)
+    # no logit exceeds the product of the longest vectors; only beyond it can an exponential overflow
+    safe = math.sqrt(float((hidden * hidden).sum(1).max()) * float((targets * targets).sum(1).max())) < 80
+    for k in range(0, len(at), SCORED):
+        logits = hidden[k : k + SCORED] @ targets.T
+        if not safe:
+            top = logits.max(1, keepdims=True)
+            logits -= top
+            out[k : k + SCORED] -= top[:, 0]
+        out[k : k + SCORED] -= np.log(np.exp(logits, out=logits) @ ones)
+    return out
 
 
 def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,6 +323,11 @@ def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[first], np.add.reduceat(values[order], first)
 
 
+def _noisy(logits: np.ndarray) -> np.ndarray:
+    """How likely each is data and not noise."""
+    return 1 / (1 + np.exp(np.minimum(-logits, 30)))
+
+
 class Trainer:
     """Noise-contrastive estimation with steps scaled as in Adagrad; only rows of the batch are touched."""
 
@@ -314,41 +340,61 @@ class Trainer:
         self.row_log_noise = _row_logs(known.rows, known.row_noise) + np.float32(math.log(GROUP_NOISE))
         self.n = 0
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        """One batch; all its positions are held against the same NOISE symbols, and those of groups against
-        GROUP_NOISE rows of their group each."""
-        m, n = self.model, len(target)
-        output, group, row = m.located(target)
+    def learn(self, symbols: np.ndarray, of: np.ndarray) -> None:
+        """Every position of some texts, in batches of short runs from random places."""
+        if not len(symbols):
+            return
+        run, at = padded(symbols, of)
+        count = -(-(len(run) - CONTEXT) // RUN)
+        run = np.concatenate((run, np.zeros(count * RUN + CONTEXT - len(run), np.int64)))
+        real = np.zeros(len(run), bool)
+        real[at] = True
+        places = self.rng.permutation(count)
+        for some in np.array_split(places, max(1, round(count * RUN / BATCH))):
+            place = some[:, None] * RUN + np.arange(RUN + CONTEXT)
+            self.step(run[place], np.flatnonzero(real[place[:, CONTEXT:]]))
+
+    def step(self, runs: np.ndarray, at: np.ndarray) -> None:
+        """One batch: positions ``at`` of those after the first CONTEXT ones of every run.  All are held against
+        the same NOISE symbols, and those of a group against the same GROUP_NOISE rows of it."""
+        m, n = self.model, len(at)
+        vectors = m.words[runs]
+        h = m.hidden(vectors)[at]
+        output, group, row = m.located(runs[:, CONTEXT:].ravel()[at])
         noise = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE), "right"), OUTPUTS - 1)
-        rows = m.words[context]
-        h = np.einsum("bcs,cs->bs", rows, m.places)
-        own = (h * m.targets[output]).sum(1) + m.bias[output] - self.log_noise[output]
-        other = h @ m.targets[noise].T + m.bias[noise] - self.log_noise[noise]
-        g_own = 1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1
-        g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        d_h = g_own[:, None] * m.targets[output] + g_other @ m.targets[noise]
-        both = np.concatenate((output, noise))
-        moves = [(2, 3, both, np.concatenate((g_own[:, None] * h, g_other.T @ h)), np.concatenate((g_own, g_other.sum(0))))]
+        own, other = m.targets[output], m.targets[noise]
+        g_own = _noisy(np.einsum("bs,bs->b", h, own) - self.log_noise[output])[:, None] - 1
+        g_other = _noisy(h @ other.T - self.log_noise[noise])
+        d_h = g_own * own + g_other @ other
+        moves = [(2, np.concatenate((output, noise)), np.concatenate((g_own * h, g_other.T @ h)))]
         tail = np.flatnonzero(group >= 0)
         if len(tail):
-            first, end = m.rows[group[tail]], m.rows[group[tail] + 1]
-            low, high = self.row_below[first][:, None], self.row_below[end][:, None]
-            drawn = np.searchsorted(self.row_below, low + (high - low) * self.rng.random((len(tail), GROUP_NOISE)), "right") - 1
-            at = np.concatenate((row[tail][:, None], np.clip(drawn, first[:, None], end[:, None] - 1)), 1)
-            vectors = m.inner[at]
-            g = np.einsum("ts,tks->tk", h[tail], vectors) + m.inner_bias[at] - self.row_log_noise[at]
-            g = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            g[:, 0] -= 1
-            d_h[tail] += np.einsum("tk,tks->ts", g, vectors)
-            moves.append((4, 5, at.ravel(), (g[:, :, None] * h[tail][:, None]).reshape(-1, SIZE), g.ravel()))
-        d_places = np.einsum("bcs,bs->cs", rows, d_h)
-        d_rows = (d_h[:, None] * m.places).reshape(-1, SIZE)
-        for vectors, bias, at, d, d_bias in moves:
-            places, sums = _summed(at, np.concatenate((d, d_bias[:, None]), 1))
-            self._move(vectors, places, sums[:, :SIZE] / n)
-            self._move(bias, places, sums[:, SIZE] / n)
-        places, sums = _summed(context.ravel(), d_rows)
-        self._move(0, places, sums / n)
+            tail = tail[np.argsort(group[tail].astype(np.uint16), kind="stable")]
+            new = np.concatenate(([True], np.diff(group[tail]) != 0))
+            kind, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            low, high = m.rows[group[tail[first]]][:, None], m.rows[group[tail[first]] + 1][:, None]
+            share = self.rng.random((len(first), GROUP_NOISE))
+            drawn = self.row_below[low] + (self.row_below[high] - self.row_below[low]) * share
+            drawn = np.clip(np.searchsorted(self.row_below, drawn, "right") - 1, low, high - 1)
+            h_tail, own, other = h[tail], m.inner[row[tail]], m.inner[drawn][kind]
+            g_own = _noisy(np.einsum("ts,ts->t", h_tail, own) - self.row_log_noise[row[tail]])[:, None] - 1
+            g_other = _noisy(np.einsum("tks,ts->tk", other, h_tail) - self.row_log_noise[drawn][kind])
+            d_h[tail] += g_own * own + np.einsum("tk,tks->ts", g_other, other)
+            pushed = np.add.reduceat((g_other[:, :, None] * h_tail[:, None]).reshape(len(tail), -1), first)
+            at_rows = np.concatenate((row[tail], drawn.ravel()))
+            moves.append((3, at_rows, np.concatenate((g_own * h_tail, pushed.reshape(-1, SIZE + 1)))))
+        d_runs, d_places = np.zeros_like(vectors), np.empty_like(m.places)
+        d = np.zeros((runs[:, CONTEXT:].size, SIZE), np.float32)
+        d[at] = d_h[:, :SIZE]
+        d = d.reshape(len(runs), -1, SIZE)
+        for k in range(CONTEXT):
+            before = slice(CONTEXT - 1 - k, runs.shape[1] - 1 - k)
+            d_runs[:, before] += d * m.places[k]
+            d_places[k] = np.einsum("rbs,rbs->s", vectors[:, before], d)
+        moves.append((0, runs.ravel(), d_runs.reshape(-1, SIZE)))
+        for k, places, d in moves:
+            places, sums = _summed(places, d)
+            self._move(k, places, sums / n)
         self._move(1, slice(None), d_places / n)
         self.n += n
 
@@ -358,30 +404,75 @@ class Trainer:
         self.model.trainable()[k][at] -= RATE * d / np.sqrt(s)
 
 
-def trained(docs: DataFrame, known: Vocabulary) -> Model:
-    """The model after ROUNDS rounds over all texts; without texts, the start."""
+CODES = "row long, doc_id long, n_tokens long, known long, log_c double, rest double, symbols binary, rare array<string>, tf array<long>"
+
+
+def codes(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """One row per row of ``docs``: its texts as 16-bit symbols, what its words of the vocabulary come to, and the
+    distinct words outside it with their counts.  ``rest`` sums the shares of words within the rests of groups."""
+    sent = shipped(docs.sparkSession, known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = opened(sent)
+        number = TaskContext.get().partitionId() << 40
+        log_end = math.log10(known.ends + 1)
+        for batch in batches:
+            for first, texts in coded(batch.column("text"), known):
+                words, n = texts.words, texts.words.n
+                own_log = np.where(texts.counts >= 0, np.log10(np.maximum(texts.counts, 0) + 1), 0.0)[texts.which]
+                symbols = texts.symbols[np.arange(len(texts.which)) + words.text_of()]
+                other = ~texts.named[texts.which]
+                group = known.group_logs[np.where(other, symbols, 0)]
+                seen = reduced(np.add, (texts.counts >= 0).astype(np.int64)[texts.which], words.of) + (known.ends > 0)
+                rare = np.flatnonzero(texts.counts[texts.which] < 0)
+                pair = words.text_of()[rare] * len(texts.counts) + texts.which[rare]
+                pair, tf = np.unique(pair, return_counts=True)
+                doc, which = (pair // len(texts.counts), pair % len(texts.counts)) if len(pair) else (pair, pair)
+                ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+                raw = pa.py_buffer((2 * texts.of).astype(np.int32)), pa.py_buffer(texts.symbols.astype("<u2"))
+                columns = [
+                    pa.array(number + np.arange(n)),
+                    batch.column("doc_id").slice(first, n),
+                    pa.array(words.counts() + 1, pa.int64()),
+                    pa.array(seen, pa.int64()),
+                    pa.array(reduced(np.add, own_log, words.of) + log_end),
+                    pa.array(reduced(np.add, np.where(other, own_log - group, 0.0), words.of)),
+                    pa.BinaryArray.from_buffers(pa.binary(), n, [None, *raw]),
+                    pa.ListArray.from_arrays(ends, spelled(words, texts.at[which])),
+                    pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64())),
+                ]
+                number += n
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CODES.split(", ")])
+
+    return _texts(docs).mapInArrow(run, CODES)
+
+
+def symbols_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, symbols, bounds of the texts) of slices of about CHUNK_SYMBOLS; a text is never cut."""
+    _, offsets, values = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    of = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    data = np.frombuffer(values, np.uint8)[: 2 * of[-1]].view("<u2") if values is not None else np.zeros(0, "<u2")
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(of, of[at] + CHUNK_SYMBOLS, "right")) - 1)
+        yield at, data[of[at] : of[to]].astype(np.int64), of[at : to + 1] - of[at]
+        at = to
+
+
+def trained(texts: DataFrame, known: Vocabulary) -> Model:
+    """The model after ROUNDS rounds over the ``symbols`` of all texts; without texts, the start."""
     model = Model.start(known.noise, known.rows, known.row_noise)
     for turn in range(ROUNDS):
-        sent = shipped(docs.sparkSession, (model, known))
+        sent = shipped(texts.sparkSession, (model.flat(), known))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, known = opened(sent)
+            flat, known = opened(sent)
             part = TaskContext.get().partitionId()
-            trainer = Trainer(Model.of(start.flat(), known.rows), known, seed=part * ROUNDS + turn)
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            trainer = Trainer(Model.of(flat, known.rows), known, seed=part * ROUNDS + turn)
             for batch in batches:
-                for _, texts in coded(batch.column("text"), known):
-                    at = trainer.rng.permutation(len(texts.symbols))
-                    waiting.append((contexts(texts.symbols, texts.of, at), texts.symbols[at]))
-                    if sum(len(t) for _, t in waiting) >= BATCH:
-                        c, t = (np.concatenate(x) for x in zip(*waiting))
-                        whole = len(t) // BATCH * BATCH
-                        for a in range(0, whole, BATCH):
-                            trainer.step(c[a : a + BATCH], t[a : a + BATCH])
-                        waiting = [(c[whole:], t[whole:])]
-            if waiting and sum(len(t) for _, t in waiting):
-                c, t = (np.concatenate(x) for x in zip(*waiting))
-                trainer.step(c, t)
+                for _, symbols, of in symbols_of(batch.column("symbols")):
+                    trainer.learn(symbols, of)
             yield _row(trainer.model.flat(), trainer.n)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +483,7 @@ def trained(docs: DataFrame, known: Vocabulary) -> Model:
                     total, n = (total + part if len(total) else part), n + r["n"]
             yield _row(total / max(n, 1), n)
 
-        parts = _texts(docs).select("text").mapInArrow(run, "mean binary, n long")
+        parts = texts.select("symbols").mapInArrow(run, "mean binary, n long")
         # partial sums first: the driver gets about the square root of the number of partitions, one after the other
         few = max(1, math.isqrt(parts.rdd.getNumPartitions()))
         total, n = 0.0, 0
@@ -419,47 +510,34 @@ def scores(docs: DataFrame) -> DataFrame:
     is unknown.  Other columns are not read.
     """
     rows = _texts(docs)
-    train = rows.where(~held_out(F.col("doc_id"), MODULUS, REMAINDER))
-    counts = stored(word_counts(train))
+    fresh = held_out(F.col("doc_id"), MODULUS, REMAINDER)
+    counts = stored(word_counts(rows.where(~fresh)))
     known = vocabulary(counts)
-    sent = shipped(docs.sparkSession, (trained(train, known), known))
+    texts = stored(codes(rows, known))
+    sent = shipped(docs.sparkSession, trained(texts.where(~fresh), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = opened(sent)
-        # the same on a second try: a partition reads the same rows in the same order
-        number = TaskContext.get().partitionId() << 40
-        log_end = math.log10(known.ends + 1)
+        model = opened(sent)
         for batch in batches:
-            for first, texts in coded(batch.column("text"), known):
-                words, n = texts.words, texts.words.n
-                names = number + np.arange(n)
-                number += n
-                log_c = np.where(texts.counts >= 0, np.log10(np.maximum(texts.counts, 0) + 1), 0.0)
-                other = ~texts.named[texts.which]
-                own_log = log_c[texts.which]
-                symbols = texts.symbols[np.arange(len(texts.which)) + words.text_of()]
-                group = known.group_logs[np.where(other, symbols, 0)]
-                neural = reduced(np.add, model.log10(texts.symbols, texts.of), texts.of)
-                neural += reduced(np.add, np.where(other, own_log - group, 0.0), words.of)
-                seen = reduced(np.add, (texts.counts >= 0).astype(np.int64)[texts.which], words.of) + (known.ends > 0)
-                yield _rows(
-                    names,
-                    batch.column("doc_id").slice(first, n),
-                    pa.array([f" {x}" for x in names.tolist()]),
-                    n_tokens=words.counts() + 1,
-                    known=seen,
-                    log_c=reduced(np.add, own_log, words.of) + log_end,
-                    neural=neural,
-                )
-                rare = np.flatnonzero(texts.counts[texts.which] < 0)
-                if len(rare):
-                    pair = words.text_of()[rare] * len(texts.counts) + texts.which[rare]
-                    pair, tf = np.unique(pair, return_counts=True)
-                    doc, which = pair // len(texts.counts), pair % len(texts.counts)
-                    yield _rows(names[doc], pa.nulls(len(pair), pa.int64()), spelled(words, texts.at[which]), tf=tf)
+            names = batch.column("row").to_numpy()
+            neural = batch.column("rest").to_numpy().copy()
+            for first, symbols, of in symbols_of(batch.column("symbols")):
+                neural[first : first + len(of) - 1] += reduced(np.add, model.log10(symbols, of), of)
+            yield _rows(
+                names,
+                batch.column("doc_id"),
+                pa.array([f" {x}" for x in names.tolist()]),  # no word, and no frequent key
+                n_tokens=batch.column("n_tokens"),
+                known=batch.column("known"),
+                log_c=batch.column("log_c"),
+                neural=neural,
+            )
+            rare, tf = batch.column("rare"), batch.column("tf")
+            some = np.repeat(names, rare.value_lengths().to_numpy())
+            yield _rows(some, pa.nulls(len(some), pa.int64()), rare.flatten(), tf=tf.flatten())
 
     kinds = "row long, doc_id long, token string, tf long, n_tokens long, known long, log_c double, neural double"
-    joined = rows.mapInArrow(run, kinds).join(counts, "token", "left")
+    joined = texts.mapInArrow(run, kinds).join(counts, "token", "left")
     rare_log = F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1)
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -471,7 +549,7 @@ def scores(docs: DataFrame) -> DataFrame:
     below = math.log10(known.total + known.kinds + 1)
     return sums.select(
         "doc_id",
-        held_out(F.col("doc_id"), MODULUS, REMAINDER).alias("held_out"),
+        fresh.alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(known.total).cast("long").alias("train_tokens"),

@@ -55,21 +55,34 @@ def test_model_beats_the_base_on_held_out_texts(docs_of):
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
+def by_loops(model, symbols, k):
+    """The hidden vector before position ``k`` of a text: the end symbol stands before its start."""
+    before = [symbols[k - 1 - j] if k > j else 0 for j in range(lm.CONTEXT)]
+    return sum(model.words[s] * model.places[j] for j, s in enumerate(before))
+
+
 def test_probabilities_sum_to_one(docs_of):
     known = lm.vocabulary(lm.word_counts(docs_of(made(80))).cache())
     assert known.total == sum(len(words(t)) for _, t in made(80))
-    model = lm.Model.start(known.noise)
+    model = lm.Model.start(known.noise, known.rows, known.row_noise)
     ((_, texts),) = lm.coded(pa.array([t for _, t in made(5)] + [None]), known)
-    logits = model.hidden(lm.contexts(texts.symbols, texts.of, np.arange(len(texts.symbols)))) @ model.targets.T + model.bias
+    hidden = np.array([by_loops(model, texts.symbols[a:b], k) for a, b in zip(texts.of[:-1], texts.of[1:]) for k in range(b - a)])
+    logits = hidden @ model.targets[:, :-1].T + model.targets[:, -1]
+    output, group, row = model.located(texts.symbols)
     share = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
-    want = np.log10(share[np.arange(len(texts.symbols)), texts.symbols])
+    want = np.log10(share[np.arange(len(output)), output])
+    for i in np.flatnonzero(group >= 0):
+        inner = model.inner[known.rows[group[i]] : known.rows[group[i] + 1]]
+        inside = np.exp(inner[:, :-1] @ hidden[i] + inner[:, -1])
+        want[i] += np.log10(inside[row[i] - known.rows[group[i]]] / inside.sum())
+    assert (group >= 0).any() and (texts.symbols >= lm.OUTPUTS).any()
     assert np.allclose(model.log10(texts.symbols, texts.of), want, atol=1e-4)
-    # within a group: all words and one unseen word share the rest
+    # within a group: all words that occur once (others are members) and one unseen word share the rest
     c = Counter(w for _, t in made(80) for w in words(t))
     top = {w for w, _ in sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))[: lm.TOP_WORDS]}
     sums = Counter()
     for w, n in c.items():
-        if w and w not in top:
+        if w and w not in top and n == 1:
             data = np.frombuffer(w.encode(), np.uint8)
             group = lm.buckets_of(lm.words_of(data, np.array([0, len(data)]), lm.NOT_SPACE, False), np.array([0]))[0]
             sums[group] += n + 1
@@ -78,9 +91,58 @@ def test_probabilities_sum_to_one(docs_of):
 
 
 def test_contexts_do_not_cross_texts():
-    symbols, of = np.array([5, 6, 0, 7, 0]), np.array([0, 3, 5])
-    got = lm.contexts(symbols, of, np.arange(5))
+    run, at = lm.padded(np.array([5, 6, 0, 7, 0]), np.array([0, 3, 5]))
+    got = run[at[:, None] - 1 - np.arange(lm.CONTEXT)]
     assert got[:, 0].tolist() == [0, 5, 6, 0, 7] and got[4].tolist() == [7] + [0] * (lm.CONTEXT - 1)
+    assert run[at].tolist() == [5, 6, 0, 7, 0] and lm.padded(np.zeros(0, int), np.array([0]))[0].size == 0
+
+
+def test_a_step_goes_down_the_gradient_of_the_plain_loss(monkeypatch):
+    """One step against the same noise drawn again: every vector moves against a numeric derivative of the loss."""
+    monkeypatch.setattr(lm, "NOISE", 4)
+    rng = np.random.default_rng(3)
+    rows = np.arange(lm.BUCKETS + 1) * 4
+    known = lm.Vocabulary(*[np.zeros(0, np.int64)] * 3, 1, 1, 1, np.zeros(lm.OUTPUTS), rng.random(lm.OUTPUTS) + 0.1, rows, rng.random(rows[-1]) + 0.1)
+    symbols = np.array([1, 1 + lm.TOP_WORDS, lm.OUTPUTS + 1, lm.OUTPUTS + 2, lm.OUTPUTS + 9, 5, 0])
+    run, at = lm.padded(symbols, np.array([0, 7]))
+    trainer = lm.Trainer(lm.Model.start(known.noise, rows, known.row_noise), known, 7)
+    start = lm.Model.of(trainer.model.flat(), rows)
+    moved = {}
+    monkeypatch.setattr(trainer, "_move", lambda k, at, d: moved.update({k: (at, d.copy())}))
+    trainer.step(run[None], at - lm.CONTEXT)
+    again = np.random.default_rng(7)
+    noise = np.minimum(np.searchsorted(trainer.below, again.random(4), "right"), lm.OUTPUTS - 1)
+    output, group, row = start.located(symbols)
+    kinds = sorted(set(group[group >= 0].tolist()))
+    share = again.random((len(kinds), lm.GROUP_NOISE))
+    drawn = {}
+    for i, g in enumerate(kinds):
+        low, high = trainer.row_below[rows[g]], trainer.row_below[rows[g + 1]]
+        drawn[g] = np.clip(np.searchsorted(trainer.row_below, low + (high - low) * share[i], "right") - 1, rows[g], rows[g + 1] - 1)
+
+    def loss(model):
+        total = 0.0
+        for k in range(len(symbols)):
+            h = np.append(by_loops(model, symbols, k).astype(np.float64), 1)
+            total += np.log1p(np.exp(-(h @ model.targets[output[k]] - trainer.log_noise[output[k]])))
+            total += sum(np.log1p(np.exp(h @ model.targets[j] - trainer.log_noise[j])) for j in noise)
+            if group[k] >= 0:
+                total += np.log1p(np.exp(-(h @ model.inner[row[k]] - trainer.row_log_noise[row[k]])))
+                total += sum(np.log1p(np.exp(h @ model.inner[j] - trainer.row_log_noise[j])) for j in drawn[group[k]])
+        return total / len(symbols)
+
+    for k, (places, d) in moved.items():
+        places = np.arange(lm.CONTEXT) if isinstance(places, slice) else places
+        for i in range(min(len(places), 6)):
+            for column in (0, d.shape[1] - 1):
+                values = []
+                for sign in (1, -1):
+                    model = lm.Model.of(start.flat().astype(np.float64), rows)
+                    parts = [x.astype(np.float64) for x in model.trainable()]
+                    parts[k][places[i], column] += sign * 1e-3
+                    values.append(loss(lm.Model(*parts, rows)))
+                assert math.isclose((values[0] - values[1]) / 2e-3, d[i, column], rel_tol=0.02, abs_tol=2e-4)
+    assert set(moved) == {0, 1, 2, 3}
 
 
 def test_no_training_rows_and_no_documents(docs_of):
@@ -106,9 +168,9 @@ def test_training_moves_every_word_that_occurs(docs_of):
     rows = [(i, t) for i, t in many(40) if not held(i)]
     known = lm.vocabulary(lm.word_counts(docs_of(rows)).cache())
     before = lm.Model.start(known.noise, known.rows, known.row_noise)
-    after = lm.trained(docs_of(rows).repartition(2), known)
+    after = lm.trained(lm.codes(docs_of(rows).repartition(2), known), known)
     inner = known.symbols[known.symbols >= lm.OUTPUTS] - lm.OUTPUTS
-    assert len(inner) and (before.inner_bias[inner] != after.inner_bias[inner]).all()
+    assert len(inner) and (before.inner[inner, -1] != after.inner[inner, -1]).all()
     assert (before.words[lm.OUTPUTS + inner] != after.words[lm.OUTPUTS + inner]).any(1).all()
 
 

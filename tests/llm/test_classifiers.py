@@ -1,6 +1,7 @@
 """Toxicity, quality and the sample both learn from."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -123,14 +124,52 @@ def test_threshold_separates():
     assert 0.8 < toxicity.threshold(np.array([0.1, 0.8, 0.85, 0.9]), np.array([0, 0, 1, 1])) < 0.85
 
 
-def test_ngrams_stay_within_a_text():
-    data = np.frombuffer(b"abcde" + b"x" + b"" + b"fgh", np.uint8)
-    bounds = np.array([0, 5, 6, 6, 9])
-    parts = list(quality.features(words_of(data, bounds, NOT_SPACE, False)))
-    assert [np.diff(of).tolist() for _, of in parts] == [[1, 1, 0, 1], [4, 0, 0, 2], [3, 0, 0, 1]]
-    alone = list(quality.features(words_of(data[6:], np.array([0, 3]), NOT_SPACE, False)))
-    for (all_of, of), (own, _) in zip(parts, alone):
-        assert all_of[of[3] : of[4]].tolist() == own.tolist()
+TEXTS = ["", "abcde", " \n", "x", "żółw 東京都  Ab-c", "é" * 40 + " 😀", "", "fgh\tabcde abcde"]
+
+
+def buckets_by_loops(text):
+    """Words, then n-grams of characters, each hashed alone."""
+    out = []
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    for w in found:
+        data = np.frombuffer(w.encode(), np.uint8)
+        alone = words_of(data, np.array([0, len(data)]), NOT_SPACE, False)
+        out.append(int(alone.hashes()[0]) % quality.WORD_BUCKETS)
+    for size in quality.GRAMS:
+        for i in range(len(text) - size + 1):
+            code = size
+            for ch in text[i : i + size]:
+                code = (code * 0x9E3779B97F4A7C15 + int.from_bytes(ch.encode(), "big")) % (1 << 64)
+            code = int(quality.mixed(np.array([code], np.uint64))[0])
+            out.append(quality.WORD_BUCKETS + code % quality.GRAM_BUCKETS)
+    return out
+
+
+def test_features_are_words_and_character_ngrams_of_texts():
+    raw = [t.encode() for t in TEXTS]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    words = words_of(np.frombuffer(b"".join(raw), np.uint8), bounds, NOT_SPACE, False)
+    parts = list(quality.features(words))
+    for d, text in enumerate(TEXTS):
+        got = [b for buckets, of in parts for b in buckets[of[d] : of[d + 1]].tolist()]
+        assert got == buckets_by_loops(text)
+    none = words_of(np.zeros(0, np.uint8), np.array([0, 0]), NOT_SPACE, False)
+    assert [(len(b), of.tolist()) for b, of in quality.features(none)] == [(0, [0, 0])] * (1 + len(quality.GRAMS))
+
+
+def test_quality_scores_are_those_of_a_plain_forward_pass(spark, monkeypatch):
+    """Mean of the features' vectors, softmax over both classes, from features by loops; the very long text too."""
+    rows = [(k, t) for k, (_, t, *_) in enumerate(corpus(40))] + [(100 + k, t) for k, t in enumerate(TEXTS)] + [(200, "wö " * 90_000)]
+    y = np.array([k % 2 for k, _ in rows])
+    sparse = [tuple(np.unique(buckets_by_loops(t), return_counts=True)) for _, t in rows]
+    sparse = [(b.astype(np.int64), n / max(1, n.sum())) for b, n in sparse]
+    vectors, row_of, out, base = quality.trained(sparse, y)
+    monkeypatch.setattr(quality, "learned", lambda docs, labels: quality.fit(sparse, y))
+    got = {r.doc_id: r.score for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    for (k, t), (b, share) in zip(rows, sparse):
+        logits = sum((s * vectors[row_of[x]] for x, s in zip(b, share)), np.zeros(quality.SIZE)) @ out + base
+        p = np.exp(logits - logits.max())
+        assert abs(got[k] - p[1] / p.sum()) < 1e-5
 
 
 def test_words_do_not_depend_on_neighbours_or_length():

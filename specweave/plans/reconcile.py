@@ -223,6 +223,20 @@ def open_judgments(resolved: DataFrame, candidates: DataFrame, catalog: DataFram
     return J.judge_request(waiting.join(details, ["ask_id", "attempt"]), [*ROW, "attempt"])
 
 
+def filled_vectors(texts: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``description, embedding``: the given vectors, and what ``embed`` makes of the other texts.
+
+    ``embed`` sees each text without vector once, as ``description``, and returns ``description, embedding``;
+    texts that it leaves out, or gives null, stay without.  Of several vectors of a text the least counts.
+    """
+    known = vectors.where("embedding is not null").select("description", "embedding")
+    asked = texts.where(~is_blank(F.col("description"))).select("description").distinct()
+    made = embed(asked.join(known, "description", "left_anti")).where("embedding is not null")
+    made = made.groupBy("description").agg(F.min("embedding").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType
+    return known.unionByName(made.withColumn("embedding", F.col("embedding").cast(kind)))
+
+
 def reconcile(
     rows: DataFrame,
     catalog: DataFrame,
@@ -237,13 +251,17 @@ def reconcile(
     terms: DataFrame | None = None,
     term_vectors: DataFrame | None = None,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
     **vector_options,
 ) -> Reconciliation:
     """Parsed rows to report.  ``keep`` (for instance ``session.cut_lineage``) is applied
     to the results that several steps share: distinct questions, placed vectors,
-    candidates, searched rows and classified rows."""
+    candidates, searched rows and classified rows.  ``embed``, where given, makes vectors in
+    this run for descriptions that have none (see :func:`filled_vectors`)."""
     found = match.exact_match(rows.select(*SPEC), catalog)
     missed = found.where("n_matches = 0").select(*SPEC).withColumn("ask_id", ask_key(rows))
+    if embed is not None:
+        description_vectors = keep(filled_vectors(missed, description_vectors, embed))
     # a description without text needs no vector; any other waits until it has one
     described = description_vectors.where("embedding is not null").select("description").distinct()
     asks = keep(

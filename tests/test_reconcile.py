@@ -172,6 +172,24 @@ def test_a_vector_that_arrives_later_opens_the_search(world, spark):
     assert {(r.spec_id, r.row_idx) for r in later.open_judgments.collect()} == {("money", 25), ("lines", 3)}
 
 
+def test_a_function_makes_vectors_in_the_same_run(world, run, spark):
+    """It is asked for each text without vector once; what it cannot tell stays open."""
+    vectors = world["description_vectors"]
+    asked = []
+
+    def embed(texts):
+        asked.append([r.description for r in texts.collect()])
+        told = vectors.where("description = 'tax of the line'")
+        return texts.join(told, "description", "left").withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+    known = vectors.where("description <> 'tax of the line'")
+    done = reconcile(**{**world, "description_vectors": known}, keep=shared, embed=embed)
+    assert [sorted(texts) for texts in asked] == [sorted([*WITHOUT_VECTOR, "tax of the line"])]
+    assert [r.description for r in done.open_vectors.collect()] == WITHOUT_VECTOR
+    columns = ("final_tag", "resolution_path", "avail_period")
+    assert keyed(done.report, *columns) == keyed(run.report, *columns)
+
+
 def test_questions_keep_nulls_apart(spark):
     rows = spark.createDataFrame([("x", None), (None, "x"), ("x", ""), (" x ", None)], "eng_name string, description string")
     keys = [r[0] for r in rows.select(ask_key(rows)).collect()]

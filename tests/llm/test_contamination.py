@@ -85,3 +85,25 @@ def test_items_without_id_mark_words_too(spark, docs_of, block_bytes):
         4: (24, 2, sha["7"], True),
     }
     assert [r.doc_id for r in c.clean(docs_of(rows), benchmark, block_bytes=block_bytes).collect()] == [3]
+
+
+def test_passage_of_many_documents_and_long_words(spark, docs_of):
+    """Hot fingerprints, words given by their digest, and words that differ only far behind."""
+    long = "x" * 5_000
+    passage = " ".join([*(f"w{k}" for k in range(6)), long, *(f"v{k}" for k in range(6))])
+    benchmark = spark.createDataFrame([(k, f"{passage} u{k}") for k in range(5)] * 3, "item_id long, text string")
+    rows = [(i, f"{'a' * (i % 7 + 1)} {passage} b{i % 5}") for i in range(400)] + [(400 + i, passage.replace(long, long + "y")) for i in range(50)]
+    rows += [(i, "B C d") for i in range(450, 500)]
+    assert sorted(map(tuple, c.contamination(docs_of(rows).repartition(7), benchmark).collect()), key=str) == brute(rows, [(r.item_id, r.text) for r in benchmark.distinct().collect()])
+    assert sorted(r.doc_id for r in c.clean(docs_of(rows), benchmark).collect()) == list(range(400, 500))
+
+
+def test_benchmark_stays_off_the_driver(spark, docs_of):
+    """Fingerprints meet in a join, and the screen keeps its size."""
+    rows, items = made()
+    prints = c._item_prints(spark.createDataFrame(items * 4, "item_id long, text string"), c.WINDOW, c.K)
+    assert c._screen(prints, 1 << 10).nbytes == 1 << 10 and c._screen(prints, 1).nbytes == 8
+    found = c._doc_prints(docs_of(rows), prints, c.WINDOW, c.K, 1 << 10)
+    plan = c._spans(found, prints, c.WINDOW, c.K)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan
+    assert "text" not in found.columns

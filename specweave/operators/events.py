@@ -4,61 +4,37 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
+from specweave.operators.numbering import PLACE, RANGE, Keep, in_ranges, range_heads
+from specweave.session import shared
 from specweave.sources.tables import small_table
 
 
-def event_sequence(
-    events: DataFrame, starts: DataFrame | None = None, fine: str = "second", coarse: str = "hour"
-) -> DataFrame:
+def event_sequence(events: DataFrame, starts: DataFrame | None = None, keep: Keep = shared) -> DataFrame:
     """Adds ``seq`` from 0 and ``elapsed_sec`` since the run's previous event.
 
     events(thread_id, event_id, ts, ...); starts(thread_id, started_at) gives the point
-    the first event is measured from.  However many events a run has, no window sees more
-    than one run's events of one ``fine`` interval, its fine intervals of one ``coarse``
-    interval, or its coarse intervals: what lies before is carried along as a count and a
-    last time.
+    the first event is measured from.  However many events a run has, of one second as well, no window sees
+    more than its events of one range of the log (``numbering``), or one row for each of its ranges.
     """
-    cut = events.withColumns({"coarse": F.date_trunc(coarse, "ts"), "fine": F.date_trunc(fine, "ts")})
-
-    def heads(df: DataFrame, n: Column, last: Column, within: list[str], level: str) -> DataFrame:
-        """Per interval: what came before it inside ``within``."""
-        order = Window.partitionBy(*within).orderBy(level)
-        return (
-            df.groupBy(*within, level).agg(n.alias("n"), last.alias("last_ts"))
-            .withColumns(
-                {
-                    f"{level}_done": F.coalesce(
-                        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-                    ),
-                    f"{level}_prev": F.lag("last_ts").over(order),
-                }
-            )
-        )
-
-    small = heads(cut, F.count("*"), F.max("ts"), ["thread_id", "coarse"], "fine")
-    large = heads(small, F.sum("n"), F.max("last_ts"), ["thread_id"], "coarse").drop("n", "last_ts")
+    placed = in_ranges(events, ["thread_id", "ts", "event_id"], keep)
+    heads = range_heads(placed, ["thread_id"], last_ts=F.max("ts"))
+    heads = heads.withColumn("_before", F.lag("last_ts").over(Window.partitionBy("thread_id").orderBy(RANGE))).drop("last_ts")
     if starts is not None:
-        large = large.join(starts.select("thread_id", "started_at"), "thread_id", "left")
-        large = large.withColumn("coarse_prev", F.coalesce("coarse_prev", "started_at"))
-    carried = small.join(large, ["thread_id", "coarse"]).select(
-        "thread_id", "coarse", "fine",
-        (F.col("fine_done") + F.col("coarse_done")).alias("_done"),
-        F.coalesce("fine_prev", "coarse_prev").alias("_before"),
-    )
-    inside = Window.partitionBy("thread_id", "coarse", "fine").orderBy("ts", "event_id")
-    numbered = cut.withColumns(
-        {"_no": F.row_number().over(inside), "_prev": F.lag("ts").over(inside)}
-    ).join(carried, ["thread_id", "coarse", "fine"])
+        heads = heads.join(starts.select("thread_id", "started_at"), "thread_id", "left")
+        heads = heads.withColumn("_before", F.coalesce("_before", "started_at")).drop("started_at")
+    heads = heads.withColumnsRenamed({"first": "_first", "done": "_done"})
+    inside = Window.partitionBy("thread_id", RANGE).orderBy(PLACE)
+    numbered = placed.withColumn("_prev", F.lag("ts").over(inside)).join(heads, ["thread_id", RANGE])
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(
         F.coalesce("_prev", "_before").cast("timestamp")
     )
     return numbered.select(
         *events.columns,
-        (F.col("_no") - 1 + F.col("_done")).alias("seq"),
+        (F.col(PLACE) - F.col("_first") + F.col("_done")).alias("seq"),
         F.round(micros / 1e6, 2).alias("elapsed_sec"),
     )
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave import model as M
 from specweave.functions.text import head_of, md5_bucket, strip, tail_of, unfenced
+from specweave.operators.numbering import PLACE, RANGE, Keep, in_ranges, range_heads
+from specweave.session import shared
 
 
 def glossary_seed(catalog: DataFrame, terms: DataFrame | None = None, at: Column | None = None) -> DataFrame:
@@ -28,26 +30,21 @@ def glossary_seed(catalog: DataFrame, terms: DataFrame | None = None, at: Column
 
 
 def batch_pack(
-    rows: DataFrame, key: str, fields: list[str], size: int, bucket_digits: int = 1
+    rows: DataFrame, key: str, fields: list[str], size: int, bucket_digits: int = 1, keep: Keep = shared
 ) -> DataFrame:
     """(batch_no, n, payload): JSON arrays of ``size`` rows; only the last one may be short.
 
-    Rows come in the order of an md5 prefix of the key and then of the key.  They are numbered
-    within the buckets of that prefix, and the rows of the buckets before are added, so no
-    window spans the table; take bucket_digits so that rows / 16**bucket_digits fits one task.
+    Rows come in the order of ``bucket_digits`` digits of the key's md5 and then of the key.  They are numbered
+    by ranges of that order (``numbering``), so no window holds rows of the table.
     """
-    order = Window.partitionBy("bucket").orderBy(key, *[f for f in fields if f != key])
-    record = F.struct(F.col("no"), F.struct(*fields).alias("record"))
-    bucketed = rows.select(md5_bucket(F.col(key), bucket_digits).alias("bucket"), *dict.fromkeys([key, *fields]))
-    # one row per bucket
-    before = F.sum("in_bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = bucketed.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
-    starts = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    columns = list(dict.fromkeys([key, *fields]))
+    placed = in_ranges(rows.select(md5_bucket(F.col(key), bucket_digits).alias("_bucket"), *columns), ["_bucket", *columns], keep)
+    heads = range_heads(placed.withColumn("_all", F.lit(0)), ["_all"]).select(RANGE, F.col("done").alias("_done"))
+    record = F.struct(F.col("_no"), F.struct(*fields).alias("record"))
     return (
-        bucketed.withColumn("own_no", F.row_number().over(order))
-        .join(starts, "bucket")
-        .withColumn("no", F.col("own_no") + F.col("start"))
-        .withColumn("batch_no", F.floor((F.col("no") - 1) / size))
+        placed.join(heads, RANGE)
+        .withColumn("_no", F.col(PLACE) + F.col("_done"))
+        .withColumn("batch_no", F.floor(F.col("_no") / size))
         .groupBy("batch_no")
         .agg(F.count("*").alias("n"), F.array_sort(F.collect_list(record)).alias("r"))
         .select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from specweave.operators.events import audit_dedupe, event_sequence
+from specweave.session import Kept
 from specweave.sources.buckets import BUCKETS, make_buckets, read_buckets, touched_buckets, write_buckets
 
 _RUN = ["thread_id"]
@@ -46,13 +47,14 @@ def event_step(events: DataFrame, folder: str, buckets: int = BUCKETS) -> Step:
             F.when(again, F.col("n_before")).otherwise(F.col("n")).alias("done"),
             F.when(again, F.col("ts_before")).otherwise(F.col("last_ts")).alias("started_at"),
         )
-        numbered = event_sequence(batch, heads.select("thread_id", "started_at"))
-        out = (
-            numbered.join(heads.select("thread_id", "done"), "thread_id", "left")
-            .withColumn("seq", F.col("seq") + F.coalesce("done", F.lit(0)))
-            .drop("done")
-        )
-        out.write.mode("overwrite").parquet(f"{folder}/events/batch_id={batch_id}")
+        with Kept(batch.sparkSession) as keep:
+            numbered = event_sequence(batch, heads.select("thread_id", "started_at"), keep)
+            out = (
+                numbered.join(heads.select("thread_id", "done"), "thread_id", "left")
+                .withColumn("seq", F.col("seq") + F.coalesce("done", F.lit(0)))
+                .drop("done")
+            )
+            out.write.mode("overwrite").parquet(f"{folder}/events/batch_id={batch_id}")
         new = batch.groupBy("thread_id").agg(F.count("*").alias("more"), F.max("ts").alias("ts"))
         merged = new.join(heads, "thread_id", "left").select(
             "thread_id",

@@ -9,8 +9,9 @@ from specweave import model as M
 from specweave.operators import catalog as cat
 from specweave.operators import events as ev
 from specweave.operators import glossary as G
-from specweave.operators import match
+from specweave.operators import match, numbering
 from specweave.plans.bootstrap import bootstrap
+from specweave.session import Kept
 from specweave.sources import buckets
 from specweave.streaming import log
 
@@ -162,6 +163,30 @@ def test_event_sequence(spark, rows):
     assert first.elapsed_sec == 107.0
 
 
+def test_a_busy_second_is_cut_into_ranges(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    data = [("hot" if i % 10 else f"r{i % 3}", i * 7919 % 6007, at) for i in range(6000)]
+    df = spark.createDataFrame(data, LOG).repartition(9)
+    with Kept(spark, f"file://{tmp_path}/kept") as keep:
+        placed = numbering.in_ranges(df, ["thread_id", "ts", "event_id"], keep)
+        sizes = [r["count"] for r in placed.groupBy(numbering.RANGE).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * 6000 / 4
+        got = ev.event_sequence(df, keep=keep).select("thread_id", "event_id", "seq", "elapsed_sec").collect()
+    assert sorted([tuple(r) for r in got], key=str) == sequence(data)
+
+
+def test_numbers_of_no_rows(spark):
+    none = spark.createDataFrame([], LOG)
+    assert ev.event_sequence(none).count() == 0
+    assert G.batch_pack(none, "thread_id", ["thread_id", "event_id"], 3).count() == 0
+
+
+def test_batches_without_a_digest_are_in_order_of_key(spark):
+    df = spark.range(500).select(F.format_string("%04d", 499 - F.col("id")).alias("k")).repartition(5)
+    packed = sorted(G.batch_pack(df, "k", ["k"], 7, 0).collect(), key=lambda b: b.batch_no)
+    assert [r["k"] for b in packed for r in json.loads(b.payload)] == [f"{i:04d}" for i in range(500)]
+
+
 def test_log_is_followed_in_batches(spark, tmp_path):
     data = some_events(300)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")

@@ -5,8 +5,8 @@ one to four bytes; the lengths of four values share a control byte.  Control and
 so a reader finds all lengths by one table lookup for each control byte, and gathers the bytes with NumPy.
 
 A written folder has two Parquet tables: ``ranks`` (one row: the ids by rank) and ``blocks`` (documents in
-ascending order: ``shard, block, doc_ids, counts, control, data``).  Shards and blocks are numbered in the
-order of documents.
+ascending order: ``shard, start, doc_ids, counts, control, data``).  Shards are numbered in the order of
+documents; ``start`` counts the ids of the shard before a block, so a reader needs one sum for each shard.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from specweave.llm.tables import shared_folder, stored
 END = 2
 BLOCK_IDS = 1 << 18
 CACHED_PIECES = 300_000  # in each of two generations
-BLOCKS = "shard int, block int, doc_ids array<long>, counts array<long>, control binary, data binary"
+BLOCKS = "shard int, start long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1).astype(np.uint8)  # control byte -> four lengths
 
@@ -177,11 +177,11 @@ def _kind(path: str, end: int) -> str:
 
 
 def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """``shard, block, doc_ids, counts, ids``: the ids of every whole text and an end id, in blocks of
-    documents in ascending order of id (null first; rows of one id by a hash of their texts).
+    """``doc_id, tie, ids``: the ids of every whole text and an end id, encoded where the text is read; ``tie`` is a
+    hash of the text, so that many rows of one id do not meet in one shard.
 
     A null or empty text has the end id alone; repeated rows stay rows of their own; other columns are
-    not read.  A block holds whole documents, BLOCK_IDS ids or one longer document.
+    not read.
     """
     spark, kind = docs.sparkSession, _kind(path, end)
     with open(path, encoding="utf-8") as f:
@@ -192,81 +192,95 @@ def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = ByteBpe(file.value)
-        shard, block = TaskContext.get().partitionId(), 0
-        tail = np.array([end], "<u4").tobytes()
-        doc_ids: list = []
-        ids: list[bytes] = []
-        size = 0
+        encode, tail = _ENCODERS[key].encode, np.array([end], "<u4").tobytes()
 
-        def made() -> pa.RecordBatch:
-            columns = [
-                pa.array([shard], pa.int32()),
-                pa.array([block], pa.int32()),
-                pa.array([doc_ids], pa.list_(pa.int64())),
-                pa.array([[len(i) // 4 for i in ids]], pa.list_(pa.int64())),
-                pa.array([np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "doc_ids", "counts", "ids"])
+        def made(part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
+            out = [part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())]
+            return pa.RecordBatch.from_arrays(out, names=["doc_id", "tie", "ids"])
 
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for name, text in zip(names, texts):
-                doc_ids.append(name)
-                ids.append(_ENCODERS[key].encode(text or "") + tail)
-                size += len(ids[-1]) // 4
+            first, size, ids = 0, 0, []
+            for at, text in enumerate(batch.column("text"), 1):
+                ids.append(np.frombuffer(encode(text.as_py() or "") + tail, "<u4").astype(kind).tobytes())
+                size += len(ids[-1])
                 if size >= BLOCK_IDS:
-                    yield made()
-                    doc_ids, ids, size, block = [], [], 0, block + 1
-        if doc_ids:
-            yield made()
+                    yield made(batch.slice(first, at - first), ids)
+                    first, size, ids = at, 0, []
+            if ids:
+                yield made(batch.slice(first), ids)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a hash of the text, so that many rows of one id do not meet in one shard
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return rows.mapInArrow(run, "shard int, block int, doc_ids array<long>, counts array<long>, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
 
 
-def ranked(blocks: DataFrame, kind: str) -> np.ndarray:
-    """The ids by falling frequency in all blocks; as many as the vocabulary has, whatever the data."""
+def ranked(encoded: DataFrame, kind: str) -> np.ndarray:
+    """The ids by falling frequency in all documents; as many as the vocabulary has, whatever the data."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(raw, kind))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            # all ids of a batch, whichever document they are of
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
+            if len(n) > len(total):
+                n[: len(total)] += total
+                total = n
+            else:
+                total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = blocks.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])
     return rows["id"].to_numpy().astype("<u4")
 
 
 def write_ids(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
-    """Encode the texts of ``docs`` and write them to ``folder`` in this file format."""
+    """Encode the texts of ``docs`` and write them to ``folder`` in this file format, in ascending order of id (null
+    first; rows of one id by a hash of their texts).
+
+    A block holds whole documents, BLOCK_IDS ids or one longer document.  Ids are shuffled, not texts.
+    """
     spark, kind = docs.sparkSession, _kind(path, end)
-    blocks = stored(tokens(docs, path, end))
-    by_rank = ranked(blocks, kind)
+    encoded = stored(tokens(docs, path, end))
+    by_rank = ranked(encoded, kind)
     spark.createDataFrame([(bytearray(by_rank.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
     sent = spark.sparkContext.broadcast(rank)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, start = TaskContext.get().partitionId(), 0
+        names: list = []
+        ids: list[bytes] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            counts = [len(raw) // np.dtype(kind).itemsize for raw in ids]
+            control, data = pack(sent.value[np.frombuffer(b"".join(ids), kind)])
+            columns = [
+                pa.array([shard], pa.int32()),
+                pa.array([start], pa.int64()),
+                pa.array([names], pa.list_(pa.int64())),
+                pa.array([counts], pa.list_(pa.int64())),
+                pa.array([control], pa.binary()),
+                pa.array([data], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "start", "doc_ids", "counts", "control", "data"])
+
         for batch in batches:
-            both = [pack(sent.value[np.frombuffer(raw, kind)]) for raw in batch.column("ids").to_pylist()]
-            columns = [batch.column(c) for c in ("shard", "block", "doc_ids", "counts")]
-            columns += [pa.array([b[i] for b in both], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "doc_ids", "counts", "control", "data"])
+            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                names.append(name)
+                ids.append(raw)
+                size += len(raw) // np.dtype(kind).itemsize
+                if size >= BLOCK_IDS:
+                    yield made()
+                    names, ids, start, size = [], [], start + size, 0
+        if names:
+            yield made()
 
-    blocks.mapInArrow(packed, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = encoded.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt.select("doc_id", "ids").mapInArrow(packed, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +313,7 @@ def _decoded(spark: SparkSession, folder: str, blocks: DataFrame, made, column:
                 raw = [ids[a:b].tobytes() for a, b in zip(of[:-1], of[1:])]
                 columns = [
                     pa.array(r["doc_ids"], pa.int64()),
-                    pa.array(offsets[r["shard"], r["block"]] + of[:-1]),
+                    pa.array(offsets[r["shard"]] + r["start"] + of[:-1]),
                     pa.array(n),
                     made(raw),
                 ]
@@ -308,12 +322,13 @@ def _decoded(spark: SparkSession, folder: str, blocks: DataFrame, made, column:
     return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
-def _offsets(blocks: DataFrame) -> dict[tuple[int, int], int]:
-    """Ids before every block.  One number a block of BLOCK_IDS ids or more: a millionth of the data."""
-    sizes = blocks.select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).toPandas()
-    sizes = sizes.sort_values(["shard", "block"])
-    before = sizes["n"].cumsum() - sizes["n"]
-    return dict(zip(zip(sizes["shard"], sizes["block"]), before))
+def _offsets(blocks: DataFrame) -> np.ndarray:
+    """Ids before every shard.  One number a shard: as many as the shuffle had partitions, whatever the data."""
+    ends = F.max(F.col("start") + F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
+    sums = blocks.groupBy("shard").agg(ends.alias("n")).toPandas()
+    sizes = np.zeros(int(sums["shard"].max()) + 1 if len(sums) else 0, np.int64)
+    sizes[sums["shard"]] = sums["n"]
+    return np.cumsum(sizes) - sizes
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -59,5 +59,19 @@ def test_files(spark, docs_of, odd, library, tmp_path, monkeypatch):
     assert sums == {(r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got}
 
 
+def test_many_blocks_in_a_shard(spark, docs_of, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "BLOCK_IDS", 40)
+    rows = [(i * 37 % 1009, f"text {i} " + "of words " * (i % 9)) for i in range(1009)]
+    folder = f"file://{tmp_path}/ids"
+    binary.write_ids(docs_of(rows).repartition(6), PATH, folder)
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    assert blocks.count() > 100 and len(binary._offsets(blocks)) == 4  # one number a shard, not a block
+    at = 0
+    for r, (i, t) in zip(binary.checksums(spark, folder).orderBy("start").collect(), sorted(rows)):
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert tuple(r) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_no_documents(spark, docs_of):
     assert binary.round_trip(docs_of([]), PATH).count() == 0

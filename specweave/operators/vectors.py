@@ -2,11 +2,12 @@
 
 The angle between vectors is a metric, so entries are grouped around anchor
 vectors (cells) and a query visits only the cells that the triangle inequality
-cannot rule out for its search radius.  Cells are compared as block pairs
-(``blocks.pair_up``), so no cell, however full, becomes one task.  The idea is
-the metric-space similarity join of Das Sarma, He and Chaudhuri (VLDB 2014).
+cannot rule out for its search radius.  Cells are cut into blocks, a row each, and a
+task pairs a part of the queries' blocks with a part of the entries': both are shuffled
+once, whatever the number of pairs, and no cell, however full, becomes one task.  The idea
+is the metric-space similarity join of Das Sarma, He and Chaudhuri (VLDB 2014).
 
-A query's own cell is searched first: its ``limit``-th best there bounds how far the
+A block of a query's own cell is searched first: its ``limit``-th best there bounds how far the
 query looks.  Before the full product of a pair, the leading coordinates in a basis
 that the anchors span, and the lengths of what is left, bound it from above.
 """
@@ -23,8 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.similarity import best, matrix_of, rank_of
-from specweave.operators.blocks import apply_pairs, pair_up
+from specweave.functions.similarity import matrix_of, rank_of
 from specweave.sources.tables import small_table
 
 _DIGITS = 9         # similarities are compared at nine decimals, equal ones by id
@@ -34,6 +34,8 @@ _SLACK = 1e-4
 _LEAD = 16          # leading coordinates of the bound
 _HAIR = 1e-8        # widening of that bound
 _FEW = 0.25         # share of a block's pairs up to which they are multiplied one by one
+_SPREAD = 8         # parts of the entries; a query has at most ``limit`` hits in each
+_HELD = 64 << 20    # bytes of entries that a task holds; beyond, there are more parts
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -73,142 +75,159 @@ def _basis(anchors: np.ndarray) -> np.ndarray:
     return np.linalg.svd(anchors, full_matrices=False)[2][:_LEAD].T
 
 
-def _led(units: np.ndarray, basis: np.ndarray) -> pa.Array:
+def _led(units: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Leading coordinates of unit vectors, then the length of the rest."""
     lead = units @ basis
     rest = np.sqrt(np.maximum(0.0, 1.0 - (lead**2).sum(axis=1)))
-    flat = np.hstack([lead, rest[:, None]])
-    return pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
+    return np.hstack([lead, rest[:, None]])
 
 
-def _placed(entries: DataFrame, anchors: np.ndarray) -> DataFrame:
-    """(entry_id, embedding, lead, cell, angle): the nearest anchor; unusable vectors are dropped."""
-    dim, basis = anchors.shape[1], _basis(anchors)
+def _placed(rows: DataFrame, anchors: np.ndarray, cells: np.ndarray) -> DataFrame:
+    """(id, unit, cell, angle): the nearest of the anchors ``cells``; unusable vectors are dropped."""
+    dim = anchors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units, good = matrix_of(batch.column("embedding"), dim)
-            cosines = np.clip(units[good] @ anchors.T, -1.0, 1.0)
-            cells = cosines.argmax(axis=1) if len(cosines) else np.zeros(0, dtype=np.int64)
-            angles = np.arccos(cosines[np.arange(len(cells)), cells])
-            kept = batch.filter(pa.array(good))
+            units = units[good]
+            cosines = np.clip(units @ anchors[cells].T, -1.0, 1.0)
+            near = cosines.argmax(axis=1) if len(cosines) else np.zeros(0, dtype=np.int64)
+            angles = np.arccos(cosines[np.arange(len(near)), near])
+            raw = pa.array([u.tobytes() for u in units], pa.binary())
+            kept = batch.column("id").filter(pa.array(good))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, _led(units[good], basis), pa.array(cells.astype(np.int32)), pa.array(angles)],
-                ["entry_id", "embedding", "lead", "cell", "angle"],
+                [kept, raw, pa.array(cells[near].astype(np.int32)), pa.array(angles)], ["id", "unit", "cell", "angle"]
             )
 
-    kind = entries.schema["embedding"].dataType.simpleString()
-    return entries.select("entry_id", "embedding").mapInArrow(
-        run, f"entry_id string, embedding {kind}, lead array<double>, cell int, angle double"
-    )
+    return rows.mapInArrow(run, "id string, unit binary, cell int, angle double")
 
 
-def _visits(queries: DataFrame, anchors: np.ndarray, rings: np.ndarray) -> DataFrame:
-    """(query_id, embedding, lead, low, cell) for every cell that may hold an entry at ``low`` or above.
+_BLOCK = "cell int, part int, ids array<string>, units binary"
 
-    rings: one row (cell, smallest angle, largest angle) per cell that holds entries.  A
-    null ``low`` means the nearest of these cells only.
-    """
-    dim, basis = anchors.shape[1], _basis(anchors)
-    cells = rings[:, 0].astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units, good = matrix_of(batch.column("embedding"), dim)
-            angles = np.arccos(np.clip(units[good] @ anchors.T, -1.0, 1.0))
-            kept = batch.filter(pa.array(good))
-            low = kept.column("low").to_numpy(zero_copy_only=False).astype(np.float64)
-            r = np.arccos(np.clip(low, -1.0, 1.0))[:, None] + _SLACK
-            own = angles[:, cells]
-            with np.errstate(invalid="ignore"):
-                reach = (own - r <= rings[:, 2]) & (own + r >= rings[:, 1])
-                reach &= own <= angles.min(axis=1, initial=np.inf)[:, None] + 2 * r
-            only_home = np.isnan(low)
-            if only_home.any():
-                home = own[only_home].argmin(axis=1)
-                reach[only_home] = np.arange(len(cells)) == home[:, None]
-            counts = reach.sum(axis=1)
-            offsets = np.concatenate([[0], counts.cumsum()]).astype(np.int32)
-            visited = cells[np.nonzero(reach)[1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    kept.column("query_id"), kept.column("embedding"), _led(units[good], basis), kept.column("low"),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(visited)),
-                ],
-                ["query_id", "embedding", "lead", "low", "cells"],
-            )
-
-    kind = queries.schema["embedding"].dataType.simpleString()
-    return (
-        queries.select("query_id", "embedding", "low")
-        .mapInArrow(run, f"query_id string, embedding {kind}, lead array<double>, low double, cells array<int>")
-        .select("query_id", "embedding", "lead", "low", F.explode("cells").alias("cell"))
+def _packed(key, rows):
+    """The rows of a block as one row, by id."""
+    ids = rows.column("id").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    units = rows.column("unit").to_pylist()
+    return pa.table(
+        {
+            "cell": pa.array([key[0].as_py()], pa.int32()),
+            "part": pa.array([key[1].as_py()], pa.int32()),
+            "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.string())),
+            "units": pa.array([b"".join(units[i] for i in order)], pa.binary()),
+        }
     )
 
 
-def _lead(table: pa.Table) -> np.ndarray:
-    return table.column("lead").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+def _in_blocks(placed: DataFrame, sizes: list[tuple[int, int]], block_rows: int) -> tuple[DataFrame, int]:
+    """A row for every block of about ``block_rows`` rows of one cell, and how many there are at most."""
+    parts = [(cell, -(-n // block_rows)) for cell, n in sizes]
+    grid = F.broadcast(small_table(placed.sparkSession, parts, "cell int, parts int"))  # one row per anchor
+    dealt = placed.join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return dealt.groupBy("cell", "part").applyInArrow(_packed, _BLOCK), sum(n for _, n in parts)
 
 
-def _open_pairs(left: pa.Table, right: pa.Table, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Least similarity of each query, and the pairs whose bound reaches it."""
-    low = left.column("low").to_numpy(zero_copy_only=False).astype(np.float64)
-    low = np.where(np.isnan(low), floor, low)
-    # q.e <= leading parts' product + product of the lengths of the rests
-    return low, _lead(left) @ _lead(right).T >= low[:, None] - _HAIR
-
-
-def _similarities(q: np.ndarray, e: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    if pairs.mean() > _FEW:
-        return np.where(pairs, np.round(q @ e.T, _DIGITS), -np.inf)
-    out = np.full(pairs.shape, -np.inf)
-    rows, columns = np.nonzero(pairs)
+def _exact(q: np.ndarray, e: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows))
     for at in range(0, len(rows), 1 << 16):
         i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
-        out[i, j] = np.round(np.einsum("ij,ij->i", q[i], e[j]), _DIGITS)
-    return out
-
-
-def _kernel(dim: int, limit: int, floor: float):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, entries, scores = [], [], []
-        if left.num_rows and right.num_rows:
-            low, pairs = _open_pairs(left, right, floor)
-            q, _ = matrix_of(left.column("embedding"), dim)
-            e, _ = matrix_of(right.column("embedding"), dim)
-            ids = right.column("entry_id").to_pylist()
-            ranks = rank_of(ids)
-            sims = _similarities(q, e, pairs)
-            for i, name in enumerate(left.column("query_id").to_pylist()):
-                for j in best(sims[i], ranks, sims[i] >= low[i], limit):
-                    queries.append(name)
-                    entries.append(ids[j])
-                    scores.append(float(sims[i, j]))
-        return pa.table(
-            {
-                "query_id": pa.array(queries, pa.string()),
-                "entry_id": pa.array(entries, pa.string()),
-                "similarity": pa.array(scores, pa.float64()),
-            }
-        )
-
-    return run
-
-
-def _counter(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of a block, and those that need the full product."""
-    met, n = left.num_rows * right.num_rows, 0
-    if met:
-        n = int(_open_pairs(left, right, -2.0)[1].sum())
-    return pa.table({"n_met": pa.array([met], pa.int64()), "n_compared": pa.array([n], pa.int64())})
+        out[at : at + (1 << 16)] = np.einsum("ij,ij->i", q[i], e[j])
+    return np.round(out, _DIGITS)
+
+
+class _Asked:
+    """The queries of a block, and the best entries that they have met."""
+
+    def __init__(self, ids: list[str], units: bytes, low: np.ndarray, limit: int, anchors: np.ndarray, rings: np.ndarray, floor: float):
+        self.ids, self.units = ids, np.frombuffer(units).reshape(-1, anchors.shape[1])
+        self.short = self.units.astype(np.float32)
+        self.low, self.limit, self.floor = low.copy(), limit, floor
+        self.basis = _basis(anchors)
+        self.lead = _led(self.units, self.basis)
+        self.rings, self.reach = rings, _reach(self.units, low, anchors, rings)
+        self.tried = self.shut = 0
+        # single precision errs by less than this
+        self.hair = (anchors.shape[1] + 8) * 1.2e-7
+        self.rows, self.sims, self.names = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_pending = 0
+
+    def visitors(self, cell: int) -> np.ndarray:
+        return np.flatnonzero(self.reach[:, self.rings[:, 0] == cell].any(axis=1))
+
+    def open(self, at: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """The pairs whose bound reaches the query's least similarity."""
+        # q.e <= leading parts' product + product of the lengths of the rests
+        return self.lead[at] @ _led(units, self.basis).T >= self.low[at][:, None] - _HAIR
+
+    def _candidates(self, at: np.ndarray, units: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.tried < 4 or 2 * self.shut > self.tried:
+            pairs = self.open(at, units)
+            few = pairs.mean() <= _FEW
+            self.tried, self.shut = self.tried + 1, self.shut + few
+            if few:
+                return np.nonzero(pairs)
+        near = self.short[at] @ short.T
+        least = self.low[at]
+        mask = near >= (least - self.hair).astype(np.float32)[:, None]
+        if mask.sum() > 4 * self.limit * len(at):
+            k = near.shape[1] - self.limit
+            least = np.partition(near, k, axis=1)[:, k] - 2 * self.hair
+            mask &= near >= least.astype(np.float32)[:, None]
+        return np.nonzero(mask)
+
+    def meet(self, cell: int, names: np.ndarray, units: np.ndarray) -> None:
+        at_all = self.visitors(cell)
+        short = units.astype(np.float32)
+        for first in range(0, len(at_all), 256):
+            at = at_all[first : first + 256]
+            i, j = self._candidates(at, units, short)
+            sims = _exact(self.units, units, at[i], j)
+            good = (sims >= self.floor) & (sims >= self.low[at[i]])
+            if good.any():
+                self.pending.append((at[i][good], sims[good], names[j[good]]))
+                self.n_pending += int(good.sum())
+        if 2 * self.n_pending > len(self.ids) * self.limit:
+            self.settle()
+
+    def settle(self) -> None:
+        """Only the best stay, the ``limit``-th bounds what may still count."""
+        rows, sims, names = (np.concatenate(x) for x in zip((self.rows, self.sims, self.names), *self.pending))
+        order = np.lexsort((rank_of(names.tolist()), -sims, rows))
+        rows, sims, names = rows[order], sims[order], names[order]
+        starts = np.searchsorted(rows, rows)
+        place = np.arange(len(rows)) - starts
+        last = place == self.limit - 1
+        self.low[rows[last]] = np.maximum(self.low[rows[last]], sims[last] - _HAIR)
+        kept = place < self.limit
+        self.rows, self.sims, self.names = rows[kept], sims[kept], names[kept]
+        self.pending, self.n_pending = [], 0
+
+    def best(self) -> pa.RecordBatch:
+        self.settle()
+        asked = pa.array([self.ids[i] for i in self.rows], pa.string())
+        return pa.RecordBatch.from_arrays([asked, pa.array(self.names, pa.string()), pa.array(self.sims)], ["query_id", "entry_id", "similarity"])
+
+
+def _reach(units: np.ndarray, low: np.ndarray, anchors: np.ndarray, rings: np.ndarray) -> np.ndarray:
+    """Which cells may hold an entry at ``low`` or above, for each query.
+
+    rings: one row (cell, smallest angle, largest angle) per cell that holds entries.
+    """
+    angles = np.arccos(np.clip(units @ anchors.T, -1.0, 1.0))
+    r = np.arccos(np.clip(low, -1.0, 1.0))[:, None] + _SLACK
+    own = angles[:, rings[:, 0].astype(np.int32)]
+    reach = (own - r <= rings[:, 2]) & (own + r >= rings[:, 1])
+    return reach & (own <= angles.min(axis=1, initial=np.inf)[:, None] + 2 * r)
 
 
 class _Search:
-    """Entries in their cells, and the queries that visit them."""
+    """Entries and queries in blocks of one cell each."""
 
     def __init__(self, queries, entries, limit, floor, anchors, dim, block_rows, keep):
-        self.limit, self.floor, self.block_rows = limit, -2.0 if floor is None else floor, block_rows
-        self.queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+        self.limit, self.floor, self.block_rows, self.keep = limit, -2.0 if floor is None else floor, block_rows, keep
+        self.queries = queries.select(F.col("query_id").cast("string").alias("id"), "embedding")
         copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("entry_id")
         entries = (
             # of many copies of one vector only the first `limit` ids can be chosen
@@ -219,38 +238,115 @@ class _Search:
         )
         self.centers = _anchors(entries, anchors, dim)
         if len(self.centers):
-            self.placed = keep(_placed(entries, self.centers))
+            rows = entries.select(F.col("entry_id").alias("id"), "embedding")
+            placed = keep(_placed(rows, self.centers, np.arange(len(self.centers))))
             # one short row per anchor
-            extent = self.placed.groupBy("cell").agg(
+            extent = placed.groupBy("cell").agg(
                 F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")
             ).collect()
             self.rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent], dtype=np.float64)
-            sizes = [(r["cell"], r["n"]) for r in extent]
-            self.sizes = small_table(queries.sparkSession, sizes, "cell int, n long")
-
-    def pairs(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        left = _visits(asked, self.centers, self.rings)
-        right = self.placed.select("entry_id", "embedding", "lead", "cell")
-        return pair_up(left, "query_id", right, "entry_id", self.block_rows, self.sizes)
-
-    def found(self, asked: DataFrame) -> DataFrame:
-        kernel = _kernel(self.centers.shape[1], self.limit, self.floor)
-        hits = apply_pairs(*self.pairs(asked), kernel, _FOUND)
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
-        return hits.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= self.limit)
-
-    def bounded(self) -> DataFrame:
-        """Queries with the least similarity that can still count: the floor, or the ``limit``-th best of
-        their own cell."""
-        local = self.found(self.queries.withColumn("low", F.lit(None).cast("double")))
-        reach = local.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("worst"))
-        low = F.when(F.col("n") >= self.limit, F.col("worst")).otherwise(self.floor)
-        return self.queries.join(reach, "query_id", "left").select(
-            "query_id", "embedding", F.coalesce(low, F.lit(self.floor)).alias("low")
-        )
+            blocks, n_blocks = _in_blocks(placed, [(r["cell"], r["n"]) for r in extent], block_rows)
+            n = sum(r["n"] for r in extent)
+            size = n * self.centers.shape[1] * 8
+            spread = max(min(_SPREAD, -(-n // (2 * block_rows))), -(-size // _HELD))
+            # shuffled once, read by every task that holds a part of the queries
+            self.entries = blocks.repartition(min(n_blocks, spread))
+
+    def asked(self) -> DataFrame:
+        """Blocks of queries with the least similarity that can still count: the floor, or the ``limit``-th best
+        among the first block of their own cell; and the cells that any of them reaches."""
+        placed = self.keep(_placed(self.queries, self.centers, self.rings[:, 0].astype(np.int64)))
+        sizes = [tuple(r) for r in placed.groupBy("cell").count().collect()]  # one short row per anchor
+        blocks, n_blocks = _in_blocks(placed, sizes, self.block_rows)
+        # at most one block for an anchor
+        home = F.broadcast(self.entries.where("part = 0").select("cell", F.col("units").alias("home")))
+        limit, floor, centers, rings = self.limit, self.floor, self.centers, self.rings
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lows, cells = [], []
+                for units, near in zip(batch.column("units").to_pylist(), batch.column("home").to_pylist()):
+                    q = np.frombuffer(units).reshape(-1, centers.shape[1])
+                    low = np.full(len(q), floor)
+                    e = np.frombuffer(near or b"").reshape(-1, centers.shape[1])
+                    if len(e) >= limit:
+                        for at in range(0, len(q), 256):
+                            sims = q[at : at + 256] @ e.T
+                            worst = np.partition(sims, len(e) - limit, axis=1)[:, len(e) - limit]
+                            low[at : at + 256] = np.maximum(floor, worst - _HAIR)
+                    lows.append(low.tobytes())
+                    cells.append(rings[_reach(q, low, centers, rings).any(axis=0), 0].astype(np.int32))
+                kept = [batch.column(c) for c in ("cell", "part", "ids", "units")]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(lows, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], _ASKED
+                )
+
+        left = blocks.join(home, "cell", "left").mapInArrow(run, f"{_BLOCK}, low binary, cells array<int>")
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return left.select(*(F.col(c).alias(f"q_{c}") for c in _ASKED)).repartition(max(1, min(n, n_blocks)))
+
+    def met(self) -> DataFrame:
+        """Each block of queries beside each block of entries that it may visit.
+
+        No block is sent twice by a shuffle: a task reads its part of either side, and pairs them.
+        """
+        return self.asked().join(self.entries.hint("shuffle_replicate_nl"), F.array_contains("q_cells", F.col("cell")))
+
+
+_ASKED = ["cell", "part", "ids", "units", "low", "cells"]
+_FOUND = "query_id string, entry_id string, similarity double"
 
 
-_FOUND = "query_id string, entry_id string, similarity double"
+def _block_pairs(batches: Iterator[pa.RecordBatch], ask: Callable) -> Iterator[tuple[_Asked, bool, int, np.ndarray, np.ndarray]]:
+    """(queries, whether they are others than before, cell, ids and vectors of entries) for every pair of blocks."""
+    now, held = None, None
+    for batch in batches:
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        for i in range(batch.num_rows):
+            key = (columns["q_cell"][i].as_py(), columns["q_part"][i].as_py())
+            other = key != now
+            if other:
+                low = np.frombuffer(columns["q_low"][i].as_py())
+                now, held = key, ask(columns["q_ids"][i].as_py(), columns["q_units"][i].as_py(), low)
+            names = columns["ids"][i].values.to_numpy(zero_copy_only=False)
+            units = np.frombuffer(columns["units"][i].as_py()).reshape(len(names), -1)
+            yield held, other, columns["cell"][i].as_py(), names, units
+
+
+def _asker(search: _Search) -> Callable[[list, bytes, np.ndarray], _Asked]:
+    limit, centers, rings, floor = search.limit, search.centers, search.rings, search.floor
+    return lambda ids, units, low: _Asked(ids, units, low, limit, centers, rings, floor)
+
+
+def _finder(search: _Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ask = _asker(search)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for held, other, cell, names, units in _block_pairs(batches, ask):
+            if other and last is not None:
+                yield last.best()
+            held.meet(cell, names, units)
+            last = held
+        if last is not None:
+            yield last.best()
+
+    return run
+
+
+def _counter(search: _Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of blocks, and those that need the full product."""
+    ask = _asker(search)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = compared = 0
+        for held, _, cell, _, units in _block_pairs(batches, ask):
+            at = held.visitors(cell)
+            met += len(at) * len(units)
+            compared += int(held.open(at, units).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([met], pa.int64()), pa.array([compared], pa.int64())], ["n_met", "n_compared"])
+
+    return run
 
 
 def vector_topk(
@@ -260,7 +356,7 @@ def vector_topk(
     floor: float | None = None,
     anchors: int = 16,
     dim: int | None = None,
-    block_rows: int = 1024,
+    block_rows: int = 2048,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """The ``limit`` nearest entries per query, of those with similarity >= ``floor``.
@@ -268,14 +364,16 @@ def vector_topk(
     queries(query_id, embedding), entries(entry_id, embedding) ->
     (query_id, entry_id, similarity, vector_rank).  Ids are text; equal similarities go
     to the lower entry_id.  Zero vectors and vectors of another size find nothing.
-    A first pass over each query's own cell bounds its radius.  ``anchors`` should grow like
+    A first pass over a block of each query's own cell bounds its radius.  ``anchors`` should grow like
     the square root of the number of entries.  ``keep`` (for instance ``session.cut_lineage``)
-    is applied to the entries once they have their cell.
+    is applied to entries and queries once they have their cell.
     """
     search = _Search(queries, entries, limit, floor, anchors, dim, block_rows, keep)
     if not len(search.centers):
         return small_table(queries.sparkSession, [], _FOUND).withColumn("vector_rank", F.lit(1))
-    return search.found(search.bounded())
+    hits = search.met().mapInArrow(_finder(search), _FOUND)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
+    return hits.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= limit)
 
 
 def vector_effort(
@@ -285,7 +383,7 @@ def vector_effort(
     floor: float | None = None,
     anchors: int = 16,
     dim: int | None = None,
-    block_rows: int = 1024,
+    block_rows: int = 2048,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """(n_met, n_compared): pairs whose cells meet in :func:`vector_topk` after the first pass, and
@@ -294,7 +392,7 @@ def vector_effort(
     schema = "n_met long, n_compared long"
     if not len(search.centers):
         return small_table(queries.sparkSession, [(0, 0)], schema)
-    counted = apply_pairs(*search.pairs(search.bounded()), _counter, schema)
+    counted = search.met().mapInArrow(_counter(search), schema)
     return counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_met", "n_compared")))
 
 

@@ -192,6 +192,19 @@ def test_share_of_vector_pairs_multiplied(spark, floor):
     assert sorted(got, key=str) == brute_vectors([r for r in rows if r[0][4] == "7"], rows, 5, floor)
 
 
+@pytest.mark.parametrize("block_rows", [5, 50])
+def test_vectors_are_shuffled_once(spark, block_rows):
+    """No row is sent once per block of the other side, however many blocks there are."""
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame([(f"e{i}", [float(x) for x in rng.normal(size=6)]) for i in range(300)], "entry_id string, embedding array<double>")
+    found = vectors.vector_topk(e.withColumnRenamed("entry_id", "query_id"), e, 3, None, block_rows=block_rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    search = vectors._Search(e.withColumnRenamed("entry_id", "query_id"), e, 3, None, 4, None, block_rows, lambda df: df)
+    assert search.entries.select(F.sum(F.size("ids"))).first()[0] == 300
+    assert search.asked().select(F.sum(F.size("q_ids"))).first()[0] == 300
+
+
 def test_vector_topk_without_entries(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     e = spark.createDataFrame([("e", [0.0, 0.0])], "entry_id string, embedding array<double>")

@@ -1,41 +1,11 @@
-"""Letters of names in order of rarity, for prefix filters.
-
-Two names whose similarity reaches a cut share a known number of letters.  Sorted from rare to frequent, they
-must then share one within the first few: a prefix that is the shorter, the higher the cut.
-"""
+"""Lengths of names that may be partners, and bands of lengths."""
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 
-KNOWN = 1 << 14  # letters ranked one by one; rarer ones share RARE ids, which loses nothing
-RARE = 1 << 10
 HAIR = 1e-9  # bounds are a hair wider, so that rounding loses nothing
 
-Letter = tuple[str, int]  # a letter and which of its occurrences in the name
-
-
-def letters(name: str) -> list[Letter]:
-    seen: Counter[str] = Counter()
-    out = []
-    for ch in name:
-        seen[ch] += 1
-        out.append((ch, seen[ch]))
-    return out
-
-
-def ranked(counts: list[tuple[str, int, int]]) -> dict[Letter, int]:
-    """Ids of the KNOWN most frequent letters, rising with their frequency; ties by letter."""
-    top = sorted(counts, key=lambda c: (-c[2], c[0], c[1]))[:KNOWN]
-    return {(ch, k): i for i, (ch, k, _) in enumerate(reversed(top))}
-
-
-def by_rarity(name: str, rank: dict[Letter, int]) -> list[int]:
-    """Ids of a name's letters, rarest first."""
-    return sorted(rank[x] if x in rank else zlib.crc32(f"{x[0]}{x[1]}".encode("utf-8", "surrogatepass")) % RARE - RARE for x in letters(name))
-
 
 def reach(length: int, cut: float) -> tuple[int, int]:
     """Shortest and longest partner of a name of ``length`` at the cut."""
@@ -43,11 +13,6 @@ def reach(length: int, cut: float) -> tuple[int, int]:
     return max(1, math.ceil(length / wide - HAIR)), math.floor(length * wide + HAIR)
 
 
-def needed(a: int, b: int, cut: float) -> int:
-    """Letters that names of these lengths share at the cut."""
-    return max(1, math.ceil(cut * (a + b) / 2 - HAIR))
-
-
 def band(length: int) -> int:
     """Length bands a quarter apart: 96 of them cover every possible text."""
     return int(math.log(length) / math.log(1.25) + HAIR)

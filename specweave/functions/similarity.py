@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = 64
+WIDE = 512          # places that kinds of letters are dealt to
+_PAIRS = 1 << 14
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -108,6 +110,71 @@ class NameBlock:
         # matched positions are zero bits; unused and padded bits stay one
         return sum(np.bitwise_count(~v).astype(np.int64) for v in state)
 
+    def rows(self, queries: list[str]) -> np.ndarray:
+        """The letters of each query as rows of the masks; -1 where the names have none, or the query ends."""
+        lengths = np.array([len(q) for q in queries])
+        raw = np.frombuffer("".join(queries).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, raw), len(self.alphabet) - 1)
+        out = np.full((len(queries), int(lengths.max(initial=0))), -1, np.int32)
+        out[np.arange(out.shape[1]) < lengths[:, None]] = np.where(self.alphabet[at] == raw, at, -1)
+        return out
+
+    def lcs_pairs(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """LCS length of the i-th query (of :meth:`rows`) with the j-th name, for each pair."""
+        masks = np.concatenate([self.masks, np.zeros_like(self.masks[:1])])  # -1 matches nothing
+        out = np.empty(len(i), np.int64)
+        for first in range(0, len(i), _PAIRS):
+            asked, names = rows[i[first : first + _PAIRS]], j[first : first + _PAIRS]
+            state = [np.full(len(names), ~np.uint64(0)) for _ in range(self.words)]
+            for t in range(asked.shape[1]):
+                carry = None
+                for w in range(self.words):
+                    v, u = state[w], state[w] & masks[asked[:, t], w, names]
+                    total = v + u
+                    over = total < v
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    state[w] = total | (v ^ u)
+                    carry = over.astype(np.uint64)
+            out[first : first + _PAIRS] = sum(np.bitwise_count(~v).astype(np.int64) for v in state)
+        return out
+
+
+class LetterSets:
+    """The letters of many names, the k-th of a kind apart from the others."""
+
+    def __init__(self, names: list[str]):
+        self.lengths = np.array([len(n) for n in names], np.int64)
+        raw = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(names)), self.lengths)
+        order = np.lexsort((raw, owner))
+        self.owner, letter = owner[order], raw[order]
+        new = np.ones(len(letter), bool)
+        new[1:] = (letter[1:] != letter[:-1]) | (self.owner[1:] != self.owner[:-1])
+        at = np.arange(len(letter))
+        self.code = letter << np.uint64(32) | (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+        self.kinds = np.unique(self.code)
+
+    def counts(self, kinds: np.ndarray) -> np.ndarray:
+        """How many of a name's letters fall on each of at most WIDE places."""
+        out = np.zeros((len(self.lengths), min(WIDE, max(1, len(kinds)))), np.float32)
+        if len(kinds):
+            at = np.minimum(np.searchsorted(kinds, self.code), len(kinds) - 1)
+            held = kinds[at] == self.code
+            if len(kinds) <= WIDE:
+                out[self.owner[held], at[held]] = 1
+            else:
+                np.add.at(out, (self.owner[held], at[held] % WIDE), 1)
+        return out
+
+
+def common(left: LetterSets, right: LetterSets) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product bounds from above what names share of their letters; it is exact
+    for up to WIDE kinds of letters, as min(a, b) is no more than a times b."""
+    kinds = np.intersect1d(left.kinds, right.kinds, assume_unique=True)
+    return left.counts(kinds), right.counts(kinds).T
+
 
 def rank_of(values: list) -> np.ndarray:
     """Position of each value in sorted order (ties broken by position)."""

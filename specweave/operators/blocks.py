@@ -1,74 +1,66 @@
-"""Splitting of similarity joins into evenly sized pairs of blocks.
+"""Similarity joins as pairs of blocks.
 
-Both sides arrive with a ``cell`` (rows of different cells never meet).  A cell
-with many rows is cut on both sides into parts of about ``block_rows`` rows by a
-hash of the row id, and each part is sent once per part of the other side, so
-every (cell, lpart, rpart) group is small however hot the cell is.
+Both sides arrive with a ``cell``; a row of one side meets whole cells of the other.  A cell with many
+rows is cut into parts by a hash of the row id, and each part becomes one row, a block.  A task reads a
+part of either side's blocks and pairs them: both sides are shuffled once, however many pairs there are
+and however hot a cell is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ["cell", "lpart", "rpart"]
-PACK = 16  # blocks of rows that small cells fill together
-
-
-def cell_sizes(df: DataFrame) -> DataFrame:
-    return df.groupBy("cell").agg(F.count("*").alias("n"))
-
-
-def pair_up(
-    left: DataFrame,
-    left_id: str,
-    right: DataFrame,
-    right_id: str,
-    block_rows: int,
-    right_sizes: DataFrame | None = None,
-    packed: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the block keys; cells that occur on one side only are dropped.
-
-    ``right_sizes(cell, n)`` saves a pass over the right side where it is known.  ``packed`` puts small
-    cells together under one ``pack``, which takes the place of the cell as a key.
-    """
-
-    def parts(sizes: DataFrame, name: str) -> DataFrame:
-        size = F.ceil(F.col("n") / block_rows).cast("int")
-        return sizes.select("cell", F.col("n").alias(f"n_{name}"), size.alias(name))
-
-    # One row per cell.  Callers bound the number of cells (anchors, length bands, ranked letters).
-    sizes = parts(cell_sizes(left), "lparts").join(
-        parts(cell_sizes(right) if right_sizes is None else right_sizes, "rparts"), "cell"
-    )
-    if packed:
-        small = (F.col("lparts") == 1) & (F.col("rparts") == 1)
-        filled = F.sum(F.when(small, F.col("n_lparts") + F.col("n_rparts")).otherwise(0)).over(Window.orderBy("cell"))
-        pack = F.when(small, F.floor(filled / F.lit(PACK * block_rows))).otherwise(-1 - F.col("cell"))
-        sizes = sizes.withColumn("pack", pack.cast("long"))
-    grid = F.broadcast(sizes.drop("n_lparts", "n_rparts"))
-
-    def spread(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
-        return (
-            df.join(grid, "cell")
-            .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(own + "s")).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
-            .drop("lparts", "rparts")
-            # a column of its own on either side of the cogroup
-            .withColumns({"pack": F.col("pack") + F.lit(0)} if packed else {})
-        )
-
-    return spread(left, left_id, "lpart", "rpart"), spread(right, right_id, "rpart", "lpart")
-
-
-def apply_pairs(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(key, left block, right block)`` once per block pair (Arrow tables).
-
-    A block pair is little data but much work, so partitions must not be merged by size:
-    the number of shuffle partitions is kept as set.
-    """
+from specweave.functions.similarity import rank_of
+from specweave.sources.tables import small_table
+
+SPREAD = 8  # parts of the right side; a row of the left has at most ``limit`` hits in each
+
+
+def dealt(rows: DataFrame, row_id: str, parts: list[tuple[int, int]]) -> DataFrame:
+    """Rows with the ``part`` of their cell; parts: (cell, number of parts), as few rows as there are cells."""
+    grid = F.broadcast(small_table(rows.sparkSession, parts, "cell int, parts int"))
+    part = F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int")
+    return rows.join(grid, "cell").withColumn("part", part).drop("parts")
+
+
+def spread(blocks: DataFrame, n_blocks: int, held: int) -> DataFrame:
+    """Blocks of the right side in SPREAD parts, or more, so that none has more than about ``held`` blocks."""
+    return blocks.repartition(max(1, min(SPREAD, -(-n_blocks // 2)), -(-n_blocks // held)))
+
+
+def crossed(left: DataFrame, n_blocks: int, right: DataFrame) -> DataFrame:
+    """Each block of the left beside those of the right whose ``cell`` is in its ``q_cells``; the left's one after another."""
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["pack", *KEYS[1:]] if "pack" in left.columns else KEYS
-    pairs = [df.repartition(n, *keys).groupBy(*keys) for df in (left, right)]
-    return pairs[0].cogroup(pairs[1]).applyInArrow(kernel, schema)
+    left = left.repartition(max(1, min(n, n_blocks)))
+    return left.join(right.hint("shuffle_replicate_nl"), F.array_contains("q_cells", F.col("cell")))
+
+
+class Best:
+    """The ``limit`` best so far for each row of a block: by score, equal ones by name."""
+
+    def __init__(self, n_rows: int, limit: int):
+        self.n_rows, self.limit = n_rows, limit
+        self.rows, self.scores, self.names = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_pending = 0
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
+        if len(rows):
+            self.pending.append((rows, scores, names))
+            self.n_pending += len(rows)
+
+    def many(self) -> bool:
+        return 2 * self.n_pending > self.n_rows * self.limit
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """Drop what cannot be among the best; the rows that have ``limit``, and the least score of each."""
+        rows, scores, names = (np.concatenate(x) for x in zip((self.rows, self.scores, self.names), *self.pending))
+        order = np.lexsort((rank_of(names.tolist()), -scores, rows))
+        rows, scores, names = rows[order], scores[order], names[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last, kept = place == self.limit - 1, place < self.limit
+        self.rows, self.scores, self.names = rows[kept], scores[kept], names[kept]
+        self.pending, self.n_pending = [], 0
+        return rows[last], scores[last]

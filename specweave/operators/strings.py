@@ -11,64 +11,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.letters import HAIR, KNOWN, RARE, band, by_rarity, first_of, letters, needed, ranked, reach
-from specweave.functions.similarity import NameBlock, best, indel_ratio, indel_ratio_of, rank_of
+from specweave.functions.letters import band, first_of, reach
+from specweave.functions.similarity import LetterSets, NameBlock, common, indel_ratio, indel_ratio_of
 from specweave.functions.text import token_sort
-from specweave.operators.blocks import apply_pairs, pair_up
+from specweave.operators.blocks import Best, crossed, dealt, spread
 
 Rows = Iterator[pa.RecordBatch]
 Keep = Callable[[DataFrame], DataFrame]
 
+_HELD = 256  # blocks of the dictionary that a task holds
+
 
 def token_sort_similarity(left: Column, right: Column) -> Column:
     """0–1 at four decimals; blanks separate tokens, case and ``_`` count."""
     return indel_ratio(token_sort(left), token_sort(right))
 
 
-def _letters(batches: Rows) -> Rows:
-    """How many names of a task have each letter."""
-    counts: dict[tuple[str, int], int] = {}
-    for batch in batches:
-        for name in batch.column("hit").to_pylist():
-            for x in letters(name):
-                counts[x] = counts.get(x, 0) + 1
-    columns = [pa.array([x[0] for x in counts], pa.string()), pa.array([x[1] for x in counts], pa.int32())]
-    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["letter", "k", "n"])
-
-
-def _rarity(dictionary: DataFrame) -> dict[tuple[str, int], int]:
-    """Ids of the most frequent letters of the dictionary, KNOWN at most."""
-    counted = dictionary.select("hit").mapInArrow(_letters, "letter string, k int, n long")
-    counted = counted.groupBy("letter", "k").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "letter", "k").limit(KNOWN)
-    return ranked([tuple(r) for r in top.collect()])
-
-
-_LEFT = "cell long, form string, cut double, place int"
-_RIGHT = "cell long, hit string, first_id string, place int"
-
+_LEFT = "form string, cut double, cell int, low int, high int"
+_RIGHT = "hit string, first_id string, cell int"
+_FOUND = "form string, hit string, raw double, score double, first_id string"
 
-def _cell(band_: int, letter: int) -> int:
-    return band_ * 2 * KNOWN + letter + RARE
 
-
-def _indexed(rank: dict, cut: float) -> Callable[[Rows], Rows]:
-    """Each name under the letters of the longest prefix it needs for any partner."""
-
-    def run(batches: Rows) -> Rows:
-        for batch in batches:
-            out: list[tuple] = []
-            for hit, first_id in zip(batch.column("hit").to_pylist(), batch.column("first_id").to_pylist()):
-                order, size = by_rarity(hit, rank), len(hit)
-                prefix = size - needed(size, reach(size, cut)[0], cut) + 1
-                out += [(_cell(band(size), order[i]), hit, first_id, i) for i in range(prefix)]
-            yield _batch(out, _RIGHT)
-
-    return run
+def _banded(batches: Rows) -> Rows:
+    """Each name with the band of its length."""
+    for batch in batches:
+        cells = pa.array([band(len(x)) for x in batch.column("hit").to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, cells], ["hit", "first_id", "cell"])
 
 
-def _asked(rank: dict, cut: float, top_k: int) -> Callable[[Rows], Rows]:
-    """Each asked name under the letters of its prefix, for each band of partners.
+def _asked(cut: float, top_k: int) -> Callable[[Rows], Rows]:
+    """Each asked name with its cut, the band of its length, and the bands of its partners.
 
     Names arrive sorted, together with those of the dictionary.  The ``top_k``-th best of the neighbours in
     that order is a score the answer cannot stay below, so it is the name's own cut.
@@ -85,11 +57,8 @@ def _asked(rank: dict, cut: float, top_k: int) -> Callable[[Rows], Rows]:
                 at = bisect_left(held, i)
                 near = [indel_ratio_of(name, names[j]) for j in held[max(0, at - top_k) : at + top_k]]
                 own = max(cut, sorted(near)[-top_k]) if len(near) >= top_k else cut
-                order, size = by_rarity(name, rank), len(name)
-                low, high = reach(size, own)
-                for b in range(band(low), band(high) + 1):
-                    prefix = size - needed(size, max(low, first_of(b)), own) + 1
-                    out += [(_cell(b, order[k]), name, own, k) for k in range(max(0, prefix))]
+                low, high = reach(len(name), own)
+                out.append((name, own, band(len(name)), band(low), band(high)))
             yield _batch(out, _LEFT)
 
     return run
@@ -101,70 +70,86 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
-class _Held:
-    """The names of a block, and where they stand under each letter."""
-
-    def __init__(self, right: pa.Table):
-        names = right.column("hit").combine_chunks().dictionary_encode()
-        place_of = names.indices.to_numpy()
-        self.names = names.dictionary.to_pylist()
-        _, first = np.unique(place_of, return_index=True)
-        self.ids = right.column("first_id").take(pa.array(first)).to_pylist()
-        self.ranks = rank_of(self.ids)
-        self.block = NameBlock(self.names)
-        cells = right.column("cell").to_numpy()
-        order = np.argsort(cells, kind="stable")
-        keys, starts = np.unique(cells[order], return_index=True)
-        places = right.column("place").to_numpy()
-        parts = [np.split(x[order], starts[1:]) for x in (place_of, places)]
-        self.cells = {int(k): (n, p) for k, n, p in zip(keys, *parts)}
-
-    def near(self, form: str, cut: float, met: list[tuple[int, int]]) -> np.ndarray:
-        """Names that may reach the cut among those met under a letter that may be the rarest one shared."""
-        size, lengths = len(form), self.block.lengths
-        marked = np.zeros(len(self.names), bool)
-        for cell, place in met:
-            if cell in self.cells:
-                names, places = self.cells[cell]
-                left = np.minimum(size - place, lengths[names] - places)  # letters that can still be shared
-                marked[names[2.0 * left >= cut * (size + lengths[names]) - HAIR]] = True
-        among = np.flatnonzero(marked)
-        return self.block.reachable(form, cut - HAIR, among) if len(among) else among
-
-
-def _asks(left: pa.Table) -> Iterator[tuple[str, float, list[tuple[int, int]]]]:
-    """Each form of a block with its cut and the cells it stands in."""
-    asks: dict[str, tuple[float, list]] = {}
-    for form, cut, cell, place in zip(*(left.column(c).to_pylist() for c in ("form", "cut", "cell", "place"))):
-        asks.setdefault(form, (cut, []))[1].append((cell, place))
-    return ((form, cut, met) for form, (cut, met) in asks.items())
-
-
-def _kernel(top_k: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            held = _Held(right)
-            for form, cut, met in _asks(left):
-                near = held.near(form, cut, met)
-                if not len(near):
-                    continue
-                score = 2.0 * held.block.lcs(form, near) / (len(form) + held.block.lengths[near])
-                for i in best(score, held.ranks[near], score >= cut, top_k):
-                    out.append((form, held.names[near[i]], float(score[i]), round(float(score[i]), 4), held.ids[near[i]]))
-        kinds = {"form": pa.string(), "hit": pa.string(), "raw": pa.float64(), "score": pa.float64(), "first_id": pa.string()}
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(kinds.items())})
+class _Asked:
+    """The names asked for in a block, and the best that they have met."""
+
+    def __init__(self, rows: list[dict], top_k: int):
+        self.forms = [r["form"] for r in rows]
+        self.cuts = np.array([r["cut"] for r in rows])
+        self.low, self.high = (np.array([r[c] for r in rows]) for c in ("low", "high"))
+        self.sets = LetterSets(self.forms)
+        self.found = Best(len(rows), top_k)
+
+    def near(self, cell: int, sets: LetterSets) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that share letters enough to reach the cut."""
+        visit = np.flatnonzero((self.low <= cell) & (cell <= self.high))
+        left, right = common(self.sets, sets)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for first in range(0, len(visit), 256):
+            at = visit[first : first + 256]
+            cuts = self.cuts[at].astype(np.float32)[:, None] * np.float32(1 - 1e-6)  # a hair less than they are
+            least = cuts * (self.sets.lengths[at].astype(np.float32)[:, None] + sets.lengths.astype(np.float32)) - np.float32(1e-6)
+            i, j = np.nonzero(2 * (left[at] @ right) >= least)
+            parts.append((at[i], j))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def meet(self, cell: int, rows: list[dict]) -> None:
+        names = [r["hit"] for r in rows]
+        sets = LetterSets(names)
+        i, j = self.near(cell, sets)
+        if not len(i):
+            return
+        block = NameBlock(names)
+        held = np.empty(len(rows), object)
+        held[:] = [(r["first_id"], r["hit"]) for r in rows]
+        score = 2.0 * block.lcs_pairs(block.rows(self.forms), i, j) / (self.sets.lengths[i] + sets.lengths[j])
+        good = score >= self.cuts[i]
+        self.found.add(i[good], score[good], held[j[good]])
+        if self.found.many():
+            at, worst = self.found.settle()
+            self.cuts[at] = np.maximum(self.cuts[at], worst)
+
+    def best(self) -> pa.RecordBatch:
+        self.found.settle()
+        rows, raw, names = self.found.rows, self.found.scores.tolist(), self.found.names
+        return _batch([(self.forms[i], hit, x, round(x, 4), key) for i, x, (key, hit) in zip(rows, raw, names)], _FOUND)
+
+
+def _block_pairs(batches: Rows, top_k: int) -> Iterator[tuple[_Asked, bool, int, list[dict]]]:
+    """(names asked for, whether they are others than before, band, names of the dictionary) for every pair of blocks."""
+    now, held = None, None
+    for batch in batches:
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        for i in range(batch.num_rows):
+            key = (columns["q_cell"][i].as_py(), columns["q_part"][i].as_py())
+            other = key != now
+            if other:
+                now, held = key, _Asked(columns["q_rows"][i].as_py(), top_k)
+            yield held, other, columns["cell"][i].as_py(), columns["rows"][i].as_py()
+
+
+def _finder(top_k: int) -> Callable[[Rows], Rows]:
+    def run(batches: Rows) -> Rows:
+        last = None
+        for held, other, cell, rows in _block_pairs(batches, top_k):
+            if other and last is not None:
+                yield last.best()
+            held.meet(cell, rows)
+            last = held
+        if last is not None:
+            yield last.best()
 
     return run
 
 
-def _counter(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """How many names each form is compared with letter by letter."""
-    out: list[tuple] = []
-    if left.num_rows and right.num_rows:
-        held = _Held(right)
-        out = [(form, len(held.near(form, cut, met))) for form, cut, met in _asks(left)]
-    return pa.table({"form": pa.array([o[0] for o in out], pa.string()), "n": pa.array([o[1] for o in out], pa.int64())})
+def _counter(top_k: int) -> Callable[[Rows], Rows]:
+    """How many pairs are compared letter by letter, were no cut raised on the way."""
+
+    def run(batches: Rows) -> Rows:
+        n = sum(len(held.near(cell, LetterSets([r["hit"] for r in rows]))[0]) for held, _, cell, rows in _block_pairs(batches, top_k))
+        yield _batch([(n,)], "n long")
+
+    return run
 
 
 def _wanted(names: DataFrame) -> DataFrame:
@@ -181,19 +166,30 @@ def _owners(catalog: DataFrame, top_k: int) -> DataFrame:
     return forms.withColumn("n", n).where(F.col("n") <= top_k)
 
 
-def _pairs(
-    wanted: DataFrame, owners: DataFrame, top_k: int, cut: float, block_rows: int, keep: Keep
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides under the letters they may meet at, cut into blocks."""
+def _in_blocks(rows: DataFrame, row_id: str, block_rows: int) -> tuple[DataFrame, int]:
+    """A row for every block of one band, and how many there are at most; blocks of long names have fewer."""
+    sizes = rows.groupBy("cell").count().collect()  # one short row per band
+    parts = [(r["cell"], max(1, -(-r["count"] * max(1, first_of(r["cell"]) // 64) // block_rows))) for r in sizes]
+    columns = [row_id, *(c for c in rows.columns if c not in (row_id, "cell"))]
+    blocks = dealt(rows, row_id, parts).groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    return blocks, sum(n for _, n in parts)
+
+
+def _pairs(wanted: DataFrame, owners: DataFrame, top_k: int, cut: float, block_rows: int, keep: Keep) -> DataFrame:
+    """Blocks of names asked for beside the blocks of the dictionary that they may find partners in."""
     dictionary = owners.where("n = 1 and length(hit) > 0").select("hit", F.col("column_id").alias("first_id"))
-    rank = _rarity(dictionary)
-    right = keep(dictionary.mapInArrow(_indexed(rank, cut), _RIGHT))
     asked = wanted.where("length(form) > 0").select(F.col("form").alias("name"), F.lit(False).alias("owned")).distinct()
     both = asked.unionByName(dictionary.select(F.col("hit").alias("name"), F.lit(True).alias("owned")))
-    ordered = both.repartitionByRange("name").sortWithinPartitions("name", "owned")
-    left = keep(ordered.mapInArrow(_asked(rank, cut, top_k), _LEFT))
-    left, right = pair_up(left, "form", right, "hit", block_rows, packed=True)
-    return left.select("pack", "lpart", "rpart", "cell", "form", "cut", "place"), right
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data, much work
+    ordered = both.repartitionByRange(n, "name").sortWithinPartitions("name", "owned")
+    left, n_left = _in_blocks(keep(ordered.mapInArrow(_asked(cut, top_k), _LEFT)), "form", block_rows)
+    right, n_right = _in_blocks(keep(dictionary.mapInArrow(_banded, _RIGHT)), "hit", block_rows)
+    bands = F.transform("rows", lambda r: F.sequence(r["low"], r["high"]))
+    left = left.select(
+        F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("rows").alias("q_rows"),
+        F.array_distinct(F.flatten(bands)).alias("q_cells"),
+    )
+    return crossed(left, n_left, spread(right, n_right, _HELD))
 
 
 def fuzzy_topk(
@@ -209,19 +205,17 @@ def fuzzy_topk(
     names(eng_name), catalog(column_id, column_name) ->
     (eng_name, column_id, score, string_rank).  Work runs over distinct token-sorted forms.
 
-    A name's neighbours in sorted order give it a cut of its own, at least ``cut``.  Names meet under a letter
-    that both hold among their rarest ones, as many as the cut leaves open, and under a length band.  What a pair
-    can still share from that letter on, then its letter counts, leave it out before the LCS.  All bounds lose
+    A name's neighbours in sorted order give it a cut of its own, at least ``cut``, which rises with what it finds.
+    Blocks of names meet by the bands of lengths that the cut leaves open.  What a pair shares of its letters, a
+    product of two matrices for a pair of blocks, leaves it out before the LCS.  All bounds lose
     nothing.  Ties go to the lower column_id.
-    One small action runs here: the letters of the dictionary are counted.  ``keep`` (``session.shared``) is
+    Two small actions run here: names are counted by band of length.  ``keep`` (``session.shared``) is
     applied to what is read more than once: the dictionary and both sides before they are cut into blocks.
     """
     wanted, owners = _wanted(names), keep(_owners(catalog, top_k))
-    left, right = _pairs(wanted, owners, top_k, cut, block_rows, keep)
-    hits = apply_pairs(left, right, _kernel(top_k), "form string, hit string, raw double, score double, first_id string")
-    # a pair that meets in several blocks is one hit
+    hits = _pairs(wanted, owners, top_k, cut, block_rows, keep).mapInArrow(_finder(top_k), _FOUND)
     by_form = Window.partitionBy("form").orderBy(F.desc("raw"), "first_id")
-    chosen = hits.withColumn("r", F.dense_rank().over(by_form)).where(F.col("r") <= top_k).distinct()
+    chosen = hits.withColumn("r", F.row_number().over(by_form)).where(F.col("r") <= top_k)
     by_column = Window.partitionBy("form").orderBy(F.desc("raw"), "column_id")
     ranked_ = (
         chosen.join(owners, "hit")
@@ -242,7 +236,7 @@ def fuzzy_effort(
 ) -> DataFrame:
     """(n_forms, n_hits, n_compared): distinct forms of both sides, and the pairs :func:`fuzzy_topk` compares."""
     wanted, owners = _wanted(names), keep(_owners(catalog, top_k))
-    compared = apply_pairs(*_pairs(wanted, owners, top_k, cut, block_rows, keep), _counter, "form string, n long")
+    compared = _pairs(wanted, owners, top_k, cut, block_rows, keep).mapInArrow(_counter(top_k), "n long")
     forms = wanted.select("form").distinct().agg(F.count("*").alias("n_forms"))
     hits = owners.where("n = 1").agg(F.count("*").alias("n_hits"))
     total = compared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_compared"))

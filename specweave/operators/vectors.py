@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.similarity import matrix_of, rank_of
+from specweave.functions.similarity import matrix_of
+from specweave.operators.blocks import Best, crossed, dealt, spread
 from specweave.sources.tables import small_table
 
 _DIGITS = 9         # similarities are compared at nine decimals, equal ones by id
@@ -34,8 +35,7 @@ _SLACK = 1e-4
 _LEAD = 16          # leading coordinates of the bound
 _HAIR = 1e-8        # widening of that bound
 _FEW = 0.25         # share of a block's pairs up to which they are multiplied one by one
-_SPREAD = 8         # parts of the entries; a query has at most ``limit`` hits in each
-_HELD = 64 << 20    # bytes of entries that a task holds; beyond, there are more parts
+_HELD = 64 << 20    # bytes of entries that a task holds
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -123,9 +123,8 @@ def _packed(key, rows):
 def _in_blocks(placed: DataFrame, sizes: list[tuple[int, int]], block_rows: int) -> tuple[DataFrame, int]:
     """A row for every block of about ``block_rows`` rows of one cell, and how many there are at most."""
     parts = [(cell, -(-n // block_rows)) for cell, n in sizes]
-    grid = F.broadcast(small_table(placed.sparkSession, parts, "cell int, parts int"))  # one row per anchor
-    dealt = placed.join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    return dealt.groupBy("cell", "part").applyInArrow(_packed, _BLOCK), sum(n for _, n in parts)
+    blocks = dealt(placed, "id", parts).groupBy("cell", "part").applyInArrow(_packed, _BLOCK)
+    return blocks, sum(n for _, n in parts)
 
 
 def _exact(q: np.ndarray, e: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -149,9 +148,7 @@ class _Asked:
         self.tried = self.shut = 0
         # single precision errs by less than this
         self.hair = (anchors.shape[1] + 8) * 1.2e-7
-        self.rows, self.sims, self.names = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n_pending = 0
+        self.found = Best(len(ids), limit)
 
     def visitors(self, cell: int) -> np.ndarray:
         return np.flatnonzero(self.reach[:, self.rings[:, 0] == cell].any(axis=1))
@@ -185,29 +182,19 @@ class _Asked:
             i, j = self._candidates(at, units, short)
             sims = _exact(self.units, units, at[i], j)
             good = (sims >= self.floor) & (sims >= self.low[at[i]])
-            if good.any():
-                self.pending.append((at[i][good], sims[good], names[j[good]]))
-                self.n_pending += int(good.sum())
-        if 2 * self.n_pending > len(self.ids) * self.limit:
+            self.found.add(at[i][good], sims[good], names[j[good]])
+        if self.found.many():
             self.settle()
 
     def settle(self) -> None:
-        """Only the best stay, the ``limit``-th bounds what may still count."""
-        rows, sims, names = (np.concatenate(x) for x in zip((self.rows, self.sims, self.names), *self.pending))
-        order = np.lexsort((rank_of(names.tolist()), -sims, rows))
-        rows, sims, names = rows[order], sims[order], names[order]
-        starts = np.searchsorted(rows, rows)
-        place = np.arange(len(rows)) - starts
-        last = place == self.limit - 1
-        self.low[rows[last]] = np.maximum(self.low[rows[last]], sims[last] - _HAIR)
-        kept = place < self.limit
-        self.rows, self.sims, self.names = rows[kept], sims[kept], names[kept]
-        self.pending, self.n_pending = [], 0
+        rows, worst = self.found.settle()
+        self.low[rows] = np.maximum(self.low[rows], worst - _HAIR)
 
     def best(self) -> pa.RecordBatch:
         self.settle()
-        asked = pa.array([self.ids[i] for i in self.rows], pa.string())
-        return pa.RecordBatch.from_arrays([asked, pa.array(self.names, pa.string()), pa.array(self.sims)], ["query_id", "entry_id", "similarity"])
+        asked = pa.array([self.ids[i] for i in self.found.rows], pa.string())
+        columns = [asked, pa.array(self.found.names, pa.string()), pa.array(self.found.scores)]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "entry_id", "similarity"])
 
 
 def _reach(units: np.ndarray, low: np.ndarray, anchors: np.ndarray, rings: np.ndarray) -> np.ndarray:
@@ -246,14 +233,11 @@ class _Search:
             ).collect()
             self.rings = np.array([(r["cell"], r["lo"], r["hi"]) for r in extent], dtype=np.float64)
             blocks, n_blocks = _in_blocks(placed, [(r["cell"], r["n"]) for r in extent], block_rows)
-            n = sum(r["n"] for r in extent)
-            size = n * self.centers.shape[1] * 8
-            spread = max(min(_SPREAD, -(-n // (2 * block_rows))), -(-size // _HELD))
             # shuffled once, read by every task that holds a part of the queries
-            self.entries = blocks.repartition(min(n_blocks, spread))
+            self.entries = spread(blocks, n_blocks, max(1, _HELD // (block_rows * self.centers.shape[1] * 8)))
 
-    def asked(self) -> DataFrame:
-        """Blocks of queries with the least similarity that can still count: the floor, or the ``limit``-th best
+    def asked(self) -> tuple[DataFrame, int]:
+        """Blocks of queries (and their number) with the least similarity that can still count: the floor, or the ``limit``-th best
         among the first block of their own cell; and the cells that any of them reaches."""
         placed = self.keep(_placed(self.queries, self.centers, self.rings[:, 0].astype(np.int64)))
         sizes = [tuple(r) for r in placed.groupBy("cell").count().collect()]  # one short row per anchor
@@ -282,15 +266,10 @@ class _Search:
                 )
 
         left = blocks.join(home, "cell", "left").mapInArrow(run, f"{_BLOCK}, low binary, cells array<int>")
-        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return left.select(*(F.col(c).alias(f"q_{c}") for c in _ASKED)).repartition(max(1, min(n, n_blocks)))
+        return left.select(*(F.col(c).alias(f"q_{c}") for c in _ASKED)), n_blocks
 
     def met(self) -> DataFrame:
-        """Each block of queries beside each block of entries that it may visit.
-
-        No block is sent twice by a shuffle: a task reads its part of either side, and pairs them.
-        """
-        return self.asked().join(self.entries.hint("shuffle_replicate_nl"), F.array_contains("q_cells", F.col("cell")))
+        return crossed(*self.asked(), self.entries)
 
 
 _ASKED = ["cell", "part", "ids", "units", "low", "cells"]

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from specweave.functions.similarity import NameBlock, best, indel_ratio_of, lcs_length, matrix_of, rank_of
+from specweave.functions.similarity import LetterSets, NameBlock, best, common, indel_ratio_of, lcs_length, matrix_of, rank_of
 from specweave.operators import strings, vectors
 
 
@@ -50,6 +50,34 @@ def test_name_block(length, queries, seed):
                 assert i in reach
 
 
+@pytest.mark.parametrize("kinds", ["abé가 😀", "".join(chr(0x4E00 + i) for i in range(900))])
+def test_pairs_of_names(kinds):
+    """LCS of pairs, and the bound by letters: exact for few kinds, never too low for many."""
+    rng = random.Random(2)
+    names, asked = (["".join(rng.choice(kinds) for _ in range(rng.randint(1, 150))) for _ in range(40)] for _ in "ab")
+    block = NameBlock(names)
+    i, j = (x.ravel() for x in np.indices((40, 40)))
+    want = [slow_lcs(asked[a], names[b]) for a, b in zip(i, j)]
+    assert list(block.lcs_pairs(block.rows(asked), i, j)) == want
+    left, right = common(LetterSets(asked), LetterSets(names))
+    shared = [sum(min(asked[a].count(ch), names[b].count(ch)) for ch in set(asked[a])) for a, b in zip(i, j)]
+    bound = (left @ right).ravel()
+    assert (bound >= shared).all() and (len(kinds) > 9 or (bound == shared).all())
+
+
+def test_names_are_shuffled_once(spark):
+    """A pair of names meets once, and no name is sent for each of its letters or each block of the other side."""
+    texts = [f"host{i % 7}.example/{i * 7919 % 1000}" for i in range(300)]
+    catalog = spark.createDataFrame([(t + "/x", t) for t in texts], "column_name string, column_id string")
+    names = spark.createDataFrame([(t,) for t in texts], "eng_name string")
+    found = strings.fuzzy_topk(names, catalog, 5, 0.7, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    met = strings._pairs(strings._wanted(names), strings._owners(catalog, 5), 5, 0.7, 20, lambda df: df)
+    pairs = met.selectExpr("explode(q_rows) q", "rows").selectExpr("q.form", "explode(rows) r").selectExpr("form", "r.hit")
+    assert pairs.count() == pairs.distinct().count()
+
+
 def test_best_breaks_ties_by_rank():
     scores = np.array([0.5, 0.9, 0.9, 0.9, 0.1])
     ranks = rank_of(["e", "d", "b", "c", "a"])
@@ -202,7 +230,7 @@ def test_vectors_are_shuffled_once(spark, block_rows):
     assert "CartesianProduct" in plan and "CoGroup" not in plan
     search = vectors._Search(e.withColumnRenamed("entry_id", "query_id"), e, 3, None, 4, None, block_rows, lambda df: df)
     assert search.entries.select(F.sum(F.size("ids"))).first()[0] == 300
-    assert search.asked().select(F.sum(F.size("q_ids"))).first()[0] == 300
+    assert search.asked()[0].select(F.sum(F.size("q_ids"))).first()[0] == 300
 
 
 def test_vector_topk_without_entries(spark):

@@ -1,8 +1,10 @@
 """Toxicity by a convolutional text classifier in NumPy.
 
 Words are hashed to learned vectors; filters of several widths slide over them, each keeps its
-largest value over the whole text, and a logistic unit reads those.  Fitted on a bounded sample
-of labelled rows; thresholds are set by language on rows of that sample that were kept back.
+largest value over the whole text, and a logistic unit reads those.  Fitted on three quarters of all
+labelled rows, dealt to shards: in every round each shard runs once over its rows from the same weights, and
+the changes are averaged (iterative parameter mixing, McDonald, Hall and Mann, NAACL 2010).  Thresholds are
+set by language on all rows of the other quarter.
 
 For scoring, every filter is multiplied into the word table beforehand, so a position costs one
 row lookup for each filter width and offset.
@@ -16,15 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.labels import held_out, labelled
-from specweave.llm.tables import opened, shipped
+from specweave.llm.labels import all_labelled, held_out
+from specweave.llm.tables import opened, shipped, stored
 from specweave.llm.words import LETTERS, reduced, texts_of, words_of
 
 BUCKETS = 1 << 20
-LEAST_DOCUMENTS = 3  # a bucket in fewer documents of the sample tells nothing
+LEAST_DOCUMENTS = 3  # a bucket in fewer documents tells nothing
 DROPPED = 0.3  # share of words left out at random in each step of fitting
 SIZE = 8
 WIDTHS = (1, 2, 3)
@@ -34,6 +37,10 @@ EPOCHS = 6
 RATE = 0.1
 MODULUS, REMAINDER = 5, 0
 CALIBRATION_ROWS = 20
+SHARD_ROWS = 10_000
+SHARD_BYTES = 32 << 20
+STEPS = 100  # log odds are counted in hundredths for the thresholds
+FINE = 2.0**32  # changes are added as integers, so that their order does not matter
 SCORES = "doc_id long, score double"
 
 
@@ -78,77 +85,233 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
+class Weights:
+    """What is learned, and the sums of squares by which its steps are scaled: a row of ``words`` for each
+    known bucket, and ``dense`` for all others, of which ``filters``, ``bias``, ``out`` and ``base`` are parts."""
+
+    def __init__(self, words: np.ndarray, seen_words: np.ndarray, dense: np.ndarray, seen_dense: np.ndarray):
+        self.words, self.seen_words, self.dense, self.seen_dense = words, seen_words, dense, seen_dense
+        self.filters, self.bias, self.out, self.base = self._parts(dense)
+        self.seen, self.seen_bias, self.seen_out, self.seen_base = self._parts(seen_dense)
+
+    @staticmethod
+    def _parts(flat: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        filters, at = {}, 0
+        for w in WIDTHS:
+            size = w * SIZE * FILTERS
+            filters[w] = flat[at : at + size].reshape(w, SIZE, FILTERS)
+            at += size
+        n = FILTERS * len(WIDTHS)
+        return filters, flat[at : at + n], flat[at + n : at + 2 * n], flat[at + 2 * n :]
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.words, self.seen_words, self.dense, self.seen_dense
+
+    def model(self, row_of: np.ndarray) -> Model:
+        tables = {w: [(self.words @ f[j]).astype(np.float32) for j in range(w)] for w, f in self.filters.items()}
+        return Model(row_of, tables, self.bias.astype(np.float32), self.out.astype(np.float32), float(self.base[0]))
+
+
+def started(n_words: int, rng: np.random.Generator) -> Weights:
+    words = rng.normal(0, 0.3, (n_words + 1, SIZE))
+    words[0] = 0
+    filters = [rng.normal(0, 0.3, (w, SIZE, FILTERS)) for w in WIDTHS]
+    n = FILTERS * len(WIDTHS)
+    dense = np.concatenate([*(f.ravel() for f in filters), np.zeros(n), rng.normal(0, 0.3, n), [0.0]])
+    return Weights(words, np.full(words.shape, 1e-2), dense, np.full(len(dense), 1e-2))
+
+
+def rows_of(known: np.ndarray) -> np.ndarray:
+    """The row of every bucket; 0 for those that too few documents hold."""
+    row_of = np.zeros(BUCKETS + 1, np.int32)
+    row_of[known] = np.arange(1, len(known) + 1)
+    return row_of
+
+
+def class_weights(n_other: int, n_toxic: int) -> tuple[float, float]:
+    n = n_other + n_toxic
+    return n / max(1, 2 * n_other), n / max(1, 2 * n_toxic)
+
+
+def epoch(at: Weights, texts: list[np.ndarray], labels: np.ndarray, weights: tuple[float, float], rng: np.random.Generator) -> np.ndarray:
+    """One round of stochastic gradient descent (steps scaled as in Adagrad), one document a step; how
+    many steps have changed each row of words."""
+    steps = np.zeros(len(at.words), np.int64)
+    words, out, bias = at.words, at.out, at.bias
+    for d in rng.permutation(len(texts)):
+        ids = np.where(rng.random(len(texts[d])) < DROPPED, 0, texts[d])
+        t = max(1, len(ids) - PAD)
+        x = words[ids]
+        peaks, places = [], []
+        for w, f in at.filters.items():
+            values = sum(x[j : j + t] @ f[j] for j in range(w))
+            best = values.argmax(0)
+            peaks.append(values[best, np.arange(FILTERS)])
+            places.append(best)
+        hidden = np.maximum(np.concatenate(peaks) + bias, 0)
+        p = 1 / (1 + np.exp(-np.clip(hidden @ out + at.base[0], -50, 50)))
+        g = (p - labels[d]) * weights[int(labels[d])]
+        step = g * out * (hidden > 0)
+        at.seen_out += (g * hidden) ** 2
+        out -= RATE * g * hidden / np.sqrt(at.seen_out)
+        at.seen_bias += step**2
+        bias -= RATE * step / np.sqrt(at.seen_bias)
+        at.seen_base += g * g
+        at.base -= RATE * g / np.sqrt(at.seen_base)
+        rows, changes = [], []
+        for k, (w, f) in enumerate(at.filters.items()):
+            part = step[k * FILTERS : (k + 1) * FILTERS]
+            for j in range(w):
+                place = places[k] + j
+                rows.append(ids[place])
+                changes.append(part[:, None] * f[j].T)
+                d_f = x[place].T * part
+                at.seen[w][j] += d_f**2
+                f[j] -= RATE * d_f / np.sqrt(at.seen[w][j])
+        row, change = np.concatenate(rows), np.concatenate(changes)
+        own, where = np.unique(row, return_inverse=True)
+        total = np.zeros((len(own), SIZE))
+        np.add.at(total, where, change)
+        at.seen_words[own] += total**2
+        words[own] -= RATE * total / np.sqrt(at.seen_words[own])
+        words[0] = 0
+        steps[own] += 1
+    return steps
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Model:
-    """Stochastic gradient descent (steps scaled as in Adagrad), one document a step."""
+    """All rounds over one list of texts."""
     rng = np.random.default_rng(seed)
     seen_in = np.zeros(BUCKETS + 1, np.int64)
     for ids in texts:
         seen_in[np.unique(ids)] += 1
-    known = np.flatnonzero(seen_in[:BUCKETS] >= LEAST_DOCUMENTS)
-    row_of = np.zeros(BUCKETS + 1, np.int32)
-    row_of[known] = np.arange(1, len(known) + 1)
+    row_of = rows_of(known := np.flatnonzero(seen_in[:BUCKETS] >= LEAST_DOCUMENTS))
+    at = started(len(known), rng)
     texts = [row_of[ids] for ids in texts]
-    words = rng.normal(0, 0.3, (len(known) + 1, SIZE))
-    words[0] = 0
-    filters = {w: rng.normal(0, 0.3, (w, SIZE, FILTERS)) for w in WIDTHS}
-    n = FILTERS * len(WIDTHS)
-    bias, out, base = np.zeros(n), rng.normal(0, 0.3, n), 0.0
-    seen_words = np.full(words.shape, 1e-2)
-    seen = {w: np.full(f.shape, 1e-2) for w, f in filters.items()}
-    seen_bias, seen_out, seen_base = np.full(n, 1e-2), np.full(n, 1e-2), 1e-2
-    weight = np.where(labels == 1, len(labels) / max(1, 2 * labels.sum()), len(labels) / max(1, 2 * (labels == 0).sum()))
+    weights = class_weights(int((labels == 0).sum()), int((labels == 1).sum()))
     for _ in range(EPOCHS):
-        for d in rng.permutation(len(texts)):
-            ids = np.where(rng.random(len(texts[d])) < DROPPED, 0, texts[d])
-            t = max(1, len(ids) - PAD)
-            x = words[ids]
-            peaks, places = [], []
-            for w, f in filters.items():
-                values = sum(x[j : j + t] @ f[j] for j in range(w))
-                best = values.argmax(0)
-                peaks.append(values[best, np.arange(FILTERS)])
-                places.append(best)
-            hidden = np.maximum(np.concatenate(peaks) + bias, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ out + base, -50, 50)))
-            g = (p - labels[d]) * weight[d]
-            step = g * out * (hidden > 0)
-            seen_out += (g * hidden) ** 2
-            out -= RATE * g * hidden / np.sqrt(seen_out)
-            seen_bias += step**2
-            bias -= RATE * step / np.sqrt(seen_bias)
-            seen_base += g * g
-            base -= RATE * g / np.sqrt(seen_base)
-            rows, changes = [], []
-            for k, (w, f) in enumerate(filters.items()):
-                part = step[k * FILTERS : (k + 1) * FILTERS]
-                for j in range(w):
-                    at = places[k] + j
-                    rows.append(ids[at])
-                    changes.append(part[:, None] * f[j].T)
-                    d_f = x[at].T * part
-                    seen[w][j] += d_f**2
-                    f[j] -= RATE * d_f / np.sqrt(seen[w][j])
-            row, change = np.concatenate(rows), np.concatenate(changes)
-            own, where = np.unique(row, return_inverse=True)
-            total = np.zeros((len(own), SIZE))
-            np.add.at(total, where, change)
-            seen_words[own] += total**2
-            words[own] -= RATE * total / np.sqrt(seen_words[own])
-            words[0] = 0
-    tables = {w: [(words @ f[j]).astype(np.float32) for j in range(w)] for w, f in filters.items()}
-    return Model(row_of, tables, bias.astype(np.float32), out.astype(np.float32), float(base))
-
-
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+        epoch(at, texts, labels, weights, rng)
+    return at.model(row_of)
+
+
+def _shards(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``shard, rows(doc_id, ids, lang, label, back)``: every labelled document outside the fold, by id; a quarter
+    is kept back.  Of rows that repeat an id the one with the smallest ids counts."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, ids, of in word_ids(batch.column("text")):
+                part = batch.slice(first, len(of) - 1)
+                raw = pa.array([ids[a:b].tobytes() for a, b in zip(of[:-1], of[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), raw, part.column("lang")], names=["doc_id", "ids", "lang"])
+
+    texts, known = all_labelled(docs, labels, "toxic", MODULUS, REMAINDER)
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_shards = max(1, -(-n // SHARD_ROWS), -(-size // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
+    rows = texts.mapInArrow(hashed, "doc_id long, ids binary, lang string").select("doc_id", F.struct("ids", "lang").alias("row"))
+    # what follows is by shard, so the ids are shuffled once
+    both = rows.unionByName(known, allowMissingColumns=True).withColumn("shard", shard).repartition(n_shards, "shard")
+    rows = both.groupBy("shard", "doc_id").agg(F.min("row").alias("row"), F.max("label").alias("label"))
+    rows = rows.where("row is not null and label is not null")
+    row = F.struct("doc_id", "row.ids", "row.lang", "label", (F.pmod("doc_id", F.lit(4)) == 1).alias("back"))
+    return stored(rows.groupBy("shard").agg(F.sort_array(F.collect_list(row)).alias("rows")), maxRecordsPerFile=1)
+
+
+def _opened(batches: Iterator[pa.RecordBatch], back: bool | None) -> Iterator[tuple[int, list[np.ndarray], pa.StructArray]]:
+    """(shard, ids of its texts, its rows) for every shard; those kept back, the others, or all."""
+    for batch in batches:
+        for number, held in zip(batch.column("shard").to_pylist(), batch.column("rows")):
+            rows = held.values
+            if back is not None:
+                rows = rows.filter(pc.equal(rows.field("back"), back))
+            yield number, [np.frombuffer(x.as_buffer(), np.int32) for x in rows.field("ids")], rows
+
+
+_CHANGES = ["row", "n", *(f"d{i}" for i in range(2 * SIZE))]
+
+
+def _changed(before: Weights, after: Weights, steps: np.ndarray, n_rows: int) -> pa.RecordBatch:
+    """Changes of the rows of words by how many steps have made them, and of all else by documents, SIZE in a row."""
+    own = np.flatnonzero(steps)
+    own = own[own > 0]
+    pad = -len(before.dense) % SIZE
+    dense = [np.pad(b - a, (0, pad)).reshape(-1, SIZE) for a, b in ((before.dense, after.dense), (before.seen_dense, after.seen_dense))]
+    words = [(after.words - before.words)[own], (after.seen_words - before.seen_words)[own]]
+    change = np.concatenate([np.hstack(words), np.hstack(dense)])
+    n = np.concatenate([steps[own], np.full(len(dense[0]), n_rows)])
+    row = np.concatenate([own, -1 - np.arange(len(dense[0]))])
+    scaled = np.rint(change * n[:, None] * FINE).astype(np.int64)
+    columns = [pa.array(row.astype(np.int32)), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in scaled.T)]
+    return pa.RecordBatch.from_arrays(columns, names=_CHANGES)
+
+
+def _mixed(at: Weights, changes: pa.Table) -> Weights:
+    """Weights moved by the mean of the shards' changes."""
+    row = changes.column("row").to_numpy()
+    mean = np.stack([changes.column(c).to_numpy() for c in _CHANGES[2:]], 1) / FINE / changes.column("n").to_numpy()[:, None]
+    words, seen_words, dense, seen_dense = (a.copy() for a in at.arrays())
+    own = row > 0
+    words[row[own]] += mean[own, :SIZE]
+    seen_words[row[own]] += mean[own, SIZE:]
+    rest = mean[~own][np.argsort(-row[~own])]
+    dense += rest[:, :SIZE].ravel()[: len(dense)]
+    seen_dense += rest[:, SIZE:].ravel()[: len(dense)]
+    return Weights(words, seen_words, dense, seen_dense)
+
+
+def fitted(shards: DataFrame, n_other: int, n_toxic: int, back: bool | None, seed: int = 9) -> Model:
+    """A model of all rows of the shards (see :func:`_opened`), of which a task holds one shard at a time.
+
+    The driver holds what every task gets: the weights, whose size BUCKETS bounds.
+    """
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_in = np.zeros(BUCKETS + 1, np.int64)
+        for _, texts, _ in _opened(batches, back):
+            for ids in texts:
+                seen_in[np.unique(ids)] += 1
+        at = np.flatnonzero(seen_in[:BUCKETS])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen_in[at])], names=["bucket", "n"])
+
+    counted = shards.mapInArrow(holders, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = counted.where(F.col("n") >= LEAST_DOCUMENTS).toArrow()
+    known = np.sort(counted.column("bucket").to_numpy())
+    weights = class_weights(n_other, n_toxic)
+    at = started(len(known), np.random.default_rng(seed))
+    sums = [F.sum(c).alias(c) for c in _CHANGES[1:]]
+    schema = ", ".join(f"{c} {'int' if c == 'row' else 'long'}" for c in _CHANGES)
+    for k in range(EPOCHS):
+        sent = shipped(shards.sparkSession, (at.arrays(), known))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
+            arrays, known = opened(sent)
+            row_of = rows_of(known)
+            for number, texts, rows in _opened(batches, back):
+                before, after = Weights(*arrays), Weights(*(a.copy() for a in arrays))
+                labels = rows.field("label").to_numpy(zero_copy_only=False)
+                steps = epoch(after, [row_of[ids] for ids in texts], labels, weights, np.random.default_rng((seed, k, number)))
+                yield _changed(before, after, steps, len(texts))
+
+        at = _mixed(at, shards.mapInArrow(run, schema).groupBy("row").agg(*sums).where("n > 0").toArrow())
+        sent.destroy()
+    return at.model(rows_of(known))
+
+
+def threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
     """Where the share of toxic rows caught less the share of others caught is largest; of equally
-    good values the nearest to 0.5."""
+    good values the nearest to 0.5.  ``counts``: how many rows each score stands for."""
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
     order = np.sort(np.unique(np.concatenate((scores, [0.0, 1.0]))))
     # one half stands for the stretch that holds it
     tries = np.unique(np.concatenate(((order[1:] + order[:-1]) / 2, [0.5])))
-    toxic, other = np.sort(scores[labels == 1]), np.sort(scores[labels == 0])
-    caught = 1 - np.searchsorted(toxic, tries) / max(1, len(toxic))
-    false = 1 - np.searchsorted(other, tries) / max(1, len(other))
-    gain = np.round(caught - false, 9)
+
+    def caught(of: int) -> np.ndarray:
+        at = np.argsort(scores[labels == of], kind="stable")
+        own, n = scores[labels == of][at], np.concatenate(([0], np.cumsum(counts[labels == of][at])))
+        return 1 - n[np.searchsorted(own, tries)] / max(1, n[-1])
+
+    gain = np.round(caught(1) - caught(0), 9)
     best = tries[gain == gain.max()]
     return float(best[np.abs(best - 0.5).argmin()])
 
@@ -159,37 +322,40 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str
     Without rows of both labels there is no model.
     """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, ids, of in word_ids(batch.column("text")):
-                part = batch.slice(first, len(of) - 1)
-                raw = pa.array([ids[a:b].tobytes() for a, b in zip(of[:-1], of[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), raw, part.column("lang"), part.column("label")], names=["doc_id", "ids", "lang", "label"]
-                )
-
-    sample = labelled(docs, labels, "toxic", MODULUS, REMAINDER)
-    rows = sample.mapInArrow(hashed, "doc_id long, ids binary, lang string, label int").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    y = np.array([r.label for r in rows])
-    if len(set(y.tolist())) < 2:
+    shards = _shards(docs, labels)
+    each = shards.select(F.explode("rows").alias("row")).groupBy("row.back", "row.label").count().collect()
+    n = {(r["back"], r["label"]): r["count"] for r in each}
+    train, back = ([n.get((b, v), 0) for v in (0, 1)] for b in (False, True))
+    if not all(x + y for x, y in zip(train, back)):
         return None, {None: 0.5}
-    texts = [np.frombuffer(r.ids, np.int32) for r in rows]
-    back = np.array([r.doc_id % 4 == 1 for r in rows])
-    if len(set(y[~back].tolist())) < 2 or len(set(y[back].tolist())) < 2:
-        return fit(texts, y), {None: 0.5}
-    model = fit([t for t, b in zip(texts, back) if not b], y[~back])
-    kept = [(t, r) for t, r, b in zip(texts, rows, back) if b]
-    of = np.concatenate(([0], np.cumsum([len(t) for t, _ in kept])))
-    scores = model.scores(np.concatenate([t for t, _ in kept]), of)
-    by: dict[str | None, list[int]] = defaultdict(list)
-    for i, (_, r) in enumerate(kept):
-        by[r.lang].append(i)
-    y_back = y[back]
-    cuts: dict[str | None, float] = {None: threshold(scores, y_back)}
-    for lang, at in by.items():
-        if lang is not None and min(np.bincount(y_back[at], minlength=2)) >= CALIBRATION_ROWS:
-            cuts[lang] = threshold(scores[at], y_back[at])
+    if not all(train) or not all(back):
+        return fitted(shards, *(x + y for x, y in zip(train, back)), None), {None: 0.5}
+    model = fitted(shards, *train, False)
+    sent = shipped(docs.sparkSession, model)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(sent)
+        for _, texts, rows in _opened(batches, True):
+            if texts:
+                score = model.scores(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+                score = np.clip(score, 1e-300, 1 - 1e-16)
+                odds = np.rint(STEPS * np.log(score / (1 - score))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.field("lang"), pa.array(odds), rows.field("label")], names=["lang", "odds", "label"])
+
+    # a row for each language, hundredth of log odds and label
+    found = shards.mapInArrow(placed, "lang string, odds long, label int").groupBy("lang", "odds", "label").count().collect()
+    sent.destroy()
+    by: dict[str | None, list[tuple]] = defaultdict(list)
+    for r in found:
+        row = (1 / (1 + np.exp(-r["odds"] / STEPS)), r["label"], r["count"])
+        by[None].append(row)
+        if r["lang"] is not None:
+            by[r["lang"]].append(row)
+    cuts: dict[str | None, float] = {}
+    for lang, own in sorted(by.items(), key=str):
+        scores, marks, counts = (np.array(x) for x in zip(*own))
+        if lang is None or min(np.bincount(marks, counts, minlength=2)) >= CALIBRATION_ROWS:
+            cuts[lang] = threshold(scores, marks, counts)
     return model, cuts
 
 

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from specweave.llm import labels as L
 from specweave.llm import quality, toxicity
@@ -102,6 +103,29 @@ def test_sample_is_bounded_and_leaves_the_fold_out(tables):
     assert {r.doc_id for r in L.labelled(docs, marks, "toxic", 5, 0, longest=10).collect()} == set()
 
 
+def test_toxicity_learns_from_every_labelled_row(tables, monkeypatch):
+    """No row is left out, whatever its length, and shards come to a model as good as one list does."""
+    docs, marks = tables
+    long = docs.sparkSession.createDataFrame([(20_001, "zebra " * 40_000, "xx")], "doc_id long, text string, lang string")
+    given = docs.select("doc_id", "text", F.lit("xx").alias("lang")).union(long)
+    known = marks.union(docs.sparkSession.createDataFrame([(20_001, 1, 1)], marks.schema))
+    ids = {r.doc_id for r in L.all_labelled(given, known, "toxic")[0].collect()}
+    # 5 has labels that contradict each other
+    assert 20_001 in ids and ids == {r.doc_id for r in known.join(given.where("text is not null"), "doc_id").collect()} - {5}
+    held = toxicity._shards(given, known).selectExpr("explode(rows) r").select("r.*").collect()
+    assert sorted(r.doc_id for r in held) == sorted(i for i in ids if fold(i, 5) != 0)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    rows = toxicity.toxicity(docs, marks).collect()
+    assert accuracy(rows, {r[0]: r[3] for r in corpus()}, 5, 0) > 0.95
+    assert [r.score for r in rows] == [r.score for r in toxicity.toxicity(docs, marks).collect()]
+
+
+def test_threshold_of_counted_scores():
+    scores, labels = np.array([0.1, 0.4, 0.6, 0.9]), np.array([0, 1, 0, 1])
+    counts = np.array([5, 3, 1, 2])
+    assert toxicity.threshold(scores, labels, counts) == toxicity.threshold(np.repeat(scores, counts), np.repeat(labels, counts))
+
+
 def test_scores_of_the_network_are_those_of_plain_convolution():
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(list("abcdef"), n)) for n in (0, 1, 2, 3, 9, 30)]

@@ -6,6 +6,10 @@ is not there yet stays open and is listed for the next run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,12 +236,45 @@ def apply_confirmation(rows: DataFrame, decisions: DataFrame, keys: list[str] =
     )
 
 
+_HELD = 1 << 20  # rows that a task holds; beyond, it hands them on
+
+
+def _last_of(rows: pa.Table, order: list[str]) -> pa.Table:
+    """The last row of each column in ``order``, nulls first."""
+    keys = [(c, "ascending") for c in ["column_id", *order]]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
+    ids = rows.column("column_id")
+    changes = pc.not_equal(ids.slice(1), ids.slice(0, max(0, len(ids) - 1))).combine_chunks()
+    return rows.filter(pa.concat_arrays([changes, pa.array([True] * min(1, len(ids)), pa.bool_())]))
+
+
+def last_writes(writes: DataFrame, order: list[str]) -> DataFrame:
+    """The last write of each column among those of a task, so that what is left to sort does not grow with the writes."""
+    names = list(dict.fromkeys(["column_id", "tag", "confidence", "updated_at", *order]))
+    writes = writes.select(*names).where("column_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, n = None, [], 0
+        for batch in batches:
+            more.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= max(1 << 16, held.num_rows if held else 0):
+                held, more, n = _last_of(pa.concat_tables([*([held] if held else []), *more]), order), [], 0
+                if held.num_rows >= _HELD:
+                    yield from held.to_batches(10_000)
+                    held = None
+        if held or more:
+            yield from _last_of(pa.concat_tables([*([held] if held else []), *more]), order).to_batches(10_000)
+
+    return writes.mapInArrow(run, writes.schema)
+
+
 def tag_upsert(catalog: DataFrame, writes: DataFrame, order: list[str]) -> DataFrame:
     """The catalog after all writes(column_id, tag, confidence, updated_at, <order>).
 
     The last write per column in ``order`` wins; every column it names is replaced.
     """
-    last = writes.groupBy("column_id").agg(
+    last = last_writes(writes, order).groupBy("column_id").agg(
         F.max_by(F.struct("tag", "confidence", "updated_at"), F.struct(*order)).alias("w")
     )
     hit = F.col("w").isNotNull()

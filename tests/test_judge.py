@@ -158,3 +158,18 @@ def test_eval_rates(spark, rows):
     asked = spark.createDataFrame([("line_count",), (" line_count ",), ("lin_count",), ("zzz",)], "eng_name string")
     assert rows(evaluate.eval_coverage(asked, catalog)) == [(4, 0.5, 0.25)]
     assert rows(evaluate.eval_coverage(asked.limit(0), catalog)) == [(0, None, None)]
+
+
+def test_last_writes_of_tasks_are_few(spark, rows):
+    """What is sorted grows with the columns, not with the writes; nulls come first, as in Spark."""
+    kind = "column_id string, tag string, confidence double, updated_at timestamp, stage int, spec_id string, row_idx long"
+    given = [(f"c{k % 7}", f"t{k}", k / 10, None, k % 3 if k % 5 else None, None if k % 4 else f"s{k % 11}", k) for k in range(3000)]
+    writes = spark.createDataFrame([*given, (None, "t", 0.5, None, 1, "s", 1)], kind).repartition(3)
+    order = ["stage", "spec_id", "row_idx"]
+    assert judge.last_writes(writes, order).count() <= 7 * 3
+    catalog = spark.createDataFrame([(f"c{k}", "old", 0.1, None) for k in range(9)], "column_id string, tag string, confidence double, updated_at timestamp")
+    last = {}
+    for c, tag, confidence, _, *key in sorted(given, key=lambda g: [(x is not None, x or 0) if i != 1 else (x is not None, x or "") for i, x in enumerate(g[4:])]):
+        last[c] = (c, tag, confidence, None)
+    want = [last.get(f"c{k}", (f"c{k}", "old", 0.1, None)) for k in range(9)]
+    assert rows(judge.tag_upsert(catalog, writes, order)) == sorted(want, key=str)

@@ -59,8 +59,12 @@ def md5_bucket(key: Column, digits: int) -> Column:
     return F.substring(F.md5(key.cast("string")), 1, digits) if digits else F.lit("")
 
 
+def bare(text: Column) -> Column:
+    """A text without ASCII white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def unfenced(text: Column) -> Column:
     """A reply without code fence: fence marks off, then the line with the language."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_replace(bare, "^`+|`+$", ""), r"^[^\n]*\n", "")
-    return F.when(F.startswith(bare, F.lit("```")), inner).otherwise(bare)
+    inner = F.regexp_replace(F.regexp_replace(bare(text), "^`+|`+$", ""), r"^[^\n]*\n", "")
+    return F.when(F.startswith(bare(text), F.lit("```")), inner).otherwise(bare(text))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave import model as M
-from specweave.functions.text import unfenced
+from specweave.functions.text import bare, unfenced
 
 ROW = ["spec_id", "row_idx"]
 
@@ -51,7 +51,7 @@ def judge_parse(replies: DataFrame, text: str = "response") -> DataFrame:
     Anything but one JSON object with a numeric confidence gives confidence 0 and
     human_confirm.  Missing keys get confidence 0, empty evidence, human_confirm.
     """
-    body = F.regexp_replace(unfenced(F.col(text)), r"^\s+|\s+$", "")
+    body = bare(unfenced(F.col(text)))
     # as the only element of an array the text must be one complete value
     single = F.json_array_length(F.concat(F.lit("["), F.col("_body"), F.lit("]"))) == 1
     options = {"columnNameOfCorruptRecord": "corrupt", "allowSingleQuotes": "false"}
@@ -76,13 +76,13 @@ def judge_parse(replies: DataFrame, text: str = "response") -> DataFrame:
         "parsed": F.col("_ok"),
     }
     kept = [c for c in replies.columns if c not in judged]
-    out = _once(replies.select(*kept), _body=body)
-    out = _once(out, _reply=reply, _single=single)
-    out = _once(out, _ok=ok)
-    return _once(out, **judged).drop("_body", "_reply", "_single", "_ok")
+    out = once(replies.select(*kept), _body=body)
+    out = once(out, _reply=reply, _single=single)
+    out = once(out, _ok=ok)
+    return once(out, **judged).drop("_body", "_reply", "_single", "_ok")
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
+def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds costly columns so that they are computed once.
 
     A later filter on a plain column is pushed below it with the whole expression copied

@@ -16,9 +16,8 @@ def parts(text: Column) -> Column:
     return F.split(F.replace(text, F.lit(" "), F.lit("")), "~")
 
 
-def parse(text: Column) -> tuple[Column, Column, Column]:
-    """(start, end, bad): both null when not two parts, ``bad`` when a part is no integer."""
-    p = parts(text)
+def parse(p: Column) -> tuple[Column, Column, Column]:
+    """(start, end, bad) of ``parts``: both null when not two parts, ``bad`` when a part is no integer."""
     two = F.coalesce(F.size(p) == 2, F.lit(False))
     start = F.when(two, F.get(p, F.lit(0)).try_cast("int"))
     end = F.when(two, F.get(p, F.lit(1)).try_cast("int"))
@@ -56,4 +55,4 @@ def compare(rs: Column, re: Column, hs: Column, he: Column) -> dict[str, Column]
 
 
 def render(start: Column, end: Column) -> Column:
-    return F.when(start.isNotNull() & end.isNotNull(), F.format_string("%d~%d", start, end))
+    return F.when(start.isNotNull() & end.isNotNull(), F.concat(start.cast("string"), F.lit("~"), end.cast("string")))

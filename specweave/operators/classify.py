@@ -7,28 +7,24 @@ from pyspark.sql import functions as F
 
 from specweave import model as M
 from specweave.functions import periods
+from specweave.operators.judge import once
 
 BAD_PERIOD = "bad_period"
 
 
 def period_parse(rows: DataFrame, text: str = "req_period") -> DataFrame:
     """Adds req_start, req_end and ``bad_period`` (two parts, one of them no integer)."""
-    start, end, bad = periods.parse(F.col(text))
-    return (
-        rows.withColumn("req_start", start).withColumn("req_end", end)
-        .withColumn(BAD_PERIOD, F.coalesce(bad, F.lit(False)))
-    )
+    added = ("req_start", "req_end", BAD_PERIOD)
+    split = once(rows.select(*(c for c in rows.columns if c not in added)), _parts=periods.parts(F.col(text)))
+    start, end, bad = periods.parse(F.col("_parts"))
+    return once(split, **dict(zip(added, (start, end, F.coalesce(bad, F.lit(False)))))).drop("_parts")
 
 
 def period_compare(rows: DataFrame) -> DataFrame:
     """Adds period_tag, final_start, final_end and period_evidence."""
     c = periods.compare(*[F.col(x) for x in ("req_start", "req_end", "ret_start", "ret_end")])
-    return (
-        rows.withColumn("period_tag", c["tag"])
-        .withColumn("final_start", c["start"])
-        .withColumn("final_end", c["end"])
-        .withColumn("period_evidence", c["evidence"])
-    )
+    added = {"period_tag": c["tag"], "final_start": c["start"], "final_end": c["end"], "period_evidence": c["evidence"]}
+    return once(rows.select(*(x for x in rows.columns if x not in added)), **added)
 
 
 def classify(rows: DataFrame) -> DataFrame:

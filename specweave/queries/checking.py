@@ -18,6 +18,7 @@ from specweave.queries import matching  # noqa: F401  (its CTEs are used here)
 from specweave.queries.inputs import GHOST, MONTH_COLUMNS, OVERRIDES, TABLES, Inputs
 from specweave.queries.oracle import PATH_LABEL, TAG_LABEL, compared_cte, cte, parsed_cte, printf, quoted
 from specweave.queries.registry import query
+from specweave.session import Kept
 from specweave.sources import sheets, sinks, tables
 
 RUN_TS = datetime.datetime(2024, 5, 6, 7, 8)
@@ -245,9 +246,10 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     """Two stored runs over all rows that differ in the evidence; one is read back whole."""
     path = scratch(i, "runs")
-    merged = report.label_map(reported(i))
-    sinks.report_sink(merged.withColumn("evidence", F.concat(F.lit("earlier: "), "evidence")), path, "r1")
-    sinks.report_sink(merged, path, "r2")
+    with Kept(i.spark) as keep:
+        merged = keep(report.label_map(reported(i)))
+        sinks.report_sink(merged.withColumn("evidence", F.concat(F.lit("earlier: "), "evidence")), path, "r1")
+        sinks.report_sink(merged, path, "r2")
     return report.run_results(i.spark.read.parquet(path), "r2").select(
         "spec_id", "row_idx", "req_period", "source_table", "final_tag", "evidence", "tag_label"
     )
@@ -264,8 +266,10 @@ from reported cross join (select 'r1' run_id union all select 'r2') runs""",
 def _(i: Inputs) -> DataFrame:
     """Two runs, the first one written twice, read back."""
     path = scratch(i, "report")
-    for run_id in ("r1", "r2", "r1"):
-        sinks.report_sink(report.label_map(reported(i)), path, run_id)
+    with Kept(i.spark) as keep:
+        merged = keep(report.label_map(reported(i)))
+        for run_id in ("r1", "r2", "r1"):
+            sinks.report_sink(merged, path, run_id)
     return i.spark.read.parquet(path).select("run_id", "spec_id", "row_idx", *_SUNK)
 
 

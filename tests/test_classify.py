@@ -140,3 +140,31 @@ def test_revision_and_sinks(spark, tmp_path, rows):
     assert spark.read.parquet(path).groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 2), ("r2", 2)]
     assert sinks.output_name("a/b.c.xlsx", datetime.datetime(2024, 5, 6, 7, 8)) == "a/b.c(output)_20240506_0708"
     assert sinks.output_name(None, datetime.datetime(2024, 5, 6, 7, 8)) == "./output(output)_20240506_0708"
+
+
+def test_a_period_is_cut_and_compared_once(spark):
+    rows = report.report_rows(
+        C.classify(spark.createDataFrame([], IN)).selectExpr(
+            "*", "'a' eng_name", "'b' local_name", "'c' description", "'d' req_type", "'e' spec_type", "'f' table_id",
+            "'matched' match_status", "'g' match_evidence", "'h' unresolved_reason", "'i' resolution_path", "'j' llm_evidence",
+        )
+    )
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 1 and plan.count("try_cast") + plan.count("cast(get(") <= 4, plan
+
+
+@pytest.mark.parametrize("name,stored", [("report_sink", 3), ("run_results", 2)])
+def test_runs_of_one_report_compute_it_once(spark, monkeypatch, name, stored):
+    from conftest import SF
+    from specweave.queries import REGISTRY, checking
+
+    calls, sinks = [], []
+    reported, sink = checking.reported, checking.sinks.report_sink
+    monkeypatch.setattr(checking, "reported", lambda i: calls.append(1) or reported(i))
+    monkeypatch.setattr(
+        checking.sinks, "report_sink",
+        lambda df, *a: sinks.append(df.select("*")._jdf.queryExecution().optimizedPlan().toString()) or sink(df, *a),
+    )
+    REGISTRY[name](spark, SF)
+    assert len(calls) == 1 and len(sinks) == stored
+    assert all("InMemoryRelation" in plan or "Join" not in plan for plan in sinks)

@@ -173,3 +173,9 @@ def test_last_writes_of_tasks_are_few(spark, rows):
         last[c] = (c, tag, confidence, None)
     want = [last.get(f"c{k}", (f"c{k}", "old", 0.1, None)) for k in range(9)]
     assert rows(judge.tag_upsert(catalog, writes, order)) == sorted(want, key=str)
+
+
+def test_ends_of_replies_are_cut_without_patterns(spark):
+    out = judge.judge_parse(spark.createDataFrame([(1, " \t\x0b{}\f\r\n")], REPLY))
+    # only the two steps of a code fence are patterns
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2

@@ -12,11 +12,9 @@ documents; ``start`` counts the ids of the shard before a block, so a reader nee
 from __future__ import annotations
 
 import json
-import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -27,11 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.llm.bpe import byte_names
+from specweave.llm.merges import LONGEST, Merges
 from specweave.llm.tables import shared_folder, stored
+from specweave.llm.words import span_hashes, texts_of
 
 END = 2
 BLOCK_IDS = 1 << 18
-CACHED_PIECES = 300_000  # in each of two generations
+WORD_SLOTS = 1 << 20
+STORED_IDS = 1 << 23
+CACHED_PIECES = 100_000  # that went to the library
 BLOCKS = "shard int, start long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1).astype(np.uint8)  # control byte -> four lengths
@@ -66,103 +68,159 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-class _Open(Exception):
-    """A piece begins or ends with white space."""
+LETTER, NUMBER, OTHER, SPACE, ODD = range(5)
 
 
-class _Pieces(dict):
-    """Ids of pieces by their text, encoded when first asked for.  Two generations: a full young one becomes
-    the old one, and what is asked for there comes back, so frequent pieces stay."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            if _open_left(piece) or _open_right(piece):
-                raise _Open
-            ids = self.encode(" " + piece)
-        if len(self) >= CACHED_PIECES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+def _kinds() -> np.ndarray:
+    """The class of every character up to U+024F for the library's split."""
+    classes = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s")]
+    return np.array([next(k for k, c in enumerate(classes) if c.match(chr(x))) for x in range(0x250)], np.uint8)
 
 
 class ByteBpe:
-    """The library's encoder behind a store of pieces.
+    """The ids that the library's encoder gives, for many texts at once.
 
-    A blank between two other characters starts a new piece, and no token goes over that border,
-    so pieces with their blank can be encoded alone and looked up when they come again.
+    Texts are cut into words as the library cuts them, by classes of characters.  Words of a slice that were not
+    met lately are merged together, each once.  Where a text has characters beyond Latin letters or special
+    tokens, the stretch between two blanks that stand between other characters goes to the library itself, as
+    no token goes over such a border.
     """
 
     def __init__(self, text: str) -> None:
         from tokenizers import Tokenizer
 
+        spec = json.loads(text)
         self.library = Tokenizer.from_str(text)
-        self.special = [t["content"] for t in json.loads(text)["added_tokens"]]
-        self.letters = {b: c for c, b in byte_names().items()}
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces = _Pieces(self._encoded)
-
-    def _encoded(self, text: str) -> bytes:
-        """Ids of a text; its words go straight to the library's model."""
-        odd = not text.isascii() and max(text) > "ɏ"
-        if odd or "<|" in text and any(t in text for t in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        stem = text[1:]
-        if text[:1] == " " and stem.isalpha():  # the usual cases of the split
-            return self._word(text)
-        if text[:1] == " " and text[-1] in ".,;:!?" and stem[:-1].isalpha():
-            return self._word(text[:-1]) + self._word(text[-1])
-        return b"".join(map(self._word, self.split(text)))
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.letters = letters = {b: c for c, b in byte_names().items()}
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
+        made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.merges = Merges(np.array([vocab[letters[b]] for b in range(256)]), pairs, made)
+        self.kinds = _kinds()
+        self.by_library: dict[bytes, np.ndarray] = {}
+        self.keys = np.zeros(WORD_SLOTS, np.uint64)  # hashes of words met lately, by their first bits
+        self.first, self.count = np.zeros(WORD_SLOTS, np.int64), np.zeros(WORD_SLOTS, np.int64)
+        self.store, self.filled = np.empty(1 << 16, np.uint32), 0  # their ids
+
+    def _kind(self, data: np.ndarray) -> np.ndarray:
+        """The class of every byte's character."""
+        kind = self.kinds[data]
+        wide = np.flatnonzero(data >= 0x80)
+        if len(wide):
+            b = data[wide]
+            lead = wide[b >= 0xC0]
+            first = data[lead]
+            at = (first.astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
+            own = np.where((first < 0xCA) & (at < len(self.kinds)), self.kinds[np.minimum(at, len(self.kinds) - 1)], ODD)
+            kind[wide] = own[np.cumsum(b >= 0xC0) - 1]
+        raw = None
+        for t in self.special:
+            raw = data.tobytes() if raw is None else raw
+            at = raw.find(t)
+            while at >= 0:
+                kind[at : at + len(t)] = ODD
+                at = raw.find(t, at + 1)
+        return kind
+
+    def _words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the words of some texts, and which of them only the library knows to cut."""
+        n, kind = len(data), self._kind(data)
+        top = np.zeros(n + 1, bool)
+        top[bounds] = True
+        new = top[:-1].copy()
+        new[1:] |= kind[1:] != kind[:-1]
+        runs = np.flatnonzero(new)
+        ends = np.append(runs[1:], n)
+        of = kind[runs]
+        begin = np.zeros(n + 1, bool)
+        # a blank before other characters is theirs; of more white space the last character stands alone
+        joined = (of != SPACE) & ~top[runs] & (data[runs - 1] == 32)
+        begin[runs - joined] = True
+        inner = ends[(of == SPACE) & ~top[ends]] - 1
+        begin[inner - (data[inner] >= 0x80)] = True
+        # 's 't 're 've 'm 'll 'd, where no blank or other sign stands before
+        at = runs[:-1][(data[runs[:-1]] == 39) & (np.diff(runs) == 1) & ~joined[:-1] & (of[1:] == LETTER) & ~top[runs[1:]]]
+        if len(at):
+            a, b = data[at + 1], np.where(top[at + 2], 0, data[np.minimum(at + 2, n - 1)])
+            short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+            long = np.isin(a, np.frombuffer(b"rv", np.uint8)) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+            at, size = at[short | long], np.where(short, 2, 3)[short | long]
+            begin[at + 1] = False
+            begin[at + size] = True
+        odd = np.flatnonzero(kind == ODD)
+        begin[n] = False
+        if not len(odd):
+            return np.flatnonzero(begin), np.empty(0, np.int64)
+        border = top[:-1].copy()
+        border[1:-1] |= (data[1:-1] == 32) & (kind[1:-1] == SPACE) & (kind[:-2] < SPACE) & (kind[2:] < SPACE) & ~top[2:-1]
+        border = np.flatnonzero(border)
+        stretch = np.unique(np.searchsorted(border, odd, "right") - 1)
+        border = np.append(border, n)
+        for s, e in zip(border[stretch].tolist(), border[stretch + 1].tolist()):
+            begin[s:e] = False
+            begin[s] = True
+        starts = np.flatnonzero(begin)
+        return starts, np.searchsorted(starts, border[stretch])
+
+    def _alone(self, word: bytes, cut: bool) -> np.ndarray:
+        """Ids by the library, of one word or of a text that it has to cut."""
+        ids = self.by_library.get(word)
         if ids is None:
-            if word.isascii() and word.isprintable():
-                named = word.replace(" ", self.letters[32])
+            if cut:
+                found = self.library.encode(word.decode(), add_special_tokens=False).ids
             else:
-                named = word.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.library.model.tokenize(named)]
-            if len(self.words) >= CACHED_PIECES:
-                self.words.clear()
-            ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+                found = [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(self.letters))]
+            if len(self.by_library) >= CACHED_PIECES:
+                self.by_library.clear()
+            ids = np.array(found, np.uint32)
+            if len(word) < 1000:
+                self.by_library[word] = ids
         return ids
 
-    def _cut(self, pieces: list[str]) -> list[str]:
-        """Pieces joined again wherever white space stands at both sides of a border or at a text's end."""
-        out = [pieces[0]]
-        for p in pieces[1:]:
-            if _open_right(out[-1]) or _open_left(p):
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
+    def _stored(self, ids: np.ndarray) -> int:
+        """Where ``ids`` now begin among the ids held."""
+        at, to = self.filled, self.filled + len(ids)
+        if to > len(self.store):
+            self.store = np.concatenate((self.store[:at], np.empty(to, np.uint32)))
+        self.store[at:to], self.filled = ids, to
+        return at
+
+    def encode_all(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``data[bounds[i]:bounds[i + 1]]`` in UTF-8, and the bounds of each text's."""
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
+        if self.filled > STORED_IDS:
+            self.keys[:], self.filled = 0, 0
+        starts, odd = self._words(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        hashes = np.maximum(span_hashes(data, starts, ends), np.uint64(1))
+        slot = (hashes >> np.uint64(64 - WORD_SLOTS.bit_length() + 1)).astype(np.int64)
+        first, count = self.first[slot], self.count[slot]
+        usual = ends - starts <= LONGEST
+        usual[odd] = False
+        new = np.flatnonzero((self.keys[slot] != hashes) & usual)
+        own, at, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+        at = new[at]
+        ids, f, c = self.merges.encode(data, starts[at], ends[at])
+        f += self._stored(ids)
+        first[new], count[new] = f[which], c[which]
+        kept = slot[at]
+        self.keys[kept], self.first[kept], self.count[kept] = own, f, c
+        cut = set(odd.tolist())
+        for i in np.flatnonzero(~usual).tolist():
+            ids = self._alone(data[starts[i] : ends[i]].tobytes(), i in cut)
+            first[i], count[i] = self._stored(ids), len(ids)
+        to = np.concatenate(([0], np.cumsum(count)))
+        where = np.repeat(first - to[:-1], count)
+        where += np.arange(len(where))
+        return self.store[where], to[np.searchsorted(starts, bounds)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        pieces = text.split(" ")
-        head, known = pieces[0], self.pieces.__getitem__
-        if not _open_right(head):
-            try:
-                return self._encoded(head) + b"".join(map(known, islice(pieces, 1, None)))
-            except _Open:
-                pass
-        head, *rest = self._cut(pieces)
-        tail = self._encoded(" " + rest.pop()) if rest and _open_right(rest[-1]) else b""
-        return self._encoded(head) + b"".join(map(known, rest)) + tail
-
-
-def _open_left(piece: str) -> bool:
-    return not piece or piece[0].isspace()
-
-
-def _open_right(piece: str) -> bool:
-    return not piece or piece[-1].isspace()
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_all(data, np.array([0, len(data)]))[0].astype("<u4").tobytes()
 
 
 _ENCODERS: dict[int, ByteBpe] = {}
@@ -192,22 +250,16 @@ def tokens(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = ByteBpe(file.value)
-        encode, tail = _ENCODERS[key].encode, np.array([end], "<u4").tobytes()
-
-        def made(part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
-            out = [part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())]
-            return pa.RecordBatch.from_arrays(out, names=["doc_id", "tie", "ids"])
-
+        encode = _ENCODERS[key].encode_all
         for batch in batches:
-            first, size, ids = 0, 0, []
-            for at, text in enumerate(batch.column("text"), 1):
-                ids.append(np.frombuffer(encode(text.as_py() or "") + tail, "<u4").astype(kind).tobytes())
-                size += len(ids[-1])
-                if size >= BLOCK_IDS:
-                    yield made(batch.slice(first, at - first), ids)
-                    first, size, ids = at, 0, []
-            if ids:
-                yield made(batch.slice(first), ids)
+            batch.column("text").validate(full=True)
+            for first, to, data, bounds in texts_of(batch.column("text")):
+                ids, of = encode(data, bounds)
+                ids = np.insert(ids.astype(kind), of[1:], end)
+                of = (of + np.arange(len(of))).tolist()
+                made = pa.array([ids[a:b].tobytes() for a, b in zip(of, of[1:])], pa.binary())
+                rows = batch.slice(first, to - first)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), made], names=["doc_id", "tie", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, tie long, ids binary")

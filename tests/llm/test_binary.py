@@ -39,6 +39,33 @@ def test_encoder_is_the_library(library):
         assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == want
 
 
+def test_new_words_are_merged_together(library, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aeiouthns  \n',.é") for _ in range(rng.randint(0, 80))) for _ in range(800)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    with open(PATH, encoding="utf-8") as f:
+        encoder = binary.ByteBpe(f.read())
+    monkeypatch.setattr(encoder, "library", None)  # asked for no usual word
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == want
+    monkeypatch.setattr(binary, "STORED_IDS", 50)  # words met lately are forgotten, texts come together
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    for _ in range(2):
+        ids, of = encoder.encode_all(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == want
+
+
+def test_stretches_for_the_library(library):
+    texts = ["=" * 200 + " a", "é" * 70 + " b", "a 你 b, 　c — d 's", "x <|endoftext|>  <|endoftext|>y", "\x85 a\u2003 b", "it's'll 'S 's", ""]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    with open(PATH, encoding="utf-8") as f:
+        encoder = binary.ByteBpe(f.read())
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    ids, of = encoder.encode_all(data, bounds)
+    assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == want
+
+
 def test_files(spark, docs_of, odd, library, tmp_path, monkeypatch):
     rows = odd + [(-5, "first"), (10**12, "the end " * 30_000)] + [(100 + i, f"text {i} of many") for i in range(300)]
     binary.write_ids(docs_of(rows).repartition(5), PATH, f"file://{tmp_path}/ids")

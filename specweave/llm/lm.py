@@ -34,6 +34,8 @@ from specweave.llm.words import NOT_SPACE, Words, reduced, texts_of, words_of
 
 MODULUS, REMAINDER = 7, 2
 VOCABULARY = 1 << 18
+HASH_BITS = 20
+COUNTED_BYTES = 1 << 24  # of texts whose words are counted together
 TOP_WORDS = 63
 BUCKETS = 192
 OUTPUTS = 1 + TOP_WORDS + BUCKETS
@@ -45,7 +47,9 @@ NOISE = 64
 GROUP_NOISE = 4
 BATCH = 1536
 SCORED = 256
+SCORED_AT_ONCE = 40_000
 RUN = 64
+PIECE = 16
 CHUNK_SYMBOLS = 1 << 18
 RATE = 0.2
 
@@ -73,13 +77,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``token, c`` over all texts; the empty token counts their ends."""
 
+    def merged(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        own, at, which = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(which, np.concatenate([p[2] for p in parts]), len(own)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([p[1] for p in parts]).take(pa.array(at)), pa.array(n)], names=["token", "n"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, ends = [], 0, 0
         for batch in batches:
+            ends += batch.num_rows
             for _, _, data, bounds in texts_of(batch.column("text")):
                 words = words_of(data, bounds, NOT_SPACE, True)
-                _, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([spelled(words, at), pa.array(n, pa.int64())], names=["token", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([batch.num_rows], pa.int64())], names=["token", "n"])
+                hashes, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                parts.append((hashes, spelled(words, at), n))
+                size += len(data)
+                if size >= COUNTED_BYTES:
+                    yield merged(parts)
+                    parts, size = [], 0
+        if parts:
+            yield merged(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], names=["token", "n"])
 
     rows = _texts(docs).select("text").mapInArrow(counted, "token string, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0")
@@ -100,6 +117,34 @@ class Vocabulary:
     rows: np.ndarray  # the first row of every group, that of its rest, and the number of rows
     row_noise: np.ndarray  # how often each row occurs
 
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """How many hashes lie before each value of their first HASH_BITS bits."""
+        return np.concatenate(([0], np.cumsum(np.bincount(_top_bits(self.hashes), minlength=1 << HASH_BITS))))
+
+    @cached_property
+    def logs(self) -> np.ndarray:
+        return np.log10(self.counts + 1)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand among those of the vocabulary, and which of them do."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        place, last = self._starts[_top_bits(hashes)], len(self.hashes) - 1
+        there = self.hashes[np.minimum(place, last)]
+        hit, ahead = there == hashes, np.flatnonzero(there < hashes)
+        while len(ahead):
+            place[ahead] += 1
+            ahead = ahead[place[ahead] <= last]
+            there = self.hashes[place[ahead]]
+            hit[ahead] = there == hashes[ahead]
+            ahead = ahead[there < hashes[ahead]]
+        return np.where(hit, place, 0), hit
+
+
+def _top_bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
 
 def _most_frequent(counts: DataFrame) -> pa.Table:
     """``token, c`` of VOCABULARY words at most, the most frequent first.
@@ -181,32 +226,30 @@ def _ranked(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Coded:
-    """Texts as symbols, each text with its end, and their distinct words."""
+    """Texts as symbols, each text with its end, and what is known of every word."""
 
     words: Words
     symbols: np.ndarray
     of: np.ndarray
-    at: np.ndarray  # the first place of every distinct word
-    which: np.ndarray  # the distinct word of every word
-    counts: np.ndarray  # of the distinct words; -1 outside the vocabulary
+    hashes: np.ndarray
+    place: np.ndarray  # in the vocabulary; 0 outside it
+    inside: np.ndarray  # whether the vocabulary has the word
     named: np.ndarray  # whether a symbol stands for this word alone
 
 
 def coded(column: pa.Array, known: Vocabulary) -> Iterator[tuple[int, Coded]]:
     for first, _, data, bounds in texts_of(column):
         words = words_of(data, bounds, NOT_SPACE, True)
-        own, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        counts, symbols = np.full(len(own), -1, np.int64), np.full(len(own), -1, np.int64)
-        if len(known.hashes):
-            place = np.minimum(np.searchsorted(known.hashes, own), len(known.hashes) - 1)
-            hit = known.hashes[place] == own
-            counts[hit], symbols[hit] = known.counts[place[hit]], known.symbols[place[hit]]
+        hashes = words.hashes()
+        place, inside = known.places(hashes)
+        symbols = np.where(inside, known.symbols[place], -1) if len(known.symbols) else np.full(len(hashes), -1)
         named = symbols >= 0
-        symbols[~named] = buckets_of(words, at[~named])
+        other = np.flatnonzero(~named)
+        symbols[other] = buckets_of(words, other)
         of = words.of + np.arange(len(words.of))
         out = np.zeros(of[-1], np.int64)
-        out[np.arange(len(which)) + words.text_of()] = symbols[which]
-        yield first, Coded(words, out, of, at, which, counts, named)
+        out[np.arange(len(symbols)) + words.text_of()] = symbols
+        yield first, Coded(words, out, of, hashes, place, inside, named)
 
 
 def padded(symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,15 +294,16 @@ class Model:
         parts = np.split(flat.astype(np.float32), np.cumsum([math.prod(s) for s in shapes])[:-1])
         return Model(*(p.reshape(s).copy() for p, s in zip(parts, shapes)), rows)
 
-    def hidden(self, vectors: np.ndarray) -> np.ndarray:
-        """What predicts each position after the first CONTEXT ones of every run, from the vectors of whole
-        runs; the last column is one, for the bias."""
-        runs, n = len(vectors), vectors.shape[1] - CONTEXT
-        out = np.ones((runs, n, SIZE + 1), np.float32)
-        out[:, :, :SIZE] = vectors[:, CONTEXT - 1 : CONTEXT - 1 + n] * self.places[0]
+    def hidden(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of all symbols of a run, a row for each of SIZE, and what predicts each position after the
+        first CONTEXT ones; the last row is one, for the bias."""
+        n = len(run) - CONTEXT
+        vectors = np.ascontiguousarray(self.words.take(run, 0).T)
+        out, part = np.ones((SIZE + 1, n), np.float32), np.empty((SIZE, n), np.float32)
+        sums = np.multiply(vectors[:, CONTEXT - 1 : CONTEXT - 1 + n], self.places[0][:, None], out=out[:SIZE])
         for k in range(1, CONTEXT):
-            out[:, :, :SIZE] += vectors[:, CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.places[k]
-        return out.reshape(-1, SIZE + 1)
+            sums += np.multiply(vectors[:, CONTEXT - 1 - k : CONTEXT - 1 - k + n], self.places[k][:, None], out=part)
+        return vectors, out
 
     @cached_property
     def _located(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,16 +324,23 @@ class Model:
         """Normalised log10 probabilities of all symbols."""
         out = np.empty(len(symbols))
         run, places = padded(symbols, of)
-        for start in range(0, len(symbols), 1 << 15):
-            at = places[start : start + (1 << 15)]
+        outputs, inner = _Outputs(self.targets), {}
+        for start in range(0, len(symbols), SCORED_AT_ONCE):
+            at = places[start : start + SCORED_AT_ONCE]
             output, group, row = self.located(run[at])
-            hidden = self.hidden(self.words[run[None, at[0] - CONTEXT : at[-1] + 1]])[at - at[0]]
-            logs = _log_share(hidden, self.targets, output)
+            hidden = self.hidden(run[at[0] - CONTEXT : at[-1] + 1])[1]
+            if hidden.shape[1] > len(at):
+                hidden = hidden.take(at - at[0], 1)
+            logs = outputs.log_share(hidden, output)
             tail = np.flatnonzero(group >= 0)
             tail = tail[np.argsort(group[tail].astype(np.uint16), kind="stable")]
-            for some in np.split(tail, np.flatnonzero(np.diff(group[tail])) + 1) if len(tail) else ():
-                first, end = self.rows[group[some[0]] : group[some[0]] + 2]
-                logs[some] += _log_share(hidden[some], self.inner[first:end], row[some] - first)
+            hidden, row, group = hidden.take(tail, 1), row[tail], group[tail]
+            borders = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                first, end = self.rows[group[a] : group[a] + 2].tolist()
+                if first not in inner:
+                    inner[first] = _Outputs(self.inner[first:end])
+                logs[tail[a:b]] += inner[first].log_share(hidden[:, a:b], row[a:b] - first)
             out[start : start + len(at)] = logs
         return out / math.log(10)
 
@@ -299,33 +350,58 @@ def _row_logs(rows: np.ndarray, row_noise: np.ndarray) -> np.ndarray:
     return np.log(row_noise / np.repeat(np.add.reduceat(row_noise, rows[:-1]), np.diff(rows))).astype(np.float32)
 
 
-def _log_share(hidden: np.ndarray, targets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the share of target ``at`` among all targets, in blocks that stay in a core's cache."""
-    out = np.einsum("bs,bs->b", hidden, targets[at], dtype=np.float64)
-    ones = np.ones(len(targets), np.float32)
-    # no logit exceeds the product of the longest vectors; only beyond it can an exponential overflow
-    safe = math.sqrt(float((hidden * hidden).sum(1).max()) * float((targets * targets).sum(1).max())) < 80
-    for k in range(0, len(at), SCORED):
-        logits = hidden[k : k + SCORED] @ targets.T
-        if not safe:
-            top = logits.max(1, keepdims=True)
-            logits -= top
-            out[k : k + SCORED] -= top[:, 0]
-        out[k : k + SCORED] -= np.log(np.exp(logits, out=logits) @ ones)
-    return out
-
-
-def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ones of ``at`` and the sums of their rows of ``values``; symbols and rows fit 16 bits."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(values[order], first)
-
-
-def _noisy(logits: np.ndarray) -> np.ndarray:
-    """How likely each is data and not noise."""
-    return 1 / (1 + np.exp(np.minimum(-logits, 30)))
+_BLOCK = np.arange(SCORED)
+
+
+class _Outputs:
+    """Some outputs, to tell shares among them."""
+
+    def __init__(self, targets: np.ndarray) -> None:
+        self.vectors, self.bias = np.ascontiguousarray(targets[:, :SIZE]), targets[:, SIZE]
+        # within these bounds exponentials without and of the bias keep their digits
+        self.apart = bool(np.abs(self.bias).max() < 40)
+        self.weights = np.exp(np.clip(self.bias, -40, 40))
+
+    def log_share(self, hidden: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log of the share of output ``at`` among all outputs, in blocks that stay in a core's cache."""
+        out, sums, own = self.bias[at].astype(np.float64), np.empty(len(at), np.float32), np.empty(len(at), np.float32)
+        room = np.empty(len(self.bias) * min(SCORED, len(at)), np.float32)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for k in range(0, len(at), SCORED):
+                size = min(SCORED, len(at) - k)
+                logits = room[: len(self.bias) * size].reshape(-1, size)
+                np.matmul(self.vectors, np.ascontiguousarray(hidden[:SIZE, k : k + size]), out=logits)
+                logits.take(at[k : k + SCORED] * size + _BLOCK[:size], out=own[k : k + SCORED], mode="clip")
+                np.matmul(self.weights, np.exp(logits, out=logits), out=sums[k : k + SCORED])
+        out += own
+        fine = (sums > 1e-18) & (sums < 1e30)
+        if self.apart and fine.all():
+            return out - np.log(sums)
+        for k in range(0, len(at), SCORED):
+            logits = self.vectors.astype(np.float64) @ hidden[:SIZE, k : k + SCORED] + self.bias[:, None]
+            top = logits.max(0)
+            own = logits[at[k : k + SCORED], _BLOCK[: len(top)]]
+            out[k : k + SCORED] = own - top - np.log(np.exp(logits - top).sum(0))
+        return out
+
+
+def _summed(at: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``at``, which are below ``most``, and the sums of their columns of ``values``, a row each."""
+    there = np.zeros(most, bool)
+    there[at] = True
+    own = np.flatnonzero(there)
+    size, place = len(values), np.empty(most, np.int64)
+    place[own] = np.arange(0, size * len(own), size)
+    index = np.add(place[at], np.arange(size)[:, None])
+    return own, np.bincount(index.ravel(), values.ravel(), size * len(own)).reshape(-1, size)
+
+
+def _noisy(against: np.ndarray) -> np.ndarray:
+    """How likely each is data and not noise, from the logit of the contrary; in place."""
+    np.minimum(against, 30, out=against)
+    np.exp(against, out=against)
+    against += 1
+    return np.reciprocal(against, out=against)
 
 
 class Trainer:
@@ -358,50 +434,71 @@ class Trainer:
         """One batch: positions ``at`` of those after the first CONTEXT ones of every run.  All are held against
         the same NOISE symbols, and those of a group against the same GROUP_NOISE rows of it."""
         m, n = self.model, len(at)
-        vectors = m.words[runs]
-        h = m.hidden(vectors)[at]
-        output, group, row = m.located(runs[:, CONTEXT:].ravel()[at])
+        run, width = runs.ravel(), runs.shape[1] - CONTEXT
+        at = at + at // width * CONTEXT
+        output, group, row = m.located(run[at + CONTEXT])
+        order = np.argsort(np.where(group < 0, output, OUTPUTS + group).astype(np.uint16), kind="stable")
+        at, output, group, row = at[order], output[order], group[order], row[order]
+        vectors, h = m.hidden(run)
+        every, h = h.shape[1], h.take(at, 1)
         noise = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE), "right"), OUTPUTS - 1)
-        own, other = m.targets[output], m.targets[noise]
-        g_own = _noisy(np.einsum("bs,bs->b", h, own) - self.log_noise[output])[:, None] - 1
-        g_other = _noisy(h @ other.T - self.log_noise[noise])
-        d_h = g_own * own + g_other @ other
-        moves = [(2, np.concatenate((output, noise)), np.concatenate((g_own * h, g_other.T @ h)))]
-        tail = np.flatnonzero(group >= 0)
-        if len(tail):
-            tail = tail[np.argsort(group[tail].astype(np.uint16), kind="stable")]
-            new = np.concatenate(([True], np.diff(group[tail]) != 0))
-            kind, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            low, high = m.rows[group[tail[first]]][:, None], m.rows[group[tail[first]] + 1][:, None]
+        own, other = np.ascontiguousarray(m.targets.take(output, 0).T), m.targets.take(noise, 0)
+        first = np.flatnonzero(np.concatenate(([True], output[1:] != output[:-1])))
+        g_own = _noisy(self.log_noise[output] - (h * own).sum(0)) - 1
+        against = -other
+        against[:, SIZE] += self.log_noise[noise]  # the last row of what predicts is one
+        g_other = _noisy(against @ h)
+        d_h = other[:, :SIZE].T @ g_other
+        d_h += np.multiply(own[:SIZE], g_own, out=own[:SIZE])
+        pushed = np.add.reduceat(np.multiply(h, g_own, out=own), first, 1)
+        moves = [(2, np.concatenate((output[first], noise)), np.concatenate((pushed, h @ g_other.T), 1))]
+        tail = int(np.searchsorted(group, 0))
+        if tail < n:
+            group, row, first = group[tail:], row[tail:], first[first >= tail] - tail
+            low, high = m.rows[group[first]][:, None], m.rows[group[first] + 1][:, None]
             share = self.rng.random((len(first), GROUP_NOISE))
             drawn = self.row_below[low] + (self.row_below[high] - self.row_below[low]) * share
             drawn = np.clip(np.searchsorted(self.row_below, drawn, "right") - 1, low, high - 1)
-            h_tail, own, other = h[tail], m.inner[row[tail]], m.inner[drawn][kind]
-            g_own = _noisy(np.einsum("ts,ts->t", h_tail, own) - self.row_log_noise[row[tail]])[:, None] - 1
-            g_other = _noisy(np.einsum("tks,ts->tk", other, h_tail) - self.row_log_noise[drawn][kind])
-            d_h[tail] += g_own * own + np.einsum("tk,tks->ts", g_other, other)
-            pushed = np.add.reduceat((g_other[:, :, None] * h_tail[:, None]).reshape(len(tail), -1), first)
-            at_rows = np.concatenate((row[tail], drawn.ravel()))
-            moves.append((3, at_rows, np.concatenate((g_own * h_tail, pushed.reshape(-1, SIZE + 1)))))
-        d_runs, d_places = np.zeros_like(vectors), np.empty_like(m.places)
-        d = np.zeros((runs[:, CONTEXT:].size, SIZE), np.float32)
-        d[at] = d_h[:, :SIZE]
-        d = d.reshape(len(runs), -1, SIZE)
+            h_tail, own = h[:, tail:], np.ascontiguousarray(m.inner.take(row, 0).T)
+            g_own = _noisy(self.row_log_noise[row] - (h_tail * own).sum(0)) - 1
+            d_h[:, tail:] += own[:SIZE] * g_own
+            # groups in pieces of PIECE places, the last of a group filled up with zeros
+            size = np.diff(first, append=n - tail)
+            pieces = -(-size // PIECE)
+            slot = np.arange(n - tail) + np.repeat(PIECE * (np.cumsum(pieces) - pieces) - first, size)
+            drawn = np.repeat(drawn, pieces, 0)
+            h_piece = np.zeros((len(drawn), PIECE, SIZE + 1), np.float32)
+            h_piece.reshape(-1, SIZE + 1)[slot] = h_tail.T
+            other = m.inner.take(drawn, 0)
+            against = -other
+            against[:, :, SIZE] += self.row_log_noise[drawn]
+            g_other = _noisy(h_piece @ against.transpose(0, 2, 1))
+            d_h[:, tail:] += (g_other @ other[:, :, :SIZE]).reshape(-1, SIZE).take(slot, 0).T
+            pushed = (g_other.transpose(0, 2, 1) @ h_piece).reshape(-1, SIZE + 1)
+            own = np.multiply(h_tail, g_own, out=own)
+            moves.append((3, np.concatenate((row, drawn.ravel())), np.concatenate((own, pushed.T), 1)))
+        d = np.zeros((SIZE, every), np.float32)
+        d[:, at] = d_h
+        d_runs, d_places, part = np.zeros_like(vectors), np.empty_like(m.places), np.empty_like(d)
         for k in range(CONTEXT):
-            before = slice(CONTEXT - 1 - k, runs.shape[1] - 1 - k)
-            d_runs[:, before] += d * m.places[k]
-            d_places[k] = np.einsum("rbs,rbs->s", vectors[:, before], d)
-        moves.append((0, runs.ravel(), d_runs.reshape(-1, SIZE)))
+            before = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + every)
+            d_runs[:, before] += np.multiply(d, m.places[k][:, None], out=part)
+            d_places[k] = np.vecdot(vectors[:, before], d)
+        moves.append((0, run, d_runs))
         for k, places, d in moves:
-            places, sums = _summed(places, d)
-            self._move(k, places, sums / n)
-        self._move(1, slice(None), d_places / n)
+            places, sums = _summed(places, d, len(m.trainable()[k]))
+            self._move(k, places, (sums / n).astype(np.float32))
+        self._move(1, np.arange(CONTEXT), d_places / n)
         self.n += n
 
-    def _move(self, k: int, at: np.ndarray | slice, d: np.ndarray) -> None:
-        s = self.seen[k][at] + d * d
+    def _move(self, k: int, at: np.ndarray, d: np.ndarray) -> None:
+        s, x = self.seen[k].take(at, 0), self.model.trainable()[k]
+        s += d * d
         self.seen[k][at] = s
-        self.model.trainable()[k][at] -= RATE * d / np.sqrt(s)
+        np.divide(d, np.sqrt(s, out=s), out=s)
+        s *= -RATE
+        s += x.take(at, 0)
+        x[at] = s
 
 
 CODES = "row long, doc_id long, n_tokens long, known long, log_c double, rest double, symbols binary, rare array<string>, tf array<long>"
@@ -419,15 +516,16 @@ def codes(docs: DataFrame, known: Vocabulary) -> DataFrame:
         for batch in batches:
             for first, texts in coded(batch.column("text"), known):
                 words, n = texts.words, texts.words.n
-                own_log = np.where(texts.counts >= 0, np.log10(np.maximum(texts.counts, 0) + 1), 0.0)[texts.which]
-                symbols = texts.symbols[np.arange(len(texts.which)) + words.text_of()]
-                other = ~texts.named[texts.which]
+                own_log = np.where(texts.inside, known.logs[texts.place], 0.0) if len(known.logs) else np.zeros(len(texts.place))
+                text_of = words.text_of()
+                symbols = texts.symbols[np.arange(len(text_of)) + text_of]
+                other = ~texts.named
                 group = known.group_logs[np.where(other, symbols, 0)]
-                seen = reduced(np.add, (texts.counts >= 0).astype(np.int64)[texts.which], words.of) + (known.ends > 0)
-                rare = np.flatnonzero(texts.counts[texts.which] < 0)
-                pair = words.text_of()[rare] * len(texts.counts) + texts.which[rare]
-                pair, tf = np.unique(pair, return_counts=True)
-                doc, which = (pair // len(texts.counts), pair % len(texts.counts)) if len(pair) else (pair, pair)
+                seen = reduced(np.add, texts.inside.astype(np.int64), words.of) + (known.ends > 0)
+                rare = np.flatnonzero(~texts.inside)
+                own, at, which = np.unique(texts.hashes[rare], return_index=True, return_inverse=True)
+                pair, tf = np.unique(text_of[rare] * len(own) + which, return_counts=True)
+                doc, which = (pair // len(own), pair % len(own)) if len(pair) else (pair, pair)
                 ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
                 raw = pa.py_buffer((2 * texts.of).astype(np.int32)), pa.py_buffer(texts.symbols.astype("<u2"))
                 columns = [
@@ -438,7 +536,7 @@ def codes(docs: DataFrame, known: Vocabulary) -> DataFrame:
                     pa.array(reduced(np.add, own_log, words.of) + log_end),
                     pa.array(reduced(np.add, np.where(other, own_log - group, 0.0), words.of)),
                     pa.BinaryArray.from_buffers(pa.binary(), n, [None, *raw]),
-                    pa.ListArray.from_arrays(ends, spelled(words, texts.at[which])),
+                    pa.ListArray.from_arrays(ends, spelled(words, rare[at[which]])),
                     pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64())),
                 ]
                 number += n

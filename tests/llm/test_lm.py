@@ -198,3 +198,61 @@ def test_production_model_beats_the_base_by_words_outside_the_top(docs_of):
     got = [r for r in lm.scores(docs_of(many()).repartition(2)).collect() if r.held_out]
     assert len({w for _, t in many() for w in words(t)}) > 2 * lm.TOP_WORDS
     assert sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)
+
+
+def test_words_of_many_slices_are_counted_together(monkeypatch):
+    class Table:  # takes what tasks would run
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        agg = where = groupBy
+
+    table = Table()
+    monkeypatch.setattr(lm, "_texts", lambda docs: docs)
+    monkeypatch.setattr(lm, "F", type("F", (), {"sum": staticmethod(lambda name: type("C", (), {"alias": lambda self, n: n})())}))
+    lm.word_counts(table)
+    texts = ["a b a" + " long" * 100_000] * 6 + [None, "c b"]
+    for most in (1 << 24, 1):
+        monkeypatch.setattr(lm, "COUNTED_BYTES", most, raising=False)
+        got = [r for b in table.run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])] * 2)) for r in b.to_pylist()]
+        found = Counter()
+        for r in got:
+            found[r["token"]] += r["n"]
+        assert found == {"a": 24, "b": 14, "c": 2, "long": 1_200_000, "": 16}
+        if most > 1:
+            assert len(got) == 5  # a row a word, whatever the slices
+
+
+def test_words_are_found_as_by_search():
+    rng = np.random.default_rng(1)
+    # many with the same first bits
+    own = np.unique(np.concatenate((rng.integers(0, 1 << 64, 500, np.uint64, False), rng.integers(0, 99, 60, np.uint64), (1 << 64) - 1 - rng.integers(0, 99, 60).astype(np.uint64))))
+    asked = np.concatenate((own, rng.integers(0, 1 << 64, 500, np.uint64, False), np.arange(120, dtype=np.uint64), ~np.arange(120, dtype=np.uint64)))
+    for hashes in (own, own[:0]):
+        known = lm.Vocabulary(hashes, np.arange(len(hashes)), np.arange(len(hashes)), *[None] * 7)
+        place, hit = known.places(asked)
+        assert hit.tolist() == np.isin(asked, hashes).tolist()
+        assert (hashes[place[hit]] == asked[hit]).all()
+
+
+@pytest.mark.parametrize("scale", [1, 60, 1e4])
+@pytest.mark.parametrize("bias", [0, 30, -100, 500])
+def test_shares_of_any_size(scale, bias):
+    rng = np.random.default_rng(2)
+    targets = rng.normal(0, 1, (50, lm.SIZE + 1)).astype(np.float32)
+    targets[:, -1] += bias
+    targets[::2, -1] -= bias / 2
+    hidden = np.ones((lm.SIZE + 1, 700), np.float32)
+    hidden[:-1] = rng.normal(0, scale / 16, (lm.SIZE, 700))
+    at = rng.integers(0, 50, 700)
+    logits = targets.astype(np.float64) @ hidden.astype(np.float64)
+    top = logits.max(0)
+    want = logits[at, np.arange(700)] - top - np.log(np.exp(logits - top).sum(0))
+    assert np.allclose(lm._Outputs(targets).log_share(hidden, at), want, rtol=1e-5, atol=2e-4)

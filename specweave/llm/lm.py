@@ -35,6 +35,7 @@ from specweave.llm.words import NOT_SPACE, Words, reduced, texts_of, words_of
 MODULUS, REMAINDER = 7, 2
 VOCABULARY = 1 << 18
 HASH_BITS = 20
+SLOT_BITS = 18
 COUNTED_BYTES = 1 << 24  # of texts whose words are counted together
 TOP_WORDS = 63
 BUCKETS = 192
@@ -84,18 +85,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, ends = [], 0, 0
+        # the first word of every slot is counted there
+        held, sums = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
+        slots, tokens = [], []
         for batch in batches:
             ends += batch.num_rows
             for _, _, data, bounds in texts_of(batch.column("text")):
                 words = words_of(data, bounds, NOT_SPACE, True)
-                hashes, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-                parts.append((hashes, spelled(words, at), n))
+                hashes = np.maximum(words.hashes(), np.uint64(1))
+                slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                hit = held[slot] == hashes
+                sums += np.bincount(slot[hit], minlength=len(sums))
+                other = np.flatnonzero(~hit)
+                hashes, at, n = np.unique(hashes[other], return_index=True, return_counts=True)
+                at = other[at]
+                # in the order of hashes, words of one slot stand together
+                slot = slot[at]
+                first = (held[slot] == 0) & (np.diff(slot, prepend=-1) > 0)
+                held[slot[first]], sums[slot[first]] = hashes[first], n[first]
+                slots.append(slot[first])
+                tokens.append(spelled(words, at[first]))
+                parts.append((hashes[~first], spelled(words, at[~first]), n[~first]))
                 size += len(data)
                 if size >= COUNTED_BYTES:
                     yield merged(parts)
                     parts, size = [], 0
         if parts:
             yield merged(parts)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(tokens), pa.array(sums[np.concatenate(slots)])], names=["token", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], names=["token", "n"])
 
     rows = _texts(docs).select("text").mapInArrow(counted, "token string, n long")

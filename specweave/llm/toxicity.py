@@ -13,17 +13,17 @@ row lookup for each filter width and offset.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.llm.labels import all_labelled, held_out
-from specweave.llm.tables import opened, shipped, stored
+from specweave.llm.tables import stored
 from specweave.llm.words import LETTERS, reduced, texts_of, words_of
 
 BUCKETS = 1 << 20
@@ -41,6 +41,8 @@ SHARD_ROWS = 10_000
 SHARD_BYTES = 32 << 20
 STEPS = 100  # log odds are counted in hundredths for the thresholds
 FINE = 2.0**32  # changes are added as integers, so that their order does not matter
+HIGH = 2.0**44  # multiples of it are added apart: no sum of less than a million shards leaves 64 bits
+BLOCK = 4096  # rows of words whose changes travel together
 SCORES = "doc_id long, score double"
 
 
@@ -107,9 +109,36 @@ class Weights:
     def arrays(self) -> tuple[np.ndarray, ...]:
         return self.words, self.seen_words, self.dense, self.seen_dense
 
+    def tables(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(width, table of an offset), one at a time."""
+        for w, f in self.filters.items():
+            for j in range(w):
+                yield w, (self.words @ f[j]).astype(np.float32)
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray, float]:
+        return self.bias.astype(np.float32), self.out.astype(np.float32), float(self.base[0])
+
     def model(self, row_of: np.ndarray) -> Model:
-        tables = {w: [(self.words @ f[j]).astype(np.float32) for j in range(w)] for w, f in self.filters.items()}
-        return Model(row_of, tables, self.bias.astype(np.float32), self.out.astype(np.float32), float(self.base[0]))
+        return Model(row_of, _by_width(self.tables()), *self.rest())
+
+
+def _by_width(tables: Iterable[tuple[int, np.ndarray]]) -> dict[int, list[np.ndarray]]:
+    out: dict[int, list[np.ndarray]] = {w: [] for w in WIDTHS}
+    for w, table in tables:
+        out[w].append(table)
+    return out
+
+
+class ShippedModel:
+    """A model for all tasks, each array on its own: the driver makes one at a time, a task holds each once."""
+
+    def __init__(self, spark: SparkSession, at: Weights, known: np.ndarray):
+        cast = spark.sparkContext.broadcast
+        self.known, self.rest = cast(known), at.rest()
+        self.tables = [(w, cast(table)) for w, table in at.tables()]
+
+    def opened(self) -> Model:
+        return Model(rows_of(self.known.value), _by_width((w, table.value) for w, table in self.tables), *self.rest)
 
 
 def started(n_words: int, rng: np.random.Generator) -> Weights:
@@ -228,42 +257,74 @@ def _opened(batches: Iterator[pa.RecordBatch], back: bool | None) -> Iterator[tu
             yield number, [np.frombuffer(x.as_buffer(), np.int32) for x in rows.field("ids")], rows
 
 
-_CHANGES = ["row", "n", *(f"d{i}" for i in range(2 * SIZE))]
+_CHANGES = "block int, high boolean, rows binary, sums binary"
+_MEANS = "block int, rows binary, means binary"
 
 
-def _changed(before: Weights, after: Weights, steps: np.ndarray, n_rows: int) -> pa.RecordBatch:
-    """Changes of the rows of words by how many steps have made them, and of all else by documents, SIZE in a row."""
-    own = np.flatnonzero(steps)
-    own = own[own > 0]
+def _split(block: int, rows: np.ndarray, n: np.ndarray, change: np.ndarray) -> Iterator[tuple]:
+    """Changes times ``n`` as integers beside ``n``, what is above HIGH apart; rows without that have no such part."""
+    scaled = np.rint(change * n[:, None] * FINE)
+    high = np.rint(scaled / HIGH)
+    for is_high, part in ((False, scaled - high * HIGH), (True, high)):
+        own = high.any(1) if is_high else np.ones(len(rows), bool)
+        if own.any():
+            sums = np.hstack([n[own, None], part[own].astype(np.int64)])
+            yield block, is_high, rows[own].astype(np.int32).tobytes(), sums.astype(np.int64).tobytes()
+
+
+def _changed(before: Weights, after: Weights, own: np.ndarray, steps: np.ndarray, n_rows: int) -> pa.RecordBatch:
+    """Changes of the rows of words, ``own`` of them, by how many steps have made them, in blocks; in block -1 those of
+    all else by documents, SIZE in a row."""
+    moved = np.flatnonzero(steps)
+    moved = moved[moved > 0]
+    of, out = own[moved] // BLOCK, []
+    for block in np.unique(of):
+        at = moved[slice(*np.searchsorted(of, (block, block + 1)))]
+        change = np.hstack([after.words[at] - before.words[at], after.seen_words[at] - before.seen_words[at]])
+        out += _split(int(block), own[at] % BLOCK, steps[at], change)
     pad = -len(before.dense) % SIZE
     dense = [np.pad(b - a, (0, pad)).reshape(-1, SIZE) for a, b in ((before.dense, after.dense), (before.seen_dense, after.seen_dense))]
-    words = [(after.words - before.words)[own], (after.seen_words - before.seen_words)[own]]
-    change = np.concatenate([np.hstack(words), np.hstack(dense)])
-    n = np.concatenate([steps[own], np.full(len(dense[0]), n_rows)])
-    row = np.concatenate([own, -1 - np.arange(len(dense[0]))])
-    scaled = np.rint(change * n[:, None] * FINE).astype(np.int64)
-    columns = [pa.array(row.astype(np.int32)), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in scaled.T)]
-    return pa.RecordBatch.from_arrays(columns, names=_CHANGES)
-
-
-def _mixed(at: Weights, changes: pa.Table) -> Weights:
-    """Weights moved by the mean of the shards' changes."""
-    row = changes.column("row").to_numpy()
-    mean = np.stack([changes.column(c).to_numpy() for c in _CHANGES[2:]], 1) / FINE / changes.column("n").to_numpy()[:, None]
-    words, seen_words, dense, seen_dense = (a.copy() for a in at.arrays())
-    own = row > 0
-    words[row[own]] += mean[own, :SIZE]
-    seen_words[row[own]] += mean[own, SIZE:]
-    rest = mean[~own][np.argsort(-row[~own])]
-    dense += rest[:, :SIZE].ravel()[: len(dense)]
-    seen_dense += rest[:, SIZE:].ravel()[: len(dense)]
-    return Weights(words, seen_words, dense, seen_dense)
-
-
-def fitted(shards: DataFrame, n_other: int, n_toxic: int, back: bool | None, seed: int = 9) -> Model:
+    out += _split(-1, np.arange(len(dense[0])), np.full(len(dense[0]), n_rows), np.hstack(dense))
+    return _records(out, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), _CHANGES)
+
+
+def _records(rows: list[tuple], types: tuple[pa.DataType, ...], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of every row of a block that a shard has changed."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, high, rows, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            if block not in totals:
+                totals[block] = np.zeros((2, BLOCK, 1 + 2 * SIZE), np.int64)
+            # a shard names a row once
+            totals[block][int(high), np.frombuffer(rows, np.int32)] += np.frombuffer(sums, np.int64).reshape(-1, 1 + 2 * SIZE)
+    for block, (low, high) in totals.items():
+        rows = np.flatnonzero(low[:, 0])
+        means = (low[rows, 1:] + high[rows, 1:] * HIGH) / FINE / low[rows, :1]
+        yield _records([(block, rows.astype(np.int32).tobytes(), means.tobytes())], (pa.int32(), pa.binary(), pa.binary()), _MEANS)
+
+
+def _mix(at: Weights, means: Iterable[tuple[int, bytes, bytes]]) -> None:
+    """Move weights by the mean of the shards' changes."""
+    for block, rows, values in means:
+        own, mean = np.frombuffer(rows, np.int32), np.frombuffer(values).reshape(-1, 2 * SIZE)
+        if block < 0:
+            at.dense += mean[:, :SIZE].ravel()[: len(at.dense)]
+            at.seen_dense += mean[:, SIZE:].ravel()[: len(at.dense)]
+        else:
+            at.words[block * BLOCK + own] += mean[:, :SIZE]
+            at.seen_words[block * BLOCK + own] += mean[:, SIZE:]
+
+
+def fitted(shards: DataFrame, n_other: int, n_toxic: int, back: bool | None, seed: int = 9) -> ShippedModel:
     """A model of all rows of the shards (see :func:`_opened`), of which a task holds one shard at a time.
 
-    The driver holds what every task gets: the weights, whose size BUCKETS bounds.
+    The driver holds what every task gets: the weights, whose size BUCKETS bounds.  A task moves only the rows of its
+    shard's words; their means come to the driver a partition at a time.
     """
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,25 +338,33 @@ def fitted(shards: DataFrame, n_other: int, n_toxic: int, back: bool | None, see
     counted = shards.mapInArrow(holders, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counted = counted.where(F.col("n") >= LEAST_DOCUMENTS).toArrow()
     known = np.sort(counted.column("bucket").to_numpy())
+    del counted
     weights = class_weights(n_other, n_toxic)
     at = started(len(known), np.random.default_rng(seed))
-    sums = [F.sum(c).alias(c) for c in _CHANGES[1:]]
-    schema = ", ".join(f"{c} {'int' if c == 'row' else 'long'}" for c in _CHANGES)
     for k in range(EPOCHS):
-        sent = shipped(shards.sparkSession, (at.arrays(), known))
+        sent = shards.sparkSession.sparkContext.broadcast((*at.arrays(), known))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
-            arrays, known = opened(sent)
+            words, seen_words, *dense, known = sent.value
             row_of = rows_of(known)
             for number, texts, rows in _opened(batches, back):
-                before, after = Weights(*arrays), Weights(*(a.copy() for a in arrays))
+                met = np.zeros(len(words), bool)
+                met[0] = True
+                for ids in texts:
+                    met[row_of[ids]] = True
+                own = np.flatnonzero(met)
+                place = np.zeros(len(words), np.int32)
+                place[own] = np.arange(len(own))
+                place = place[row_of]
+                before = Weights(words[own], seen_words[own], *dense)
+                after = Weights(*(a.copy() for a in before.arrays()))
                 labels = rows.field("label").to_numpy(zero_copy_only=False)
-                steps = epoch(after, [row_of[ids] for ids in texts], labels, weights, np.random.default_rng((seed, k, number)))
-                yield _changed(before, after, steps, len(texts))
+                steps = epoch(after, [place[ids] for ids in texts], labels, weights, np.random.default_rng((seed, k, number)))
+                yield _changed(before, after, own, steps, len(texts))
 
-        at = _mixed(at, shards.mapInArrow(run, schema).groupBy("row").agg(*sums).where("n > 0").toArrow())
+        _mix(at, shards.mapInArrow(run, _CHANGES).repartition("block").mapInArrow(_means, _MEANS).toLocalIterator())
         sent.destroy()
-    return at.model(rows_of(known))
+    return ShippedModel(shards.sparkSession, at, known)
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
@@ -316,7 +385,7 @@ def threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None
     return float(best[np.abs(best - 0.5).argmin()])
 
 
-def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str | None, float]]:
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[ShippedModel | None, dict[str | None, float]]:
     """A model and thresholds by language; ``None`` stands for languages with too few rows.
 
     Without rows of both labels there is no model.
@@ -330,11 +399,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str
         return None, {None: 0.5}
     if not all(train) or not all(back):
         return fitted(shards, *(x + y for x, y in zip(train, back)), None), {None: 0.5}
-    model = fitted(shards, *train, False)
-    sent = shipped(docs.sparkSession, model)
+    sent = fitted(shards, *train, False)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(sent)
+        model = sent.opened()
         for _, texts, rows in _opened(batches, True):
             if texts:
                 score = model.scores(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
@@ -344,7 +412,6 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str
 
     # a row for each language, hundredth of log odds and label
     found = shards.mapInArrow(placed, "lang string, odds long, label int").groupBy("lang", "odds", "label").count().collect()
-    sent.destroy()
     by: dict[str | None, list[tuple]] = defaultdict(list)
     for r in found:
         row = (1 / (1 + np.exp(-r["odds"] / STEPS)), r["label"], r["count"])
@@ -356,7 +423,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str
         scores, marks, counts = (np.array(x) for x in zip(*own))
         if lang is None or min(np.bincount(marks, counts, minlength=2)) >= CALIBRATION_ROWS:
             cuts[lang] = threshold(scores, marks, counts)
-    return model, cuts
+    return sent, cuts
 
 
 def _scored(model: Model | None, column: pa.Array) -> np.ndarray:
@@ -374,11 +441,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without words; repeated rows and rows without id or language stay rows of their own.  With labels
     of one kind or none every score is 0.  Other columns are not read.
     """
-    model, cuts = learned(docs, labels)
-    sent = shipped(docs.sparkSession, model)  # of fixed size
+    sent, cuts = learned(docs, labels)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(sent)
+        model = sent and sent.opened()
         for batch in batches:
             score = _scored(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(score)], names=["doc_id", "lang", "score"])
@@ -401,15 +467,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`toxicity` does not reject."""
-    model, cuts = learned(docs, labels)
-    if model is None:
+    sent, cuts = learned(docs, labels)
+    if sent is None:
         return docs
-    sent = shipped(docs.sparkSession, model)
     names = [n.lower() for n in docs.columns]
     text_at, lang_at = names.index("text"), names.index("lang") if "lang" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened(sent)
+        model = sent.opened()
         for batch in batches:
             langs = [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
             limit = np.array([cuts.get(x, cuts[None]) for x in langs])

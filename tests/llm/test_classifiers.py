@@ -120,6 +120,40 @@ def test_toxicity_learns_from_every_labelled_row(tables, monkeypatch):
     assert [r.score for r in rows] == [r.score for r in toxicity.toxicity(docs, marks).collect()]
 
 
+def test_sums_of_many_changes_stay_whole(tables, monkeypatch):
+    """Changes as large as those of many shards are added without leaving 64 bits."""
+    docs, marks = tables
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    want = {r.doc_id: r.score for r in toxicity.toxicity(docs, marks).collect()}
+    monkeypatch.setattr(toxicity, "FINE", 2.0**60)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, marks).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_means_of_changes_are_those_of_whole_numbers(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng, n_shards = np.random.default_rng(5), 30
+    start = toxicity.started(149, rng)
+    total, n_steps, records = np.zeros((150, toxicity.SIZE)), np.zeros(150), []
+    dense = np.zeros(len(start.dense))
+    for k in range(n_shards):
+        own = np.concatenate(([0], 1 + np.flatnonzero(rng.random(149) < 0.6)))
+        before = toxicity.Weights(start.words[own], start.seen_words[own], start.dense, start.seen_dense)
+        after = toxicity.Weights(*(a + rng.random(a.shape) * 2.0**k for a in before.arrays()))
+        steps = rng.integers(0, 3, len(own))
+        records.append(toxicity._changed(before, after, own, steps, k + 1))
+        moved = (steps > 0) & (own > 0)
+        total[own[moved]] += (steps[:, None] * (after.seen_words - before.seen_words))[moved]
+        n_steps[own[moved]] += steps[moved]
+        dense += (k + 1) * (after.seen_dense - before.seen_dense)
+    got = toxicity.Weights(*(a.copy() for a in start.arrays()))
+    means = [row for batch in toxicity._means(iter(records)) for row in zip(*(c.to_pylist() for c in batch.columns))]
+    toxicity._mix(got, means)
+    mean = total / np.maximum(n_steps, 1)[:, None]
+    assert np.allclose(got.seen_words - start.seen_words, mean, rtol=1e-6, atol=1e-6)
+    assert np.allclose(got.seen_dense - start.seen_dense, dense / sum(range(1, n_shards + 1)), rtol=1e-6)
+
+
 def test_threshold_of_counted_scores():
     scores, labels = np.array([0.1, 0.4, 0.6, 0.9]), np.array([0, 1, 0, 1])
     counts = np.array([5, 3, 1, 2])

@@ -95,6 +95,36 @@ def test_long_lists_of_children_are_matched_by_rank():
     assert markup.Alignment(b).places(a) == [0, *range(2, 602)]
 
 
+def test_long_lists_of_children_are_matched_like_short_ones(monkeypatch):
+    rng = random.Random(4)
+
+    def tree(depth, width):
+        return [rng.choice("ab"), rng.choice("xy"), "", [tree(depth - 1, 3) for _ in range(rng.randint(0, width) if depth else 0)]]
+
+    cases = [(tree(3, 3), tree(3, 3)) for _ in range(200)] + [(tree(2, 60), tree(2, 60)) for _ in range(20)]
+    for a, b in cases:
+        a[0] = b[0] = "r"
+        short = markup.Alignment(b)
+        want, weight = short.places(a), short._weight(a, b)
+        monkeypatch.setattr(markup, "MOST_CELLS", 0)
+        monkeypatch.setattr(markup, "MOST_KEPT", 3)
+        monkeypatch.setattr(markup, "SHORT", rng.choice([0, 20]))
+        align = markup.Alignment(b)
+        assert (align.places(a), align._weight(a, b)) == (want, weight)
+        monkeypatch.undo()
+
+
+def test_long_lists_of_children_keep_their_order():
+    """What moved to the front has no place there: the best match goes on without it."""
+    one = [["p", str(k), "", []] for k in range(600)]
+    same = [["div", "", "", [["p", "x", "", []]]], ["div", "", "", [["ul", "y", "", []]]]]
+    a, b = ["r", "", "", [["p", "599", "", []], *one[:599], *same]], ["r", "", "", [*one, *same[1:]]]
+    got = markup.Alignment(b).places(a)
+    # after the 599 equal ones the moved one's place stays free, and of both divs the one with the same list below is met
+    assert got[1] < 0 and got[2:601] == list(range(1, 600))
+    assert got[601] < 0 and got[602] < 0 and got[603:] == [601, 602]
+
+
 def plain_host(rng, host, n, first=0):
     """Pages without telling markup: what is constant or goes round is template, optional blocks come and go."""
     rows, want = [], {}

@@ -130,6 +130,16 @@ def test_sums_of_many_changes_stay_whole(tables, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_harmless_documents_are_found_with_sums_of_many_changes(tables, monkeypatch):
+    """The first stage of the pipeline, where the changes add up to more than 64 bits."""
+    docs, marks = tables
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    want = sorted(r.doc_id for r in toxicity.toxicity(docs, marks).where("not rejected").collect())
+    monkeypatch.setattr(toxicity, "FINE", 2.0**60)
+    assert sorted(r.doc_id for r in toxicity.harmless(docs, marks).collect()) == want
+    assert 0 < len(want) < docs.count()
+
+
 def test_means_of_changes_are_those_of_whole_numbers(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 64)
     rng, n_shards = np.random.default_rng(5), 30
